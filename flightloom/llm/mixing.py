@@ -73,7 +73,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: float
     slices = settled(sized.groupBy("source", "source_key", _slice(F.col("place")).alias("slice")).agg(F.sum("size").alias("words")))
     goal = targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs, budget)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
-    goal = goal.withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))))
+    goal = goal.withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     goal = settled(goal.withColumn("source_key", _source_key()))
     running = Window.partitionBy("source_key").orderBy("slice")
     before = slices.withColumn("before", F.sum("words").over(running) - F.col("words")).drop("source")
