@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 #: A word is a run of code points outside these (space, tab to carriage return).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Entries after which a task forgets the word hashes that it has looked up.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 60_000
+#: Rows and bytes of texts that a Python worker holds at a time.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def modest_batches(spark: SparkSession) -> SparkSession:
+    """Lowers this session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES: whole texts are long, and Spark's default of
+    10,000 rows would hold tens of megabytes in every worker, several times over."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", "0").strip().lower()
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    return spark
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Writes `df` as Parquet in the shared folder and reads it again: cuts lineage, outlives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
