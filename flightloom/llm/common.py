@@ -32,10 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
 def modest_batches(spark: SparkSession) -> SparkSession:
     """Lowers this session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES: whole texts are long, and Spark's default of
     10,000 rows would hold tens of megabytes in every worker, several times over."""
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", "0").strip().lower()
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    rows, size = (f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    if int(spark.conf.get(size).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(size, BATCH_BYTES)
     return spark
 
 
