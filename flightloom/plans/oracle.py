@@ -121,7 +121,7 @@ def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["path_distance"] = _sql("SELECT path_id, round(sum(km), 4) AS km, round(sum(km) / 1.852, 4) AS nm FROM legs0 GROUP BY 1", "legs0")
     q["segment_speed"] = _sql("SELECT path_id, seg_idx, round(km, 6) AS km, round(dt, 6) AS dt, round(speed, 4) AS speed FROM legs", "legs")
-    q["windowed_groundspeed"] = _sql("SELECT path_id, seg_idx, round(gs, 3) AS gs, round(window_km, 3) AS window_km, round(window_s, 4) AS window_s FROM spd", "spd")
+    q["windowed_groundspeed"] = _sql("SELECT path_id, seg_idx, round(gs, 3) AS gs, round(window_km, 3) AS window_km, round(window_s, 6) AS window_s FROM spd", "spd")
     q["segments_projection"] = _sql("SELECT path_id, seg_idx, altitude_ft, altitude_m, time, round(km, 6) AS km FROM seg", "seg")
     q["path_info"] = _sql(
         """, sh AS (SELECT path_id, arg_min(lat, seq) AS start_lat, arg_min(lon, seq) AS start_lon, arg_max(lat, seq) AS end_lat, arg_max(lon, seq) AS end_lon,
@@ -302,7 +302,7 @@ def oracle_sql() -> dict[str, str]:
         CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d %b %Y') END AS dated FROM orders"""
     q["obfuscated_times"] = _sql(
         """, f AS (SELECT path_id, arg_min(us, seq) // 1000000 AS s FROM (SELECT path_id, seq, us * 1000 AS us FROM pts) GROUP BY 1),
-        m AS (SELECT path_id, seq, make_timestamp(us * 1000 // 1000000 * 1000000 - (s // 86400 - epoch(date_trunc('year', make_timestamp(s * 1000000))) // 86400) * 86400 * 1000000) AS moment FROM pts JOIN f USING (path_id))
+        m AS (SELECT path_id, seq, make_timestamp(us * 1000 // 1000000 * 1000000 - (s // 86400 - CAST(epoch(date_trunc('year', make_timestamp(s * 1000000))) AS BIGINT) // 86400) * 86400 * 1000000) AS moment FROM pts JOIN f USING (path_id))
         SELECT path_id AS file, seq, strftime(moment, '%Y-%m-%dT%H:%M:%S') || '.5848380Z' AS ts_shifted FROM m""",
         "pts",
     )

@@ -88,7 +88,7 @@ def segment_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def windowed_groundspeed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Views(spark, sf_dir).speeds.select("path_id", "seg_idx", _r("gs", 3), _r("window_km", 3), _r("window_s"))
+    return Views(spark, sf_dir).speeds.select("path_id", "seg_idx", _r("gs", 3), _r("window_km", 3), _r("window_s", 6))
 
 
 @query
