@@ -104,12 +104,13 @@ def _before() -> Column:
     return F.coalesce((slice_ < F.col("slice")) | up_to, F.lit(False))
 
 
-def mixed(docs: DataFrame, plan_: DataFrame, seed: int = 29) -> DataFrame:
-    """`docs` with size, source_size, target, copies and taken (copies * size) after its columns.
+def mixed(docs: DataFrame, plan_: DataFrame, seed: int = 29, keep: Sequence[str] | None = None) -> DataFrame:
+    """(row, size, source_size, target, copies, taken): row holds all columns of `docs`, or those of `keep`, and taken is
+    copies times size. Sizes are counted before the join, so texts travel only if they are kept.
 
     The plan has one row a source; both sides are dealt by source and a salt, so a hot source is spread over SALTS keys.
     """
-    columns = [F.col(c) for c in docs.columns]
+    columns = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
     size = word_count(F.col("text").cast("string"))
     salted = docs.select(F.struct(*columns).alias("row"), size.alias("size"), _source_key().alias("source_key"), _order(seed).alias("place"), _id().alias("id"))
     salted = salted.withColumn("salt", F.pmod(F.col("place"), F.lit(SALTS)).cast("int"))
@@ -125,7 +126,7 @@ def mix_sizes(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: f
     Null texts and texts without words have size 0; a null source is a source. A source without words has target 0. Equal
     ids share one place in their source's order. An empty table gives an empty table.
     """
-    out = mixed(docs.select("doc_id", "source", "text"), plan(docs, weights, max_epochs, seed), seed)
+    out = mixed(docs.select("doc_id", "source", "text"), plan(docs, weights, max_epochs, seed), seed, keep=["doc_id"])
     return out.select(F.col("row.doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", "copies", "taken")
 
 

@@ -206,14 +206,14 @@ class SpanModel:
         return out[::-1]
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
-        """Spans of kinds without a fixed pattern that overlap none of `base`."""
+        """Spans of kinds without a fixed pattern; each of `base` lies within such a span or apart from it."""
         out = []
         for zone in zones(text):
             n, ranges, points, features = candidates(text, zone)
             if ranges:
                 for c, kind in self.best(n, ranges, features):
                     a, b = points[c]
-                    if KINDS[kind] not in BASE and all(b <= x or y <= a for x, y, _ in base):
+                    if KINDS[kind] not in BASE and all(b <= x or y <= a or (a <= x and y <= b) for x, y, _ in base):
                         out.append((a, b, KINDS[kind]))
         return out
 
@@ -287,7 +287,7 @@ def personal_data(docs: DataFrame, model: SpanModel) -> DataFrame:
     """Spans in each row of `docs` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret.
 
     Null texts count as empty. Counts and base_sha256 are those of the fixed patterns; spans also holds what the model
-    adds, which is of the kind secret and overlaps no span of a pattern.
+    adds, which is of the kind secret and cuts no span of a pattern in two.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
