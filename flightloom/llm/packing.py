@@ -21,15 +21,18 @@ def variable_best_fit(sizes: Sequence[int], capacities: Sequence[int] = CAPACITI
     """(bin, offset, capacity) for each size, none above the largest capacity.
 
     Sizes are placed from the largest down, equal ones in the order given. A piece goes into the open bin that leaves the
-    least room. Where none has room, a bin is opened at the permitted capacity whose cost (capacity + opening), shared
-    over the pieces of this size that it could hold of those that still wait, is the least for each word held. In the end
-    every bin shrinks to the smallest capacity that holds what it has.
+    least room. Where none has room, a bin is opened at the permitted capacity with the least cost (capacity + opening)
+    together with the cost of what then still waits: words that neither this bin nor the room of open bins holds, at the
+    cheapest rate a word, one bin of the smallest capacity at least. In the end every bin shrinks to the smallest
+    capacity that holds what it has.
     """
     caps = sorted(capacities)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     suffix = [0] * (len(order) + 1)
     for k in range(len(order) - 1, -1, -1):
         suffix[k] = suffix[k + 1] + sizes[order[k]]
+    rate = min((c + opening) / c for c in caps)
+    free = 0
     used: list[int] = []
     room: list[tuple[int, int]] = []  # (room left, bin), ascending
     place: list[tuple[int, int]] = [(0, 0)] * len(sizes)
@@ -38,15 +41,17 @@ def variable_best_fit(sizes: Sequence[int], capacities: Sequence[int] = CAPACITI
         at = bisect_left(room, (size, -1))
         if at < len(room):
             left, b = room.pop(at)
+            free -= left
         else:
-            held = lambda c, k=k, size=size: max(size, min(c, suffix[k]))
-            left = min((c for c in caps if c >= size), key=lambda c: ((c + opening) / max(held(c), 1), c))
+            waits = size + max(0, suffix[k + 1] - free)
+            left = min((c for c in caps if c >= size), key=lambda c: (c + opening + (max(rate * (waits - c), caps[0] + opening) if waits > c else 0), c))
             b = len(used)
             used.append(0)
         place[i] = (b, used[b])
         used[b] += size
         if left > size:
             insort(room, (left - size, b))
+            free += left - size
     final = [next(c for c in caps if c >= u) for u in used]
     return [(b, offset, final[b]) for b, offset in place]
 

@@ -15,6 +15,8 @@ from flightloom.llm.common import settled
 from flightloom.llm.components import components
 
 BITS, RADIUS = 64, 2
+#: The radius at which documents are dropped as near copies.
+DEDUP_RADIUS = 4
 #: Fingerprints that one bucket may hold before it is dealt out again under finer masks.
 BUCKET = 256
 
@@ -53,15 +55,16 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
 
 
-def covering_masks(free: int) -> list[int]:
-    """Seven masks over the bits set in `free`; any two bits are both left out by one of the masks.
+def covering_masks(free: int, radius: int = RADIUS) -> list[int]:
+    """2**(radius + 1) - 1 masks over the bits set in `free`; any `radius` bits are all left out by one of the masks.
 
-    The j-th free bit gets one of the seven non-zero vectors of three bits; mask v keeps the bits whose vector has an
-    odd product with v. For two bits some v other than zero has an even product with both vectors, so two values that
-    differ in no other bits are equal under that mask.
+    The j-th free bit gets one of the non-zero vectors of radius + 1 bits; mask v keeps the bits whose vector has an odd
+    product with v. For `radius` bits some v other than zero has an even product with all their vectors, so two values
+    that differ in no other bits are equal under that mask.
     """
+    count = 2 ** (radius + 1) - 1
     at = [i for i in range(BITS) if free >> i & 1]
-    return [sum(1 << i for j, i in enumerate(at) if ((j % 7 + 1) & v).bit_count() & 1) for v in range(1, 8)]
+    return [sum(1 << i for j, i in enumerate(at) if ((j % count + 1) & v).bit_count() & 1) for v in range(1, count + 1)]
 
 
 def _signed(mask: int) -> int:
@@ -90,15 +93,16 @@ def _bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
     return lists.select("fps").mapInPandas(run, "u long, v long")
 
 
-def links_within(distinct: DataFrame) -> DataFrame:
-    """Links (u, v) that connect all distinct values of column fp which lie within RADIUS bits, directly or by others.
+def links_within(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (u, v) that connect all distinct values of column fp which lie within `radius` bits, directly or by others.
 
-    Level 1 deals every value into 7 tables by masks that keep 4 of 7 bits. Buckets of more than BUCKET values are dealt
-    out again by masks over the bits still free, twice at most: then fewer than 7 bits are free and a bucket has at most
-    64 values. So no bucket is compared pair by pair beyond its bound, and no link is lost.
+    Level 1 deals every value into tables by masks that keep about half of the bits. Buckets of more than BUCKET values
+    are dealt out again by masks over the bits still free, twice at most: then 7 bits or fewer are free and a bucket has
+    at most 128 values. So no bucket is compared pair by pair beyond its bound, and no link is lost.
     """
-    everything = (1 << BITS) - 1
-    tables = [(i, mask) for i, mask in enumerate(covering_masks(everything))]
+    everything, spark = (1 << BITS) - 1, distinct.sparkSession
+    tables = list(enumerate(covering_masks(everything, radius)))
+    count = len(tables)
     keyed = distinct.select("fp", F.inline(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in tables])))
     found: list[DataFrame] = []
     for level in range(3):
@@ -107,27 +111,27 @@ def links_within(distinct: DataFrame) -> DataFrame:
             crowded = settled(keyed.groupBy("t", "key").count().where(F.col("count") > BUCKET).select("t", "key"))
             last = crowded.isEmpty()
         if last:
-            found.append(_bucket_links(keyed, RADIUS))
+            found.append(_bucket_links(keyed, radius))
             break
-        found.append(_bucket_links(keyed.join(crowded, ["t", "key"], "left_anti"), RADIUS))
-        inner = [(i, m, covering_masks(everything & ~m)) for i, m in tables]
-        tables = [(7 * i + j, m | finer) for i, m, masks in inner for j, finer in enumerate(masks)]
-        mask_of = F.create_map(*[F.lit(x) for i, m in tables for x in (i, _signed(m))])
-        rest = keyed.join(crowded, ["t", "key"], "left_semi").select("fp", F.explode(F.sequence(F.col("t") * 7, F.col("t") * 7 + 6)).alias("t"))
-        keyed = rest.select("fp", "t", F.col("fp").bitwiseAND(mask_of[F.col("t")]).alias("key"))
+        found.append(_bucket_links(keyed.join(crowded, ["t", "key"], "left_anti"), radius))
+        tables = [(count * i + j, m | finer) for i, m in tables for j, finer in enumerate(covering_masks(everything & ~m, radius))]
+        # One row a mask: count**2 or count**3 rows whatever the input.
+        masks = F.broadcast(spark.createDataFrame([(i, _signed(m)) for i, m in tables], "t int, mask long"))
+        rest = keyed.join(crowded, ["t", "key"], "left_semi").select("fp", F.explode(F.sequence(F.col("t") * count, F.col("t") * count + (count - 1))).alias("t"))
+        keyed = rest.join(masks, "t").select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     return reduce(DataFrame.union, found).distinct()
 
 
-def simhash_components(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
+def simhash_components(docs: DataFrame, words_per_shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id and n_same for each row of `docs` (doc_id, text).
 
-    component_id is the smallest doc_id reachable over links of RADIUS differing bits or fewer; n_same is the number of
+    component_id is the smallest doc_id reachable over links of `radius` differing bits or fewer; n_same is the number of
     rows with the same fingerprint. Null and empty texts have fingerprint zero and are linked like any other. Repeated
     rows come out once each. Rows of null doc_id are kept; they do not name a component unless all its ids are null.
     """
     fps = settled(fingerprints(docs, words_per_shingle))
     classes = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same")))
-    found = components(links_within(classes.select("fp")))
+    found = components(links_within(classes.select("fp"), radius))
     named = found.withColumnRenamed("node", "fp").join(classes, "fp")
     roots = named.groupBy("root").agg(F.min("rep").alias("low"))
     low = named.select("fp", "root").join(roots, "root").select("fp", "low")
@@ -135,12 +139,13 @@ def simhash_components(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
-def simhash_dedup(docs: DataFrame, words_per_shingle: int = 5) -> DataFrame:
+def simhash_dedup(docs: DataFrame, words_per_shingle: int = 5, radius: int = DEDUP_RADIUS) -> DataFrame:
     """The rows of `docs` that stay: of each component the row with the smallest doc_id, in its first text by order.
 
-    Takes five-word shingles by default. Rows that repeat the kept doc_id and text collapse to one. Of rows with a null
+    Takes five-word shingles and DEDUP_RADIUS bits by default: one changed word changes five shingles, and texts whose
+    shingles are less than 0.8 alike rarely come that near. Rows that repeat the kept doc_id and text collapse to one. Of rows with a null
     doc_id none is dropped, since they cannot be told apart. Columns are those of `docs`.
     """
-    kept = simhash_components(docs, words_per_shingle).where("doc_id = component_id").select("doc_id").distinct()
+    kept = simhash_components(docs, words_per_shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
     stay = docs.join(kept, "doc_id", "left_semi")
     return stay.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))

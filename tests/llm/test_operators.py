@@ -77,6 +77,24 @@ def test_simhash_matches_brute_force(spark, corpus):
     assert {i: r["component_id"] for i, r in got.items()} == plain_components(fps, near)
 
 
+def test_covering_masks_of_a_wider_radius_leave_any_four_bits_out():
+    rng = np.random.default_rng(4)
+    masks = simhash.covering_masks(2**64 - 1, 4)
+    assert len(masks) == 31
+    for _ in range(2000):
+        bits = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+        assert any(not mask & bits for mask in masks)
+
+
+def test_dedup_drops_a_long_text_with_one_word_changed_and_keeps_others(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in rng.integers(0, 5000, 1200)]
+    near = [*words[:600], "changed", *words[601:]]
+    rows = [(3, " ".join(words)), (5, " ".join(near)), (9, " ".join(words[::-1])), (7, " ".join(near).upper())]
+    kept = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 9]
+
+
 def test_covering_masks_leave_any_two_bits_out():
     free = (1 << 64) - 1
     for level in range(2):
