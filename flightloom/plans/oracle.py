@@ -242,7 +242,7 @@ def oracle_sql() -> dict[str, str]:
     ).replace("WITH ", "WITH RECURSIVE ", 1)
     q["render_filter"] = _sql(
         """SELECT l.path_id, seg_idx, CASE WHEN l.path_id % 5 <> 0 THEN true END AS known, CASE WHEN l.path_id % 2 = 0 THEN 6 ELSE 4 END AS weight,
-        CASE WHEN l.path_id % 2 = 0 THEN 1.0 ELSE 0.1 END AS opacity FROM legs0 l JOIN paths p ON l.path_id = p.path_id WHERE l.path_id % 5 = 0 OR year = 2025""",
+        CAST(CASE WHEN l.path_id % 2 = 0 THEN 1.0 ELSE 0.1 END AS DOUBLE) AS opacity FROM legs0 l JOIN paths p ON l.path_id = p.path_id WHERE l.path_id % 5 = 0 OR year = 2025""",
         "legs0",
         "paths",
     )
