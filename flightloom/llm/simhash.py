@@ -17,26 +17,32 @@ from flightloom.llm.components import components
 BITS, RADIUS = 64, 2
 #: The radius at which documents are dropped as near copies.
 DEDUP_RADIUS = 4
+#: Bits up to which a bucket's nearest values are candidates for a check of their texts, and the Jaccard similarity asked.
+LOOSE, ALIKE = 14, 0.8
 #: Fingerprints that one bucket may hold before it is dealt out again under finer masks.
 BUCKET = 256
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> int:
-    """The 64 majority bits of the XXH64 hashes of a text's word shingles, A-Z lower-cased; no words: 0."""
+def shingle_hashes(text: str | None, words_per_shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of every word shingle of a text, repeats included, A-Z lower-cased; fewer words: of all; no words: empty."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
-    if not words:
-        return 0
     n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     k = min(words_per_shingle, n)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(joined[a:b], seed) for a, b in zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)),
         np.uint64,
         n - k + 1,
     )
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
@@ -44,6 +50,11 @@ def fingerprint(text: str | None, words_per_shingle: int = 3, seed: int = 42) ->
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
+    """The 64 majority bits of the hashes of a text's word shingles; no words: 0."""
+    return majority(shingle_hashes(text, words_per_shingle))
+
+
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     """(doc_id, fp) for each row of `docs` (doc_id, text, any others); fp is the fingerprint as a signed long."""
 
@@ -83,18 +94,36 @@ def _near_in_bucket(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(int(fps[r]), int(fps[i])) for i, r in enumerate(label) if r != i]
 
 
-def _bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
+def _nearest_in_bucket(fps: np.ndarray, radius: int, loose: int) -> list[tuple[int, int]]:
+    """Each value with the one nearest to it among those beyond the radius, if within `loose` bits: one pair a value."""
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    apart[apart <= radius] = BITS + 1
+    nearest = apart.argmin(axis=1)
+    close = np.flatnonzero(apart[np.arange(len(fps)), nearest] <= loose)
+    return [(int(min(fps[i], fps[nearest[i]])), int(max(fps[i], fps[nearest[i]]))) for i in close]
+
+
+def _bucket_links(keyed: DataFrame, radius: int, loose: int) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            links = [x for fps in pdf["fps"] for x in _near_in_bucket(np.asarray(fps, np.int64).view(np.uint64), radius)]
-            yield pd.DataFrame(np.array(links, np.uint64).reshape(-1, 2).view(np.int64), columns=["u", "v"])
+            buckets = [np.asarray(fps, np.int64).view(np.uint64) for fps in pdf["fps"]]
+            sure = [x for fps in buckets for x in _near_in_bucket(fps, radius)]
+            maybe = list({x for fps in buckets for x in _nearest_in_bucket(fps, radius, loose)}) if loose > radius else []
+            out = pd.DataFrame(np.array(sure + maybe, np.uint64).reshape(-1, 2).view(np.int64), columns=["u", "v"])
+            yield out.assign(sure=np.arange(len(out)) < len(sure))
 
     lists = keyed.groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    return lists.select("fps").mapInPandas(run, "u long, v long")
+    return lists.select("fps").mapInPandas(run, "u long, v long, sure boolean")
 
 
 def links_within(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (u, v) that connect all distinct values of column fp which lie within `radius` bits, directly or by others.
+    """Links (u, v) that connect all distinct values of column fp which lie within `radius` bits, directly or by others."""
+    return _links(distinct, radius, radius).select("u", "v").distinct()
+
+
+def _links(distinct: DataFrame, radius: int, loose: int) -> DataFrame:
+    """(u, v, sure): the links of links_within are sure; the others join a bucket's values to the nearest one up to `loose`
+    bits away, one a value and bucket, to be checked by their texts.
 
     Level 1 deals every value into tables by masks that keep about half of the bits. Buckets of more than BUCKET values
     are dealt out again by masks over the bits still free, twice at most: then 7 bits or fewer are free and a bucket has
@@ -111,27 +140,56 @@ def links_within(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             crowded = settled(keyed.groupBy("t", "key").count().where(F.col("count") > BUCKET).select("t", "key"))
             last = crowded.isEmpty()
         if last:
-            found.append(_bucket_links(keyed, radius))
+            found.append(_bucket_links(keyed, radius, loose))
             break
-        found.append(_bucket_links(keyed.join(crowded, ["t", "key"], "left_anti"), radius))
+        found.append(_bucket_links(keyed.join(crowded, ["t", "key"], "left_anti"), radius, loose))
         tables = [(count * i + j, m | finer) for i, m in tables for j, finer in enumerate(covering_masks(everything & ~m, radius))]
         # One row a mask: count**2 or count**3 rows whatever the input.
         masks = F.broadcast(spark.createDataFrame([(i, _signed(m)) for i, m in tables], "t int, mask long"))
         rest = keyed.join(crowded, ["t", "key"], "left_semi").select("fp", F.explode(F.sequence(F.col("t") * count, F.col("t") * count + (count - 1))).alias("t"))
         keyed = rest.join(masks, "t").select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    return reduce(DataFrame.union, found).distinct()
+    return reduce(DataFrame.union, found)
+
+
+def _alike(candidates: DataFrame, docs: DataFrame, classes: DataFrame, words_per_shingle: int, alike: float) -> DataFrame:
+    """The pairs (u, v) of fingerprints whose texts have a Jaccard similarity of `alike` or more over distinct shingles.
+
+    A fingerprint stands for the text of its smallest doc_id. Only texts of candidates are read; a set is 8 bytes a
+    shingle. Fingerprints found in rows of null doc_id alone take no part.
+    """
+    needed = candidates.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    wanted = settled(classes.join(needed, "fp").where(F.col("rep").isNotNull()).select("fp", F.col("rep").alias("doc_id")))
+
+    def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            hashes = [shingle_hashes(t, words_per_shingle) for t in pdf["text"]]
+            fps = np.fromiter(map(majority, hashes), np.uint64, len(pdf)).view(np.int64)
+            yield pd.DataFrame({"fp": fps, "shingles": [np.unique(h).view(np.int64) for h in hashes]})
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    # Rows may share a doc_id and not the text: only those with a wanted fingerprint count, one of each.
+    found = settled(texts.mapInPandas(sets, "fp long, shingles array<long>").join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
+    pairs = candidates.join(found.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(found.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.where(both >= alike * (F.size("a") + F.size("b") - both)).select("u", "v")
 
 
-def simhash_components(docs: DataFrame, words_per_shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+def simhash_components(docs: DataFrame, words_per_shingle: int = 3, radius: int = RADIUS, alike: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id and n_same for each row of `docs` (doc_id, text).
 
     component_id is the smallest doc_id reachable over links of `radius` differing bits or fewer; n_same is the number of
-    rows with the same fingerprint. Null and empty texts have fingerprint zero and are linked like any other. Repeated
+    rows with the same fingerprint. With `alike`, values that met in a bucket within LOOSE bits link as well if their texts
+    have that Jaccard similarity; meeting there is likely, not certain. Null and empty texts have fingerprint zero and are linked like any other. Repeated
     rows come out once each. Rows of null doc_id are kept; they do not name a component unless all its ids are null.
     """
     fps = settled(fingerprints(docs, words_per_shingle))
     classes = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same")))
-    found = components(links_within(classes.select("fp"), radius))
+    if alike is None:
+        links = links_within(classes.select("fp"), radius)
+    else:
+        every = settled(_links(classes.select("fp"), radius, LOOSE).distinct())
+        links = every.where("sure").select("u", "v").union(_alike(every.where("not sure").select("u", "v"), docs, classes, words_per_shingle, alike))
+    found = components(links)
     named = found.withColumnRenamed("node", "fp").join(classes, "fp")
     roots = named.groupBy("root").agg(F.min("rep").alias("low"))
     low = named.select("fp", "root").join(roots, "root").select("fp", "low")
@@ -139,13 +197,14 @@ def simhash_components(docs: DataFrame, words_per_shingle: int = 3, radius: int
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
-def simhash_dedup(docs: DataFrame, words_per_shingle: int = 5, radius: int = DEDUP_RADIUS) -> DataFrame:
+def simhash_dedup(docs: DataFrame, words_per_shingle: int = 5, radius: int = DEDUP_RADIUS, alike: float = ALIKE) -> DataFrame:
     """The rows of `docs` that stay: of each component the row with the smallest doc_id, in its first text by order.
 
     Takes five-word shingles and DEDUP_RADIUS bits by default: one changed word changes five shingles, and texts whose
-    shingles are less than 0.8 alike rarely come that near. Rows that repeat the kept doc_id and text collapse to one. Of rows with a null
+    shingles are less than 0.8 alike rarely come that near. Texts further apart that met in a bucket go by a Jaccard similarity
+    of `alike` or more. Rows that repeat the kept doc_id and text collapse to one. Of rows with a null
     doc_id none is dropped, since they cannot be told apart. Columns are those of `docs`.
     """
-    kept = simhash_components(docs, words_per_shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
+    kept = simhash_components(docs, words_per_shingle, radius, alike).where("doc_id = component_id").select("doc_id").distinct()
     stay = docs.join(kept, "doc_id", "left_semi")
     return stay.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -95,6 +95,23 @@ def test_dedup_drops_a_long_text_with_one_word_changed_and_keeps_others(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 9]
 
 
+def test_dedup_links_by_likeness_beyond_the_radius_and_nothing_less_alike(spark):
+    """Some pairs of 0.9 are caught, pairs of 0.6 never: what is linked beyond the radius is checked by its text."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(80):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, 300)]
+        edits = 3 if i < 40 else 15
+        near = list(words)
+        for at in rng.choice(np.arange(5, 295, 6), edits, replace=False):
+            near[at] = f"changed{i}-{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+    kept = {r["doc_id"] for r in simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d for d, _ in rows if d % 2 == 0} <= kept
+    assert {d for d, _ in rows if d > 80} <= kept
+    assert sum(2 * i + 1 not in kept for i in range(40)) >= 13
+
+
 def test_covering_masks_leave_any_two_bits_out():
     free = (1 << 64) - 1
     for level in range(2):
