@@ -40,8 +40,11 @@ class MinHasher:
         return np.unique((mix64(total) >> np.uint64(32)).astype(np.uint32))
 
     def signature(self, text: str | None) -> np.ndarray:
-        """uint32 minima of every permutation over the shingles, in blocks of bounded memory."""
-        x = self.shingles(text)
+        """uint32 minima of every permutation over the shingles of a text."""
+        return self.minima(self.shingles(text))
+
+    def minima(self, x: np.ndarray) -> np.ndarray:
+        """uint32 minima of every permutation over uint32 hashes, in blocks of bounded memory."""
         low = np.full(len(self.a), 2**32 - 1, np.uint32)
         for at in range(0, len(x), 4096):
             np.minimum(low, (self.a * x[None, at : at + 4096] + self.b).min(axis=1), out=low)

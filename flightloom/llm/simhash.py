@@ -11,14 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import settled
+from flightloom.llm.common import mix64, settled
 from flightloom.llm.components import components
+from flightloom.llm.minhash import MinHasher
 
 BITS, RADIUS = 64, 2
 #: The radius at which documents are dropped as near copies.
 DEDUP_RADIUS = 4
-#: Bits up to which a bucket's nearest values are candidates for a check of their texts, and the Jaccard similarity asked.
-LOOSE, ALIKE = 14, 0.8
+#: The Jaccard similarity that makes near copies.
+ALIKE = 0.8
+#: MinHash bands by which texts meet beyond the radius: BANDS of BAND_ROWS minima; a pair of 0.8 meets in none with 5 in 100,000.
+BANDS, BAND_ROWS = 25, 5
 #: Fingerprints that one bucket may hold before it is dealt out again under finer masks.
 BUCKET = 256
 
@@ -94,36 +97,18 @@ def _near_in_bucket(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(int(fps[r]), int(fps[i])) for i, r in enumerate(label) if r != i]
 
 
-def _nearest_in_bucket(fps: np.ndarray, radius: int, loose: int) -> list[tuple[int, int]]:
-    """Each value with the one nearest to it among those beyond the radius, if within `loose` bits: one pair a value."""
-    apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
-    apart[apart <= radius] = BITS + 1
-    nearest = apart.argmin(axis=1)
-    close = np.flatnonzero(apart[np.arange(len(fps)), nearest] <= loose)
-    return [(int(min(fps[i], fps[nearest[i]])), int(max(fps[i], fps[nearest[i]]))) for i in close]
-
-
-def _bucket_links(keyed: DataFrame, radius: int, loose: int) -> DataFrame:
+def _bucket_links(keyed: DataFrame, radius: int) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            buckets = [np.asarray(fps, np.int64).view(np.uint64) for fps in pdf["fps"]]
-            sure = [x for fps in buckets for x in _near_in_bucket(fps, radius)]
-            maybe = list({x for fps in buckets for x in _nearest_in_bucket(fps, radius, loose)}) if loose > radius else []
-            out = pd.DataFrame(np.array(sure + maybe, np.uint64).reshape(-1, 2).view(np.int64), columns=["u", "v"])
-            yield out.assign(sure=np.arange(len(out)) < len(sure))
+            found = [x for fps in pdf["fps"] for x in _near_in_bucket(np.asarray(fps, np.int64).view(np.uint64), radius)]
+            yield pd.DataFrame(np.array(found, np.uint64).reshape(-1, 2).view(np.int64), columns=["u", "v"])
 
     lists = keyed.groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    return lists.select("fps").mapInPandas(run, "u long, v long, sure boolean")
+    return lists.select("fps").mapInPandas(run, "u long, v long")
 
 
 def links_within(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (u, v) that connect all distinct values of column fp which lie within `radius` bits, directly or by others."""
-    return _links(distinct, radius, radius).select("u", "v").distinct()
-
-
-def _links(distinct: DataFrame, radius: int, loose: int) -> DataFrame:
-    """(u, v, sure): the links of links_within are sure; the others join a bucket's values to the nearest one up to `loose`
-    bits away, one a value and bucket, to be checked by their texts.
+    """Links (u, v) that connect all distinct values of column fp which lie within `radius` bits, directly or by others.
 
     Level 1 deals every value into tables by masks that keep about half of the bits. Buckets of more than BUCKET values
     are dealt out again by masks over the bits still free, twice at most: then 7 bits or fewer are free and a bucket has
@@ -140,56 +125,116 @@ def _links(distinct: DataFrame, radius: int, loose: int) -> DataFrame:
             crowded = settled(keyed.groupBy("t", "key").count().where(F.col("count") > BUCKET).select("t", "key"))
             last = crowded.isEmpty()
         if last:
-            found.append(_bucket_links(keyed, radius, loose))
+            found.append(_bucket_links(keyed, radius))
             break
-        found.append(_bucket_links(keyed.join(crowded, ["t", "key"], "left_anti"), radius, loose))
+        found.append(_bucket_links(keyed.join(crowded, ["t", "key"], "left_anti"), radius))
         tables = [(count * i + j, m | finer) for i, m in tables for j, finer in enumerate(covering_masks(everything & ~m, radius))]
         # One row a mask: count**2 or count**3 rows whatever the input.
         masks = F.broadcast(spark.createDataFrame([(i, _signed(m)) for i, m in tables], "t int, mask long"))
         rest = keyed.join(crowded, ["t", "key"], "left_semi").select("fp", F.explode(F.sequence(F.col("t") * count, F.col("t") * count + (count - 1))).alias("t"))
         keyed = rest.join(masks, "t").select("fp", "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    return reduce(DataFrame.union, found)
+    return reduce(DataFrame.union, found).distinct()
+
+
+def shingle_sets(docs: DataFrame, words_per_shingle: int, radius: int) -> DataFrame:
+    """(doc_id, node, n, keys) of each row with a doc_id: node identifies the set of distinct shingles, n is its size, keys
+    are the buckets where it meets others: one a covering mask of its fingerprint, one a band of its MinHash minima."""
+    masks = np.array(covering_masks((1 << BITS) - 1, radius), np.uint64)
+    tables = mix64(np.arange(1, len(masks) + BANDS + 1, dtype=np.uint64))
+    hasher = MinHasher(BANDS * BAND_ROWS)
+    weights = mix64(np.arange(1, BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def keys(shingles: np.ndarray) -> np.ndarray:
+        low = hasher.minima((mix64(shingles) >> np.uint64(32)).astype(np.uint32)).astype(np.uint64)
+        bands = (mix64(low).reshape(BANDS, BAND_ROWS) * weights).sum(axis=1, dtype=np.uint64)
+        return mix64(np.concatenate((masks & np.uint64(majority(shingles)), bands)) ^ tables).view(np.int64)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            sets = [np.unique(shingle_hashes(t, words_per_shingle)) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [_set_id(x) for x in sets], "n": [len(x) for x in sets], "keys": [keys(x) for x in sets]})
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInPandas(run, "doc_id long, node long, n long, keys array<long>")
 
 
-def _alike(candidates: DataFrame, docs: DataFrame, classes: DataFrame, words_per_shingle: int, alike: float) -> DataFrame:
-    """The pairs (u, v) of fingerprints whose texts have a Jaccard similarity of `alike` or more over distinct shingles.
+def _set_id(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
-    A fingerprint stands for the text of its smallest doc_id. Only texts of candidates are read; a set is 8 bytes a
-    shingle. Fingerprints found in rows of null doc_id alone take no part.
+
+def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words_per_shingle: int, alike: float) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose shingle sets have a Jaccard similarity of `alike` or more.
+
+    Only texts of candidates are read again, by the smallest doc_id of their node; a set is 8 bytes a shingle.
     """
-    needed = candidates.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    wanted = settled(classes.join(needed, "fp").where(F.col("rep").isNotNull()).select("fp", F.col("rep").alias("doc_id")))
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = settled(nodes.join(needed, "node", "left_semi").select("node", F.col("rep").alias("doc_id")))
 
     def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            hashes = [shingle_hashes(t, words_per_shingle) for t in pdf["text"]]
-            fps = np.fromiter(map(majority, hashes), np.uint64, len(pdf)).view(np.int64)
-            yield pd.DataFrame({"fp": fps, "shingles": [np.unique(h).view(np.int64) for h in hashes]})
+            found = [np.unique(shingle_hashes(t, words_per_shingle)) for t in pdf["text"]]
+            yield pd.DataFrame({"node": [_set_id(x) for x in found], "shingles": [x.view(np.int64) for x in found]})
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    # Rows may share a doc_id and not the text: only those with a wanted fingerprint count, one of each.
-    found = settled(texts.mapInPandas(sets, "fp long, shingles array<long>").join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
-    pairs = candidates.join(found.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(found.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+    # Rows may share a doc_id and not the text: only those of a wanted node count, one of each.
+    found = settled(texts.mapInPandas(sets, "node long, shingles array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    sized = pairs.join(found.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(found.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.where(both >= alike * (F.size("a") + F.size("b") - both)).select("u", "v")
+    return settled(sized.where(both >= alike * (F.size("a") + F.size("b") - both)).select("u", "v"))
+
+
+def _pairs(met: DataFrame, alike: float) -> DataFrame:
+    """Distinct pairs (u, v) of nodes that share a bucket of `met` (key, node, n, label) and not a label, and whose sizes
+    permit a similarity of `alike`: every such pair, none is left out."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for rows in pdf["rows"]:
+                node, n, label = (np.array([r[k] for r in rows], np.int64) for k in ("node", "n", "label"))
+                small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+                i, j = np.nonzero((node[:, None] < node[None, :]) & (label[:, None] != label[None, :]) & (small >= alike * large))
+                yield pd.DataFrame({"u": node[i], "v": node[j]})
+
+    lists = met.groupBy("key").agg(F.collect_list(F.struct("node", "n", "label")).alias("rows")).where(F.size("rows") > 1)
+    return lists.select("rows").mapInPandas(run, "u long, v long").distinct()
 
 
-def simhash_components(docs: DataFrame, words_per_shingle: int = 3, radius: int = RADIUS, alike: float | None = None) -> DataFrame:
+def near_copy_components(docs: DataFrame, words_per_shingle: int = 5, radius: int = DEDUP_RADIUS, alike: float = ALIKE) -> DataFrame:
+    """(doc_id, component_id) of each row with a doc_id: component_id is the smallest doc_id reachable over pairs of texts
+    whose distinct shingles have a Jaccard similarity of `alike` or more.
+
+    Equal sets are one node. Nodes meet in buckets, of the covering masks (certain within `radius` bits) and of MinHash
+    bands (likely for any pair that alike). Each bucket first compares its nodes with one of them; then every pair that
+    these links leave unconnected. So no link rests on fingerprints alone, and no pair that meets goes unchecked.
+    """
+    rows = settled(shingle_sets(docs, words_per_shingle, radius))
+    nodes = settled(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    draw = F.struct(F.xxhash64("key", "node"), "node", "n")
+    leads = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min(draw).alias("lead")).where("many > 1")
+    met = settled(keyed.join(leads.select("key", "many", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "key"))
+    fits = F.least("n", "lead_n") >= alike * F.greatest("n", "lead_n")
+    star = settled(met.where((F.col("node") != F.col("lead")) & fits).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")).distinct())
+    links = _alike(star, docs, nodes, words_per_shingle, alike)
+    first = components(links)
+    labelled = met.join(first.withColumnRenamed("root", "label"), "node", "left").select("key", "many", "node", "n", F.coalesce("label", "node").alias("label"))
+    rest = settled(_pairs(labelled, alike).join(star, ["u", "v"], "left_anti"))
+    found = components(links.union(_alike(rest, docs, nodes, words_per_shingle, alike)))
+    named = found.join(nodes.select("node", "rep"), "node")
+    low = named.join(named.groupBy("root").agg(F.min("rep").alias("low")), "root").select("node", "low")
+    return rows.select("doc_id", "node").join(nodes.select("node", "rep").join(low, "node", "left").select("node", F.coalesce("low", "rep").alias("component_id")), "node").select("doc_id", "component_id")
+
+
+def simhash_components(docs: DataFrame, words_per_shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id and n_same for each row of `docs` (doc_id, text).
 
     component_id is the smallest doc_id reachable over links of `radius` differing bits or fewer; n_same is the number of
-    rows with the same fingerprint. With `alike`, values that met in a bucket within LOOSE bits link as well if their texts
-    have that Jaccard similarity; meeting there is likely, not certain. Null and empty texts have fingerprint zero and are linked like any other. Repeated
+    rows with the same fingerprint. Null and empty texts have fingerprint zero and are linked like any other. Repeated
     rows come out once each. Rows of null doc_id are kept; they do not name a component unless all its ids are null.
     """
     fps = settled(fingerprints(docs, words_per_shingle))
     classes = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same")))
-    if alike is None:
-        links = links_within(classes.select("fp"), radius)
-    else:
-        every = settled(_links(classes.select("fp"), radius, LOOSE).distinct())
-        links = every.where("sure").select("u", "v").union(_alike(every.where("not sure").select("u", "v"), docs, classes, words_per_shingle, alike))
-    found = components(links)
+    found = components(links_within(classes.select("fp"), radius))
     named = found.withColumnRenamed("node", "fp").join(classes, "fp")
     roots = named.groupBy("root").agg(F.min("rep").alias("low"))
     low = named.select("fp", "root").join(roots, "root").select("fp", "low")
@@ -200,11 +245,10 @@ def simhash_components(docs: DataFrame, words_per_shingle: int = 3, radius: int
 def simhash_dedup(docs: DataFrame, words_per_shingle: int = 5, radius: int = DEDUP_RADIUS, alike: float = ALIKE) -> DataFrame:
     """The rows of `docs` that stay: of each component the row with the smallest doc_id, in its first text by order.
 
-    Takes five-word shingles and DEDUP_RADIUS bits by default: one changed word changes five shingles, and texts whose
-    shingles are less than 0.8 alike rarely come that near. Texts further apart that met in a bucket go by a Jaccard similarity
-    of `alike` or more. Rows that repeat the kept doc_id and text collapse to one. Of rows with a null
-    doc_id none is dropped, since they cannot be told apart. Columns are those of `docs`.
+    Near copies are texts whose distinct five-word shingles have a Jaccard similarity of `alike` or more, and what these
+    connect. Rows that repeat the kept doc_id and text collapse to one. Of rows with a null doc_id none is dropped, since
+    they cannot be told apart; they connect nothing. Columns are those of `docs`.
     """
-    kept = simhash_components(docs, words_per_shingle, radius, alike).where("doc_id = component_id").select("doc_id").distinct()
+    kept = near_copy_components(docs, words_per_shingle, radius, alike).where("doc_id = component_id").select("doc_id").distinct()
     stay = docs.join(kept, "doc_id", "left_semi")
     return stay.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))

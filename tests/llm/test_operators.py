@@ -112,6 +112,33 @@ def test_dedup_links_by_likeness_beyond_the_radius_and_nothing_less_alike(spark)
     assert sum(2 * i + 1 not in kept for i in range(40)) >= 13
 
 
+def edited(words, edits, tag):
+    """Every edit changes one word and with it five shingles; the edits are spread evenly."""
+    out = list(words)
+    for k in range(edits):
+        out[4 + k * (len(words) - 8) // edits] = f"{tag}-{k}"
+    return out
+
+
+def alike(a, b, k=5):
+    one, other = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a, b))
+    return len(one & other) / len(one | other)
+
+
+def test_dedup_catches_every_pair_of_texts_alike_beside_nearer_ones(spark):
+    """Families of a text, one of 0.7 and one of 0.8 to 0.85: the one is never dropped, the other always."""
+    rng = np.random.default_rng(5)
+    rows, keep = [], set()
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, 300)]
+        near, far = edited(words, 6, f"n{i}"), edited(words, 11, f"f{i}")
+        assert alike(words, near) >= 0.8 > 0.72 > alike(words, far) and alike(near, far) < 0.8
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
+        keep |= {3 * i, 3 * i + 2}
+    kept = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == keep
+
+
 def test_covering_masks_leave_any_two_bits_out():
     free = (1 << 64) - 1
     for level in range(2):
