@@ -185,18 +185,30 @@ def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words_per_shingl
 
 def _pairs(met: DataFrame, alike: float) -> DataFrame:
     """Distinct pairs (u, v) of nodes that share a bucket of `met` (key, node, n, label) and not a label, and whose sizes
-    permit a similarity of `alike`: every such pair, none is left out."""
+    permit a similarity of `alike`: every such pair, none is left out.
+
+    A bucket of over BUCKET nodes is split into blocks of about BUCKET by a hash, and every block meets every block, in
+    rows of their own: the pairs do not depend on BUCKET. Buckets whose nodes all have one label have no pair to give.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for rows in pdf["rows"]:
+            for rows, same in zip(pdf["rows"], pdf["same"], strict=True):
                 node, n, label = (np.array([r[k] for r in rows], np.int64) for k in ("node", "n", "label"))
                 small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-                i, j = np.nonzero((node[:, None] < node[None, :]) & (label[:, None] != label[None, :]) & (small >= alike * large))
+                first = np.array([r["first"] for r in rows], bool)
+                # Two different blocks give the pairs across them only.
+                facing = (first[:, None] != first[None, :]) | same
+                i, j = np.nonzero(facing & (node[:, None] < node[None, :]) & (label[:, None] != label[None, :]) & (small >= alike * large))
                 yield pd.DataFrame({"u": node[i], "v": node[j]})
 
-    lists = met.groupBy("key").agg(F.collect_list(F.struct("node", "n", "label")).alias("rows")).where(F.size("rows") > 1)
-    return lists.select("rows").mapInPandas(run, "u long, v long").distinct()
+    mixed = met.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    blocks = F.ceil(F.col("many") / BUCKET)
+    own = met.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+    placed = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "node", "n", "label")
+    lists = placed.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "n", "label", (F.col("at") == F.col("i")).alias("first"))).alias("rows"), F.first(F.col("i") == F.col("j")).alias("same")).where(F.size("rows") > 1)
+    return lists.select("rows", "same").mapInPandas(run, "u long, v long").distinct()
 
 
 def near_copy_components(docs: DataFrame, words_per_shingle: int = 5, radius: int = DEDUP_RADIUS, alike: float = ALIKE) -> DataFrame:

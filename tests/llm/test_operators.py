@@ -139,6 +139,29 @@ def test_dedup_catches_every_pair_of_texts_alike_beside_nearer_ones(spark):
     assert {r["doc_id"] for r in kept.collect()} == keep
 
 
+def test_crowded_buckets_of_texts_lose_no_pair(spark, monkeypatch):
+    """What groups of near copies come out must not depend on the bound of a bucket."""
+    rng = np.random.default_rng(6)
+    words = [f"w{x}" for x in rng.integers(0, 50_000, 300)]
+    variants = {i: edited(words, int(rng.integers(1, 14)), f"v{i % 25}-{i}") for i in range(50)}
+    for i in range(50, 60):
+        variants[i] = edited(variants[i - 50], 6, f"x{i}")
+    near = [(a, b) for a, b in combinations(variants, 2) if alike(variants[a], variants[b]) >= 0.8]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in variants.items()], "doc_id long, text string")
+    want = set(plain_components(variants, near).values())
+    assert 1 < len(want) < 60
+    for bound in (4, 256):
+        monkeypatch.setattr(simhash, "BUCKET", bound)
+        assert {r["doc_id"] for r in simhash.simhash_dedup(docs).collect()} == want
+
+
+def test_every_pair_of_a_crowded_bucket_is_a_candidate(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 4)
+    met = spark.createDataFrame([(1, 23, i, 10, i % 5) for i in range(23)] + [(2, 3, i, 10, 7) for i in range(3)], "key long, many long, node long, n long, label long")
+    got = simhash._pairs(met, 0.8).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(a, b) for a, b in combinations(range(23), 2) if a % 5 != b % 5}
+
+
 def test_covering_masks_leave_any_two_bits_out():
     free = (1 << 64) - 1
     for level in range(2):
