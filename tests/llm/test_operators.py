@@ -162,6 +162,15 @@ def test_every_pair_of_a_crowded_bucket_is_a_candidate(spark, monkeypatch):
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(a, b) for a, b in combinations(range(23), 2) if a % 5 != b % 5}
 
 
+def test_dedup_keeps_texts_that_share_one_repeated_line(spark):
+    """The line outvotes all else in a fingerprint of repeats, and the texts are 0.1 alike or less."""
+    rng = np.random.default_rng(7)
+    line = [f"line{i}" for i in range(10)]
+    rows = [(i, " ".join([f"w{x}" for x in rng.integers(0, 50_000, int(rng.integers(60, 200)))] + line * 30)) for i in range(20)]
+    assert max(alike(a[1].split(), b[1].split()) for a, b in combinations(rows, 2)) < 0.2
+    assert simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).count() == 20
+
+
 def test_covering_masks_leave_any_two_bits_out():
     free = (1 << 64) - 1
     for level in range(2):
