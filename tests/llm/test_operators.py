@@ -299,6 +299,18 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for out in (toxic, good, langs) for r in out.values())
 
 
+@pytest.mark.parametrize("langs", [1, 2, 4])
+def test_garbled_and_foreign_texts_are_not_identified(spark, langs):
+    """However many languages there are; texts of known ones stay but for a few in a hundred."""
+    rng = random.Random(9)
+    lexicon = {f"l{k}": [prose(rng, 1, letters) for _ in range(150)] for k, letters in enumerate(("aeiorstn", "uokzwch", "bdlmpiea", "gfvyjqxo"))}
+    told = [(i, " ".join(rng.choices(lexicon[f"l{i % langs}"], k=rng.randint(20, 90))), f"l{i % langs}", "a", 0) for i in range(600)]
+    odd = [(1000 + i, prose(rng, 50, "abcdefghijklmnopqrstuvwxyz"), None, "a", 0) for i in range(20)] + [(2000 + i, prose(rng, 50, "абвгдежз"), None, "a", 0) for i in range(20)]
+    docs = spark.createDataFrame(told + odd, SCHEMA)
+    kept = {r["doc_id"] for r in langid.keep_identified(docs, langid.fit(docs, F.col("doc_id") % 3 > 0)).collect()}
+    assert max(kept) < 1000 and len(kept) >= 570
+
+
 def test_nonnegative_risk_separates_sparse_rows():
     positive = toxicity.Rows.of([[0, 1]] * 30)
     unlabelled = toxicity.Rows.of([[0, 1]] * 10 + [[2]] * 90)
