@@ -12,8 +12,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds: languages learned, training texts, landmarks, and hashed n-grams.
-LANGUAGES, TRAIN_DOCS, LANDMARKS, SLOTS = 200, 6_000, 192, 1 << 15
+#: Bounds of the training sample: texts in all where languages are few, and texts of each language where they are many.
+TRAIN_DOCS, EACH_LEAST = 6_000, 8
+#: Landmarks (one of every language at least), and hashed n-grams.
+LANDMARKS, SLOTS = 192, 1 << 15
 #: The blended spectrum: n-grams of one to four letters.
 ORDERS = (1, 2, 3, 4)
 #: Of known texts, held out from the model that judges them, the share below whose strength a text is not identified.
@@ -105,18 +107,22 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, learn: Column, seed: int = 3) -> LanguageModel:
-    """Fits on at most TRAIN_DOCS texts with a language, spread evenly over the LANGUAGES most frequent ones.
+    """Fits on a bounded sample of texts with a language: TRAIN_DOCS over the number of languages of each, EACH_LEAST at
+    least, so every language seen is learned, however rare.
 
-    `learn` says over doc_id which rows may be learned from. Texts are chosen by a seeded hash of doc_id; landmarks are
-    the first of them, language by language in turn. Only lang and text are read, for labels and features.
+    `learn` says over doc_id which rows may be learned from. Texts are chosen by a seeded hash of doc_id, repeated rows
+    with each other; landmarks are the first of them, language by language in turn. Only lang and text are read, for
+    labels and features. The sample and one row a language reach the driver. Null and empty texts, texts without letters,
+    and rows of null lang or doc_id teach nothing; if no row is left, an idle model is returned.
     """
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.trim(F.col("text")) != ""))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
+    idle = LanguageModel([], np.zeros((0, SLOTS // 8), np.uint8), np.zeros((0, 0)), np.zeros((1, 0)))
     if not counts:
-        return LanguageModel([], np.zeros((0, SLOTS // 8), np.uint8), np.zeros((0, 0)), np.zeros((1, 0)))
-    each = max(1, TRAIN_DOCS // len(counts))
+        return idle
+    each = max(EACH_LEAST, TRAIN_DOCS // len(counts))
     spark = docs.sparkSession
-    shares = spark.createDataFrame([(r["lang"], min(1.0, 1.1 * each / r["count"])) for r in counts], "lang string, share double")
+    shares = spark.createDataFrame([(r["lang"], min(1.0, (1.1 * each + 20) / r["count"])) for r in counts], "lang string, share double")
     drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) / 1e6
 
     def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,6 +137,8 @@ def fit(docs: DataFrame, learn: Column, seed: int = 3) -> LanguageModel:
     pdf = pdf.sort_values(["drawn", "doc_id", "lang"])
     pdf["turn"] = pdf.groupby("lang").cumcount()
     pdf = pdf[pdf["turn"] < each].sort_values(["turn", "lang"])
+    if pdf.empty:
+        return idle
     packed, labels = np.stack([np.frombuffer(b, np.uint8) for b in pdf["bits"]]), pdf["lang"].to_numpy()
     model = _learned(packed, labels)
     # Texts that a model learned from look stronger than others: one of every second turn judges the turns between.
@@ -145,7 +153,7 @@ def fit(docs: DataFrame, learn: Column, seed: int = 3) -> LanguageModel:
 
 def _learned(packed: np.ndarray, labels: np.ndarray) -> LanguageModel:
     languages = sorted(set(labels))
-    model = LanguageModel(languages, packed[:LANDMARKS], np.zeros((0, 0)), np.zeros((0, 0)))
+    model = LanguageModel(languages, packed[: max(LANDMARKS, len(languages))], np.zeros((0, 0)), np.zeros((0, 0)))
     ready = model.unpacked()
     among = kernel(ready[0].T, *ready).astype(float)
     values, vectors = np.linalg.eigh(among)
@@ -159,7 +167,12 @@ def _learned(packed: np.ndarray, labels: np.ndarray) -> LanguageModel:
 
 
 def language_ids(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred and score of each row of `docs` (doc_id, text)."""
+    """doc_id, lang_pred and score of each row of `docs` (doc_id, text), any others left aside.
+
+    Whole texts count, however long. Null and empty texts and texts without a letter are `und` at score 0, as all texts are
+    under an idle model. Equal responses go to the first language by name. Repeated rows and rows of null doc_id come out
+    once each; an empty table gives an empty table.
+    """
     return _with_language(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model).drop("text")
 
 
@@ -181,7 +194,8 @@ def _with_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of `docs` whose language is told: texts of a strength that all but REJECTED of the known ones reach.
 
-    Whole rows come back with the columns of `docs`; texts that are null or have no letter go.
+    Whole rows come back with the columns of `docs`, whatever their names, repeated ones as often as they were. Texts that
+    are null, empty or without a letter go, and all do under an idle model. An empty table gives an empty table.
     """
     names = [f.name for f in docs.schema]
     told = F.pandas_udf(_teller(model), "boolean")
