@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import hash_sample
+from flightloom.llm.common import batches, hash_sample, settled
 
-#: Bounds of the training sample: documents of each label, and lines of one chain.
-TRAIN_DOCS, CHAIN = 4_000, 64
+#: Bounds of the training sample: documents of each label, chains of lines, and lines of one chain. At most TRAIN_CHAINS
+#: times CHAIN rows of OWN numbers reach the driver, however long the texts are.
+TRAIN_DOCS, TRAIN_CHAINS, CHAIN = 4_000, 6_000, 64
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "symbol", "bar")
 OWN = len(CLASSES) + 7
 FEATURES = 1 + 3 * OWN + 2
@@ -33,8 +34,8 @@ def _classes() -> np.ndarray:
     return table
 
 
-def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(lines x FEATURES, length of each line): a constant, the line's own features, both neighbours', and two of place."""
+def own_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(lines x OWN, length of each line): what each line of a whole text is like by itself, and whether it came before."""
     text = text or ""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     breaks = points == 10
@@ -58,13 +59,24 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             own[i, 13] = 1
         own[i, 14] = line in seen
         seen.add(line)
+    return own, sizes
+
+
+def with_neighbours(own: np.ndarray) -> np.ndarray:
+    """lines x FEATURES of one text: a constant, the line's own features, both neighbours', and whether it has any."""
+    n = len(own)
     both = np.zeros((n, FEATURES))
     both[:, 0] = 1
     both[:, 1 : 1 + OWN] = own
     both[1:, 1 + OWN : 1 + 2 * OWN] = own[:-1]
     both[:-1, 1 + 2 * OWN : 1 + 3 * OWN] = own[1:]
     both[0, -2] = both[-1, -1] = 1
-    return both, sizes
+    return both
+
+
+def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    own, sizes = own_features(text)
+    return with_neighbours(own), sizes
 
 
 def marginals(emit: np.ndarray, sizes: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,18 +115,25 @@ class QualityModel:
     step: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     calibration: tuple[float, float] = (1.0, 0.0)
 
-    def document_quality(self, texts: list[str | None]) -> np.ndarray:
-        """The mean of the lines' marginals of being good, weighted by their lengths plus one."""
+    def lines(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all texts' lines end to end: the marginal of being good and the length; and the lines of each text."""
         found = [line_features(t) for t in texts]
         sizes = np.array([len(x[1]) for x in found], np.int64)
         good = marginals(np.concatenate([x[0] for x in found]) @ self.weights, sizes, self.step)[0][:, 1]
-        weight = np.concatenate([x[1] for x in found]) + 1
+        return good, np.concatenate([x[1] for x in found]), sizes
+
+    @staticmethod
+    def aggregated(good: np.ndarray, length: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The mean of a text's marginals, weighted by the lines' lengths plus one."""
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        return np.add.reduceat(good * weight, starts) / np.add.reduceat(weight, starts)
+        return np.add.reduceat(good * (length + 1), starts) / np.add.reduceat(length + 1, starts)
+
+    def document_quality(self, texts: list[str | None]) -> np.ndarray:
+        return self.aggregated(*self.lines(texts))
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def calibrated(self, quality: np.ndarray) -> np.ndarray:
         a, b = self.calibration
-        quality = np.clip(self.document_quality(texts), 1e-6, 1 - 1e-6)
+        quality = np.clip(quality, 1e-6, 1 - 1e-6)
         return 1 / (1 + np.exp(-np.clip(a * np.log(quality / (1 - quality)) + b, -40, 40)))
 
 
@@ -150,42 +169,77 @@ def _calibrate(quality: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, seed: int = 5) -> QualityModel:
-    """Fits on at most TRAIN_DOCS texts of each label, chosen by a seeded hash of doc_id, cut to chains of CHAIN lines.
+    """Fits on at most TRAIN_DOCS texts of each label, chosen by a seeded hash of doc_id, cut to chains of CHAIN lines, of
+    which at most TRAIN_CHAINS are used, chosen by a seeded hash too.
 
     Lines take the label of their document as a weak label; the chain model then tells ordinary lines of bad documents
-    from bad ones, since ordinary lines are common in good documents. The documents' labels calibrate the aggregate.
-    Without labels of both kinds an uninformed model is returned; it scores 0.5.
+    from bad ones, since ordinary lines are common in good documents. Features are extracted where the texts are, and the
+    documents' qualities too, which then calibrate the aggregate by their labels. Null and empty texts count as one empty
+    line. A doc_id with both labels counts as bad; rows that repeat count each. Without labels of both kinds an
+    uninformed model is returned; it scores 0.5.
     """
     known = labels.where(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int"))
     parts = [hash_sample(known.where(F.col("quality") == k), "doc_id", TRAIN_DOCS, seed) for k in (0, 1)]
-    chosen = parts[0].union(parts[1]).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    pdf = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"])
-    label = pdf["quality"].to_numpy(np.int64)
-    if len(set(label)) < 2:
+    chosen = settled(parts[0].union(parts[1]).groupBy("doc_id").agg(F.min("quality").alias("label")))
+    sample = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+
+    def chains(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pieces:
+            out = []
+            for doc_id, text, label in zip(pdf["doc_id"], pdf["text"], pdf["label"], strict=True):
+                own = own_features(text)[0].astype(np.float32)
+                # A chain brings the lines beside it along, so that its ends know their neighbours.
+                out += [(doc_id, at, label, at > 0, at + CHAIN < len(own), own[max(0, at - 1) : at + CHAIN + 1].tobytes()) for at in range(0, len(own), CHAIN)]
+            yield pd.DataFrame(out, columns=["doc_id", "at", "label", "before", "after", "own"])
+
+    drawn = F.xxhash64(F.lit(seed + 1), "doc_id", "at")
+    found = sample.mapInPandas(chains, "doc_id long, at long, label int, before boolean, after boolean, own binary")
+    pdf = found.orderBy(drawn, "doc_id", "at", "own").limit(TRAIN_CHAINS).toPandas()
+    if pdf["label"].nunique() < 2:
         return QualityModel()
-    texts = list(pdf["text"])
-    found = [line_features(t)[0] for t in texts]
-    sizes, chain_label = [], []
-    for x, y in zip(found, label, strict=True):
-        cuts = [min(CHAIN, len(x) - at) for at in range(0, len(x), CHAIN)]
-        sizes += cuts
-        chain_label += [y] * len(cuts)
-    sizes_, chain_label_ = np.array(sizes, np.int64), np.array(chain_label)
-    weight = np.ones(len(sizes_))
+    features = []
+    for before, after, own in zip(pdf["before"], pdf["after"], pdf["own"], strict=True):
+        lines = with_neighbours(np.frombuffer(own, np.float32).reshape(-1, OWN).astype(float))
+        features.append(lines[int(before) : len(lines) - int(after)])
+    sizes = np.array([len(x) for x in features], np.int64)
     model = QualityModel()
-    model.weights, model.step = crf_fit(np.concatenate(found), np.repeat(chain_label_, sizes_), sizes_, weight)
-    model.calibration = _calibrate(model.document_quality(texts), label)
+    model.weights, model.step = crf_fit(np.concatenate(features), np.repeat(pdf["label"].to_numpy(np.int64), sizes), sizes, np.ones(len(sizes)))
+
+    def judged(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pieces:
+            for at in batches(len(pdf), 500):
+                yield pd.DataFrame({"quality": model.document_quality(list(pdf["text"].iloc[at])), "label": pdf["label"].iloc[at].to_numpy()})
+
+    known_quality = sample.mapInPandas(judged, "quality double, label int").toPandas().sort_values(["quality", "label"])
+    model.calibration = _calibrate(known_quality["quality"].to_numpy(), known_quality["label"].to_numpy())
     return model
 
 
 def quality_scores(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:
-    """doc_id, score and predicted for each row of `docs` (doc_id, text). Null and empty texts are one empty line."""
+    """doc_id, score, predicted, n_lines and n_good (lines whose marginal of being good is over a half) for each row of
+    `docs` (doc_id, text). Whole texts count, however long. Null and empty texts are one empty line. Rows that repeat or
+    have no doc_id come out once each; an empty table gives an empty table. A score at the threshold is predicted 1."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for at in batches(len(pdf), 500):
+                part = pdf.iloc[at]
+                good, length, sizes = model.lines(list(part["text"]))
+                score = model.calibrated(model.aggregated(good, length, sizes))
+                starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+                yield pd.DataFrame({"doc_id": part["doc_id"], "score": score, "predicted": (score >= threshold).astype(np.int32), "n_lines": sizes, "n_good": np.add.reduceat((good > 0.5).astype(np.int64), starts)})
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, predicted int, n_lines long, n_good long")
+
+
+def line_labels(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """doc_id, line (from 0), length, good (the marginal) and label (1 if it is over a half) of every line of `docs`."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                score = model.scores(list(part["text"]))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
+            for at in batches(len(pdf), 500):
+                part = pdf.iloc[at]
+                good, length, sizes = model.lines(list(part["text"]))
+                yield pd.DataFrame({"doc_id": part["doc_id"].repeat(sizes), "line": np.concatenate([np.arange(n) for n in sizes]), "length": length.astype(np.int64), "good": good, "label": (good > 0.5).astype(np.int32)})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, line long, length long, good double, label int")

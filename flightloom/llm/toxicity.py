@@ -72,8 +72,8 @@ class ToxicityModel:
         at[at == len(self.slots)] = 0
         return at[self.slots[at] == slots] if len(self.slots) else at[:0]
 
-    def score(self, text: str | None) -> float:
-        return float(sigmoid(np.float64(self.bias + self.weights[self.known(text)].sum())))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return sigmoid(self.bias + Rows.of([self.known(t) for t in texts]).dot(self.weights))
 
 
 def nonnegative_pu_fit(positive: Rows, unlabelled: Rows, width: int, prior: float, rounds: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -101,7 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, prior: float | None =
     """Fits on at most POSITIVES confirmed toxic texts and UNLABELLED texts, chosen by a seeded hash of doc_id.
 
     `learn` says over doc_id which rows may be learned from. The class prior is the share of toxic rows among the labels
-    that may be learned from, unless given. Without any such positive text the model scores every text by the prior 0.
+    that may be learned from, unless given. Features are extracted where the texts are; a text gives each distinct word
+    once. Without any such positive text the model scores every text by the prior 0.
     """
     known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     total, toxic = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
@@ -122,12 +123,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, prior: float | None =
     if not len(positive) or not len(unlabelled):
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(0), -40.0, prior)
     # Words by how far their share of positive texts lies above that of unlabelled ones, in standard errors. Words of
-    # fewer than 5 positives, or not twice as frequent there, go: they follow length and topic.
+    # fewer than 5 positives (of a quarter of them where they are few), or not twice as frequent there, go: they follow
+    # length and topic.
     width = 1 << HASH_BITS
     in_p, in_u = (np.bincount(r.at, minlength=width) for r in (positive, unlabelled))
     share = (in_p + in_u + 1) / (len(positive) + len(unlabelled) + 2)
     gap = (in_p / len(positive) - in_u / len(unlabelled)) / np.sqrt(share * (1 - share) * (1 / len(positive) + 1 / len(unlabelled)))
-    gap[(in_p < 5) | (in_p * len(unlabelled) < 2 * in_u * len(positive))] = 0
+    gap[(in_p < min(5, max(1, len(positive) // 4))) | (in_p * len(unlabelled) < 2 * in_u * len(positive))] = 0
     order = np.lexsort((np.arange(width), -gap))[:FEATURES]
     chosen = np.sort(order[gap[order] > 3])
     model = ToxicityModel(chosen.astype(np.int32), np.zeros(len(chosen)), 0.0, prior)
@@ -144,11 +146,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, prior: float | None =
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """doc_id, score and predicted for each row of `docs` (doc_id, text). Null and empty texts score by the bias alone."""
+    """doc_id, score and predicted for each row of `docs` (doc_id, text). Whole texts count, each word once. Null and empty
+    texts score by the bias alone. Rows that repeat or have no doc_id come out once each; an empty table gives an empty
+    table. A score at the threshold is predicted 1."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            score = np.fromiter((model.score(t) for t in pdf["text"]), float, len(pdf))
+            score = model.scores(list(pdf["text"]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": score, "predicted": (score >= threshold).astype(np.int32)})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, predicted int")
