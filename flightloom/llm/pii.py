@@ -1,4 +1,9 @@
-"""Personal data: fixed patterns, and a semi-Markov conditional random field that adds spans the patterns lack."""
+"""Personal data: fixed patterns, and a semi-Markov conditional random field that adds spans which the patterns miss.
+
+The model reads candidate spans of several kinds and chooses boundaries and kinds of a zone together. It learns from the
+corpus' own spans in other spellings: addresses with words for signs, numbers in other groups and without their sign,
+secrets without the word before them, among decoys such as dates, versions and plain numbers.
+"""
 
 from __future__ import annotations
 
@@ -18,8 +23,8 @@ from flightloom.llm.common import hash_sample
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
-#: Bounds: tokens of a candidate span, code points read around a digit or @, training texts and zones.
-SPAN_TOKENS, REACH, TRAIN_DOCS, TRAIN_ZONES = 24, 128, 3_000, 800
+#: Bounds: tokens of a candidate span, code points of a zone beside a trigger, training texts and pieces of text.
+SPAN_TOKENS, REACH, TRAIN_DOCS, TRAIN_PIECES = 24, 128, 4_000, 500
 Span = tuple[int, int, str]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -80,28 +85,32 @@ def written(spans: list[Span]) -> str:
 
 # --- candidates ------------------------------------------------------------------------------------------------------
 
-_TRIGGER = re.compile(r"[0-9@]+")
-_BLANK = re.compile(r"\s")
+#: Words that stand for the signs of an address, alone or in brackets.
+_AT = re.compile(r"(?i)@|[(\[{<]\x20?at\x20?[)\]}>]|\bat\b")
+_DOT = re.compile(r"(?i)\.|[(\[{<]\x20?(?:dot|\.)\x20?[)\]}>]|\bdot\b")
+#: What may belong to personal data: digits, signs of an address, long runs of letters and digits. A token apart from all
+#: of them is in no candidate, so a zone without one has one segmentation only.
+_TRIGGER = re.compile(r"(?i)[0-9@]+|[(\[{<]\x20?(?:at|dot)\x20?[)\]}>]|\bat(?=\x20[a-z0-9-]+(?:\x20dot\x20|\.)[a-z])|(?<=[a-z0-9]\x20)dot(?=\x20[a-z])|[a-z0-9_/+=-]{24,}")
+_WORD, _NEXT_WORD = re.compile(r"\S*"), re.compile(r"\s?\S*")
 _PIECE = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
-_NUMERIC = re.compile(r"[0-9+().\x20-]+")
+_NUMERIC = re.compile(r"[0-9+().\x20\[\]/-]+")
+_WORDY = re.compile(r"(?i)(?:[a-z0-9._%+-]|\x20?(?:@|[(\[{<]\x20?(?:at|dot)\x20?[)\]}>]|\b(?:at|dot)\b)\x20?)+")
 _KEYWORD = re.compile(r"(?i)(?:pass(?:word|wd)?|pwd|token|secret|api[_-]?key|auth|key)\W{0,4}$")
-#: The weak label of a secret that the model learns from.
-_SEED_SECRET = re.compile(r"(?i)\b(?:password|token|secret|api[_-]?key)\s*[=:]\s*\"?([A-Za-z0-9]{12,})")
+#: The corpus' own secrets, whose values are learned from with and without the word before them.
+_NAMED_SECRET = re.compile(r"(?i)\b(?:password|token|secret|api[_-]?key)\s*[=:]\s*\"?([A-Za-z0-9]{12,})\"?")
 
 
 def zones(text: str) -> list[tuple[int, int]]:
-    """Ranges around digits and @ out to blanks, REACH code points at most; ranges one code point apart are one."""
+    """Ranges around triggers, out to the next blanks, beside signs of an address out to those beyond them, REACH code
+    points at most on either side; ranges that touch or lie one code point apart are one."""
     out: list[list[int]] = []
     done = 0
     for m in _TRIGGER.finditer(text):
-        if m.start() < done:
+        if m.end() <= done:
             continue
-        low = max(done, m.start() - REACH)
-        head = text[low : m.start()]
-        blank = max(head.rfind(" "), head.rfind("\n"), head.rfind("\t"), head.rfind("\r"))
-        a = low + blank + 1
-        end = _BLANK.search(text, m.end(), m.end() + REACH)
-        b = end.start() if end else min(len(text), m.end() + REACH)
+        beside = _WORD if m.group()[0].isdigit() else _NEXT_WORD
+        a = m.start() - beside.match(text[max(done, m.start() - REACH) : m.start()][::-1]).end()
+        b = beside.match(text, m.end(), m.end() + REACH).end()
         if out and a - out[-1][1] <= 1:
             out[-1][1] = b
         else:
@@ -115,63 +124,148 @@ def _span_features(text: str, a: int, b: int, tokens: int) -> list[float]:
     s = text[a:b]
     n = b - a
     digits = _digits(s)
+    groups = re.findall(r"[0-9]+", s)
+    words = re.findall(r"[A-Za-z]+", s)
     counts = Counter(s)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     before, after = text[a - 1 : a], text[b : b + 2]
-    joined = before.isalnum() or before in ("+", "@", "%") or (before in ("-", ".", "_") and text[max(a - 2, 0) : a - 1].isalnum())
-    runs_on = after[:1].isalnum() or (after[:1] in ("@", "-", ".", "_") and after[1:2].isalnum())
-    plain = s.isalnum()
-    parts = s.split(".")
-    name, _, host = s.partition("@")
+    joined = before.isalnum() or before in ("+", "@", "%") or (before in ("-", ".", "_", "/", ":") and text[max(a - 2, 0) : a - 1].isalnum())
+    runs_on = after[:1].isalnum() or (after[:1] in ("@", "-", ".", "_", "/", ":", "[") and after[1:2].isalnum())
+    at = _AT.search(s)
+    dots = len(_DOT.findall(s[at.end() :])) if at else 0
+    plain, k = s.isalnum(), len(digits)
+    numeric = not words
     return [
         1.0,
-        float("@" in s),
-        float(bool(name) and bool(host) and bool(_DOMAIN.fullmatch(host))),
-        float(len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)),
-        float(12 <= len(digits) <= 19 and bool(_CARD.fullmatch(s)) and luhn(digits)),
-        float(bool(_PHONE.fullmatch(s)) and 9 <= len(digits) <= 15),
+        float(bool(at) and not numeric),
+        float(bool(at) and dots > 0 and 2 <= len(words[-1]) <= 6 if words else False),
+        float(bool(at) and len(_AT.findall(s)) == 1 and " " not in s[: at.start()].rstrip() if at else False),
+        min(dots, 3) / 3,
+        float(numeric and len(groups) == 4 and all(len(g) < 4 and int(g) < 256 for g in groups)),
+        float(numeric and len(groups) == 4 and s.count(".") == 3),
+        float(numeric and 12 <= k <= 19),
+        float(numeric and 12 <= k <= 19 and luhn(digits)),
+        float(numeric and 9 <= k <= 11),
+        float(numeric and 7 <= k <= 8),
+        float(numeric and k > 19),
+        float(numeric and len(groups) > 1 and len({len(g) for g in groups}) == 1),
+        float(numeric and 3 <= len(groups) <= 5 and len(groups[-1]) == 4),
+        float(numeric and len(groups) == 1),
+        float(numeric and len(groups) == 2),
         float(s[0] == "+"),
-        float(plain and bool(digits) and len(digits) < n),
-        float(plain and len(digits) == n),
-        float(plain and n >= 12),
-        float(plain and all(c in "0123456789abcdefABCDEF" for c in s)),
-        len(digits) / n,
+        float("(" in s and numeric),
+        float("/" in s or ":" in s),
+        float(plain and bool(digits) and k < n),
+        float(plain and n >= 12 and k < n),
+        float(plain and n >= 20 and 0 < k < n),
+        float(plain and k == 0),
+        float(plain and all(c in "0123456789abcdefABCDEF" for c in s) and k < n),
+        k / n,
         entropy / 4,
         min(n, 40) / 40,
         tokens / SPAN_TOKENS,
         float(bool(_KEYWORD.search(text, max(0, a - 16), a))),
-        float(before in ("=", '"', "'", ":")),
+        float(before in ("=", '"', "'")),
         float(joined),
         float(runs_on),
         float(" " in s),
     ]
 
 
-FEATURES = 20
+FEATURES = 33
 
 
 def candidates(text: str, zone: tuple[int, int]) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]], np.ndarray]:
-    """Number of tokens, candidate spans as token ranges and as code points, and their features."""
+    """Number of tokens, candidate spans as token ranges and as code points, and their features.
+
+    A candidate has 7 code points or more and SPAN_TOKENS tokens or fewer, begins and ends with a letter or digit, or
+    begins with a sign of a number, and holds a trigger. Blanks stand within numbers or beside the signs of an address.
+    """
     pieces = [(m.start(), m.end()) for m in _PIECE.finditer(text, *zone)]
     ranges, points, rows = [], [], []
-    blanks = [i for i, (a, _) in enumerate(pieces) if text[a].isspace()]
-    for i, (a, _) in enumerate(pieces):
-        if not (text[a].isalnum() or text[a] == "+"):
+    blank = [text[a].isspace() for a, _ in pieces]
+    for i, (a, b0) in enumerate(pieces):
+        if not (text[a].isalnum() or (text[a] in "+(" and text[b0 : b0 + 1].isdigit())):
             continue
+        spaced = False
         for j in range(i, min(i + SPAN_TOKENS, len(pieces))):
             b = pieces[j][1]
+            spaced = spaced or blank[j]
             if b - a < 7 or not text[b - 1].isalnum():
                 continue
             s = text[a:b]
-            if any(i < k < j for k in blanks) and not _NUMERIC.fullmatch(s):
-                break
-            if "@" in s or _TRIGGER.search(s):
+            if spaced and not _NUMERIC.fullmatch(s):
+                if not _AT.search(text, a, zone[1]):
+                    break
+                if not (_AT.search(s) and _WORDY.fullmatch(s)):
+                    continue
+            if _TRIGGER.search(s):
                 ranges.append((i, j + 1))
                 points.append((a, b))
                 rows.append(_span_features(text, a, b, j + 1 - i))
     return len(pieces), ranges, points, np.array(rows).reshape(-1, FEATURES)
 
 
+# --- what the model learns from ---------------------------------------------------------------------------------------
+
+_ATS, _DOTS = (" at ", " (at) ", "(at)", " [at] ", "[at]", " @ "), (" dot ", " (dot) ", "[dot]", ".")
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def respelled(kind: str, value: str, rng: np.random.Generator) -> str:
+    """A span's value as it is, or written in a way that no fixed pattern finds."""
+    if rng.random() < 0.35:
+        return value
+    pick = lambda options: options[int(rng.integers(len(options)))]
+    digits = _digits(value)
+    if kind == "email":
+        name, _, host = value.partition("@")
+        return name + pick(_ATS) + host.replace(".", pick(_DOTS))
+    if kind == "ip":
+        return value.replace(".", pick(("[.]", "(.)", ".")))
+    if kind == "card":
+        return pick(("-", " ", ".", "/")).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    if kind == "phone":
+        body = digits[-10:]
+        sign = pick((".", "-", " "))
+        return pick((f"({body[:3]}) {body[3:6]}-{body[6:]}", sign.join((body[:3], body[3:6], body[6:])), f"00{digits[:-7]}{sign}{digits[-7:-4]}{sign}{digits[-4:]}", f"0{body[1:4]}/{body[4:]}"))
+    size = int(rng.integers(16, 44))
+    return "".join(rng.choice(list("0123456789abcdef" if rng.random() < 0.5 else _LETTERS), size))
+
+
+def decoy(rng: np.random.Generator) -> str:
+    """Digits and signs that are no personal data."""
+    n = lambda a, b: int(rng.integers(a, b))
+    number = "".join(str(n(0, 10)) for _ in range(n(5, 20)))
+    made = (f"{n(1990, 2030)}-{n(1, 13):02d}-{n(1, 29):02d}", f"{n(0, 24):02d}:{n(0, 60):02d}:{n(0, 60):02d}", f"{n(1, 20)}.{n(0, 20)}.{n(0, 99)}", f"{n(1, 29)}/{n(1, 13)}/{n(1990, 2030)}", f"{n(100, 999)}.{n(100, 999)}.{n(100, 999)}", f"{n(1, 9999)}-{n(1, 9999)}", number, f"{n(1000, 9999999)}", f"978-{n(0, 9)}-{n(1000, 9999)}-{n(1000, 9999)}-{n(0, 9)}", f"look at page.{n(1, 9)}", "https://www.example.org/2024/05/index7.html", f"DA{n(20, 99)}x{n(1000, 9999)}", f"{n(1, 99)} {n(100, 999)} {n(100, 999)}", f"{n(1, 999)},{n(100, 999)},{n(100, 999)}.{n(10, 99)}", "a-compound-word-of-several-parts")
+    value = made[n(0, len(made))]
+    digits = _digits(value)
+    return value if not (12 <= len(digits) <= 19 and luhn(digits)) else "1234567"
+
+
+def learned_from(text: str, rng: np.random.Generator) -> tuple[str, dict[tuple[int, int], str]]:
+    """A piece of text with its spans respelled and a decoy put in: the new text, and the kind of each span."""
+    spans = base_spans(text) + [(*m.span(1), "secret") for m in _NAMED_SECRET.finditer(text)]
+    named = {m.start(1): m for m in _NAMED_SECRET.finditer(text)}
+    out, told, at = "", {}, 0
+    for a, b, kind in sorted(spans):
+        if a < at:
+            continue
+        if kind == "secret" and rng.random() < 0.6:  # without the word before it
+            whole = named[a]
+            out += text[at : max(at, whole.start())]
+            value = respelled(kind, text[a:b], rng)
+            told[len(out), len(out) + len(value)] = kind
+            out, at = out + value, whole.end()
+            continue
+        out += text[at:a]
+        value = respelled(kind, text[a:b], rng)
+        told[len(out), len(out) + len(value)] = kind
+        out, at = out + value, b
+    out += text[at:]
+    return f"{out} {decoy(rng)} {decoy(rng)}.", told
+
+
 # --- the model -------------------------------------------------------------------------------------------------------
 
 
@@ -206,88 +300,107 @@ class SpanModel:
         return out[::-1]
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
-        """Spans of kinds without a fixed pattern; each of `base` lies within such a span or apart from it."""
+        """The spans of the model, of all kinds; each of `base` lies within such a span or apart from it, and none is one
+        of `base` itself."""
         out = []
+        fixed = {(a, b) for a, b, _ in base}
         for zone in zones(text):
             n, ranges, points, features = candidates(text, zone)
             if ranges:
                 for c, kind in self.best(n, ranges, features):
                     a, b = points[c]
-                    if KINDS[kind] not in BASE and all(b <= x or y <= a or (a <= x and y <= b) for x, y, _ in base):
+                    apart = all(b <= x or y <= a for x, y, _ in base)
+                    if apart or (KINDS[kind] not in BASE and (a, b) not in fixed and all(b <= x or y <= a or (a <= x and y <= b) for x, y, _ in base)):
                         out.append((a, b, KINDS[kind]))
         return out
 
 
-def span_crf_fit(examples: list[tuple[int, list[tuple[int, int]], np.ndarray, dict[int, int]]], rounds: int = 60, rate: float = 0.3, ridge: float = 1e-3) -> np.ndarray:
-    """Weights that maximise the likelihood of the told spans (candidate -> kind) among all segmentations of each zone."""
+Example = tuple[int, list[tuple[int, int]], np.ndarray, dict[int, int]]
+
+
+def example(text: str, zone: tuple[int, int], told_spans: dict[tuple[int, int], str]) -> Example | None:
+    """A zone as span_crf_fit() reads it: tokens, candidates, features, and which candidates are spans of which kind."""
+    n, ranges, points, features = candidates(text, zone)
+    if not ranges:
+        return None
+    told = {c: KINDS.index(told_spans[p]) for c, p in enumerate(points) if p in told_spans}
+    return n, ranges, features, told
+
+
+def likelihood(examples: list[Example], w: np.ndarray) -> tuple[float, np.ndarray]:
+    """The mean log likelihood of the told spans among all segmentations of their zones, and its gradient."""
+    total, grad = 0.0, np.zeros_like(w)
+    for n, ranges, features, told in examples:
+        score = features @ w
+        whole = np.logaddexp.reduce(score, axis=1)
+        starting: list[list[int]] = [[] for _ in range(n + 1)]
+        ending: list[list[int]] = [[] for _ in range(n + 1)]
+        for c, (i, j) in enumerate(ranges):
+            starting[i].append(c)
+            ending[j].append(c)
+        each = whole.tolist()
+        ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
+        for j in range(1, n + 1):
+            got = [ahead[j - 1]] + [ahead[ranges[c][0]] + each[c] for c in ending[j]]
+            top = max(got)
+            ahead[j] = top + math.log(sum(math.exp(x - top) for x in got)) if len(got) > 1 else top
+        for i in range(n - 1, -1, -1):
+            got = [behind[i + 1]] + [behind[ranges[c][1]] + each[c] for c in starting[i]]
+            top = max(got)
+            behind[i] = top + math.log(sum(math.exp(x - top) for x in got)) if len(got) > 1 else top
+        reach = np.array([ahead[i] + behind[j] for i, j in ranges]) - ahead[n]
+        share = -np.exp(score + reach[:, None])
+        total -= ahead[n]
+        for c, kind in told.items():
+            share[c, kind] += 1
+            total += score[c, kind]
+        grad += features.T @ share
+    return total / len(examples), grad / len(examples)
+
+
+def span_crf_fit(examples: list[Example], rounds: int = 60, rate: float = 0.3, ridge: float = 1e-3) -> np.ndarray:
+    """Weights that maximise the likelihood of the told spans, less a ridge."""
     w = np.zeros((FEATURES, len(KINDS)))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        grad = ridge * w
-        for n, ranges, features, told in examples:
-            score = features @ w
-            whole = np.logaddexp.reduce(score, axis=1)
-            starting: dict[int, list[int]] = {}
-            ending: dict[int, list[int]] = {}
-            for c, (i, j) in enumerate(ranges):
-                starting.setdefault(i, []).append(c)
-                ending.setdefault(j, []).append(c)
-            ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
-            for j in range(1, n + 1):
-                got = [ahead[j - 1]] + [ahead[ranges[c][0]] + whole[c] for c in ending.get(j, ())]
-                top = max(got)
-                ahead[j] = top + math.log(sum(math.exp(x - top) for x in got))
-            for i in range(n - 1, -1, -1):
-                got = [behind[i + 1]] + [behind[ranges[c][1]] + whole[c] for c in starting.get(i, ())]
-                top = max(got)
-                behind[i] = top + math.log(sum(math.exp(x - top) for x in got))
-            reach = np.array([ahead[i] + behind[j] for i, j in ranges]) - ahead[n]
-            share = np.exp(score + reach[:, None])
-            for c, kind in told.items():
-                share[c, kind] -= 1
-            grad = grad + features.T @ share / len(examples)
+        grad = ridge * w - likelihood(examples, w)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
 def fit(docs: DataFrame, seed: int = 17) -> SpanModel:
-    """Fits on the zones of at most TRAIN_DOCS texts, chosen by a seeded hash of doc_id; TRAIN_ZONES of them are used.
+    """Fits on at most TRAIN_PIECES pieces around digits and @ of at most TRAIN_DOCS texts, both chosen by a seeded hash.
 
-    Labels are weak: the fixed patterns, and values that stand behind a word such as password. The model generalises the
-    latter through shape, entropy and context. Without zones an idle model is returned.
+    Each piece is read as it is and respelled, see learned_from(). Null and empty texts and rows of null doc_id teach
+    nothing. Without pieces an idle model is returned, which adds no span.
     """
     texts = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", F.col("text").cast("string"))
     ids = hash_sample(texts.where(F.col("doc_id").isNotNull()).select("doc_id"), "doc_id", TRAIN_DOCS, seed)
 
     def surroundings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [(d, a, t[max(0, a - REACH) : b + REACH]) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for a, b in zones(t)[:4]]
+            rows = [(d, a, t[max(0, a - REACH) : b + REACH]) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for a, b in zones(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "at", "piece"])
 
     pieces = texts.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").mapInPandas(surroundings, "doc_id long, at long, piece string")
     order = F.xxhash64(F.lit(seed), "doc_id", "at")
+    rng = np.random.default_rng(seed)
     examples = []
-    for row in pieces.orderBy(order, "doc_id", "at", "piece").limit(TRAIN_ZONES).collect():
-        text = row["piece"]
-        told_spans = {(a, b): k for a, b, k in reversed(base_spans(text))} | {m.span(1): "secret" for m in _SEED_SECRET.finditer(text)}
-        for zone in zones(text):
-            n, ranges, points, features = candidates(text, zone)
-            if ranges:
-                told, used = {}, -1
-                for c in sorted(range(len(ranges)), key=lambda c: (ranges[c][1], -ranges[c][0])):
-                    if points[c] in told_spans and ranges[c][0] >= used:
-                        told[c] = KINDS.index(told_spans[points[c]])
-                        used = ranges[c][1]
-                examples.append((n, ranges, features, told))
-    return SpanModel(span_crf_fit(examples[: 2 * TRAIN_ZONES]) if examples else np.zeros((FEATURES, len(KINDS))))
+    for row in pieces.orderBy(order, "doc_id", "at", "piece").limit(TRAIN_PIECES).collect():
+        text, told = learned_from(row["piece"], rng)
+        examples += [e for zone in zones(text) if (e := example(text, zone, told))]
+    return SpanModel(span_crf_fit(examples) if examples else np.zeros((FEATURES, len(KINDS))))
 
 
 def personal_data(docs: DataFrame, model: SpanModel) -> DataFrame:
-    """Spans in each row of `docs` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret.
+    """Spans in each row of `docs` (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret and
+    n_added.
 
-    Null texts count as empty. Counts and base_sha256 are those of the fixed patterns; spans also holds what the model
-    adds, which is of the kind secret and cuts no span of a pattern in two.
+    Whole texts are read; null texts count as empty. Counts of the four kinds and base_sha256 are those of the fixed
+    patterns; spans also holds the n_added spans of the model, of these kinds or of the kind secret, which cut no span of
+    a pattern in two. Of segmentations that score alike the one with the earlier choice stands. Rows that repeat or have
+    no doc_id come out once each; an empty table gives an empty table.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,13 +408,13 @@ def personal_data(docs: DataFrame, model: SpanModel) -> DataFrame:
             out = []
             for text in pdf["text"]:
                 base = base_spans(text or "")
-                every = ordered(base + model.added(text or "", base))
-                n = Counter(k for _, _, k in every)
-                out.append((*(n[k] for k in BASE), hashlib.sha256(written(base).encode()).hexdigest(), written(every), n["secret"]))
-            names = [*(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_secret"]
+                more = model.added(text or "", base)
+                n = Counter(k for _, _, k in base)
+                out.append((*(n[k] for k in BASE), hashlib.sha256(written(base).encode()).hexdigest(), written(ordered(base + more)), sum(k == "secret" for _, _, k in more), len(more)))
+            names = [*(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_secret", "n_added"]
             yield pd.DataFrame(out, columns=names, index=pdf.index).assign(doc_id=pdf["doc_id"])
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_added long"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, schema)
 
 
