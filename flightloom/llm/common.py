@@ -20,9 +20,12 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none, as in tests."""
+    """The folder that all executors share. Where the session names none, a temporary one on this machine if all tasks run
+    on it, as in tests; else there is no folder to share, and an error says so."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="flightloom-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -91,6 +94,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Shingles:
+    """Distinct 64-bit hashes of a text's word shingles, sorted; fewer words than a shingle make one, no words one of their
+    own. With `lower`, A-Z count as a-z."""
+
+    def __init__(self, words: int = 5, lower: bool = False) -> None:
+        self.size, self.lower, self.known = words, lower, WordHashes()
+        self.weights = mix64(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = words_of(text.lower() if text and self.lower and text.isascii() else text)
+        if self.lower and text and not text.isascii():
+            words = [w.lower() for w in words]  # of bytes: A-Z only
+        if not words:
+            return np.zeros(1, np.uint64)
+        hashes = self.known.array(words)
+        k = min(self.size, len(words))
+        total = np.zeros(len(words) - k + 1, np.uint64)
+        for j in range(k):
+            total += hashes[j : len(words) - k + 1 + j] * self.weights[j]
+        return np.unique(mix64(total))
+
+
 class RollingHash:
     """Polynomial hashes modulo 2**64 of word ranges, all ranges of a text at once."""
 

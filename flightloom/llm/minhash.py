@@ -10,47 +10,46 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import WordHashes, mix64, settled, words_of
-from flightloom.llm.components import components
+from flightloom.llm import nearcopies
+from flightloom.llm.common import Shingles, mix64
 
 PERMUTATIONS, SHINGLE = 128, 5
+#: Bands of minima by which texts meet.
+BANDS, BAND_ROWS = 16, 5
 _SEED = 7
 
 
 class MinHasher:
     """Signatures of PERMUTATIONS universal hashes a*x + b modulo 2**32 (a odd: each one permutes the 32-bit values)."""
 
-    def __init__(self, permutations: int = PERMUTATIONS, shingle: int = SHINGLE) -> None:
+    def __init__(self, permutations: int = PERMUTATIONS) -> None:
         rng = np.random.default_rng(_SEED)
         self.a = (rng.integers(0, 2**32, permutations, np.uint32) | np.uint32(1))[:, None]
         self.b = rng.integers(0, 2**32, permutations, np.uint32)[:, None]
-        self.shingle, self.words = shingle, WordHashes()
-        self.weights = mix64(np.arange(1, shingle + 1, dtype=np.uint64)) | np.uint64(1)
-
-    def shingles(self, text: str | None) -> np.ndarray:
-        """Distinct 32-bit hashes of the word shingles; fewer words than a shingle make one; no words: one of their own."""
-        words = words_of(text)
-        if not words:
-            return np.zeros(1, np.uint32)
-        hashes = self.words.array(words)
-        k = min(self.shingle, len(words))
-        total = np.zeros(len(words) - k + 1, np.uint64)
-        for j in range(k):
-            total += hashes[j : len(words) - k + 1 + j] * self.weights[j]
-        return np.unique((mix64(total) >> np.uint64(32)).astype(np.uint32))
-
-    def signature(self, text: str | None) -> np.ndarray:
-        """uint32 minima of every permutation over the shingles of a text."""
-        return self.minima(self.shingles(text))
-
-    def minima(self, x: np.ndarray) -> np.ndarray:
-        """uint32 minima of every permutation over uint32 hashes, in blocks of bounded memory."""
+
+    def signature(self, shingles: np.ndarray) -> np.ndarray:
+        """uint32 minima of every permutation over the upper halves of 64-bit hashes, in blocks of bounded memory."""
+        x = (shingles >> np.uint64(32)).astype(np.uint32)
         low = np.full(len(self.a), 2**32 - 1, np.uint32)
         for at in range(0, len(x), 4096):
             np.minimum(low, (self.a * x[None, at : at + 4096] + self.b).min(axis=1), out=low)
         return low
 
 
+class Bands:
+    """Keys of a signature's bands: `count` bands of `rows` minima. A pair of similarity s shares a band with a probability
+    of 1 - (1 - s**rows)**count."""
+
+    def __init__(self, count: int = BANDS, rows: int = BAND_ROWS) -> None:
+        self.hasher, self.count, self.rows = MinHasher(count * rows), count, rows
+        self.weights = mix64(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
+        self.tables = mix64(np.arange(1001, 1001 + count, dtype=np.uint64))
+
+    def keys(self, shingles: np.ndarray) -> np.ndarray:
+        low = mix64(self.hasher.signature(shingles).astype(np.uint64)).reshape(self.count, self.rows)
+        return mix64((low * self.weights).sum(axis=1, dtype=np.uint64) ^ self.tables).view(np.int64)
+
+
 def digits(signature: np.ndarray) -> str:
     """Four hex digits a permutation: its minimum, scrambled and cut to 16 bits."""
     return (mix64(signature.astype(np.uint64)) >> np.uint64(48)).astype(">u2").tobytes().hex()
@@ -61,58 +60,14 @@ def likeness(one: str, other: str) -> float:
     return float(np.mean(np.frombuffer(bytes.fromhex(one), ">u2") == np.frombuffer(bytes.fromhex(other), ">u2")))
 
 
-def minhash_near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16) -> DataFrame:
-    """(doc_id, component_id, n_same) for each row of `docs` (doc_id, text): classes of documents of similar shingles.
+def minhash_near_duplicates(docs: DataFrame, similarity: float = nearcopies.ALIKE, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """nearcopies.classes() over texts whose signatures share a band: (doc_id, mark, node, component_id, kept) of each row of
+    `docs` (doc_id, text) with a doc_id.
 
-    Signatures of 128 permutations are cut into bands. Each band's bucket compares its texts with its least text; those
-    near it form a cluster, linked already and never paired among themselves. What is left is compared with that cluster
-    and then goes on as a bucket of its own. A candidate pair is a link if the exact Jaccard similarity of the five-word
-    shingles reaches `similarity`. Equal shingle sets collapse before, so copies cost nothing here.
-    Null and empty texts form one class. component_id is the class's smallest doc_id.
+    A pair is a link if it shares a band and the exact Jaccard similarity of the five-word shingles reaches `similarity`.
+    Of pairs at 0.8, 1 in 600 shares none of 16 bands of 5. Null and empty texts form one class.
     """
-
-    def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = MinHasher()
-        width = PERMUTATIONS // bands
-        for pdf in parts:
-            sets = [hasher.shingles(t) for t in pdf["text"]]
-            signs = [hasher.signature(t).reshape(bands, width) for t in pdf["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"],
-                    "set_id": [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets],
-                    "shingles": [s.astype(np.int64) for s in sets],
-                    "bands": [[hashlib.blake2b(b.tobytes(), digest_size=8).hexdigest() for b in s] for s in signs],
-                }
-            )
-
-    schema = "doc_id long, set_id string, shingles array<long>, bands array<string>"
-    signed = settled(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(sign, schema))
-    sets = settled(signed.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("set_id")))
-    waiting = settled(sets.select("node", F.posexplode("bands").alias("band", "value")))
-    links = sets.select(F.col("node").alias("u"), F.col("node").alias("v"))
-    texts = sets.select("node", "shingles")
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        sized = pairs.select("node", "lead").distinct().join(texts, "node").join(texts.select(F.col("node").alias("lead"), F.col("shingles").alias("other")), "lead")
-        shared = F.size(F.array_intersect("shingles", "other"))
-        return settled(sized.select("node", "lead", (shared / (F.size("shingles") + F.size("other") - shared) >= similarity).alias("near")))
-
-    while True:
-        leaders = waiting.groupBy("band", "value").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-        pairs = waiting.join(leaders, ["band", "value"]).where("node <> lead")
-        seen = judged(pairs)
-        if seen.isEmpty():
-            break
-        pairs = settled(pairs.join(seen, ["node", "lead"]))
-        rest = pairs.where("not near").select("node", "band", "value")
-        across = judged(rest.join(pairs.where("near").select("band", "value", F.col("node").alias("lead")), ["band", "value"]))
-        for part in (seen, across):
-            links = links.union(part.where("near").select(F.col("lead").alias("u"), F.col("node").alias("v")))
-        waiting = rest
-    found = components(links).join(sets.select("node", "rep", "set_id", "n_same"), "node")
-    low = found.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return signed.select("doc_id", "set_id").join(found.join(low, "root").select("set_id", "component_id", "n_same"), "set_id").select("doc_id", "component_id", "n_same")
+    return nearcopies.classes(docs, Shingles(SHINGLE), Bands(bands, rows).keys, similarity)
 
 
 def _bucket(bounds: list[int]) -> Column:
@@ -121,48 +76,61 @@ def _bucket(bounds: list[int]) -> Column:
     return F.lit(len(bounds)) - above
 
 
-def edited_likeness(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+def edited_likeness(docs: DataFrame, classes: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Fingerprints each text of `docs` (doc_id, text) and its edited text, and compares them, and with the next text.
 
     The next document is the one with the next smaller doc_id (null ids come last), after the last one the first; the
     edited text swaps the last third of the code points, rounded down, for as many from the start of the next text.
-    Null texts count as empty. Rows of one doc_id are ordered by their text. A single row is its own next one.
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
+    Null texts count as empty. Rows of one doc_id are ordered by a hash of their text, equal ones follow each other. A
+    single row is its own next one; an empty table gives an empty table. Whole texts count, however long.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and component_id as
+    `classes` (doc_id, mark, component_id) has it, null for rows without a doc_id.
 
     Rows are dealt into ranges of doc_id by approximate quantiles and sorted within them, so texts are shuffled once and
-    streamed. The first row of each range goes to the range before it as well; those are as many rows as ranges.
+    streamed. The first row of each range goes to the range before it as well; those are as many rows as ranges. Rows of
+    `classes` travel to their text's place.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").isNull().alias("no_id"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").isNull().alias("no_id"), nearcopies.text_mark().alias("mark"))
+    rows = rows.withColumn("component", F.lit(None).cast("long"))
     n = partitions or max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     cuts = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / n) for i in range(1, n)]), 10_000)).first()[0] if n > 1 else []
     bounds = sorted(set(cuts or []))
     dealt = rows.withColumn("range", _bucket(bounds))
     # One row a range reaches the driver: the number of ranges is fixed above.
-    firsts = {r["range"]: (r["top"]["doc_id"], r["top"]["h"]) for r in dealt.groupBy("range").agg(F.max(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("top")).collect()}
+    firsts = {r["range"]: (r["top"]["doc_id"], r["top"]["mark"]) for r in dealt.groupBy("range").agg(F.max(F.struct("doc_id", "mark")).alias("top")).collect()}
     filled = sorted(firsts)
     extra = [(firsts[r][0], firsts[r][1], filled[i - 1]) for i, r in enumerate(filled)]
-    ahead = spark.createDataFrame(extra or [(0, 0, -1)], "doc_id long, h long, range int")
-    copies = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(ahead), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "range"])
-    cols = ["range", "later", "doc_id", "text", "no_id"]
+    ahead = spark.createDataFrame(extra or [(0, 0, -1)], "doc_id long, mark long, range int")
+    copies = rows.join(F.broadcast(ahead), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark", "range"])
+    cols = ["range", "later", "doc_id", "mark", "text", "no_id", "component"]
     both = dealt.withColumn("later", F.lit(False)).select(cols).union(copies.withColumn("later", F.lit(True)).select(cols))
-    placed = both.repartitionById(len(bounds) + 1, F.col("range").cast("int")).sortWithinPartitions("range", "later", F.desc("doc_id"), F.desc(F.xxhash64("text")))
+    if classes is not None:
+        told = classes.select("doc_id", "mark", F.lit(None).cast("string").alias("text"), F.lit(False).alias("no_id"), F.col("component_id").alias("component"), F.lit(False).alias("later"))
+        both = both.union(told.withColumn("range", _bucket(bounds)).select(cols))
+    placed = both.repartitionById(len(bounds) + 1, F.col("range").cast("int")).sortWithinPartitions("range", "later", F.desc("doc_id"), F.desc("mark"), F.col("text").isNotNull())
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = MinHasher()
+        hasher, shingles = MinHasher(), Shingles(SHINGLE)
+        print_of = lambda text: digits(hasher.signature(shingles.of(text)))
         held: tuple | None = None
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"]
+        at, component = None, None
         for pdf in parts:
             out = []
-            for place, later, doc_id, text, no_id in pdf.itertuples(index=False):
-                print_ = digits(hasher.signature(text))
+            known = pdf["component"].astype("Int64")
+            for place, later, doc_id, mark, text, no_id, told in zip(*(pdf[c] for c in cols[:-1]), known, strict=True):
+                if text is None:
+                    at, component = (doc_id, mark), int(told)
+                    continue
+                print_ = print_of(text)
                 if held is not None and held[0] == place:
-                    _, was_id, was_text, was_print, was_none = held
+                    _, was_id, was_text, was_print, was_component = held
                     cut = len(was_text) // 3
                     edited = was_text[: len(was_text) - cut] + text[:cut] if cut else was_text
-                    edited_print = digits(hasher.signature(edited))
-                    out.append((None if was_none else was_id, len(was_text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), was_print, edited_print, likeness(was_print, edited_print), likeness(was_print, print_)))
-                held = None if later else (place, doc_id, text, print_, no_id)
-            frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+                    edited_print = print_of(edited) if cut else was_print
+                    out.append((was_id, len(was_text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), was_print, edited_print, likeness(was_print, edited_print), likeness(was_print, print_), was_component))
+                held = None if later else (place, None if no_id else doc_id, text, print_, component if at == (doc_id, mark) and not no_id else None)
+            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64", "component_id": "Int64"})
 
-    return placed.select(cols).mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return placed.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long")

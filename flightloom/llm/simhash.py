@@ -11,15 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import mix64, settled
+from flightloom.llm import nearcopies
+from flightloom.llm.common import Shingles, mix64, settled
 from flightloom.llm.components import components
-from flightloom.llm.minhash import MinHasher
+from flightloom.llm.minhash import Bands
 
 BITS, RADIUS = 64, 2
 #: The radius at which documents are dropped as near copies.
 DEDUP_RADIUS = 4
-#: The Jaccard similarity that makes near copies.
-ALIKE = 0.8
 #: MinHash bands by which texts meet beyond the radius: BANDS of BAND_ROWS minima; a pair of 0.8 meets in none with 5 in 100,000.
 BANDS, BAND_ROWS = 25, 5
 #: Fingerprints that one bucket may hold before it is dealt out again under finer masks.
@@ -136,107 +135,6 @@ def links_within(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return reduce(DataFrame.union, found).distinct()
 
 
-def shingle_sets(docs: DataFrame, words_per_shingle: int, radius: int) -> DataFrame:
-    """(doc_id, node, n, keys) of each row with a doc_id: node identifies the set of distinct shingles, n is its size, keys
-    are the buckets where it meets others: one a covering mask of its fingerprint, one a band of its MinHash minima."""
-    masks = np.array(covering_masks((1 << BITS) - 1, radius), np.uint64)
-    tables = mix64(np.arange(1, len(masks) + BANDS + 1, dtype=np.uint64))
-    hasher = MinHasher(BANDS * BAND_ROWS)
-    weights = mix64(np.arange(1, BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-
-    def keys(shingles: np.ndarray) -> np.ndarray:
-        low = hasher.minima((mix64(shingles) >> np.uint64(32)).astype(np.uint32)).astype(np.uint64)
-        bands = (mix64(low).reshape(BANDS, BAND_ROWS) * weights).sum(axis=1, dtype=np.uint64)
-        return mix64(np.concatenate((masks & np.uint64(majority(shingles)), bands)) ^ tables).view(np.int64)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            sets = [np.unique(shingle_hashes(t, words_per_shingle)) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [_set_id(x) for x in sets], "n": [len(x) for x in sets], "keys": [keys(x) for x in sets]})
-
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, "doc_id long, node long, n long, keys array<long>")
-
-
-def _set_id(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
-
-
-def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words_per_shingle: int, alike: float) -> DataFrame:
-    """Those of the pairs (u, v) of nodes whose shingle sets have a Jaccard similarity of `alike` or more.
-
-    Only texts of candidates are read again, by the smallest doc_id of their node; a set is 8 bytes a shingle.
-    """
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = settled(nodes.join(needed, "node", "left_semi").select("node", F.col("rep").alias("doc_id")))
-
-    def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            found = [np.unique(shingle_hashes(t, words_per_shingle)) for t in pdf["text"]]
-            yield pd.DataFrame({"node": [_set_id(x) for x in found], "shingles": [x.view(np.int64) for x in found]})
-
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    # Rows may share a doc_id and not the text: only those of a wanted node count, one of each.
-    found = settled(texts.mapInPandas(sets, "node long, shingles array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    sized = pairs.join(found.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(found.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    both = F.size(F.array_intersect("a", "b"))
-    return settled(sized.where(both >= alike * (F.size("a") + F.size("b") - both)).select("u", "v"))
-
-
-def _pairs(met: DataFrame, alike: float) -> DataFrame:
-    """Distinct pairs (u, v) of nodes that share a bucket of `met` (key, node, n, label) and not a label, and whose sizes
-    permit a similarity of `alike`: every such pair, none is left out.
-
-    A bucket of over BUCKET nodes is split into blocks of about BUCKET by a hash, and every block meets every block, in
-    rows of their own: the pairs do not depend on BUCKET. Buckets whose nodes all have one label have no pair to give.
-    """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for rows, same in zip(pdf["rows"], pdf["same"], strict=True):
-                node, n, label = (np.array([r[k] for r in rows], np.int64) for k in ("node", "n", "label"))
-                small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-                first = np.array([r["first"] for r in rows], bool)
-                # Two different blocks give the pairs across them only.
-                facing = (first[:, None] != first[None, :]) | same
-                i, j = np.nonzero(facing & (node[:, None] < node[None, :]) & (label[:, None] != label[None, :]) & (small >= alike * large))
-                yield pd.DataFrame({"u": node[i], "v": node[j]})
-
-    mixed = met.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    blocks = F.ceil(F.col("many") / BUCKET)
-    own = met.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("at", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
-    placed = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "node", "n", "label")
-    lists = placed.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "n", "label", (F.col("at") == F.col("i")).alias("first"))).alias("rows"), F.first(F.col("i") == F.col("j")).alias("same")).where(F.size("rows") > 1)
-    return lists.select("rows", "same").mapInPandas(run, "u long, v long").distinct()
-
-
-def near_copy_components(docs: DataFrame, words_per_shingle: int = 5, radius: int = DEDUP_RADIUS, alike: float = ALIKE) -> DataFrame:
-    """(doc_id, component_id) of each row with a doc_id: component_id is the smallest doc_id reachable over pairs of texts
-    whose distinct shingles have a Jaccard similarity of `alike` or more.
-
-    Equal sets are one node. Nodes meet in buckets, of the covering masks (certain within `radius` bits) and of MinHash
-    bands (likely for any pair that alike). Each bucket first compares its nodes with one of them; then every pair that
-    these links leave unconnected. So no link rests on fingerprints alone, and no pair that meets goes unchecked.
-    """
-    rows = settled(shingle_sets(docs, words_per_shingle, radius))
-    nodes = settled(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
-    draw = F.struct(F.xxhash64("key", "node"), "node", "n")
-    leads = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min(draw).alias("lead")).where("many > 1")
-    met = settled(keyed.join(leads.select("key", "many", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "key"))
-    fits = F.least("n", "lead_n") >= alike * F.greatest("n", "lead_n")
-    star = settled(met.where((F.col("node") != F.col("lead")) & fits).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")).distinct())
-    links = _alike(star, docs, nodes, words_per_shingle, alike)
-    first = components(links)
-    labelled = met.join(first.withColumnRenamed("root", "label"), "node", "left").select("key", "many", "node", "n", F.coalesce("label", "node").alias("label"))
-    rest = settled(_pairs(labelled, alike).join(star, ["u", "v"], "left_anti"))
-    found = components(links.union(_alike(rest, docs, nodes, words_per_shingle, alike)))
-    named = found.join(nodes.select("node", "rep"), "node")
-    low = named.join(named.groupBy("root").agg(F.min("rep").alias("low")), "root").select("node", "low")
-    return rows.select("doc_id", "node").join(nodes.select("node", "rep").join(low, "node", "left").select("node", F.coalesce("low", "rep").alias("component_id")), "node").select("doc_id", "component_id")
-
-
 def simhash_components(docs: DataFrame, words_per_shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id and n_same for each row of `docs` (doc_id, text).
 
@@ -254,13 +152,26 @@ def simhash_components(docs: DataFrame, words_per_shingle: int = 3, radius: int
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
 
 
-def simhash_dedup(docs: DataFrame, words_per_shingle: int = 5, radius: int = DEDUP_RADIUS, alike: float = ALIKE) -> DataFrame:
-    """The rows of `docs` that stay: of each component the row with the smallest doc_id, in its first text by order.
+def near_copy_classes(docs: DataFrame, words_per_shingle: int = 5, radius: int = DEDUP_RADIUS, alike: float = nearcopies.ALIKE) -> DataFrame:
+    """nearcopies.classes() over texts that meet by their fingerprints' covering masks (certain within `radius` bits) or by
+    MinHash bands (likely for any pair that alike). A-Z count as a-z; repeats within a text count once."""
+    masks = np.array(covering_masks((1 << BITS) - 1, radius), np.uint64)
+    tables = mix64(np.arange(1, len(masks) + 1, dtype=np.uint64))
+    bands = Bands(BANDS, BAND_ROWS)
+
+    def keys(shingles: np.ndarray) -> np.ndarray:
+        return np.concatenate((mix64((masks & np.uint64(majority(shingles))) ^ tables).view(np.int64), bands.keys(shingles)))
+
+    return nearcopies.classes(docs, Shingles(words_per_shingle, lower=True), keys, alike)
+
+
+def simhash_dedup(docs: DataFrame, words_per_shingle: int = 5, radius: int = DEDUP_RADIUS, alike: float = nearcopies.ALIKE) -> DataFrame:
+    """The rows of `docs` that stay: of each class of near copies the row with the smallest doc_id.
 
     Near copies are texts whose distinct five-word shingles have a Jaccard similarity of `alike` or more, and what these
-    connect. Rows that repeat the kept doc_id and text collapse to one. Of rows with a null doc_id none is dropped, since
-    they cannot be told apart; they connect nothing. Columns are those of `docs`.
+    connect. Texts count, not ids: rows of one doc_id with unlike texts all stay, each unless it is a near copy of another.
+    Rows that repeat the kept doc_id and text collapse to one. Null and empty texts and texts without words are copies of
+    each other. Of rows with a null doc_id none is dropped, since they cannot be told apart; they connect nothing. Columns
+    are those of `docs`, whatever their names. An empty table gives an empty table.
     """
-    kept = near_copy_components(docs, words_per_shingle, radius, alike).where("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi")
-    return stay.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    return nearcopies.one_of_each(docs, near_copy_classes(docs, words_per_shingle, radius, alike))
