@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from flightloom.constants import METERS_TO_FEET
+from flightloom.constants import KM_PER_NM, METERS_TO_FEET
 
 #: Red, green and blue at the start and the end of each fifth of the range.
 ALTITUDE_RAMP = (((80, 0), (160, 255), (255, 255)), ((0, 0), (255, 255), (255, 0)), ((0, 255), (255, 255), (0, 0)), ((255, 255), (255, 165.75), (0, 0)), ((255, 255), (165, 66), (0, 66)))
@@ -61,8 +61,8 @@ def fleet_class(flights: Column, low: Column, high: Column) -> Column:
     return F.concat(F.lit("fleet-aircraft-"), F.when(high == low, "high").otherwise(named))
 
 
-def distance_label(km: Column) -> Column:
-    return F.concat(F.format_string("%.0f", F.bround(km, 0)), F.lit(" km"))
+def distance_label(km: Column, digits: int = 0) -> Column:
+    return F.concat(F.format_string(f"%.{digits}f", F.round(km, digits)), F.lit(" km"))
 
 
 def altitude_label(meters: Column) -> Column:
@@ -71,3 +71,37 @@ def altitude_label(meters: Column) -> Column:
 
 def speed_label(knots: Column) -> Column:
     return F.concat(half_up(knots).cast("string"), F.lit(" kt"))
+
+
+def altitude_legend(feet: Column) -> Column:
+    return F.concat(half_up(feet).cast("string"), F.lit(" ft ("), half_up(feet / METERS_TO_FEET).cast("string"), F.lit(" m)"))
+
+
+def speed_legend(knots: Column) -> Column:
+    return F.concat(half_up(knots).cast("string"), F.lit(" kt ("), half_up(knots * KM_PER_NM).cast("string"), F.lit(" km/h)"))
+
+
+def distance_legend(nm: Column) -> Column:
+    return F.concat(F.format_string("%.1f", F.round(nm, 1)), F.lit(" nm ("), F.format_string("%.1f", F.round(nm * KM_PER_NM, 1)), F.lit(" km)"))
+
+
+def nearest_fifty(feet: Column) -> Column:
+    """The altitude that a segment's note shows."""
+    return half_up(feet / 50) * 50
+
+
+def track_label(degrees: Column) -> Column:
+    """Three digits and the sign of degrees."""
+    return F.concat(F.lpad(half_up(degrees).cast("string"), 3, "0"), F.lit("°"))
+
+
+def progress(t: Column, last: Column) -> Column:
+    """How much of a replay is over, in per cent."""
+    return F.when(last == 0, 0.0).otherwise(F.least(F.lit(100.0), t / last * 100))
+
+
+def escaped(text: Column) -> Column:
+    """Text as markup shows it: the five signs of markup by name."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text

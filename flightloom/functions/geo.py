@@ -32,3 +32,9 @@ def dms(degrees: Column, is_lat: bool) -> Column:
 
 def cell(value: Column, degrees: float) -> Column:
     return F.floor(value / F.lit(degrees)).cast("long")
+
+
+def outside_margin(lat: Column, lon: Column, south: Column, north: Column, west: Column, east: Column, margin: float = 0.2) -> Column:
+    """Whether a place lies in the outer `margin` of a view, or beyond it, so that the view should move."""
+    high, wide = (north - south) * margin, (east - west) * margin
+    return (lat < south + high) | (lat > north - high) | (lon < west + wide) | (lon > east - wide)

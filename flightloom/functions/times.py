@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: How logs write times, and dates in names.
 _ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"
 _DATE_IN_NAME = r"(\d{2} \w{3} \d{4}|\d{4}-\d{2}-\d{2})"
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flightloom import constants as c
 from flightloom.functions.geo import cell, haversine_km
-from flightloom.functions.names import clean_airport, icao_codes, is_marker
+from flightloom.functions.names import clean_airport, display_name, icao_codes, is_marker
+from flightloom.sources.shared import checkpointed
 
 
 def near_pairs(places: DataFrame, key: str = "number", km: float = c.AIRPORT_DISTANCE_KM) -> DataFrame:
@@ -22,23 +21,19 @@ def near_pairs(places: DataFrame, key: str = "number", km: float = c.AIRPORT_DIS
     row = cell(F.col("lat"), step)
     # A row's columns are as wide as at its edge nearest to a pole, one row further out for neighbours, and exact there.
     wide = lambda r: F.lit(step) / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), (F.greatest(F.abs(r), F.abs(r + 1)) + 1) * step))), F.lit(0.02))
-    own = places.select(F.col(key).alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), row.alias("r")).withColumn("q", F.floor(F.col("lon2") / wide(F.col("r"))))
+    turn = lambda lon: F.pmod(lon + 180, F.lit(360.0))
+    # Columns count from the 180th meridian; the last one of a row may be narrow, so three meet across it.
+    columns = lambda r: F.ceil(F.lit(360.0) / wide(r))
+    own = places.select(F.col(key).alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), row.alias("r")).withColumn("q", F.floor(turn(F.col("lon2")) / wide(F.col("r"))))
     around = places.select(F.col(key).alias("a"), "lat", "lon", F.explode(F.array(row - 1, row, row + 1)).alias("r"))
-    at = F.floor(F.col("lon") / wide(F.col("r")))
-    around = around.select("a", "lat", "lon", "r", F.explode(F.array(at - 1, at, at + 1)).alias("q"))
+    at, n = F.floor(turn(F.col("lon")) / wide(F.col("r"))), columns(F.col("r"))
+    across = F.array(F.when(at <= 1, n - 2), F.when(at <= 1, n - 1), F.when(at >= n - 2, F.lit(0)), F.when(at >= n - 2, F.lit(1)))
+    around = around.select("a", "lat", "lon", "r", F.explode(F.array_distinct(F.array_compact(F.concat(F.array(at - 1, at, at + 1), across)))).alias("q"))
     pairs = around.join(own, ["r", "q"]).where("a < b")
     pairs = pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
     return pairs.where(F.col("km") < km).select("a", "b", "km")
 
 
-def _shared(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder all executors share; one of this session's own where none is set, as in tests."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/flightloom-{uuid.uuid4().hex}")
-    return df.checkpoint()
-
-
 def clusters(places: DataFrame, key: str = "number", km: float = c.AIRPORT_DISTANCE_KM) -> DataFrame:
     """(key, cluster): places connected through steps below `km`; a cluster is named by its least key.
 
@@ -46,25 +41,28 @@ def clusters(places: DataFrame, key: str = "number", km: float = c.AIRPORT_DISTA
     logarithm of the longest chain. This is the order-free rule: a chain is one airport.
     """
     pairs = near_pairs(places, key, km).select("a", "b")
-    links = _shared(pairs.union(pairs.select("b", "a")))
-    labels = _shared(places.select(F.col(key).alias("node"), F.col(key).alias("label")).distinct())
-    while True:
+    links = checkpointed(pairs.union(pairs.select("b", "a")))
+    labels = checkpointed(places.select(F.col(key).alias("node"), F.col(key).alias("label")).distinct())
+    # A label halves its way to the least one at least every round: 64 rounds reach along chains of any length.
+    for _ in range(64):
         heard = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         sunk = labels.join(heard, "node", "left").select("node", F.least("label", F.coalesce("heard", "label")).alias("label"))
         jumped = sunk.join(sunk.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"))
-        new = _shared(jumped)
+        new = checkpointed(jumped)
         if new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty():
             return new.select(F.col("node").alias(key), F.col("label").alias("cluster"))
         labels = new
+    raise RuntimeError("labels did not settle")
 
 
 def candidates(info: DataFrame, phases: DataFrame) -> DataFrame:
-    """Starts of all paths, then starts and landings of routes: what de-duplication reads, in its order (pass, path, end)."""
+    """Starts of all paths, then starts and landings of routes: what de-duplication reads, in its order (pass, path, end),
+    with the path's timestamp, none for the landing of a path that begins in flight."""
     rows = info.join(phases, "path_id")
     route = F.col("airport_name").contains(" - ") & ~is_marker(F.col("airport_name")) & (F.col("segment_count") >= 1)
     base = ["path_id", F.col("airport_name").alias("name")]
-    start = [F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")]
-    end = [F.col("end_lat").alias("lat"), F.col("end_lon").alias("lon")]
+    start = [F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon"), F.col("timestamp").cast("string").alias("timestamp")]
+    end = [F.col("end_lat").alias("lat"), F.col("end_lon").alias("lon"), F.when(~F.col("mid_flight_start"), F.col("timestamp").cast("string")).alias("timestamp")]
     first = rows.where(~is_marker(F.col("airport_name")) & ~F.col("mid_flight_start")).select(F.lit(1).alias("pass"), *base, *start, F.lit(False).alias("at_end"))
     second = rows.where(route & ~F.col("mid_flight_start")).select(F.lit(2).alias("pass"), *base, *start, F.lit(False).alias("at_end"))
     third = rows.where(route & F.col("valid_landing")).select(F.lit(2).alias("pass"), *base, *end, F.lit(True).alias("at_end"))
@@ -81,51 +79,70 @@ def corrected(rows: DataFrame, airports: DataFrame) -> DataFrame:
     return out.withColumn("lat", F.coalesce("at.lat", "lat")).withColumn("lon", F.coalesce("at.lon", "lon")).drop("at")
 
 
-def deduplicated(rows: DataFrame) -> DataFrame:
-    """One row an airport: equal coordinates are one place first, then places connected within the distance. The name is
-    the first that is no marker, else the first; `visits` counts candidates and keeps no order of its own."""
+def _spots(rows: DataFrame) -> DataFrame:
+    """(lat, lon, name, at_end, rank, number): one row a pair of coordinates, with its first candidate and its first name
+    that is no marker; `number` sorts them."""
     order = F.struct("pass", "path_id", "at_end")
-    named = F.struct(is_marker(F.col("name")), order)
-    # A coordinate pair is a place; its key is the first candidate in order, packed into one sortable string.
-    spots = rows.groupBy("lat", "lon").agg(F.min_by("name", named).alias("name"), F.min(named).alias("rank"), F.count("*").alias("visits"))
-    spots = spots.withColumn("number", F.format_string("%020.10f|%020.10f", F.col("lat") + 90, F.col("lon") + 180))
-    joined = spots.join(clusters(spots), "number")
-    first = F.min_by(F.struct("lat", "lon"), F.col("rank"))
-    out = joined.groupBy("cluster").agg(first.alias("at"), F.min_by("name", "rank").alias("name"), F.sum("visits").alias("visits"))
-    return out.select("at.lat", "at.lon", "name", "visits")
+    named = F.when(F.coalesce("name", F.lit("")) != "", F.struct(is_marker(F.col("name")), order))
+    spots = rows.groupBy("lat", "lon").agg(F.min_by("name", named).alias("name"), F.min(named).alias("named"), F.min_by("at_end", order).alias("at_end"), F.min(order).alias("rank"))
+    return spots.withColumn("number", F.format_string("%020.10f|%020.10f", F.col("lat") + 90, F.col("lon") + 180))
+
+
+def _gathered(spots: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row an airport from its spots (..., airport): the place and the end of its first candidate, the first name that is
+    no marker, else the first, and `visits`, its distinct timestamps of candidates that are no markers."""
+    out = spots.groupBy("airport").agg(F.min_by(F.struct("lat", "lon", "at_end"), "rank").alias("at"), F.min_by("name", "named").alias("name"))
+    times = rows.where(F.col("timestamp").isNotNull() & ~is_marker(F.col("name"))).select("lat", "lon", "timestamp").distinct()
+    visits = times.join(spots.select("lat", "lon", "airport"), ["lat", "lon"]).groupBy("airport").agg(F.count_distinct("timestamp").alias("visits"))
+    return out.join(visits, "airport", "left").select("at.lat", "at.lon", "name", F.coalesce("visits", F.lit(0).cast("long")).alias("visits"), "at.at_end")
+
+
+def deduplicated(rows: DataFrame) -> DataFrame:
+    """One row an airport (lat, lon, name, visits, at_end): equal coordinates are one place first, then places connected
+    within the distance."""
+    spots = checkpointed(_spots(rows))
+    return _gathered(spots.join(clusters(spots), "number").withColumnRenamed("cluster", "airport"), rows)
 
 
 def deduplicated_in_order(rows: DataFrame) -> DataFrame:
-    """The order-bound rule: each candidate joins the first airport within the distance that it meets, in the order of
-    cells around its own, else it founds one. Inherently sequential, so one task reads all candidates: distinct
-    coordinates only, in their first order. For comparisons with older results; prefer `deduplicated`.
+    """deduplicated() by the order-bound rule: each place joins the first airport within the distance that it meets, in the
+    order of cells around its own, else it founds one, in the order of first candidates.
+
+    Places of different clusters() never meet, so each cluster is walked by itself: one task a cluster, its distinct
+    coordinates in memory. A cluster is a chain of places below the distance; its size is that of an airport's distinct
+    starts, and nothing else bounds it.
     """
-    order = F.struct("pass", "path_id", F.col("at_end").cast("int").alias("e"))
-    spots = rows.groupBy("lat", "lon").agg(F.min(order).alias("o"), F.count("*").alias("visits"))
+    spots = checkpointed(_spots(rows))
+    flat = spots.join(clusters(spots), "number").select("cluster", "number", "lat", "lon", F.col("rank.pass").alias("p"), F.col("rank.path_id").alias("i"), F.col("rank.at_end").alias("e"))
 
     def walk(pdf):
         from math import asin, cos, floor, radians, sin, sqrt
 
-        grid, found = {}, []
+        grid, founded, joined = {}, [], []
         for row in pdf.sort_values(["p", "i", "e"]).itertuples():
             at = (floor(row.lat / c.AIRPORT_GRID_DEGREES), floor(row.lon / c.AIRPORT_GRID_DEGREES))
-            near = (i for a in (-1, 0, 1) for b in (-1, 0, 1) for i in grid.get((at[0] + a, at[1] + b), ()))
+            near = (x for a in (-1, 0, 1) for b in (-1, 0, 1) for x in grid.get((at[0] + a, at[1] + b), ()))
             hit = None
-            for i in near:
-                lat, lon = found[i][:2]
+            for number, lat, lon in near:
                 h = sin(radians(lat - row.lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(row.lat)) * sin(radians(lon - row.lon) / 2) ** 2
                 if 2 * c.EARTH_RADIUS_KM * asin(min(1.0, sqrt(h))) < c.AIRPORT_DISTANCE_KM:
-                    hit = i
+                    hit = number
                     break
             if hit is None:
-                grid.setdefault(at, []).append(len(found))
-                found.append([row.lat, row.lon, 0])
-                hit = len(found) - 1
-            found[hit][2] += row.visits
-        return type(pdf)(found, columns=["lat", "lon", "visits"])
-
-    flat = spots.select("lat", "lon", "visits", F.col("o.pass").alias("p"), F.col("o.path_id").alias("i"), F.col("o.e").alias("e"))
-    return flat.groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: walk(pdf), "lat double, lon double, visits long")
+                grid.setdefault(at, []).append((row.number, row.lat, row.lon))
+                hit = row.number
+            founded.append(row.number)
+            joined.append(hit)
+        return type(pdf)({"number": founded, "airport": joined})
+
+    placed = flat.groupBy("cluster").applyInPandas(walk, "number string, airport string")
+    return _gathered(spots.join(placed, "number"), rows)
+
+
+def names_of(found: DataFrame) -> DataFrame:
+    """One row: how many airports of deduplicated() have a name to show, and these names in order, repeats included."""
+    shown = F.when(F.col("at_end"), display_name(F.coalesce("name", F.lit("Unknown")), True)).otherwise(display_name(F.coalesce("name", F.lit("Unknown")), False))
+    return found.select(shown.alias("shown")).where(F.coalesce("shown", F.lit("")) != "").agg(F.count("*").alias("num_airports"), F.sort_array(F.collect_list("shown")).alias("airport_names"))
 
 
 def standard_names(names: DataFrame, airports: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightloom import constants as c
-from flightloom.functions.names import route_ends
+from flightloom.functions.names import is_marker, route_ends
 from flightloom.operators.tracks import along, first_by
 from flightloom.plans.filters import gain_across
 
@@ -45,6 +45,7 @@ def path_info(points: DataFrame, legs: DataFrame, paths: DataFrame) -> DataFrame
         F.max_by("lat", "seq").alias("end_lat"),
         F.max_by("lon", "seq").alias("end_lon"),
         ((F.max("us") - F.min("us")) / 1e6).alias("seconds"),
+        F.min("us").alias("start_us"),
         (F.count("*") - 1).alias("segment_count"),
     )
     far = legs.groupBy("path_id").agg(F.sum("km").alias("km"))
@@ -53,19 +54,52 @@ def path_info(points: DataFrame, legs: DataFrame, paths: DataFrame) -> DataFrame
 
 
 def aircraft(info: DataFrame, models: DataFrame | None = None) -> DataFrame:
-    """One row a registration: flights by distinct file names, seconds and km of paths of two points or more, the type
-    first seen, and the model, or else the type; `first_path` settles ties in rankings by flights."""
+    """One row a registration: flights by distinct file names, seconds and km of paths of two points or more, the years in
+    which they lasted, the type first seen, and the model, or else the type. `place` ranks them by flights, the first seen
+    of equals first; its window holds one row an aircraft."""
     known = info.where(F.coalesce("registration", F.lit("")) != "")
+    counts = F.col("segment_count") >= 1
+    began = F.year(F.timestamp_micros(F.col("start_us") * 1000 if "start_us" in info.columns else F.lit(None).cast("long")))
     rows = known.groupBy("registration").agg(
         F.count_distinct("filename").alias("flights"),
         first_by("aircraft_type", "path_id").alias("aircraft_type"),
-        F.sum(F.when(F.col("segment_count") >= 1, F.col("seconds")).otherwise(0.0)).alias("seconds"),
-        F.sum(F.when(F.col("segment_count") >= 1, F.col("km")).otherwise(0.0)).alias("km"),
+        F.sum(F.when(counts, F.col("seconds")).otherwise(0.0)).alias("seconds"),
+        F.sum(F.when(counts, F.col("km")).otherwise(0.0)).alias("km"),
+        F.array_join(F.sort_array(F.collect_set(F.when(counts & (F.col("seconds") > 0), began))), ",").alias("years"),
         F.min("path_id").alias("first_path"),
     )
+    rows = rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("flights"), "first_path")))
     if models is None:
         return rows.withColumn("model", F.col("aircraft_type"))
-    return rows.join(F.broadcast(models), "registration", "left").withColumn("model", F.coalesce("model", "aircraft_type"))
+    return rows.join(models, "registration", "left").withColumn("model", F.coalesce("model", "aircraft_type"))
+
+
+def aircraft_distances(segments: DataFrame, info: DataFrame) -> DataFrame:
+    """(registration, km, seconds) from exported segments: each segment's km by its path's registration, and the time from
+    the first to the last timed segment of each path with two of them."""
+    each = segments.groupBy("path_id").agg(F.sum("km").alias("km"), F.when(F.count("time") >= 2, F.max("time") - F.min("time")).alias("s"))
+    known = info.where(F.coalesce("registration", F.lit("")) != "").select("path_id", "registration")
+    rows = known.join(each, "path_id").groupBy("registration").agg(F.sum("km").alias("km"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("seconds"))
+    return rows
+
+
+def record(points: DataFrame, legs: DataFrame, info: DataFrame) -> DataFrame:
+    """All statistics of a set of tracks in one row: points, paths that are no markers, distance, climb and altitudes in both
+    units, flight time, mean speed over it, aircraft, and their distinct types in order. Paths of one point count as paths
+    and points only."""
+    long_paths = info.where("segment_count >= 1").select("path_id")
+    sums = basic(points.join(long_paths, "path_id", "left_semi"), legs).drop("total_points", "num_paths").withColumn("one", F.lit(1))
+    time = flight_time(points).withColumn("one", F.lit(1))
+    total = points.agg(F.count("*").alias("total_points"), F.lit(1).alias("one"))
+    craft = F.when(F.col("registration") != "", F.col("registration"))
+    kinds = F.collect_set(F.when(F.col("aircraft_type") != "", F.col("aircraft_type")))
+    heads = info.agg(F.count_if(~is_marker(F.col("airport_name"))).alias("num_paths"), F.count_distinct(craft).alias("num_aircraft"), F.array_join(F.sort_array(kinds), ",").alias("aircraft_types"), F.lit(1).alias("one"))
+    rows = total.join(heads, "one").join(sums, "one").join(time, "one").drop("one")
+    nm = F.col("distance_km") / c.KM_PER_NM
+    rows = rows.withColumn("distance_nm", nm).withColumn("average_groundspeed_knots", F.when((F.col("total_seconds") > 0) & (nm > 0), nm / (F.col("total_seconds") / 3600)).otherwise(0.0))
+    for name in ("gain", "min_altitude", "max_altitude"):
+        rows = rows.withColumn(f"{name}_ft", F.col(f"{name}_m") * c.METERS_TO_FEET)
+    return rows
 
 
 def cruise(rows: DataFrame) -> DataFrame:
@@ -95,7 +129,7 @@ def reconciled(segments: DataFrame, years: DataFrame) -> DataFrame:
     mode of the rounded altitude of timed segments in cruise. Cruise begins 1,000 ft above the lowest segment."""
     rows = segments.join(years.select("path_id", "year"), "path_id", "left")
     low = rows.agg((F.min("altitude_m") * c.METERS_TO_FEET).alias("low_ft"), F.lit(1).alias("one"))
-    rows = rows.withColumn("one", F.lit(1)).join(F.broadcast(low), "one").drop("one")
+    rows = rows.withColumn("one", F.lit(1)).join(low, "one").drop("one")
     feet = F.col("altitude_m") * c.METERS_TO_FEET
     moving = F.col("groundspeed_knots") > 0
     cruising = (feet > F.col("low_ft") + c.CRUISE_AGL_FT) & moving

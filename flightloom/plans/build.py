@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,27 +13,51 @@ from flightloom.plans import filters
 from flightloom.sources import kml, sinks
 
 
-def tracks_of(spark: SparkSession, source: str) -> tuple[DataFrame, DataFrame]:
-    """(points, paths) of the logs under `source`: a path is a placemark with points that have an altitude."""
-    marks = kml.placemarks(spark, source)
-    rows = kml.track_points(marks).withColumn("path_id", F.xxhash64("file", "at", "kind"))
+def tracks_of(spark: SparkSession, source: str, store: str) -> tuple[DataFrame, DataFrame]:
+    """(points, paths) of the logs under `source`, parsed once into `store`: a path is an element with points that have an
+    altitude. A path's id follows from its file and its place there, so it is the same in every build."""
+    kml.parse_new(spark, source, store)
+    rows = kml.parsed_store(spark, store, "points").withColumn("path_id", F.xxhash64("file", "at", "element", "kind"))
     rows = tracks.validated(rows).where("alt_m IS NOT NULL")
     points = rows.select("path_id", (F.col("seq") + 1).alias("seq"), F.unix_micros("ts").alias("us"), "lat", "lon", "alt_m", "file", "ts_raw")
     ids = rows.select("path_id", "file", "at").distinct()
-    paths = kml.metadata(marks).join(ids, ["file", "at"]).withColumn("filename", F.col("file"))
+    paths = kml.parsed_store(spark, store, "metadata").join(ids, ["file", "at"]).withColumn("filename", F.col("file"))
     return points, paths
 
 
+def bounds(points: DataFrame) -> DataFrame:
+    """One row: least and greatest latitude and longitude, and their middle."""
+    b = points.agg(*[f(x).alias(f"{n}_{x}") for x in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))])
+    return b.withColumn("mid_lat", (F.col("min_lat") + F.col("max_lat")) / 2).withColumn("mid_lon", (F.col("min_lon") + F.col("max_lon")) / 2)
+
+
 def build(spark: SparkSession, source: str, out: str, airports: DataFrame | None = None) -> None:
-    """Writes segments, path info, airports and metadata under `out`."""
-    points, paths = tracks_of(spark, source)
+    """Writes segments, path info, airports and metadata under `out`; what was parsed is kept beside them, so that a later
+    build parses new and changed logs only."""
+    points, paths = tracks_of(spark, source, f"{out}/_parsed")
+    write(spark, points, paths, out, airports)
+
+
+def write(spark: SparkSession, points: DataFrame, paths: DataFrame, out: str, airports: DataFrame | None = None) -> None:
+    """The datasets of any points and paths, as build() writes them."""
     legs = tracks.with_cruise(tracks.with_groundspeed(tracks.legs(points)))
     segments = tracks.segments(legs)
     info = stats.path_info(points, legs, paths)
     sinks.write_years(segments, info, out)
-    found = ports.candidates(info, tracks.flight_phases(points))
+    saved, saved_info = (sinks.read_year(spark, out, name) for name in ("segments", "path_info"))
     if airports is not None:
-        found = ports.corrected(found, airports)
+        found = ports.corrected(ports.candidates(saved_info, tracks.flight_phases(points)), airports)
         sinks.write_airports(ports.exported(ports.deduplicated(found), airports), out)
-    saved, saved_info = (sinks.read_year(spark, out, name) for name in ("segments", "path_info"))
-    sinks.write_metadata(filters.statistics(saved.drop("year"), saved_info), saved_info, out)
+    statistics = filters.statistics(saved.drop("year"), saved_info).withColumn("one", F.lit(1))
+    sinks.write_metadata(statistics.join(bounds(points).withColumn("one", F.lit(1)), "one").drop("one"), saved_info, out)
+
+
+def main() -> None:
+    """python -m flightloom.plans.build SOURCE OUT [AIRPORTS_CSV]"""
+    source, out, *csv = sys.argv[1:]
+    spark = SparkSession.builder.appName("flightloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    build(spark, source, out, ports.lookup(spark, csv[0]) if csv else None)
+
+
+if __name__ == "__main__":
+    main()

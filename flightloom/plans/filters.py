@@ -47,6 +47,10 @@ class FilterSpec:
             pass
         return out
 
+    def data_key(self, name: str) -> str:
+        """The name under which a year's part of a dataset is kept and looked up."""
+        return f"{name}_{self.year}".replace("-", "_").upper()
+
     def to_query_string(self) -> str:
         pairs = [("y", self.year if self.year != "all" else ""), ("a", self.aircraft if self.aircraft != "all" else ""), ("p", ",".join(map(str, self.selected))), ("v", self.visible)]
         pairs += [("lat", f"{self.lat:.6f}" if self.lat is not None else ""), ("lng", f"{self.lng:.6f}" if self.lng is not None else ""), ("z", str(self.zoom) if self.zoom is not None else "")]
@@ -65,6 +69,34 @@ def toggled(selected: Column, path_id: Column) -> Column:
     return F.when(F.array_contains(selected, path_id), F.array_remove(selected, path_id)).otherwise(F.array_append(selected, path_id))
 
 
+def paths_of_airport(info: DataFrame, airport: str) -> DataFrame:
+    """(path_id) of the paths that begin or end at an airport: selecting it selects these."""
+    return airport_edges(info).where(F.col("airport") == airport).select("path_id").distinct()
+
+
+def aircraft_of_year(segments: DataFrame, info: DataFrame, spec: FilterSpec) -> tuple[DataFrame, FilterSpec]:
+    """(registration, aircraft_type, flights, first_path) of the chosen year's aircraft, and the choice, reset to all
+    aircraft if the chosen one did not fly that year."""
+    year = filtered_paths(info, replace(spec, aircraft="all")).where(F.coalesce("registration", F.lit("")) != "")
+    rows = year.groupBy("registration").agg(F.min_by("aircraft_type", "path_id").alias("aircraft_type"), F.count("*").alias("flights"), F.min("path_id").alias("first_path"))
+    kept = spec.aircraft == "all" or not rows.where(F.col("registration") == spec.aircraft).isEmpty()
+    return rows, spec if kept else replace(spec, aircraft="all")
+
+
+def by_path(segments: DataFrame, chunk: int = 1_000) -> DataFrame:
+    """(path_id, part, segments): a path's segments as arrays in their order, at most `chunk` in one, so that no path is
+    too long for a row."""
+    listed = F.struct("seg_idx", "lat1", "lon1", "lat2", "lon2", "altitude_ft", "groundspeed_knots", "time")
+    return segments.groupBy("path_id", F.floor(F.col("seg_idx") / chunk).alias("part")).agg(F.sort_array(F.collect_list(listed)).alias("segments"))
+
+
+def defaults(segments: DataFrame, info: DataFrame) -> DataFrame:
+    """One row: what a first view shows: the latest year, whether any segment has a speed, and the ranges of colours."""
+    year = info.agg(F.max(F.when(F.col("year") != 0, F.col("year"))).alias("year"), F.lit(1).alias("one"))
+    timing = ranges(segments).withColumn("has_timing", F.col("moving") > 0).drop("moving").withColumn("one", F.lit(1))
+    return year.join(timing, "one").drop("one")
+
+
 def filtered_paths(info: DataFrame, spec: FilterSpec) -> DataFrame:
     return info.where(spec.matches())
 
@@ -98,52 +130,105 @@ def home_base(counts: DataFrame) -> DataFrame:
     return counts.agg(F.min_by("airport", F.struct(-F.col("flights"), "first")).alias("home_base"), F.max("flights").alias("flights"))
 
 
-def gain_across(segments: DataFrame, *before: str) -> DataFrame:
-    """One row, gain_m: the sum of climbs over the whole list, in the order (*before, path_id, seg_idx), where `before`
-    are columns of one value a path.
+def per_path(segments: DataFrame) -> DataFrame:
+    """One row a path: its segments, km, least and greatest altitude, speeds above 0, cruise, times, climb, and its first
+    and last known altitude. Cruise is above 304.8 m over sea level with a speed. One shuffle by path serves all of it."""
+    upto = Window.partitionBy("path_id").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1)
+    rows = segments.withColumn("climb", F.greatest(F.col("altitude_m") - F.last("altitude_m", ignorenulls=True).over(upto), F.lit(0.0)))
+    knots = F.when(F.col("groundspeed_knots") > 0, F.col("groundspeed_knots"))
+    nm = F.when((F.col("altitude_m") > c.QUERY_CRUISE_ALTITUDE_M) & knots.isNotNull(), F.col("km") / c.KM_PER_NM)
+    at = F.when(F.col("altitude_m").isNotNull(), F.col("seg_idx"))
+    return rows.groupBy("path_id").agg(
+        F.count("*").alias("segments"),
+        F.sum("km").alias("km"),
+        F.min("altitude_m").alias("low_m"),
+        F.max("altitude_m").alias("high_m"),
+        F.max(knots).alias("max_kt"),
+        F.sum(knots).alias("sum_kt"),
+        F.count(knots).alias("moving"),
+        F.sum(nm).alias("cruise_nm"),
+        F.sum(nm / knots).alias("cruise_h"),
+        (F.max("time") - F.min("time")).alias("s"),
+        F.sum("climb").alias("climb"),
+        F.min_by("altitude_m", at).alias("first"),
+        F.max_by("altitude_m", at).alias("last"),
+    )
+
 
-    Climbs within a path come from a window over the path; between paths from the last and first altitude of neighbours,
-    one row a path. So no task orders all segments. Segments without altitude are passed over.
+def along_paths(paths: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
+    """One row: the aggregates `sums` of per_path() rows, each a sum or an extreme, and gain_m, the climbs of all paths and
+    between each path and the next in the order of `keys`.
+
+    Paths are dealt into ranges of their keys; a path looks back within its range, and the ranges' ends, one row each, are
+    compared in the end. So no task orders all paths. Paths without altitude are passed over.
     """
-    known = segments.where(F.col("altitude_m").isNotNull())
-    order = Window.partitionBy("path_id").orderBy("seg_idx")
-    rows = known.withColumn("climb", F.greatest(F.col("altitude_m") - F.lag("altitude_m").over(order), F.lit(0.0)))
-    ends = rows.groupBy(*before, "path_id").agg(F.sum("climb").alias("climb"), F.min_by("altitude_m", "seg_idx").alias("first"), F.max_by("altitude_m", "seg_idx").alias("last"))
-    between = F.greatest(F.col("first") - F.lag("last").over(Window.orderBy(*before, "path_id")), F.lit(0.0))
-    return ends.withColumn("between", between).agg((F.coalesce(F.sum("climb"), F.lit(0.0)) + F.coalesce(F.sum("between"), F.lit(0.0))).alias("gain_m"))
+    parts = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    upto = Window.partitionBy("part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    rows = paths.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id())
+    rows = rows.withColumn("up", F.coalesce("climb", F.lit(0.0)) + F.coalesce(F.greatest(F.col("first") - F.last("last", ignorenulls=True).over(upto), F.lit(0.0)), F.lit(0.0)))
+    at = F.when(F.col("first").isNotNull(), F.struct(*keys))
+    each = rows.groupBy("part").agg(*[x.alias(n) for n, x in sums.items()], F.sum("up").alias("up"), F.min_by("first", at).alias("first"), F.max_by("last", at).alias("last"))
+    ends = F.sort_array(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("part", "first", "last"))))
+    again = lambda name: F.min(name) if name.startswith("min") else F.max(name) if name.startswith("max") else F.sum(name)
+    whole = each.agg(*[again(n).alias(n) for n in sums], F.coalesce(F.sum("up"), F.lit(0.0)).alias("up"), ends.alias("ends"))
+    steps = F.transform("ends", lambda x, i: F.when(i > 0, F.greatest(x["first"] - F.get("ends", i - 1)["last"], F.lit(0.0))).otherwise(0.0))
+    return whole.withColumn("gain_m", F.col("up") + F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)).drop("up", "ends")
+
+
+def gain_across(segments: DataFrame, *before: str) -> DataFrame:
+    """One row, gain_m: the sum of climbs over the whole list, in the order (*before, path_id, seg_idx), where `before`
+    are columns of one value a path."""
+    paths = per_path(segments)
+    if before:
+        paths = paths.join(segments.groupBy("path_id").agg(*[F.first(x).alias(x) for x in before]), "path_id")
+    return along_paths(paths, [*before, "path_id"])
 
 
 def statistics(segments: DataFrame, info: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     """One row of statistics for the chosen year and aircraft.
 
-    Cruise is above 304.8 m over sea level with a speed: its speed is distance over the sum of distance by speed; its mode
-    the most frequent altitude, rounded to 100 ft, the lowest of equals. Empty choices give zeros.
+    Cruise speed is distance over the sum of distance by speed; the mode is the most frequent altitude in cruise, rounded
+    to 100 ft, the lowest of equals. Empty choices give zeros.
     """
     chosen = filtered_paths(info, spec)
     rows = filtered_segments(segments, chosen)
-    moving, cruising = F.col("groundspeed_knots") > 0, (F.col("altitude_m") > c.QUERY_CRUISE_ALTITUDE_M) & (F.col("groundspeed_knots") > 0)
-    nm = F.col("km") / c.KM_PER_NM
     zero = lambda x: F.coalesce(x, F.lit(0.0))
-    sums = rows.agg(
-        F.count("*").alias("segments"),
-        zero(F.sum("km")).alias("total_km"),
-        zero(F.min("altitude_m")).alias("min_altitude_m"),
-        zero(F.max("altitude_m")).alias("max_altitude_m"),
-        zero(F.max(F.when(moving, F.col("groundspeed_knots")))).alias("max_groundspeed_knots"),
-        zero(F.avg(F.when(moving, F.col("groundspeed_knots")))).alias("average_groundspeed_knots"),
-        zero(F.sum(F.when(cruising, nm)) / F.sum(F.when(cruising, nm / F.col("groundspeed_knots")))).alias("cruise_speed_knots"),
+    sums = along_paths(
+        per_path(rows),
+        ["path_id"],
+        segments=F.sum("segments"),
+        km=F.sum("km"),
+        min_m=F.min("low_m"),
+        max_m=F.max("high_m"),
+        max_kt=F.max("max_kt"),
+        sum_kt=F.sum("sum_kt"),
+        moving=F.sum("moving"),
+        cruise_nm=F.sum("cruise_nm"),
+        cruise_h=F.sum("cruise_h"),
+        max_km=F.max("km"),
+        s=F.sum("s"),
+    )
+    sums = sums.select(
+        F.coalesce("segments", F.lit(0).cast("long")).alias("segments"),
+        zero(F.col("km")).alias("total_km"),
+        zero(F.col("min_m")).alias("min_altitude_m"),
+        zero(F.col("max_m")).alias("max_altitude_m"),
+        zero(F.col("max_kt")).alias("max_groundspeed_knots"),
+        zero(F.try_divide("sum_kt", "moving")).alias("average_groundspeed_knots"),
+        zero(F.try_divide("cruise_nm", "cruise_h")).alias("cruise_speed_knots"),
+        zero(F.col("max_km")).alias("longest_flight_km"),
+        zero(F.col("s")).alias("flight_seconds"),
+        "gain_m",
         F.lit(1).alias("one"),
     )
-    by_path = rows.groupBy("path_id").agg(F.sum("km").alias("km"), (F.max("time") - F.min("time")).alias("s"))
-    longest = by_path.agg(zero(F.max("km")).alias("longest_flight_km"), zero(F.sum("s")).alias("flight_seconds"), F.lit(1).alias("one"))
+    cruising = (F.col("altitude_m") > c.QUERY_CRUISE_ALTITUDE_M) & (F.col("groundspeed_knots") > 0)
     bins = rows.where(cruising).groupBy((half_up(F.col("altitude_ft") / 100) * 100).alias("bin")).count()
     mode = bins.agg(F.coalesce(F.min_by("bin", F.struct(-F.col("count"), F.col("bin"))), F.lit(0)).alias("cruise_altitude_ft"), F.lit(1).alias("one"))
     craft = F.when(F.col("registration") != "", F.col("registration"))
     heads = chosen.agg(F.count("*").alias("num_paths"), F.count_distinct(craft).alias("num_aircraft"), F.lit(1).alias("one"))
     ports = airport_edges(chosen).agg(F.count_distinct("airport").alias("num_airports"), F.lit(1).alias("one"))
-    climbs = gain_across(rows).withColumn("one", F.lit(1))
     out = heads
-    for part in (ports, sums, longest, mode, climbs):
+    for part in (ports, sums, mode):
         out = out.join(part, "one")
     return out.drop("one").withColumn("total_nm", F.col("total_km") / c.KM_PER_NM).withColumn("total_points", F.col("segments") * 2).drop("segments")
 
@@ -158,6 +243,7 @@ def ranges(segments: DataFrame) -> DataFrame:
         F.coalesce(F.max("altitude_ft"), F.lit(10000.0)).alias("max_ft"),
         F.coalesce(F.min(moving), F.lit(0.0)).alias("min_kt"),
         F.coalesce(F.max(moving), F.lit(200.0)).alias("max_kt"),
+        F.count(moving).alias("moving"),
     )
 
 

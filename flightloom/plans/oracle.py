@@ -50,7 +50,7 @@ _PARTS = {
     "ends": "SELECT path_id, 0 AS e, start_airport AS airport FROM paths UNION ALL SELECT path_id, 1, end_airport FROM paths",
     "counts": "SELECT airport, count(*) AS flights FROM edges GROUP BY 1",
     "asked": """SELECT path_id, floor(last * i / 5) + 0.25 AS t FROM (SELECT path_id, max(time) AS last FROM seg GROUP BY 1), (SELECT unnest(generate_series(-1, 6)) AS i)""",
-    "spans": """SELECT *, lead(time) OVER w AS time3, lead(lat1) OVER w AS lat3, lead(lon1) OVER w AS lon3, lead(altitude_m) OVER w AS alt3
+    "spans": """SELECT *, lead(time) OVER w AS time3, lead(lat1) OVER w AS lat3, lead(lon1) OVER w AS lon3, lead(altitude_m) OVER w AS alt3, lead(groundspeed_knots) OVER w AS kt3
         FROM seg WINDOW w AS (PARTITION BY path_id ORDER BY time, seg_idx)""",
 }
 #: What each part reads.
@@ -122,7 +122,7 @@ def oracle_sql() -> dict[str, str]:
     q["path_distance"] = _sql("SELECT path_id, round(sum(km), 4) AS km, round(sum(km) / 1.852, 4) AS nm FROM legs0 GROUP BY 1", "legs0")
     q["segment_speed"] = _sql("SELECT path_id, seg_idx, round(km, 6) AS km, round(dt, 6) AS dt, round(speed, 4) AS speed FROM legs", "legs")
     q["windowed_groundspeed"] = _sql("SELECT path_id, seg_idx, round(gs, 3) AS gs, round(window_km, 3) AS window_km, round(window_s, 6) AS window_s FROM spd", "spd")
-    q["segments_projection"] = _sql("SELECT path_id, seg_idx, altitude_ft, altitude_m, time, round(km, 6) AS km FROM seg", "seg")
+    q["segments_projection"] = _sql("SELECT path_id, seg_idx, round(lat1, 8) AS lat1, round(lon1, 8) AS lon1, round(lat2, 8) AS lat2, round(lon2, 8) AS lon2, altitude_ft, altitude_m, groundspeed_knots, time, round(km, 6) AS km FROM seg", "seg")
     q["path_info"] = _sql(
         """, sh AS (SELECT path_id, arg_min(lat, seq) AS start_lat, arg_min(lon, seq) AS start_lon, arg_max(lat, seq) AS end_lat, arg_max(lon, seq) AS end_lon,
         (max(us) - min(us)) / CAST(1000000 AS DOUBLE) AS seconds, count(*) - 1 AS segment_count FROM pts GROUP BY 1),
@@ -163,11 +163,51 @@ def oracle_sql() -> dict[str, str]:
         {hm.format("total_seconds")} AS panel FROM t""",
         "pts",
     )
+    craft = """, t AS (SELECT path_id, min(us) AS us0, (max(us) - min(us)) / CAST(1000000 AS DOUBLE) AS s, count(*) AS n FROM pts GROUP BY 1), d AS (SELECT path_id, sum(km) AS km FROM legs0 GROUP BY 1),
+        craft AS (SELECT registration, count(DISTINCT filename) AS flights, arg_min(aircraft_type, path_id) AS aircraft_type,
+        round(sum(CASE WHEN n >= 2 THEN s ELSE 0 END), {0}) AS seconds, round(sum(CASE WHEN n >= 2 THEN km ELSE 0 END), {0}) AS km, min(path_id) AS first_path,
+        array_to_string(list_sort(list(DISTINCT year(make_timestamp(us0 * 1000))) FILTER (n >= 2 AND s > 0)), ',') AS years FROM paths JOIN t USING (path_id) LEFT JOIN d USING (path_id) GROUP BY registration)"""
     q["aircraft_stats"] = _sql(
-        """, t AS (SELECT path_id, (max(us) - min(us)) / CAST(1000000 AS DOUBLE) AS s, count(*) AS n FROM pts GROUP BY 1), d AS (SELECT path_id, sum(km) AS km FROM legs0 GROUP BY 1)
-        SELECT registration, count(DISTINCT filename) AS flights, arg_min(aircraft_type, path_id) AS aircraft_type,
-        round(sum(CASE WHEN n >= 2 THEN s ELSE 0 END), 4) AS seconds, round(sum(CASE WHEN n >= 2 THEN km ELSE 0 END), 4) AS km, min(path_id) AS first_path,
-        arg_min(aircraft_type, path_id) AS model FROM paths JOIN t USING (path_id) LEFT JOIN d USING (path_id) GROUP BY registration""",
+        craft.format(4) + " SELECT *, aircraft_type AS model, CAST(row_number() OVER (ORDER BY flights DESC, first_path) AS INTEGER) AS place FROM craft",
+        "legs0",
+        "paths",
+    )
+    q["fleet_models"] = _sql(
+        """, e AS (SELECT path_id, max(time) - min(time) AS sec FROM seg GROUP BY 1)
+        SELECT registration, arg_min(aircraft_type, path_id) AS aircraft_type, count(*) AS flights, round(coalesce(sum(sec), 0), 3) AS seconds,
+        CASE WHEN registration < 'D-E004' THEN 'Model of ' || registration ELSE (SELECT arg_min(aircraft_type, path_id) FROM paths p WHERE p.registration = paths.registration) END AS model
+        FROM paths LEFT JOIN e USING (path_id) WHERE year = 2025 GROUP BY registration""",
+        "seg",
+        "paths",
+    )
+    q["aircraft_distances"] = _sql(
+        """, e AS (SELECT path_id, sum(km) AS km, CASE WHEN count(time) >= 2 THEN max(time) - min(time) END AS s FROM seg GROUP BY 1)
+        SELECT registration, round(sum(km), 3) AS km, round(coalesce(sum(s), 0), 3) AS seconds FROM paths JOIN e USING (path_id) GROUP BY 1""",
+        "seg",
+        "paths",
+    )
+    q["aircraft_of_year"] = _sql("SELECT registration, arg_min(aircraft_type, path_id) AS aircraft_type, count(*) AS flights, min(path_id) AS first_path, 'all' AS chosen FROM paths WHERE year = 2025 GROUP BY 1", "paths")
+    q["segment_groups"] = _sql(
+        """SELECT path_id, seg_idx // 50 AS part, CAST(count(*) AS INTEGER) AS segments, min(seg_idx) AS first_idx, max(seg_idx) AS last_idx, string_agg(CAST(CAST(altitude_ft AS BIGINT) AS VARCHAR), ',' ORDER BY seg_idx) AS altitudes
+        FROM seg GROUP BY 1, 2""",
+        "seg",
+    )
+    q["first_view"] = _sql(
+        """SELECT (SELECT max(year) FROM paths WHERE year <> 0) AS year, count(*) AS segments, count(DISTINCT path_id) AS paths, coalesce(min(altitude_ft), 0) AS min_ft, coalesce(max(altitude_ft), 10000) AS max_ft,
+        coalesce(min(groundspeed_knots) FILTER (groundspeed_knots > 0), 0) AS min_kt, coalesce(max(groundspeed_knots) FILTER (groundspeed_knots > 0), 200) AS max_kt, count(*) FILTER (groundspeed_knots > 0) > 0 AS has_timing FROM seg""",
+        "seg",
+        "paths",
+    )
+    q["statistics_record"] = _sql(
+        """, g AS (SELECT path_id, us, alt_m, alt_m - lag(alt_m) OVER (PARTITION BY path_id ORDER BY seq) AS d, count(*) OVER (PARTITION BY path_id) AS n FROM pts),
+        e AS (SELECT (max(us) - min(us)) / CAST(1000000 AS DOUBLE) AS s FROM pts GROUP BY path_id HAVING count(us) >= 2 AND max(us) > min(us)),
+        x AS (SELECT (SELECT count(*) FROM pts) AS total_points, (SELECT count(*) FROM (SELECT path_id FROM pts GROUP BY 1 HAVING (count(*) - 1) % 3 <> 0)) AS num_paths,
+        (SELECT count(DISTINCT registration) FROM paths) AS num_aircraft, (SELECT array_to_string(list_sort(list(DISTINCT aircraft_type)), ',') FROM paths) AS aircraft_types,
+        coalesce(sum(d) FILTER (d > 0), 0) AS gain_m, min(alt_m) AS min_altitude_m, max(alt_m) AS max_altitude_m, (SELECT coalesce(sum(km), 0) FROM legs0) AS distance_km,
+        (SELECT coalesce(sum(s), 0) FROM e) AS total_seconds, (SELECT count(*) FROM e) AS timed_paths FROM g WHERE n >= 2)
+        SELECT total_points, num_paths, num_aircraft, aircraft_types, round(gain_m, 3) AS gain_m, round(min_altitude_m, 3) AS min_altitude_m, round(max_altitude_m, 3) AS max_altitude_m, round(distance_km, 3) AS distance_km,
+        round(total_seconds, 3) AS total_seconds, timed_paths, round(distance_km / 1.852, 3) AS distance_nm, round(distance_km / 1.852 / (total_seconds / 3600), 3) AS average_groundspeed_knots,
+        round(gain_m * 3.28084, 3) AS gain_ft, round(min_altitude_m * 3.28084, 3) AS min_altitude_ft, round(max_altitude_m * 3.28084, 3) AS max_altitude_ft FROM x""",
         "legs0",
         "paths",
     )
@@ -240,19 +280,71 @@ def oracle_sql() -> dict[str, str]:
         SELECT number, min(root) AS least_number FROM r GROUP BY 1""",
         "apt",
     ).replace("WITH ", "WITH RECURSIVE ", 1)
-    q["render_filter"] = _sql(
-        """SELECT l.path_id, seg_idx, CASE WHEN l.path_id % 5 <> 0 THEN true END AS known, CASE WHEN l.path_id % 2 = 0 THEN 6 ELSE 4 END AS weight,
-        CAST(CASE WHEN l.path_id % 2 = 0 THEN 1.0 ELSE 0.1 END AS DOUBLE) AS opacity FROM legs0 l JOIN paths p ON l.path_id = p.path_id WHERE l.path_id % 5 = 0 OR year = 2025""",
-        "legs0",
-        "paths",
+    found = f""", sh AS (SELECT path_id, arg_min(lat, seq) AS lat1, arg_min(lon, seq) AS lon1, arg_max(lat, seq) AS lat2, arg_max(lon, seq) AS lon2, min(us) AS ts, count(*) AS n, arg_min(alt_m, seq) AS sa, arg_max(alt_m, seq) AS ea FROM pts GROUP BY 1),
+        va AS ({_sample("", "false")}), vb AS ({_sample("DESC", "true")}),
+        f AS (SELECT sh.*, start_airport, end_airport, coalesce(sa > 400 AND va.variation < 100, false) AS mid, CASE WHEN vb.variation IS NULL THEN ea < 1000 ELSE vb.variation < 50 OR ea < 600 END AS landed
+            FROM sh JOIN paths USING (path_id) LEFT JOIN va USING (path_id) LEFT JOIN vb USING (path_id)),
+        cand AS (SELECT 1 AS pass, path_id, false AS e, lat1 AS lat, lon1 AS lon, ts, start_airport || ' - ' || end_airport AS name, start_airport AS code FROM f WHERE NOT mid
+            UNION ALL SELECT 2, path_id, false, lat1, lon1, ts, start_airport || ' - ' || end_airport, start_airport FROM f WHERE NOT mid AND n >= 2
+            UNION ALL SELECT 2, path_id, true, lat2, lon2, CASE WHEN NOT mid THEN ts END, start_airport || ' - ' || end_airport, end_airport FROM f WHERE landed AND n >= 2),
+        kn AS (SELECT code, arg_max(lat, number) AS klat, arg_max(lon, number) AS klon, arg_max(country, number) AS country FROM apt GROUP BY 1),
+        cor AS (SELECT CAST(pass * 1000000000000 + path_id * 2 + CAST(e AS INTEGER) AS BIGINT) AS rk, coalesce(klat, lat) AS lat, coalesce(klon, lon) AS lon, name, ts, e, path_id FROM cand LEFT JOIN kn USING (code)),
+        spot AS (SELECT *, row_number() OVER (ORDER BY lat, lon) AS number FROM (SELECT lat, lon, min(rk) AS rank, arg_min(name, rk) AS name, arg_min(e, rk) AS e FROM cor GROUP BY 1, 2)),
+        near AS (SELECT x.number AS a, y.number AS b FROM spot x JOIN spot y ON x.number <> y.number WHERE {_hav('x.lat', 'x.lon', 'y.lat', 'y.lon')} < 1.5),
+        r AS (SELECT number, number AS root FROM spot UNION SELECT b, root FROM r JOIN near ON a = number),
+        own AS (SELECT number, min(root) AS root FROM r GROUP BY 1),
+        air AS (SELECT root, arg_min(lat, rank) AS lat, arg_min(lon, rank) AS lon, arg_min(name, rank) AS name, arg_min(e, rank) AS e FROM spot JOIN own USING (number) GROUP BY 1),
+        vis AS (SELECT root, count(DISTINCT ts) AS visits FROM cor JOIN spot USING (lat, lon) JOIN own USING (number) WHERE ts IS NOT NULL GROUP BY 1)
+        """
+    recursive = lambda body: _sql(found + body, "pts", "paths", "apt").replace("WITH ", "WITH RECURSIVE ", 1)
+    q["airport_dedupe"] = recursive(
+        """SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, name, greatest(1, coalesce(visits, 0)) AS flight_count, country FROM
+        (SELECT *, row_number() OVER (PARTITION BY printf('%.4f,%.4f', lat, lon) ORDER BY name, lat, lon) AS nth FROM air LEFT JOIN vis USING (root)) LEFT JOIN kn ON code = substr(name, 1, 4) WHERE nth = 1"""
     )
+    q["airport_name_list"] = recursive("SELECT count(*) AS num_airports, string_agg(CASE WHEN e THEN substr(name, 8) ELSE substr(name, 1, 4) END, ',' ORDER BY CASE WHEN e THEN substr(name, 8) ELSE substr(name, 1, 4) END) AS airport_names FROM air")
+    facts = (
+        ("times_around_the_earth", "distance", "10", "total_nm > 10819.5", "NULL", "round(total_nm / 21639, 1)"),
+        ("miles", "distance", "8", "total_nm <= 10819.5 AND total_nm > 1000", "NULL", "floor(total_nm + 0.5)"),
+        ("flights_of_the_only_aircraft", "aircraft", "9", "num_aircraft = 1", "craft", "num_paths"),
+        ("the_only_aircraft", "aircraft", "7", "false", "NULL", "1"),
+        ("two_aircraft", "aircraft", "7", "num_aircraft = 2", "NULL", "2"),
+        ("many_aircraft", "aircraft", "8", "num_aircraft >= 3", "NULL", "num_aircraft"),
+        ("many_countries", "countries", "9", "lands >= 3", "NULL", "lands"),
+        ("two_countries", "countries", "7", "lands = 2", "NULL", "lands"),
+        ("miles_a_flight_at_speed", "distance", "8", "floor(total_nm / num_paths + 0.5) > 0 AND cruise_speed_knots > 0", "NULL", "floor(total_nm / num_paths + 0.5)"),
+        ("miles_a_flight", "distance", "8", "floor(total_nm / num_paths + 0.5) > 0 AND cruise_speed_knots <= 0", "NULL", "floor(total_nm / num_paths + 0.5)"),
+        ("longest_flight_miles", "distance", "8", "longest_flight_km > 0", "NULL", "floor(longest_flight_km / 1.852 + 0.5)"),
+        ("feet_climbed", "altitude", "8", "gain_m > 0", "NULL", "floor(gain_m * 3.28084 + 0.5)"),
+        ("times_up_the_highest_mountain", "altitude", "9", "gain_m * 3.28084 > 29029", "NULL", "round(gain_m * 3.28084 / 29029, 1)"),
+        ("usual_cruise_feet", "altitude", "7", "cruise_altitude_ft > 0", "NULL", "cruise_altitude_ft"),
+        ("hours_in_the_air", "time", "4", "flight_seconds > 0", "NULL", "floor(flight_seconds / 3600)"),
+        ("cruise_knots", "speed", "3", "cruise_speed_knots > 0", "NULL", "floor(cruise_speed_knots + 0.5)"),
+        ("highest_feet", "achievement", "9", "max_altitude_m * 3.28084 > 40000", "NULL", "floor(max_altitude_m * 3.28084 + 0.5)"),
+    )
+    listed = " UNION ALL ".join(f"SELECT {i} AS ord, '{kind}' AS category, {p} AS priority, '{fact}' AS fact, CAST({who} AS VARCHAR) AS subject, CAST({value} AS DOUBLE) AS value FROM all_of WHERE {when}" for i, (fact, kind, p, when, who, value) in enumerate(facts))
+    q["fun_facts"] = _sql(
+        f""", st AS ({_statistics("year = 2025")}),
+        kc AS (SELECT code AS airport, arg_max(country, number) AS country FROM apt GROUP BY 1),
+        all_of AS (SELECT *, (SELECT count(DISTINCT country) FROM edges JOIN paths USING (path_id) JOIN kc USING (airport) WHERE year = 2025) AS lands,
+            (SELECT registration FROM paths WHERE year = 2025 GROUP BY 1 ORDER BY count(*) DESC, registration LIMIT 1) AS craft FROM st),
+        li AS ({listed}), k1 AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY priority DESC, ord) > 3 AS extra FROM li),
+        k2 AS (SELECT *, row_number() OVER (PARTITION BY extra ORDER BY priority DESC, ord) AS nth, (SELECT count(*) FROM k1 WHERE NOT extra) AS n FROM k1)
+        SELECT category, priority, ord, fact, subject, value FROM k2 WHERE CASE WHEN extra THEN nth <= 4 - least(n, 6) ELSE nth <= 6 END""",
+        "edges",
+        "apt",
+    )
+    drawn = """, kn AS (SELECT paths.* FROM paths WHERE start_airport IN (SELECT code FROM apt))
+        SELECT l.path_id, seg_idx, CASE WHEN p.path_id IS NOT NULL THEN true END AS known, CASE WHEN registration = 'D-E003' THEN 6 ELSE 4 END AS weight,
+        CAST(CASE WHEN registration = 'D-E003' THEN 1.0 ELSE 0.1 END AS DOUBLE) AS opacity FROM legs0 l LEFT JOIN kn p ON l.path_id = p.path_id WHERE year = 2025"""
+    q["render_filter"] = _sql(drawn + " OR p.path_id IS NULL", "legs0", "paths", "apt")
+    q["render_known"] = _sql(drawn, "legs0", "paths", "apt")
     q["selection"] = _sql(
-        """SELECT path_id, count(*) AS segments, CASE path_id WHEN 1 THEN '4' WHEN 4 THEN '1' ELSE '1,4,' || CAST(path_id AS VARCHAR) END AS toggled
-        FROM seg JOIN paths USING (path_id) WHERE year = 2025 AND path_id IN (1, 4, 7) GROUP BY path_id""",
+        """, s AS (SELECT path_id, path_id IN (SELECT path_id FROM edges WHERE airport = 'EAAD') AS selected, year FROM paths), n AS (SELECT path_id, count(*) AS segments FROM seg GROUP BY 1)
+        SELECT path_id, selected, CASE WHEN selected AND year = 2025 THEN segments END AS segments, NOT selected AS after FROM s LEFT JOIN n USING (path_id)""",
         "seg",
-        "paths",
+        "edges",
     )
-    q["ranges"] = _sql("SELECT count(*) AS segments, count(DISTINCT path_id) AS paths, coalesce(min(altitude_ft), 0) AS min_ft, coalesce(max(altitude_ft), 10000) AS max_ft FROM seg", "seg")
+    q["ranges"] = _sql("SELECT count(*) AS segments, count(DISTINCT path_id) AS paths, coalesce(min(altitude_ft), 0) AS min_ft, coalesce(max(altitude_ft), 10000) AS max_ft, coalesce(min(groundspeed_knots) FILTER (groundspeed_knots > 0), 0) AS min_kt, coalesce(max(groundspeed_knots) FILTER (groundspeed_knots > 0), 200) AS max_kt, count(*) FILTER (groundspeed_knots > 0) AS moving FROM seg", "seg")
     q["distinct_coordinates"] = _sql("SELECT count(*) AS coordinates FROM (SELECT lat1, lon1 FROM seg UNION SELECT lat2, lon2 FROM seg)", "seg")
     q["map_bounds"] = _sql(
         """SELECT round(min(lat), 8) AS min_lat, round(max(lat), 8) AS max_lat, round(min(lon), 8) AS min_lon, round(max(lon), 8) AS max_lon,
@@ -260,17 +352,35 @@ def oracle_sql() -> dict[str, str]:
         "pts",
     )
     q["density_grid"] = _sql(f'SELECT CAST(floor((lat + {_D(0.0000123)}) / {_D(0.001)}) AS BIGINT) AS "row", CAST(floor((lon + {_D(0.0000123)}) / {_D(0.001)}) AS BIGINT) AS col, count(*) AS points FROM pts GROUP BY 1, 2', "pts")
-    q["combined_years"] = _sql(" UNION ALL ".join(f"SELECT path_id, year, registration FROM paths WHERE year = {y}" for y in (2024, 2025, 2026)), "paths")
+    q["combined_years"] = _sql("SELECT year, count(*) AS segments, count(DISTINCT path_id) AS paths, CAST(sum(altitude_ft) AS BIGINT) AS feet FROM seg JOIN paths USING (path_id) GROUP BY 1", "seg", "paths")
     q["replay_asof"] = _sql("SELECT a.path_id, a.t, s.seg_idx FROM asked a ASOF LEFT JOIN seg s ON a.path_id = s.path_id AND a.t >= s.time", "asked")
     q["replay_position"] = _sql(
         """, f AS (SELECT path_id, min(time) AS first FROM seg GROUP BY 1),
         j AS (SELECT a.path_id, a.t, s.* EXCLUDE (path_id) FROM (SELECT path_id, t, greatest(t, first) AS tt FROM asked JOIN f USING (path_id)) a ASOF JOIN spans s ON a.path_id = s.path_id AND a.tt >= s.time),
         k AS (SELECT *, greatest(0, least(1, (t - time) / greatest(time3 - time, 0.001))) AS x FROM j)
         SELECT path_id, t, round(CASE WHEN time3 IS NULL THEN lat2 ELSE lat2 + (lat3 - lat2) * x END, 6) AS lat, round(CASE WHEN time3 IS NULL THEN lon2 ELSE lon2 + (lon3 - lon2) * x END, 6) AS lon,
-        round(CASE WHEN time3 IS NULL THEN altitude_m ELSE altitude_m + (alt3 - altitude_m) * x END, 6) AS altitude_m FROM k""",
+        round(CASE WHEN time3 IS NULL THEN altitude_m ELSE altitude_m + (alt3 - altitude_m) * x END, 6) AS altitude_m,
+        round(CASE WHEN time3 IS NULL THEN groundspeed_knots ELSE groundspeed_knots + (kt3 - groundspeed_knots) * x END, 6) AS groundspeed_knots FROM k""",
         "asked",
         "spans",
     )
+    at_rest, ahead = _BEARING.format(a="lat1", b="lon1", c="lat2", d="lon2"), _BEARING.format(a="lat2", b="lon2", c="lat3", d="lon3")
+    q["live_position"] = _sql(
+        f""", f AS (SELECT path_id, min(time) AS first FROM seg GROUP BY 1),
+        j AS (SELECT a.path_id, a.t, s.* EXCLUDE (path_id) FROM (SELECT path_id, t, greatest(t, first) AS tt FROM asked JOIN f USING (path_id)) a ASOF JOIN spans s ON a.path_id = s.path_id AND a.tt >= s.time),
+        k AS (SELECT *, time3 IS NOT NULL AND time < t AS moving, (t - time) / (time3 - time) AS x FROM j)
+        SELECT path_id, t, round(CASE WHEN moving THEN lat2 + (lat3 - lat2) * x ELSE lat2 END, 5) AS lat, round(CASE WHEN moving THEN lon2 + (lon3 - lon2) * x ELSE lon2 END, 5) AS lon,
+        round(CASE WHEN moving THEN {ahead} ELSE {at_rest} END, 5) AS bearing FROM k""",
+        "asked",
+        "spans",
+    )
+    q["replay_bounds"] = _sql(
+        """, b AS (SELECT path_id, least(min(lat1), min(lat2)) AS south, greatest(max(lat1), max(lat2)) AS north, least(min(lon1), min(lon2)) AS west, greatest(max(lon1), max(lon2)) AS east, max(time) AS last FROM seg WHERE time IS NOT NULL GROUP BY 1),
+        m AS (SELECT *, (south + north) / 2 AS y, (west + east) / 2 AS x, (north - south) * CAST(0.2 AS DOUBLE) AS h, (east - west) * CAST(0.2 AS DOUBLE) AS w FROM b)
+        SELECT path_id, round(south, 8) AS south, round(north, 8) AS north, round(west, 8) AS west, round(east, 8) AS east, y < south + h OR y > north - h OR x < west + w OR x > east - w AS middle_out, true AS corner_out,
+        round(CASE WHEN last = 0 THEN 0 ELSE least(100, 50 / last * 100) END, 8) AS progress FROM m""",
+        "seg",
+    )
     own, far = _BEARING.format(a="lat1", b="lon1", c="lat2", d="lon2"), _BEARING.format(a="lat2", b="lon2", c="fa", d="fo")
     q["replay_bearing"] = _sql(
         f""", f AS (SELECT *, last_value(lat1) OVER w AS fa, last_value(lon1) OVER w AS fo, last_value(seg_idx) OVER w AS fi FROM seg
@@ -280,7 +390,7 @@ def oracle_sql() -> dict[str, str]:
     )
     q["bearings"] = _sql(f"SELECT path_id, seg_idx, round({_BEARING.format(a='lat', b='lon', c='lat2', d='lon2')}, 4) AS bearing FROM legs0", "legs0")
     q["replay_range"] = _sql(
-        """SELECT path_id, min(time) AS first, max(time) AS last, min(altitude_ft) AS low_ft, max(altitude_ft) AS high_ft, count(*) AS segments, count(time) AS timed, count(time) > 0 AS replayable FROM seg GROUP BY 1""",
+        """SELECT path_id, min(time) AS first, max(time) AS last, min(altitude_ft) AS low_ft, max(altitude_ft) AS high_ft, coalesce(min(groundspeed_knots) FILTER (groundspeed_knots > 0), 0) AS low_kt, coalesce(max(groundspeed_knots) FILTER (groundspeed_knots > 0), 200) AS high_kt, count(*) AS segments, count(time) AS timed, count(time) > 0 AS replayable FROM seg GROUP BY 1""",
         "seg",
     )
     q["filename_parse"] = _sql(
@@ -308,9 +418,35 @@ def oracle_sql() -> dict[str, str]:
     )
     q["obfuscation_check"] = _sql(
         """, f AS (SELECT path_id, make_timestamp(arg_min(us, seq) * 1000) AS moment FROM pts GROUP BY 1)
-        SELECT path_id AS file, 'first time' AS reason FROM f WHERE month(moment) <> 1 OR day(moment) <> 1 UNION ALL SELECT path_id, 'marker date' FROM f WHERE path_id % 2 = 0""",
+        SELECT path_id AS file, 'first time' AS reason FROM f WHERE month(moment) <> 1 OR day(moment) <> 1 UNION ALL SELECT path_id, 'marker date' FROM f WHERE second(moment) < 30""",
         "pts",
     )
+    q["obfuscated_markers"] = _sql("SELECT path_id AS file, 'Landing: ' || strftime(make_timestamp(arg_min(us, seq) * 1000), '%Y') || '-01-01' AS name, CAST(NULL AS VARCHAR) AS reason FROM pts GROUP BY 1", "pts")
+    q["kml_metadata"] = _sql(
+        """, t AS (SELECT path_id, make_timestamp(min(us) * 1000) AS t0, make_timestamp(max(us) * 1000) AS t1 FROM pts WHERE seq <= 2 GROUP BY 1)
+        SELECT filename AS file, CASE WHEN path_id % 2 = 0 THEN start_airport || ' - ' || end_airport ELSE registration END AS name,
+        CASE WHEN path_id % 2 = 0 THEN strftime(t0, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(t0, '%Y-%m-%dT%H:%M:00+00:00') END AS timestamp, CASE WHEN path_id % 2 = 0 THEN strftime(t1, '%Y-%m-%dT%H:%M:%SZ') END AS end_timestamp,
+        CAST(year(t0) AS INTEGER) AS year, CASE WHEN path_id % 2 = 0 THEN 'D-E' ELSE 'OE-' END || lpad(CAST(path_id % 7 AS VARCHAR), 3, '0') AS registration, CASE WHEN path_id % 2 = 0 THEN 'DA20' END AS aircraft_type,
+        start_airport || ' - ' || end_airport AS airport_name, CASE WHEN path_id % 2 = 0 THEN 2 ELSE 3 END AS points, 2 AS with_altitude, CAST(CASE WHEN path_id % 2 = 0 THEN 16 ELSE 26.25 END AS DOUBLE) AS lon FROM paths JOIN t USING (path_id)""",
+        "pts",
+        "paths",
+    )
+    legend = "CAST(CAST(floor({0} + 0.5) AS BIGINT) AS VARCHAR) || ' {1} (' || CAST(CAST(floor({0} {2} + 0.5) AS BIGINT) AS VARCHAR) || ' {3})'"
+    markup = "'<b class=''x''>' || p_name || ' & \"' || p_brand || '\"</b>'"
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        markup = f"replace({markup}, '{sign}', '{name}')"
+    q["labels"] = f"""SELECT p_partkey, {legend.format("p_retailprice * 3", "ft", "/ 3.28084", "m")} AS altitude, {legend.format("p_size * 2", "kt", "* CAST(1.852 AS DOUBLE)", "km/h")} AS speed,
+        printf('%.1f', round(p_size * 7 + CAST(0.26 AS DOUBLE), 1)) || ' nm (' || printf('%.1f', round((p_size * 7 + CAST(0.26 AS DOUBLE)) * CAST(1.852 AS DOUBLE), 1)) || ' km)' AS trip,
+        CAST(CAST(floor((p_retailprice + CAST(0.3 AS DOUBLE)) * 3.28084 + 0.5) AS BIGINT) AS VARCHAR) || ' ft' AS feet, printf('%.1f', round(p_size * 3 + CAST(0.26 AS DOUBLE), 1)) || ' km' AS km,
+        CAST(floor(p_retailprice * 3 / 50 + 0.5) * 50 AS BIGINT) AS note_ft, lpad(CAST(p_size * 7 AS VARCHAR), 3, '0') || '°' AS track, 'rgba(1,2,3,0.15)' AS rgba, {markup} AS markup,
+        chr(CAST(127462 + ascii(upper(substr(p_brand, 1, 1))) - 65 AS INTEGER)) || chr(CAST(127462 + ascii(upper(substr(p_brand, 2, 1))) - 65 AS INTEGER)) AS flag FROM part"""
+    q["url_states"] = """SELECT * FROM (VALUES
+        ('?y=2025&a=D-E001&p=1,2,x&v=110101&lat=50.5&lng=8.25&z=99', '2025', 'D-E001', '1,2', '110101', CAST(50.5 AS DOUBLE), CAST(8.25 AS DOUBLE), CAST(18 AS INTEGER), 'y=2025&a=D-E001&p=1%2C2&v=110101&lat=50.500000&lng=8.250000&z=18', true, 'PATH_INFO_2025'),
+        ('lat=95&lng=abc&z=0&v=12&y=', 'all', 'all', '', '', NULL, NULL, 1, 'z=1', true, 'PATH_INFO_ALL'),
+        ('', 'all', 'all', '', '', NULL, NULL, NULL, '', true, 'PATH_INFO_ALL'),
+        ('p=7&z=7.9&v=1111111111', 'all', 'all', '7', '', NULL, NULL, 7, 'p=7&z=7', true, 'PATH_INFO_ALL'),
+        ('y=2024&lng=-180&lat=-90', '2024', 'all', '', '', -90, -180, NULL, 'y=2024&lat=-90.000000&lng=-180.000000', true, 'PATH_INFO_2024'))
+        AS t(text, year, aircraft, selected, visible, lat, lng, zoom, written, same, data_key)"""
     clock = "CASE WHEN c >= 3600 THEN CAST(c // 3600 AS VARCHAR) || ':' || lpad(CAST(c % 3600 // 60 AS VARCHAR), 2, '0') ELSE CAST(c // 60 AS VARCHAR) END || ':' || lpad(CAST(c % 60 AS VARCHAR), 2, '0')"
     q["display_values"] = f"""SELECT p_partkey, {_ramp(_ALTITUDE)} AS altitude_colour, {_ramp(_SPEED)} AS speed_colour, zoom,
         CASE WHEN zoom >= 14 THEN 'xlarge' WHEN zoom >= 12 THEN 'large' ELSE 'medium' END AS zoom_class, CAST(CAST(floor(p_size * 1.5 + 0.5) AS BIGINT) AS VARCHAR) || ' kt' AS speed_label,
@@ -320,5 +456,5 @@ def oracle_sql() -> dict[str, str]:
     body = f"CAST(CAST(floor({deg}) AS BIGINT) AS VARCHAR) || '°' || CAST(CAST(floor(({deg} - floor({deg})) * 60) AS BIGINT) AS VARCHAR) || '''' || printf('%.1f', (({deg} - floor({deg})) * 60 - floor(({deg} - floor({deg})) * 60)) * 60) || '\"'"
     sign = "CASE WHEN (s_suppkey % 181 - 90) + 0.26 >= 0 THEN '{}' ELSE '{}' END"
     q["dms"] = f"SELECT s_suppkey, {body} || {sign.format('N', 'S')} AS lat, {body} || {sign.format('E', 'W')} AS lon FROM supplier"
-    q["xml_points"] = _sql("SELECT path_id, seq, round(lat, 6) AS lat, round(lon, 6) AS lon, round(alt_m, 2) AS alt_m, true AS timed FROM pts", "pts")
+    q["xml_points"] = q["kml_files"] = _sql("SELECT path_id, seq, round(lat, 6) AS lat, round(lon, 6) AS lon, round(alt_m, 2) AS alt_m, us * 1000 // 1000000 * 1000000 AS micros FROM pts", "pts")
     return q

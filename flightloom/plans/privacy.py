@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flightloom.functions.times import parsed
 
+#: Fixed value: how logs write the date of a marker.
 _MARKER_DATE = r"^(Log Start|Takeoff|Landing|Log Stop):\s*\d{2}\s+\w{3}\s+(\d{4})\s+\d{2}:\d{2}\s+Z$"
 
 
@@ -28,6 +29,14 @@ def marker_without_date(name: Column) -> Column:
     return F.regexp_replace(name, _MARKER_DATE, "$1: $2-01-01")
 
 
+def obfuscated(points: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A whole dataset moved: its points with shifted times in place of their own, and its markers' names without dates.
+    New tables; nothing is changed in place."""
+    moved = shifted(points)
+    columns = [F.col("ts_shifted").alias("ts_raw") if c == "ts_raw" else F.col(c) for c in points.columns]
+    return moved.select(*columns), names.withColumn("name", marker_without_date(F.col("name")))
+
+
 def violations(points: DataFrame, names: DataFrame) -> DataFrame:
     """(file, reason) of files whose first time is not on the first of January, or whose markers (file, name) hold dates."""
     first = points.withColumn("at", parsed(F.col("ts_raw"))).where("at IS NOT NULL").groupBy("file").agg(F.min_by("at", "seq").alias("at"))

@@ -12,8 +12,10 @@ from flightloom.functions import display, geo, names, times
 from flightloom.operators import airports as ports
 from flightloom.operators import stats, tracks
 from flightloom.plans import filters, privacy, replay, review
+from flightloom.plans.build import bounds
 from flightloom.plans.filters import FilterSpec
-from flightloom.sources import adapters, kml
+from flightloom.sources import adapters, kml, sinks
+from flightloom.sources.shared import fresh_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -93,7 +95,7 @@ def windowed_groundspeed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def segments_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Views(spark, sf_dir).segments.select("path_id", "seg_idx", "altitude_ft", "altitude_m", "time", _r("km", 6))
+    return Views(spark, sf_dir).segments.select("path_id", "seg_idx", _r("lat1", 8), _r("lon1", 8), _r("lat2", 8), _r("lon2", 8), "altitude_ft", "altitude_m", "groundspeed_knots", "time", _r("km", 6))
 
 
 @query
@@ -201,13 +203,56 @@ def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _review_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
     info = v.heads.where("year = 2025")
-    s = filters.statistics(v.segments, v.heads, FilterSpec(year="2025")).withColumn("one", F.lit(1))
+    s = _rounded(filters.statistics(v.segments, v.heads, FilterSpec(year="2025")), 3).withColumn("one", F.lit(1))
     first = review.fleet(v.segments, info).agg(F.min_by("registration", F.struct(-F.col("flights"), "registration")).alias("first_aircraft"), F.min_by("aircraft_type", F.struct(-F.col("flights"), "registration")).alias("first_model"), F.lit(1).alias("one"))
     lands = review.by_country(filters.airport_edges(info).select("airport").distinct(), v.airports).where("country <> 'Other'").agg(F.count("*").alias("num_countries"), F.lit(1).alias("one"))
     rows = s.join(first, "one").join(lands, "one")
     return rows.select("total_nm", F.col("num_paths").alias("total_flights"), "num_aircraft", "first_aircraft", "first_model", "num_countries", F.col("cruise_speed_knots").alias("cruise_knots"), (F.col("longest_flight_km") / c.KM_PER_NM).alias("longest_nm"), (F.col("gain_m") * c.METERS_TO_FEET).alias("gain_ft"), F.col("cruise_altitude_ft").alias("cruise_ft"), F.col("flight_seconds").alias("seconds"), (F.col("max_altitude_m") * c.METERS_TO_FEET).alias("max_ft"))
 
 
+@query
+def fleet_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A year's fleet with the models known of all years: those of aircraft whose first type is in the list of models."""
+    v = Views(spark, sf_dir)
+    models = v.paths.select("registration", F.concat(F.lit("Model of "), "registration").alias("model")).where("registration < 'D-E004'").distinct()
+    every = stats.aircraft(v.info, models)
+    return _rounded(review.with_models(review.fleet(v.segments, v.heads.where("year = 2025")), every), 3)
+
+
+@query
+def aircraft_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = Views(spark, sf_dir)
+    return _rounded(stats.aircraft_distances(v.segments, v.heads), 3)
+
+
+@query
+def statistics_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = Views(spark, sf_dir)
+    marked = v.info.withColumn("airport_name", F.when(F.col("segment_count") % 3 == 0, "Log Start: 03 Mar 2025 08:58 Z").otherwise(F.col("airport_name")))
+    return _rounded(stats.record(v.points, v.legs, marked), 3)
+
+
+@query
+def aircraft_of_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of a year's aircraft, and what is chosen after a choice that did not fly."""
+    v = Views(spark, sf_dir)
+    rows, spec = filters.aircraft_of_year(v.segments, v.heads, FilterSpec(year="2025", aircraft="D-EXXX"))
+    return rows.withColumn("chosen", F.lit(spec.aircraft))
+
+
+@query
+def segment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filters.by_path(Views(spark, sf_dir).segments, chunk=50)
+    first, last = F.col("segments")[0], F.element_at("segments", -1)
+    return rows.select("path_id", "part", F.size("segments").alias("segments"), first["seg_idx"].alias("first_idx"), last["seg_idx"].alias("last_idx"), F.array_join(F.transform("segments", lambda x: x["altitude_ft"].cast("long").cast("string")), ",").alias("altitudes"))
+
+
+@query
+def first_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = Views(spark, sf_dir)
+    return filters.defaults(v.segments, v.heads)
+
+
 @query
 def fun_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.diverse(review.facts(_review_row(spark, sf_dir)))
@@ -262,39 +307,60 @@ def airport_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ports.clusters(Views(spark, sf_dir).airports).withColumnRenamed("cluster", "least_number")
 
 
+def _found(v: Views) -> DataFrame:
+    info = v.info.withColumn("timestamp", F.col("start_us").cast("string"))
+    return ports.corrected(ports.candidates(info, tracks.flight_phases(v.points)), v.airports)
+
+
 @query
 def airport_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
-    found = ports.corrected(ports.candidates(v.info, tracks.flight_phases(v.points)), v.airports)
-    return _rounded(ports.exported(ports.deduplicated(found), v.airports), 6)
+    return _rounded(ports.exported(ports.deduplicated(_found(v)), v.airports), 6)
 
 
 @query
 def airport_dedupe_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
-    return _rounded(ports.deduplicated_in_order(ports.candidates(v.info, tracks.flight_phases(v.points))), 6)
+    return _rounded(ports.exported(ports.deduplicated_in_order(_found(v)), v.airports), 6)
 
 
 @query
-def render_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = Views(spark, sf_dir)
-    rows = filters.rendered(v.legs.select("path_id", "seg_idx"), v.heads.where("path_id % 5 <> 0"), FilterSpec(year="2025"), keep_unknown=True)
-    style = display.segment_style(F.col("path_id") % 2 == 0, F.lit(True))
-    return rows.select("path_id", "seg_idx", "known", style["weight"].alias("weight"), style["opacity"].alias("opacity"))
+def airport_name_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ports.names_of(ports.deduplicated(_found(Views(spark, sf_dir))))
+    return rows.select("num_airports", F.array_join("airport_names", ",").alias("airport_names"))
+
+
+def _drawn(keep_unknown: bool) -> Query:
+    """The legs of all paths; those whose airports are both unknown have no path info, as data without it would."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = Views(spark, sf_dir)
+        info = v.heads.join(v.airports.select(F.col("code").alias("start_airport")).distinct(), "start_airport", "left_semi")
+        rows = filters.rendered(v.legs.select("path_id", "seg_idx"), info, FilterSpec(year="2025"), keep_unknown=keep_unknown)
+        style = display.segment_style(F.col("registration") == "D-E003", F.lit(True))
+        return rows.select("path_id", "seg_idx", "known", style["weight"].alias("weight"), style["opacity"].alias("opacity"))
+
+    return run
+
+
+_QUERIES["render_filter"] = _drawn(True)
+_QUERIES["render_known"] = _drawn(False)
 
 
 @query
 def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All paths of an airport selected, then each toggled once: what stays of each, and the segments of a year's."""
     v = Views(spark, sf_dir)
-    spec = FilterSpec(year="2025", selected=(1, 4, 7), isolate=True)
-    chosen = filters.filtered_paths(v.heads, spec)
-    kept = filters.filtered_segments(v.segments, chosen)
-    return kept.groupBy("path_id").agg(F.count("*").alias("segments")).withColumn("toggled", F.array_join(F.transform(filters.toggled(F.array(*[F.lit(i).cast("long") for i in (1, 4)]), F.col("path_id")), lambda x: x.cast("string")), ","))
+    chosen = filters.paths_of_airport(v.heads, "EAAD").withColumn("selected", F.lit(True))
+    rows = v.heads.join(chosen, "path_id", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+    kept = filters.filtered_segments(v.segments, rows.where("selected AND year = 2025")).groupBy("path_id").agg(F.count("*").alias("segments"))
+    toggled = filters.toggled(F.when(F.col("selected"), F.array("path_id")).otherwise(F.array().cast("array<bigint>")), F.col("path_id"))
+    return rows.join(kept, "path_id", "left").select("path_id", "selected", "segments", (F.size(toggled) > 0).alias("after"))
 
 
 @query
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.ranges(Views(spark, sf_dir).segments).drop("min_kt", "max_kt")
+    return filters.ranges(Views(spark, sf_dir).segments)
 
 
 @query
@@ -304,8 +370,7 @@ def distinct_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def map_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = Views(spark, sf_dir).points.agg(*[f(x).alias(f"{n}_{x}") for x in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))])
-    return _rounded(b.withColumn("mid_lat", (F.col("min_lat") + F.col("max_lat")) / 2).withColumn("mid_lon", (F.col("min_lon") + F.col("max_lon")) / 2), 8)
+    return _rounded(bounds(Views(spark, sf_dir).points), 8)
 
 
 @query
@@ -315,9 +380,13 @@ def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def combined_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by year, read back year by year as far as there are any, and put together."""
     v = Views(spark, sf_dir)
-    parts = [v.heads.where(F.col("year") == y).select("path_id", "year", "registration") for y in (2024, 2025, 2026)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = fresh_folder(spark, "years")
+    heads = v.heads.select("path_id", "year", "registration")
+    sinks.write_years(v.segments.select("path_id", "seg_idx", "altitude_ft"), heads, out)
+    rows = sinks.combined(spark, out, "segments", sinks.years_of(spark, out))
+    return rows.groupBy("year").agg(F.count("*").alias("segments"), F.count_distinct("path_id").alias("paths"), F.sum("altitude_ft").cast("long").alias("feet"))
 
 
 def _asked(segments: DataFrame) -> DataFrame:
@@ -335,7 +404,24 @@ def replay_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def replay_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Views(spark, sf_dir).segments
-    return _rounded(replay.positions(s, _asked(s)).drop("groundspeed_knots"), 6)
+    return _rounded(replay.positions(s, _asked(s)), 6)
+
+
+@query
+def live_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Views(spark, sf_dir).segments
+    return _rounded(replay.live_positions(s, _asked(s)), 5)
+
+
+@query
+def replay_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each path's bounds, whether its middle and its first corner are near their edge, and half of its replay in per cent."""
+    s = Views(spark, sf_dir).segments
+    rows = replay.bounds(s).join(replay.time_range(s).select("path_id", "last"), "path_id")
+    edges = [F.col(x) for x in ("south", "north", "west", "east")]
+    middle = geo.outside_margin((edges[0] + edges[1]) / 2, (edges[2] + edges[3]) / 2, *edges)
+    corner = geo.outside_margin(edges[0], edges[2], *[edges[0], edges[1] + 1, edges[2], edges[3] + 1])
+    return _rounded(rows.select("path_id", "south", "north", "west", "east", middle.alias("middle_out"), corner.alias("corner_out"), display.progress(F.lit(50.0), F.col("last")).alias("progress")), 8)
 
 
 @query
@@ -346,7 +432,7 @@ def replay_bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def replay_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Views(spark, sf_dir).segments
-    return replay.time_range(s).drop("low_kt", "high_kt").join(replay.valid(s), "path_id")
+    return replay.time_range(s).join(replay.valid(s), "path_id")
 
 
 @query
@@ -395,11 +481,24 @@ def obfuscated_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def obfuscation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose times are not moved, and whose markers hold their start's date, as logs write it, or only its year."""
     rows = _log(spark, sf_dir)
-    marks = rows.select("file", F.lit("Takeoff: 03 Mar 2025 08:58 Z").alias("name")).where("file % 2 = 0").distinct()
+    at = times.parsed(F.col("ts_raw"))
+    marks = rows.where("seq = 1").select("file", F.when(F.second(at) < 30, F.concat(F.lit("Takeoff: "), F.date_format(at, "dd MMM yyyy HH:mm"), F.lit(" Z"))).otherwise(F.concat(F.lit("Takeoff: "), F.date_format(at, "yyyy"), F.lit("-01-01"))).alias("name"))
     return privacy.violations(rows, marks)
 
 
+@query
+def obfuscated_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole log moved to the first of January: its markers' names, and that the check finds nothing any more."""
+    rows = _log(spark, sf_dir)
+    at = times.parsed(F.col("ts_raw"))
+    marks = rows.where("seq = 1").select("file", F.concat(F.lit("Landing: "), F.date_format(at, "dd MMM yyyy HH:mm"), F.lit(" Z")).alias("name"))
+    moved, named = privacy.obfuscated(rows, marks)
+    left = privacy.violations(moved, named).select("file", "reason")
+    return named.join(left, "file", "left").select("file", "name", "reason")
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a log's rows: file, seq, ts_raw."""
     v = Views(spark, sf_dir).points
@@ -429,17 +528,74 @@ def bearings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legs.select("path_id", "seg_idx", F.round(geo.bearing(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")), 4).alias("bearing"))
 
 
-@query
-def xml_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The points of paths written as placemarks and read back."""
-    v = Views(spark, sf_dir).points.select("path_id", "seq", F.col("us"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("alt_m", 2).alias("alt_m"))
+def _written(points: DataFrame, chunk: int = 500) -> DataFrame:
+    """(path_id, part, xml): placemarks of at most `chunk` points each, so that no path has to fit in a row."""
+    v = points.select("path_id", "seq", "us", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("alt_m", 2).alias("alt_m"))
     coord = F.concat(F.lit("<gx:coord>"), F.concat_ws(" ", "lon", "lat", "alt_m"), F.lit("</gx:coord>"))
     when = F.concat(F.lit("<when>"), F.date_format(F.timestamp_micros(F.col("us") * 1000), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z</when>"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.concat(when, coord).alias("x")))), lambda r: r["x"]), "")
-    xml = F.concat(F.lit("<Placemark><name>Track</name><gx:Track>"), body, F.lit("</gx:Track></Placemark>"))
-    rows = v.groupBy("path_id").agg(xml.alias("xml")).select(F.col("path_id").cast("string").alias("file"), F.lit(0).alias("at"), "xml")
-    out = kml.track_points(kml.from_text(rows))
-    return out.select(F.col("file").cast("long").alias("path_id"), (F.col("seq") + 1).alias("seq"), "lat", "lon", "alt_m", F.col("ts").isNotNull().alias("timed"))
+    xml = F.concat(F.lit("<Placemark><name>EDDF - EDDM</name><gx:Track>"), body, F.lit("</gx:Track></Placemark>"))
+    return v.groupBy("path_id", F.floor((F.col("seq") - 1) / chunk).alias("part")).agg(xml.alias("xml"))
+
+
+def _read_back(out: DataFrame) -> DataFrame:
+    return out.select(F.col("file").cast("long").alias("path_id"), (F.col("seq") + 1).alias("seq"), "lat", "lon", "alt_m", F.unix_micros("ts").alias("micros"))
+
+
+@query
+def xml_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of paths written as placemarks and read back from text."""
+    rows = _written(Views(spark, sf_dir).points).select(F.col("path_id").cast("string").alias("file"), F.col("part").alias("at"), "xml")
+    return _read_back(kml.track_points(kml.from_text(rows)))
+
+
+@query
+def kml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of paths written as files, one a path, of several placemarks, among them a marker, and read back."""
+    folder = fresh_folder(spark, "kml")
+    parts = _written(Views(spark, sf_dir).points)
+    head = parts.select("path_id").distinct()
+    line = lambda at, text: head.select("path_id", F.lit(at).cast("long").alias("part"), F.lit(text).alias("xml"))
+    open_, mark = '<kml xmlns="http://www.opengis.net/kml/2.2" xmlns:gx="http://www.google.com/kml/ext/2.2"><Document>', "<Placemark><name>Log Start: 03 Mar 2025 08:58 Z</name><Point><coordinates>1.5,2.5,3.5</coordinates></Point></Placemark>"
+    lines = parts.union(line(-2, open_)).union(line(-1, mark)).union(line(2**40, "</Document></kml>"))
+    lines.repartition("path_id").sortWithinPartitions("path_id", "part").drop("part").write.partitionBy("path_id").text(folder)
+    marks = kml.placemarks(spark, folder, "*", named_by=r"path_id=(\d+)")
+    return _read_back(kml.track_points(marks).where("kind = 'track'"))
+
+
+@query
+def kml_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What files of both dialects say of their paths: a track's times, or a charter's description and name."""
+    v = Views(spark, sf_dir)
+    at = F.timestamp_micros(F.col("us") * 1000)
+    first = v.points.where("seq <= 2").groupBy("path_id").agg(F.min(at).alias("t0"), F.max(at).alias("t1"))
+    iso = lambda x: F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    track = F.concat(F.lit("<Placemark><name>"), "airport_name", F.lit("</name><gx:Track><when>"), iso("t0"), F.lit("</when><when>"), iso("t1"), F.lit("</when><gx:coord>8 50 1</gx:coord><gx:coord>8 51 2</gx:coord></gx:Track></Placemark>"))
+    line = F.concat(F.lit("<Placemark><name>"), "registration", F.lit("</name><description>Flight "), F.date_format("t0", "MMM d yyyy hh:mma"), F.lit(" path</description><LineString><coordinates>8.5,50.25,100 bad 8.75,50.5,200 9,51</coordinates></LineString></Placemark>"))
+    rows = v.paths.join(first, "path_id").select(F.col("filename").alias("file"), F.lit(0).alias("at"), F.when(F.col("filename").startswith("2026"), line).otherwise(track).alias("xml"))
+    marks = kml.from_text(rows)
+    count = kml.track_points(marks).groupBy("file").agg(F.count("*").alias("points"), F.count("alt_m").alias("with_altitude"), F.round(F.sum("lon"), 4).alias("lon"))
+    return kml.metadata(marks).drop("at").join(count, "file")
+
+
+@query
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and notes of parts' prices and sizes, and of customers' names in markup."""
+    p = adapters.table(spark, sf_dir, "part")
+    x, s = F.col("p_retailprice"), F.col("p_size").cast("double")
+    marked = F.concat(F.lit("<b class='x'>"), F.col("p_name"), F.lit(' & "'), F.col("p_brand"), F.lit('"</b>'))
+    return p.select("p_partkey", display.altitude_legend(x * 3).alias("altitude"), display.speed_legend(s * 2).alias("speed"), display.distance_legend(s * 7 + 0.26).alias("trip"), display.altitude_label(x + 0.3).alias("feet"), display.distance_label(s * 3 + 0.26, 1).alias("km"), display.nearest_fifty(x * 3).alias("note_ft"), display.track_label(F.floor(s * 7).cast("double")).alias("track"), display.to_rgba(F.lit("rgb(1,2,3)"), 0.15).alias("rgba"), display.escaped(marked).alias("markup"), names.flag(F.substring("p_brand", 1, 2)).alias("flag"))
+
+
+@query
+def url_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States written as query strings and read again: good ones, and ones with bad parts that go."""
+    texts = ("?y=2025&a=D-E001&p=1,2,x&v=110101&lat=50.5&lng=8.25&z=99", "lat=95&lng=abc&z=0&v=12&y=", "", "p=7&z=7.9&v=1111111111", "y=2024&lng=-180&lat=-90")
+    rows = []
+    for text in texts:
+        spec = FilterSpec.from_query_string(text)
+        rows.append((text, spec.year, spec.aircraft, ",".join(map(str, spec.selected)), spec.visible, spec.lat, spec.lng, spec.zoom, spec.to_query_string(), spec == FilterSpec.from_query_string(spec.to_query_string()), spec.data_key("path-info")))
+    return spark.createDataFrame(rows, "text string, year string, aircraft string, selected string, visible string, lat double, lng double, zoom int, written string, same boolean, data_key string")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

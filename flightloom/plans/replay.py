@@ -48,6 +48,26 @@ def positions(segments: DataFrame, asked: DataFrame, least_step: float = 0.001)
     return rows.select("path_id", "t", mid(F.col("lat2"), nxt["lat1"]).alias("lat"), mid(F.col("lon2"), nxt["lon1"]).alias("lon"), mid(F.col("altitude_m"), nxt["altitude_m"]).alias("altitude_m"), mid(F.col("groundspeed_knots"), nxt["groundspeed_knots"]).alias("groundspeed_knots"))
 
 
+def live_positions(segments: DataFrame, asked: DataFrame) -> DataFrame:
+    """(path_id, t, lat, lon, bearing) as a running replay shows them: between two segments in proportion to the whole time
+    between their starts, without a least step, looking at the next start; at rest the segment's end and own direction."""
+    rows = as_of(segments, asked)
+    nxt = F.col("following")
+    moving = nxt.isNotNull() & (F.col("time") < F.col("t"))
+    share = F.try_divide(F.col("t") - F.col("time"), nxt["time"] - F.col("time"))
+    at = lambda a, b: F.when(moving, a + (b - a) * share).otherwise(a)
+    ahead = bearing(F.col("lat2"), F.col("lon2"), nxt["lat1"], nxt["lon1"])
+    own = bearing(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    return rows.select("path_id", "t", at(F.col("lat2"), nxt["lat1"]).alias("lat"), at(F.col("lon2"), nxt["lon1"]).alias("lon"), F.when(moving, ahead).otherwise(own).alias("bearing"))
+
+
+def bounds(segments: DataFrame) -> DataFrame:
+    """(path_id, south, north, west, east) of both ends of each path's timed segments."""
+    low = lambda x: F.least(F.min(f"{x}1"), F.min(f"{x}2"))
+    high = lambda x: F.greatest(F.max(f"{x}1"), F.max(f"{x}2"))
+    return timed(segments).groupBy("path_id").agg(low("lat").alias("south"), high("lat").alias("north"), low("lon").alias("west"), high("lon").alias("east"))
+
+
 def smoothed_bearings(segments: DataFrame) -> DataFrame:
     """(path_id, seg_idx, bearing) from a segment's end to the start of the fifth one on, or of the last; the last
     segment's own direction at the end."""

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flightloom.functions.names import aircraft_from_filename
 from flightloom.functions.times import charter_start, date_in_name, parsed, year_of
 
-_TRACK = "struct<when:array<string>,`gx:coord`:array<string>,coord:array<string>>"
-_SHAPE = "struct<coordinates:string>"
-#: One element of both dialects; what an element lacks is null. Text stays text: inference would cut timestamps.
-PLACEMARK = f"name string, description string, TimeStamp struct<when:string>, Point {_SHAPE}, LineString {_SHAPE}, `gx:Track` {_TRACK}, Track {_TRACK}"
+_TRACKS = "array<struct<when:array<string>,coord:array<string>>>"
+_SHAPES = "array<struct<coordinates:string>>"
+_GEOMETRY = f"Point:{_SHAPES},LineString:{_SHAPES},LinearRing:{_SHAPES},Track:{_TRACKS},MultiTrack:array<struct<Track:{_TRACKS}>>"
+_NESTED = f"array<struct<{_GEOMETRY},MultiGeometry:array<struct<{_GEOMETRY}>>>>"
+#: One element of every dialect: prefixes of names do not count, any geometry may repeat, collections may hold collections
+#: once. What an element lacks is null. Text stays text: inference would cut timestamps.
+PLACEMARK = f"name string, description string, TimeStamp struct<when:string>, {_GEOMETRY.replace(':array', ' array')}, MultiGeometry {_NESTED}"
+_OPTIONS = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
@@ -19,39 +26,88 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
 
 
-def placemarks(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, placemark) for each placemark of the *.kml files under `path`; malformed files give nothing."""
-    raw = spark.read.format("xml").schema(PLACEMARK).option("rowTag", "Placemark").option("mode", "PERMISSIVE").option("pathGlobFilter", "*.[kK][mM][lL]").load(path)
+def file_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, file, bytes, modified, fault) of each file in a folder: what is wrong with it as a log, null if nothing. File
+    contents are not read; empty files are not listed."""
+    rows = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    fault = F.when(~F.lower(name).endswith(".kml"), "not a .kml file")
+    return rows.select("path", F.url_decode(name).alias("file"), "bytes", "modified", fault.alias("fault"))
+
+
+def placemarks(spark: SparkSession, path: str | list[str], glob: str = "*.[kK][mM][lL]", named_by: str | None = None) -> DataFrame:
+    """(file, at, placemark) for each placemark of the files under `path`: `at` is its place in the file, from 0, however
+    the file was split. Malformed placemarks give nothing. `file` is the file's name, or what group 1 of `named_by` finds in
+    its path. One shuffle by file; a file's placemarks are sorted together."""
+    raw = spark.read.format("xml").schema(PLACEMARK).option("rowTag", "Placemark").options(**_OPTIONS).option("pathGlobFilter", glob).load(path)
     names = [f.name for f in raw.schema]
-    rows = raw.select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("placemark"))
-    return rows.where("placemark.name IS NOT NULL OR placemark.Point IS NOT NULL OR placemark.LineString IS NOT NULL OR placemark.`gx:Track` IS NOT NULL OR placemark.Track IS NOT NULL")
+    file = F.col("_metadata.file_name") if named_by is None else F.regexp_extract("_metadata.file_path", named_by, 1)
+    rows = raw.select(file.alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("number"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("placemark"))
+    rows = rows.where(" OR ".join(f"placemark.{n} IS NOT NULL" for n in names))
+    # Within a block the reader keeps the order of the file.
+    order = Window.partitionBy("file").orderBy("path", "block", "number")
+    return rows.withColumn("at", (F.row_number().over(order) - 1).cast("long")).select("file", "at", "placemark")
 
 
 def from_text(rows: DataFrame) -> DataFrame:
     """(file, at, placemark) from (file, at, xml), one placemark's text a row."""
-    return rows.select("file", "at", F.from_xml("xml", PLACEMARK, {"mode": "PERMISSIVE"}).alias("placemark"))
+    return rows.select("file", F.col("at").cast("long").alias("at"), F.from_xml("xml", PLACEMARK, _OPTIONS).alias("placemark"))
 
 
-def _track() -> tuple[Column, Column]:
-    p = F.col("placemark")
-    track = F.coalesce(p["gx:Track"], p["Track"])
-    coords = F.coalesce(track["gx:coord"], track["coord"])
-    # Times count only if there is one for each coordinate.
-    return F.when(F.size(track["when"]) == F.size(coords), track["when"]), coords
+def _each(found: Column, get) -> Column:
+    """An array of what `get` finds in each element, none for null."""
+    return F.coalesce(F.transform(found, get), F.array())
+
+
+def _within(p: Column, own) -> Column:
+    """What `own` finds in a placemark itself, in its collections, and in theirs."""
+    deep = lambda m: F.concat(own(m), F.flatten(_each(m["MultiGeometry"], own)))
+    return F.concat(own(p), F.flatten(_each(p["MultiGeometry"], deep)))
+
+
+def _shapes(p: Column) -> Column:
+    return _within(p, lambda g: F.concat(*[_each(g[kind], lambda x: x["coordinates"]) for kind in ("Point", "LineString", "LinearRing")]))
+
+
+def _tracks(p: Column) -> Column:
+    return _within(p, lambda g: F.concat(F.coalesce(g["Track"], F.array()), F.flatten(_each(g["MultiTrack"], lambda m: F.coalesce(m["Track"], F.array())))))
 
 
 def track_points(marks: DataFrame) -> DataFrame:
-    """(file, at, seq, lat, lon, alt_m, ts_raw, kind) of both dialects: `lon,lat[,alt]` tokens parted by blanks, and
-    `lon lat alt` coordinates beside their times. Tokens that hold no numbers are left out; altitude may be missing."""
-    whens, coords = _track()
+    """(file, at, element, seq, lat, lon, alt_m, ts_raw, kind, ts) of both dialects.
+
+    Each `coordinates` element is a path of `lon,lat[,alt]` tokens parted by blanks. All track coordinates of a file, `lon
+    lat alt`, are one path, at the first placemark that has any; they have times only if the file has as many times as
+    coordinates, the i-th for the i-th. Tokens that hold no numbers are left out; altitude may be missing.
+    """
     p = F.col("placemark")
-    tokens = F.filter(F.split(F.trim(F.coalesce(p["LineString"]["coordinates"], p["Point"]["coordinates"], F.lit(""))), r"\s+"), lambda t: t != "")
-    plain = marks.select("file", "at", F.posexplode(tokens).alias("seq", "token")).withColumn("part", F.split("token", ",")).withColumn("ts_raw", F.lit(None).cast("string")).withColumn("kind", F.lit("coordinates"))
-    track = marks.select("file", "at", whens.alias("whens"), F.posexplode(coords).alias("seq", "token"))
-    track = track.withColumn("part", F.split(F.trim("token"), r"\s+")).withColumn("ts_raw", F.trim(F.get("whens", F.col("seq")))).withColumn("kind", F.lit("track")).drop("whens")
+    shaped = marks.select("file", "at", F.posexplode(_shapes(p)).alias("element", "text"))
+    tokens = F.filter(F.split(F.trim("text"), r"\s+"), lambda t: t != "")
+    plain = shaped.select("file", "at", "element", F.posexplode(tokens).alias("seq", "token")).withColumn("seq", F.col("seq").cast("long"))
+    plain = plain.withColumn("part", F.split("token", ",")).withColumn("ts_raw", F.lit(None).cast("string")).withColumn("kind", F.lit("coordinates"))
+    held = marks.select("file", "at", F.flatten(_each(_tracks(p), lambda t: F.coalesce(t["when"], F.array()))).alias("whens"), F.flatten(_each(_tracks(p), lambda t: F.coalesce(t["coord"], F.array()))).alias("coords"))
+    in_file = Window.partitionBy("file")
+    before = in_file.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    n, k = F.size("coords"), F.size("whens")
+    held = held.where((n > 0) | (k > 0)).select(
+        "file",
+        F.min(F.when(n > 0, F.col("at"))).over(in_file).alias("at"),
+        "whens",
+        "coords",
+        F.coalesce(F.sum(n).over(before), F.lit(0)).alias("start"),
+        F.coalesce(F.sum(k).over(before), F.lit(0)).alias("when_start"),
+        (F.sum(n).over(in_file) == F.sum(k).over(in_file)).alias("even"),
+        (F.max(F.abs(n - k)).over(in_file) == 0).alias("aligned"),
+    )
+    token = held.select("file", "at", "even", "aligned", "start", F.when(F.col("aligned"), F.col("whens")).alias("whens"), F.posexplode("coords").alias("i", "token"))
+    track = token.select("file", "at", F.lit(0).alias("element"), (F.col("start") + F.col("i")).alias("seq"), "token", F.when(F.col("aligned"), F.get("whens", F.col("i"))).alias("own"), "even", "aligned")
+    # Times that stand in other placemarks than their coordinates meet them by number.
+    apart = held.where("even AND NOT aligned").select("file", F.col("when_start"), F.posexplode("whens").alias("i", "other")).select("file", (F.col("when_start") + F.col("i")).alias("seq"), "other")
+    track = track.join(apart, ["file", "seq"], "left").withColumn("ts_raw", F.trim(F.when(F.col("aligned"), F.col("own")).when(F.col("even"), F.col("other"))))
+    track = track.withColumn("part", F.split(F.trim("token"), r"\s+")).withColumn("kind", F.lit("track")).select(plain.columns)
     both = plain.unionByName(track)
     at = lambda i: _number(F.get("part", F.lit(i)))
-    rows = both.select("file", "at", "seq", at(1).alias("lat"), at(0).alias("lon"), at(2).alias("alt_m"), "ts_raw", "kind")
+    rows = both.select("file", "at", "element", "seq", at(1).alias("lat"), at(0).alias("lon"), at(2).alias("alt_m"), "ts_raw", "kind")
     return rows.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("ts", parsed(F.col("ts_raw")))
 
 
@@ -60,7 +116,8 @@ def metadata(marks: DataFrame) -> DataFrame:
     first and last time, else a date in its name, else its description; a charter's route replaces names not of four
     letters."""
     p = F.col("placemark")
-    track = F.coalesce(p["gx:Track"]["when"], p["Track"]["when"], F.when(p["TimeStamp"]["when"].isNotNull(), F.array(p["TimeStamp"]["when"])))
+    own = F.flatten(_each(_tracks(p), lambda t: F.coalesce(t["when"], F.array())))
+    track = F.when(F.size(own) > 0, own).when(p["TimeStamp"]["when"].isNotNull(), F.array(p["TimeStamp"]["when"]))
     name = F.trim(p["name"])
     timestamp = F.coalesce(F.trim(F.get(track, F.lit(0))), date_in_name(name), charter_start(p["description"]))
     craft = aircraft_from_filename(F.col("file"))
@@ -75,6 +132,37 @@ def files_in_order(files: DataFrame) -> DataFrame:
     return files.withColumn("place", F.struct((number == "").alias("last"), F.when(number != "", number.try_cast("bigint")).alias("number"), F.col("file").alias("name")))
 
 
+def known_files(spark: SparkSession, store: str) -> DataFrame:
+    """(file, modified, batch) of the files that parse_new() has parsed into `store`."""
+    try:
+        return spark.read.schema("file string, modified timestamp, batch string").parquet(f"{store}/files")
+    except AnalysisException:
+        return spark.createDataFrame([], "file string, modified timestamp, batch string")
+
+
+def parse_new(spark: SparkSession, source: str, store: str) -> int:
+    """Parses the logs under `source` that are new or changed since the last call, by name and time of change, into
+    `store`: their points and metadata as Parquet, a folder a call. Gives the number of files parsed.
+
+    The names of new files reach the driver, as any listing does; their contents are read once.
+    """
+    batch = uuid.uuid4().hex
+    listed = file_report(spark, source).where("fault IS NULL")
+    new = [(r["path"], r["file"], r["modified"]) for r in listed.join(known_files(spark, store), ["file", "modified"], "left_anti").toLocalIterator()]
+    if new:
+        marks = placemarks(spark, [path for path, _, _ in new])
+        track_points(marks).write.parquet(f"{store}/points/batch={batch}")
+        metadata(marks).write.parquet(f"{store}/metadata/batch={batch}")
+        spark.createDataFrame([(file, at, batch) for _, file, at in new], "file string, modified timestamp, batch string").coalesce(1).write.mode("append").parquet(f"{store}/files")
+    return len(new)
+
+
+def parsed_store(spark: SparkSession, store: str, name: str) -> DataFrame:
+    """The `points` or `metadata` of a store: of each file what its last parse gave."""
+    last = known_files(spark, store).groupBy("file").agg(F.max_by("batch", "modified").alias("batch"))
+    return spark.read.parquet(f"{store}/{name}").join(last, ["file", "batch"], "left_semi").drop("batch")
+
+
 def aircraft_models(spark: SparkSession, path: str) -> DataFrame:
     """(registration, model) of a JSON object."""
     text = spark.read.text(path, wholetext=True)

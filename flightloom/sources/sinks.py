@@ -7,10 +7,34 @@ from pyspark.sql import functions as F
 
 
 def write_years(segments: DataFrame, info: DataFrame, out: str) -> None:
-    """Segments and path info as Parquet, a folder a year; a path without year goes to the null folder. Overwrites."""
+    """Segments and path info as Parquet, a folder a year; a path without year goes to the null folder. Overwrites.
+
+    Rows are rebalanced by year: a task writes one year, as many tasks to a year as its rows ask for.
+    """
     with_year = segments.join(info.select("path_id", "year"), "path_id", "left")
     for name, df in (("segments", with_year), ("path_info", info)):
-        df.repartition("year", F.pmod(F.xxhash64("path_id"), F.lit(32))).write.mode("overwrite").partitionBy("year").parquet(f"{out}/{name}")
+        df.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(f"{out}/{name}")
+
+
+def years_of(spark: SparkSession, out: str) -> list[int]:
+    """The years of a dataset, in order: a folder each."""
+    rows = spark.read.parquet(f"{out}/path_info").where("year IS NOT NULL").select("year").distinct()
+    return sorted(r["year"] for r in rows.collect())
+
+
+def combined(spark: SparkSession, out: str, name: str, years: list[int]) -> DataFrame:
+    """The parts of some years in one table; years that are not there add nothing."""
+    return read_year(spark, out, name).where(F.col("year").isin(*years))
+
+
+def read_airports(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema("lat double, lon double, name string, flight_count long, country string").json(f"{out}/airports")
+
+
+def read_metadata(spark: SparkSession, out: str) -> DataFrame:
+    """available_years and the statistics, one column each."""
+    rows = spark.read.json(f"{out}/metadata")
+    return rows.select("available_years", "stats.*")
 
 
 def read_year(spark: SparkSession, out: str, name: str, year: str = "all") -> DataFrame:

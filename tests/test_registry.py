@@ -42,7 +42,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(oracle.oracle_sql()) <= set(registry.queries())
-    assert set(registry.queries()) - set(oracle.oracle_sql()) == {"fun_facts", "airport_dedupe", "airport_dedupe_in_order"}
+    assert set(registry.queries()) - set(oracle.oracle_sql()) == {"airport_dedupe_in_order"}
 
 
 def test_the_flagship_query_has_a_stable_schema(spark):

@@ -2,12 +2,15 @@
 
 import json
 import math
+import os
+import random
 
 import pytest
 
-from flightloom.operators import tracks
+from flightloom.operators import airports, tracks
+from flightloom.plans import filters
 from flightloom.plans.build import build
-from flightloom.sources import sinks
+from flightloom.sources import kml, sinks
 
 SCHEMA = "path_id long, seq int, us long, lat double, lon double, alt_m double"
 
@@ -43,6 +46,98 @@ def test_empty_tables(spark):
     assert tracks.flight_phases(empty).count() == 0
 
 
+def log(*placemarks):
+    return '<kml xmlns="http://www.opengis.net/kml/2.2" xmlns:gx="http://www.google.com/kml/ext/2.2"><Document>' + "".join(placemarks) + "</Document></kml>"
+
+
+def test_geometries_at_any_depth_and_one_track_a_file(spark, tmp_path):
+    point = lambda i: f"<gx:coord>8.{i} 50.{i} {100 + i}</gx:coord>"
+    when = lambda i: f"<when>2025-03-01T10:0{i}:00Z</when>"
+    multi = "<Placemark><name>Many</name><MultiGeometry><LineString><coordinates>1,2,3 4,5,6</coordinates></LineString><LineString><coordinates>7,8</coordinates></LineString><MultiGeometry><Point><coordinates>9,10,11</coordinates></Point></MultiGeometry></MultiGeometry></Placemark>"
+    first = f"<Placemark><name>EDDF - EDDM</name><gx:Track>{when(0)}{when(1)}{point(0)}{point(1)}</gx:Track></Placemark>"
+    second = f"<Placemark><name>Later</name><gx:MultiTrack><gx:Track>{when(2)}{point(2)}</gx:Track><gx:Track>{when(3)}{point(3)}</gx:Track></gx:MultiTrack></Placemark>"
+    apart = f"<Placemark><name>Times</name><gx:Track>{when(0)}{when(1)}{when(2)}</gx:Track></Placemark><Placemark><name>Places</name><gx:Track>{point(0)}{point(1)}{point(2)}</gx:Track></Placemark>"
+    fewer = f"<Placemark><name>x</name><gx:Track>{when(0)}{point(0)}{point(1)}</gx:Track></Placemark>"
+    for name, text in (("a.kml", log(multi, first, second)), ("b.KML", log(apart)), ("c.kml", log(fewer)), ("d.kml", log(first).replace("gx:", "")), ("e.txt", log(first)), ("f.kml", "")):
+        (tmp_path / name).write_text(text)
+    marks = kml.placemarks(spark, str(tmp_path))
+    rows = kml.track_points(marks).collect()
+    of = lambda file, kind: sorted((r for r in rows if r["file"] == file and r["kind"] == kind), key=lambda r: (r["at"], r["element"], r["seq"]))
+    assert [(r["lon"], r["alt_m"], r["at"]) for r in of("a.kml", "coordinates")] == [(1, 3, 0), (4, 6, 0), (7, None, 0), (9, 11, 0)]
+    assert len({r["element"] for r in of("a.kml", "coordinates")}) == 3
+    assert [(r["at"], r["seq"], r["alt_m"], r["ts_raw"]) for r in of("a.kml", "track")] == [(1, i, 100 + i, f"2025-03-01T10:0{i}:00Z") for i in range(4)]
+    assert [(r["at"], r["seq"], r["ts_raw"]) for r in of("b.KML", "track")] == [(1, i, f"2025-03-01T10:0{i}:00Z") for i in range(3)]
+    assert [r["ts_raw"] for r in of("c.kml", "track")] == [None, None] and len(of("d.kml", "track")) == 2
+    report = {r["file"]: r["fault"] for r in kml.file_report(spark, str(tmp_path)).collect()}
+    assert report == {"a.kml": None, "b.KML": None, "c.kml": None, "d.kml": None, "e.txt": "not a .kml file"}
+
+
+def test_only_new_and_changed_logs_are_parsed(spark, tmp_path):
+    logs, store = tmp_path / "logs", str(tmp_path / "store")
+    logs.mkdir()
+    track = lambda n: log("<Placemark><name>A</name><LineString><coordinates>" + " ".join(f"{i},{i},{i}" for i in range(n)) + "</coordinates></LineString></Placemark>")
+    (logs / "1_x.kml").write_text(track(2))
+    (logs / "2_y.kml").write_text(track(3))
+    assert kml.parse_new(spark, str(logs), store) == 2 and kml.parse_new(spark, str(logs), store) == 0
+    (logs / "2_y.kml").write_text(track(5))
+    os.utime(logs / "2_y.kml", (2_000_000_000, 2_000_000_000))
+    (logs / "3_z.kml").write_text(track(1))
+    assert kml.parse_new(spark, str(logs), store) == 2
+    counts = {r["file"]: r["count"] for r in kml.parsed_store(spark, store, "points").groupBy("file").count().collect()}
+    assert counts == {"1_x.kml": 2, "2_y.kml": 5, "3_z.kml": 1}
+    assert kml.parsed_store(spark, store, "metadata").count() == 3
+
+
+def plain_airports(rows):
+    """Candidates one after another, as the order-bound rule reads: the places founded."""
+    grid, found = {}, []
+    for _, _, _, lat, lon in sorted(rows):
+        at = (math.floor(lat / 0.018), math.floor(lon / 0.018))
+        near = (i for a in (-1, 0, 1) for b in (-1, 0, 1) for i in grid.get((at[0] + a, at[1] + b), ()))
+        if not any(haversine(found[i], (lat, lon)) < 1.5 for i in near):
+            grid.setdefault(at, []).append(len(found))
+            found.append((lat, lon))
+    return found
+
+
+def test_airports_in_order_match_a_plain_walk(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(1, 2), i, rng.random() < 0.5, round(50 + rng.random() * 0.2, 5), round(8 + rng.random() * 0.2, 5)) for i in range(150)]
+    df = spark.createDataFrame([(p, i, f"EDDF - EDD{chr(65 + i % 26)}", lat, lon, f"t{i % 40}", e) for p, i, e, lat, lon in rows], "pass int, path_id long, name string, lat double, lon double, timestamp string, at_end boolean")
+    got = airports.deduplicated_in_order(df).collect()
+    assert sorted((r["lat"], r["lon"]) for r in got) == sorted(plain_airports(rows))
+    joined = airports.deduplicated(df).collect()
+    assert 0 < len(joined) < len(got) and sum(r["visits"] for r in joined) >= 40
+
+
+def test_places_meet_across_the_180th_meridian_and_near_poles(spark):
+    rng = random.Random(5)
+    places = [(rng.choice((0, 45, 70, 86)) + rng.random() * 0.05, x) for x in [180 - rng.random() * 0.05 for _ in range(60)] + [-180 + rng.random() * 0.05 for _ in range(60)]] + [(10.0, 180.0), (10.0, -180.0)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(places)], "number long, lat double, lon double")
+    want = {(i, j) for i in range(len(places)) for j in range(i + 1, len(places)) if haversine(places[i], places[j]) < 1.5}
+    assert any((places[i][1] > 0) != (places[j][1] > 0) for i, j in want)
+    assert {(r["a"], r["b"]) for r in airports.near_pairs(df).collect()} == want
+
+
+def test_gain_between_paths_follows_their_order(spark):
+    rng = random.Random(2)
+    rows = [(p, s, rng.choice((None, 10.0, 40.0, 90.0))) for p in range(40) for s in range(rng.randint(1, 4))] + [(99, 0, None)]
+    whole = [a for _, _, a in sorted(rows, key=lambda r: r[:2]) if a is not None]
+    df = spark.createDataFrame([(p, s, a, 1.0, 5.0, None) for p, s, a in rows], "path_id long, seg_idx long, altitude_m double, km double, groundspeed_knots double, time double")
+    assert filters.gain_across(df).first()["gain_m"] == sum(max(0, b - a) for a, b in zip(whole, whole[1:]))
+    assert filters.gain_across(df.where("path_id > 1000")).first()["gain_m"] == 0
+
+
+def test_airport_table_and_models(spark, tmp_path):
+    (tmp_path / "airports.csv").write_text("ident,name,latitude_deg,longitude_deg,iso_country\nEDDF,Frankfurt Airport,50.03,8.57,DE\nEDDF,Frankfurt,50.04,8.58,DE\nXX,Short,1,2,FR\nEDDM,,48,11,DE\nEDDN,Bad,x,11,DE\n")
+    rows = airports.lookup(spark, str(tmp_path / "airports.csv"))
+    assert [(r["code"], r["name"], r["lat"]) for r in rows.orderBy("number").collect()] == [("EDDF", "Frankfurt Airport", 50.03), ("EDDF", "Frankfurt", 50.04)]
+    (tmp_path / "aircraft.json").write_text('{"D-EAGJ": "Diamond DA20", "D-EXYZ": "Cessna"}')
+    assert {tuple(r) for r in kml.aircraft_models(spark, str(tmp_path / "aircraft.json")).collect()} == {("D-EAGJ", "Diamond DA20"), ("D-EXYZ", "Cessna")}
+    made = kml.synthetic_points(spark, 3, 20).toPandas()
+    assert len(made) == 60 and made["alt_m"].between(0, 1800).all()
+
+
 def test_build_from_logs(spark, tmp_path):
     logs, out = tmp_path / "logs", str(tmp_path / "out")
     logs.mkdir()
@@ -56,6 +151,10 @@ def test_build_from_logs(spark, tmp_path):
     assert len(segments) == 29 and (segments["groundspeed_knots"] > 0).all()
     assert sinks.read_year(spark, out, "segments", "2024").count() == 0
     meta = json.loads(spark.read.text(f"{out}/metadata").first()[0])
-    assert meta["available_years"] == [2025]
+    assert meta["available_years"] == [2025] and meta["stats"]["max_lat"] == 50.0
+    assert sinks.years_of(spark, out) == [2025] and sinks.read_metadata(spark, out).first()["num_paths"] == 1
+    known = spark.createDataFrame([(1, "EDDF", "Frankfurt Airport", 50.0, 8.0, "DE")], "number long, code string, name string, lat double, lon double, country string")
+    build(spark, str(logs), out, known)
+    assert [(r["flight_count"], r["country"]) for r in sinks.read_airports(spark, out).where("country IS NOT NULL").collect()] == [(1, "DE")]
     with pytest.raises(ValueError):
         sinks.read_year(spark, out, "segments", "../x")
