@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightloom.llm.common import RollingHash, WordHashes, mix64, settled, words_of
@@ -29,9 +30,6 @@ class Paths:
         self.window, self.anchor = window, anchor
         self.words, self.rolling = WordHashes(), RollingHash()
 
-    def hashes(self, text: str | None) -> np.ndarray:
-        return self.words.array(words_of(text))
-
     def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """anchor hash, path hash, first and last window start of each path; the rolling prefix of the text."""
         prefix = self.rolling.prefix(hashes)
@@ -65,14 +63,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("doc_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
 
 
+class Bytes:
+    """A second hash of word ranges, from their bytes: what the rolling hash finds equal is held against it."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.joined = b" ".join(words)
+        self.ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+
+    def hashes(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        starts = np.where(first > 0, self.ends[first - 1] + 1, 0) if len(first) else first
+        ends = self.ends[stop - 1] if len(stop) else stop
+        return np.fromiter((xxhash.xxh3_64_intdigest(self.joined[a:b], 10) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(first)).view(np.int64)
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_key, start, stop): word ranges of windows that also start in a document with a smaller doc_id.
 
-    1. Every text is cut into paths, one row each: anchor, path hash, source coordinates. 2. Path rows are aggregated to
-    the distinct paths of each anchor with the smallest doc_id of each; anchors met once drop out. 3. A join brings this
-    back to the coordinates. A path whose words also lie in a smaller document is repeated as a whole: it stays compact,
-    one span. An anchor with several distinct paths is a branching node: the first carriers of its paths are opened into
-    single edges. 4. Edges are aggregated and joined in the same way, within their anchor, so equality rests on 128 bits.
+    1. Every text is cut into paths, one row each: anchor, two hashes of its words, source coordinates. 2. Path rows are
+    aggregated to the distinct paths of each anchor with the smallest doc_id of each; anchors met once drop out. 3. A join
+    brings this back to the coordinates. A path whose words also lie in a smaller document is repeated as a whole; repeated
+    paths that always follow each other are compacted(), so a long passage is one span. An anchor with several distinct
+    paths is a branching node: the first carriers of its paths are opened into single edges. 4. Edges are aggregated and
+    joined in the same way, within their anchor. Equality rests on a hash of word hashes and on one of the bytes between
+    the coordinates, 64 bits each.
     """
     rows = _keyed(docs)
 
@@ -81,15 +94,21 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         for pdf in parts:
             for at in range(0, len(pdf), 1000):
                 part = pdf.iloc[at : at + 1000]
-                found = [paths.of(paths.hashes(t))[:4] for t in part["text"]]
+                found = []
+                for text in part["text"]:
+                    words = words_of(text)
+                    anchors, path, first, last, _ = paths.of(paths.words.array(words))
+                    found.append((anchors, path, first, last, np.arange(len(first)), Bytes(words).hashes(first, last + window)))
                 count = [len(x[0]) for x in found]
-                joined = [np.concatenate(x) if x else np.zeros(0) for x in zip(*found, strict=True)] or [np.zeros(0)] * 4
+                joined = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0)] * 6
                 yield pd.DataFrame(
                     {
                         "anchor": joined[0].astype(np.uint64).view(np.int64),
                         "path": joined[1].astype(np.uint64).view(np.int64),
+                        "bytes": joined[5].astype(np.int64),
                         "first": joined[2].astype(np.int32),
                         "last": joined[3].astype(np.int32),
+                        "turn": joined[4].astype(np.int32),
                         "doc_id": part["doc_id"].repeat(count).to_numpy(),
                         "doc_key": part["doc_key"].repeat(count).to_numpy(),
                     }
@@ -97,13 +116,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
     # Null ids are never smaller than another and have none smaller: such rows neither remove nor lose words.
     source = rows.where(F.col("doc_id").isNotNull())
-    paths = source.mapInPandas(cut, "anchor long, path long, first int, last int, doc_id long, doc_key long")
-    distinct = paths.groupBy("anchor", "path").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n"))
-    nodes = settled(distinct)
+    paths = settled(source.mapInPandas(cut, "anchor long, path long, bytes long, first int, last int, turn int, doc_id long, doc_key long"))
+    same = ["anchor", "path", "bytes"]
+    nodes = settled(paths.groupBy(*same).agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")))
     shared = nodes.groupBy("anchor").agg(F.count("*").alias("branches"), F.sum("n").alias("total")).where("total > 1")
-    known = settled(nodes.join(shared.select("anchor", "branches"), "anchor").select("anchor", "path", "lowest", "branches"))
-    located = settled(paths.join(known, ["anchor", "path"]).where("lowest < doc_id or branches > 1"))
-    whole = located.where("lowest < doc_id").select("doc_key", F.col("first").alias("start"), (F.col("last") + window).alias("stop"))
+    known = settled(nodes.join(shared.select("anchor", "branches"), "anchor").select(*same, "lowest", "branches"))
+    located = settled(paths.join(known, same).where("lowest < doc_id or branches > 1"))
+    repeated = located.where("lowest < doc_id").select(F.xxhash64(*same).alias("node"), "doc_key", "turn", "first", "last")
+    whole = compacted(repeated).select("doc_key", F.col("first").alias("start"), (F.col("last") + window).alias("stop"))
 
     carriers = located.where("lowest = doc_id").groupBy("doc_key").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("paths"))
 
@@ -111,21 +131,47 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         cutter = Paths(window, anchor)
         for pdf in parts:
             for doc_id, doc_key, text, anchor_of, first, last in pdf.itertuples(index=False):
-                prefix = cutter.rolling.prefix(cutter.hashes(text))
+                words = words_of(text)
+                prefix = cutter.rolling.prefix(cutter.words.array(words))
                 first = np.asarray(first, np.int64)
                 size = np.asarray(last, np.int64) - first + 1
                 at = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
                 anchors = np.repeat(np.asarray(anchor_of, np.int64), size)
                 edges = cutter.rolling.ranges(prefix, at, at + window).view(np.int64)
-                yield pd.DataFrame({"anchor": anchors, "edge": edges, "start": at.astype(np.int32), "doc_id": doc_id, "doc_key": doc_key})
+                yield pd.DataFrame({"anchor": anchors, "edge": edges, "bytes": Bytes(words).hashes(at, at + window), "start": at.astype(np.int32), "doc_id": doc_id, "doc_key": doc_key})
 
     opened = source.join(carriers, "doc_key").select("doc_id", "doc_key", "text", "paths.anchor", "paths.first", "paths.last")
-    edges = settled(opened.mapInPandas(open_up, "anchor long, edge long, start int, doc_id long, doc_key long"))
-    lowest = edges.groupBy("anchor", "edge").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest").drop("highest")
-    single = edges.join(lowest, ["anchor", "edge"]).where("lowest < doc_id").select("doc_key", "start", (F.col("start") + window).alias("stop"))
+    edges = settled(opened.mapInPandas(open_up, "anchor long, edge long, bytes long, start int, doc_id long, doc_key long"))
+    alike = ["anchor", "edge", "bytes"]
+    lowest = edges.groupBy(*alike).agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest").drop("highest")
+    single = edges.join(lowest, alike).where("lowest < doc_id").select("doc_key", "start", (F.col("start") + window).alias("stop"))
     return whole.union(single)
 
 
+def compacted(rows: DataFrame) -> DataFrame:
+    """(doc_key, first, last): runs of rows (node, doc_key, turn, first, last) whose nodes always follow each other.
+
+    A node that is always followed by one other, which always follows it, is linked to it. Links are followed to the head
+    of their chain by pointer doubling: a join a round, as many rounds as the logarithm of the longest chain. Circles have
+    no head; their nodes stay as they are.
+    """
+    order = Window.partitionBy("doc_key").orderBy("turn")
+    beside = lambda f, step: F.when(f("turn").over(order) == F.col("turn") + step, f("node").over(order))
+    rows = settled(rows.withColumn("after", beside(F.lead, 1)).withColumn("before", beside(F.lag, -1)))
+    seen = rows.groupBy("node").agg(F.count("*").alias("n"), *[g(x).alias(f"{k}_{x}") for x in ("after", "before") for k, g in (("min", F.min), ("max", F.max), ("n", F.count))])
+    always = lambda x: (F.col(f"n_{x}") == F.col("n")) & (F.col(f"min_{x}") == F.col(f"max_{x}"))
+    ahead = seen.where(always("after")).select(F.col("node").alias("head"), F.col("min_after").alias("node"))
+    links = settled(seen.where(always("before")).select("node", F.col("min_before").alias("head")).where("node <> head").join(ahead, ["node", "head"]).withColumn("steps", F.lit(1)))
+    for _ in range(max(links.count(), 1).bit_length()):
+        beyond = links.select(F.col("node").alias("head"), F.col("head").alias("further"), F.col("steps").alias("more"))
+        if links.join(beyond, "head", "left_semi").isEmpty():
+            break
+        links = settled(links.join(beyond, "head", "left").select("node", F.coalesce("further", "head").alias("head"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+    chains = links.join(links.select(F.col("node").alias("head")), "head", "left_anti")
+    run = rows.join(chains, "node", "left").select("doc_key", F.coalesce("head", "node").alias("head"), (F.col("turn") - F.coalesce("steps", F.lit(0))).alias("begin"), "first", "last")
+    return run.groupBy("doc_key", "head", "begin").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("head", "begin")
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of each row of `docs` (doc_id, text).
 

@@ -306,6 +306,17 @@ def labelled(spark, n=400):
     return spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rows, labels
 
 
+def test_compaction_joins_what_always_follows_each_other(spark):
+    """Chains become one run at each occurrence; branches, ends and circles stay apart."""
+    texts = {1: [1, 2, 3, 4, 9, 5], 2: [1, 2, 3, 4, 8], 3: [9, 5, 6], 4: [7], 5: [20, 21, 20, 21]}
+    rows = [(n, d, t, 10 * t, 10 * t + 9) for d, nodes in texts.items() for t, n in enumerate(nodes)] + [(1, 6, 3, 30, 39), (2, 6, 4, 40, 49), (3, 6, 5, 50, 59), (4, 6, 6, 60, 69)]
+    got = sorted(tuple(r) for r in debruijn.compacted(spark.createDataFrame(rows, "node long, doc_key long, turn int, first int, last int")).collect())
+    want = [(1, 0, 39), (1, 40, 59), (2, 0, 39), (2, 40, 49), (3, 0, 19), (3, 20, 29), (4, 0, 9), (6, 30, 69)]
+    assert [g for g in got if g[0] != 5] == want
+    covered = {x for _, a, b in (g for g in got if g[0] == 5) for x in range(a, b + 1)}
+    assert covered == set(range(40))
+
+
 def test_fold_is_crc32_of_decimal_text(spark):
     df = spark.createDataFrame([(i,) for i in (0, 7, 123456789012)], "doc_id long").select("doc_id", fold("doc_id", 5).alias("f"))
     assert {r["doc_id"]: r["f"] for r in df.collect()} == {i: zlib.crc32(str(i).encode()) % 5 for i in (0, 7, 123456789012)}
