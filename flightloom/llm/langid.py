@@ -97,10 +97,12 @@ class LanguageModel:
         return names, score
 
     def identified(self, texts: list[str | None], ready: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Whether the strength of each text reaches the floor; never for texts without letters."""
+        """Whether the strength of each text reaches the floor; never for texts without letters. A model that has learned no
+        language rejects no other text."""
         rows = [presence(t) for t in texts]
         at = [i for i, r in enumerate(rows) if r is not None]
         told = np.zeros(len(texts), bool)
+        told[at] = not self.languages
         if at and self.languages:
             told[at] = self.responses(np.stack([rows[i] for i in at]), ready)[1] >= self.floor
         return told
@@ -195,7 +197,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of `docs` whose language is told: texts of a strength that all but REJECTED of the known ones reach.
 
     Whole rows come back with the columns of `docs`, whatever their names, repeated ones as often as they were. Texts that
-    are null, empty or without a letter go, and all do under an idle model. An empty table gives an empty table.
+    are null, empty or without a letter go; under an idle model no others do. An empty table gives an empty table.
     """
     names = [f.name for f in docs.schema]
     told = F.pandas_udf(_teller(model), "boolean")

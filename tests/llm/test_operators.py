@@ -351,7 +351,8 @@ def test_texts_without_letters_teach_nothing(spark):
     df = spark.createDataFrame([(i, f"{i} 12 !!", "en") for i in range(9)] + [(20, None, "de")], "doc_id long, text string, lang string")
     model = langid.fit(df, F.lit(True))
     assert model.languages == [] and {r["lang_pred"] for r in langid.language_ids(df, model).collect()} == {"und"}
-    assert langid.keep_identified(df, model).count() == 0
+    more = df.union(spark.createDataFrame([(30, "a word", None)], df.schema))
+    assert [r["doc_id"] for r in langid.keep_identified(more, model).collect()] == [30]
 
 
 @pytest.mark.parametrize("langs", [1, 2, 4])
