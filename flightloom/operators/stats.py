@@ -117,6 +117,25 @@ def cruise(rows: DataFrame) -> DataFrame:
     return sums.join(mode, "one").drop("one").withColumn("cruise_knots_weighted", F.coalesce(speed, F.lit(0.0)))
 
 
+def cruise_by_year(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """A year's share of cruise(), one row a year: km and seconds in cruise, highest and lowest groundspeed above 0, and the
+    longest path's km. Rows of paths without a year have a row of their own."""
+    known = rows.join(paths.select("path_id", "year"), "path_id", "left")
+    each = known.groupBy("year", "path_id").agg(
+        F.sum(F.when(F.col("cruising"), F.col("window_km"))).alias("cruise_km"),
+        F.sum(F.when(F.col("cruising"), F.col("window_s"))).alias("cruise_seconds"),
+        F.max(F.when(F.col("gs") > 0, F.col("gs"))).alias("max_gs"),
+        F.min(F.when(F.col("gs") > 0, F.col("gs"))).alias("min_gs"),
+        F.sum("km").alias("km"),
+    )
+    return each.groupBy("year").agg(F.sum("cruise_km").alias("cruise_km"), F.sum("cruise_seconds").alias("cruise_seconds"), F.max("max_gs").alias("max_gs"), F.min("min_gs").alias("min_gs"), F.max("km").alias("longest_km"))
+
+
+def merged_years(parts: DataFrame) -> DataFrame:
+    """One row from the rows of cruise_by_year(), of any years and in any number of tables put together."""
+    return parts.agg(F.sum("cruise_km").alias("cruise_km"), F.sum("cruise_seconds").alias("cruise_seconds"), F.max("max_gs").alias("max_gs"), F.min("min_gs").alias("min_gs"), F.max("longest_km").alias("longest_km"))
+
+
 def histogram(rows: DataFrame) -> DataFrame:
     """(bin_ft, seconds, first_path, first_seg): seconds in cruise at each altitude bin."""
     first = F.min(F.struct("path_id", "seg_idx"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flightloom import constants as c
 from flightloom.functions.display import half_up
+from flightloom.functions.names import label
 
 
 @dataclass(frozen=True)
@@ -125,6 +126,14 @@ def airport_counts(info: DataFrame, per_end: bool = False) -> DataFrame:
     return out.select("airport", "flights", "first")
 
 
+def markers(info: DataFrame) -> DataFrame:
+    """(airport, flights, label, home): what the map shows at each airport, and which one is the home base."""
+    counts = airport_counts(info)
+    home = home_base(counts).select(F.col("home_base").alias("airport"), F.lit(True).alias("home"))
+    rows = counts.join(home, "airport", "left")
+    return rows.select("airport", "flights", label(F.col("airport")).alias("label"), F.coalesce("home", F.lit(False)).alias("home"))
+
+
 def home_base(counts: DataFrame) -> DataFrame:
     """One row: the airport with most flights, the first seen of equals."""
     return counts.agg(F.min_by("airport", F.struct(-F.col("flights"), "first")).alias("home_base"), F.max("flights").alias("flights"))

@@ -302,6 +302,24 @@ def oracle_sql() -> dict[str, str]:
         (SELECT *, row_number() OVER (PARTITION BY printf('%.4f,%.4f', lat, lon) ORDER BY name, lat, lon) AS nth FROM air LEFT JOIN vis USING (root)) LEFT JOIN kn ON code = substr(name, 1, 4) WHERE nth = 1"""
     )
     q["airport_name_list"] = recursive("SELECT count(*) AS num_airports, string_agg(CASE WHEN e THEN substr(name, 8) ELSE substr(name, 1, 4) END, ',' ORDER BY CASE WHEN e THEN substr(name, 8) ELSE substr(name, 1, 4) END) AS airport_names FROM air")
+    q["airports_written"] = q["airport_dedupe"]
+    q["metadata_written"] = f"""SELECT '2024,2025,2026' AS years, num_paths, num_aircraft, num_airports, total_points, cruise_altitude_ft, min_altitude_m, max_altitude_m FROM ({_statistics("true")})"""
+    q["airport_markers"] = _sql(
+        """, f AS (SELECT airport, min(path_id * 2 + e) AS first FROM ends GROUP BY 1)
+        SELECT airport, flights, airport AS label, row_number() OVER (ORDER BY flights DESC, first) = 1 AS home FROM counts JOIN f USING (airport)""",
+        "counts",
+        "ends",
+    )
+    q["durations"] = _sql(
+        """, s AS (SELECT path_id, seq, us * 1000 // 1000000 AS sec, first_value(us * 1000 // 1000000) OVER (PARTITION BY path_id ORDER BY seq) AS sec0 FROM pts)
+        SELECT path_id AS file, seq, CAST(sec - sec0 AS DOUBLE) AS gone, CAST(sec0 - sec AS DOUBLE) AS back, CAST(0 AS DOUBLE) AS unread FROM s WHERE seq <= 20""",
+        "pts",
+    )
+    cruise = """, e AS (SELECT path_id, sum(km) AS km FROM cru GROUP BY 1), l AS (SELECT year, max(km) AS longest FROM e JOIN paths USING (path_id) GROUP BY 1)
+        SELECT {0} round(sum(window_km) FILTER (cruising), 3) AS cruise_km, round(sum(window_s) FILTER (cruising), 3) AS cruise_seconds, round(max(gs) FILTER (gs > 0), 3) AS max_gs,
+        round(min(gs) FILTER (gs > 0), 3) AS min_gs, round(max(longest), 3) AS longest_km FROM cru JOIN paths USING (path_id) JOIN l USING (year)"""
+    q["cruise_years"] = _sql(cruise.format("year,") + " GROUP BY year", "cru", "paths")
+    q["cruise_merged"] = _sql(cruise.format(""), "cru", "paths")
     facts = (
         ("times_around_the_earth", "distance", "10", "total_nm > 10819.5", "NULL", "round(total_nm / 21639, 1)"),
         ("miles", "distance", "8", "total_nm <= 10819.5 AND total_nm > 1000", "NULL", "floor(total_nm + 0.5)"),

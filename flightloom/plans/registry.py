@@ -155,6 +155,19 @@ def cruise_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.histogram(Views(spark, sf_dir).cruise), 3)
 
 
+@query
+def cruise_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The years' parts of cruise put together: all of them but for the modes, which need the histogram."""
+    v = Views(spark, sf_dir)
+    return _rounded(stats.merged_years(stats.cruise_by_year(v.cruise, v.paths)), 3)
+
+
+@query
+def cruise_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = Views(spark, sf_dir)
+    return _rounded(stats.cruise_by_year(v.cruise, v.paths), 3)
+
+
 @query
 def year_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     year = F.coalesce(F.col("year").cast("string"), F.lit("unknown"))
@@ -324,6 +337,39 @@ def airport_dedupe_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ports.exported(ports.deduplicated_in_order(_found(v)), v.airports), 6)
 
 
+@query
+def airports_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The airports as they are written, read back."""
+    v = Views(spark, sf_dir)
+    out = fresh_folder(spark, "airports")
+    sinks.write_airports(ports.exported(ports.deduplicated(_found(v)), v.airports), out)
+    return _rounded(sinks.read_airports(spark, out), 6)
+
+
+@query
+def metadata_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and years as they are written, read back; doubles have one decimal."""
+    v = Views(spark, sf_dir)
+    out = fresh_folder(spark, "metadata")
+    sinks.write_metadata(filters.statistics(v.segments, v.heads), v.heads, out)
+    rows = sinks.read_metadata(spark, out)
+    return rows.select(F.array_join(F.transform("available_years", lambda y: y.cast("string")), ",").alias("years"), "num_paths", "num_aircraft", "num_airports", "total_points", "cruise_altitude_ft", F.col("min_altitude_m").cast("double").alias("min_altitude_m"), F.col("max_altitude_m").cast("double").alias("max_altitude_m"))
+
+
+@query
+def airport_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.markers(Views(spark, sf_dir).heads)
+
+
+@query
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds between the times of each log's first points and the log's first, in either direction, and of unread text."""
+    rows = _log(spark, sf_dir).where("seq <= 20")
+    first = rows.groupBy("file").agg(F.min_by("ts_raw", "seq").alias("start"))
+    both = rows.join(first, "file")
+    return both.select("file", "seq", F.round(times.seconds_between(F.col("start"), F.col("ts_raw")), 3).alias("gone"), F.round(times.seconds_between(F.col("ts_raw"), F.col("start")), 3).alias("back"), times.seconds_between(F.col("start"), F.lit("no time")).alias("unread"))
+
+
 @query
 def airport_name_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ports.names_of(ports.deduplicated(_found(Views(spark, sf_dir))))
