@@ -17,8 +17,6 @@ from flightloom.llm.components import components
 ALIKE = 0.8
 #: Nodes of a bucket that stand on either side of one comparison.
 BUCKET = 256
-#: Rounds in which the nodes of a bucket meet one of them, before those still apart meet each other.
-ROUNDS = 2
 #: Least hashes of a shingle set that its sketch holds, and standard errors by which a sketch may fall short of a pair.
 SKETCH, ERRORS = 128, 3.0
 #: From the distinct shingle hashes of a text to the buckets in which it meets others.
@@ -133,29 +131,25 @@ def classes(docs: DataFrame, shingles: Shingles, keys: Keys, alike: float = ALIK
     over pairs of texts whose distinct shingles have a Jaccard similarity of `alike` or more and which meet in a bucket;
     `kept` says whether the row's doc_id and mark are the least of its class.
 
-    Equal sets are one node. In ROUNDS rounds each bucket compares its nodes with one of them, another one each time; then
-    nodes which that leaves unconnected are compared pair by pair, as far as sizes and sketches permit. Every link rests on
-    the texts' whole sets. What is not connected and meets is compared, so groups of copies, however large, cost a few
-    comparisons a node, and only texts that nearly alike without being so cost more.
+    Equal sets are one node. Each bucket first compares its nodes with one of them; then nodes which that leaves unconnected
+    are compared pair by pair, as far as sizes and sketches permit. Every link rests on the texts' whole sets. What is not
+    connected and meets is compared, so groups of copies, however large, cost a few comparisons a node, and only texts that
+    nearly alike without being so cost more.
     """
     rows = settled(shingle_sets(docs, shingles, keys))
     nodes = settled(rows.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
     met = settled(keyed.join(shared, "key"))
-    links, tried, labels = None, None, None
-    for turn in range(ROUNDS):
-        apart = _labelled(met, labels)
-        lead = F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "n", "label"))
-        leads = apart.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), lead.alias("lead")).where("low < high").select("key", "lead")
-        fits = F.least("n", "lead.n") >= alike * F.greatest("n", "lead.n")
-        star = apart.join(leads, "key").where((F.col("label") != F.col("lead.label")) & fits).select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
-        star = settled(star.join(tried, ["u", "v"], "left_anti") if tried is not None else star)
-        found = _alike(star, docs, nodes, shingles, alike)
-        links, tried = (found, star) if links is None else (links.union(found), tried.union(star))
-        labels = settled(components(links))
-    apart = _labelled(met, labels).join(nodes.select("node", "sketch"), "node")
-    rest = settled(pairs_that_meet(apart, alike).join(tried, ["u", "v"], "left_anti"))
+    # One order of nodes for all buckets: the nodes of a group that meet often have few leads among them.
+    leads = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("node"), "node", "n")).alias("lead"))
+    fits = F.least("n", "lead.n") >= alike * F.greatest("n", "lead.n")
+    star = met.join(leads, "key").where((F.col("node") != F.col("lead.node")) & fits)
+    star = settled(star.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct())
+    links = _alike(star, docs, nodes, shingles, alike)
+    labels = components(links).withColumnRenamed("root", "label")
+    apart = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(nodes.select("node", "sketch"), "node")
+    rest = settled(pairs_that_meet(apart, alike).join(star, ["u", "v"], "left_anti"))
     ends = components(links.union(_alike(rest, docs, nodes, shingles, alike)))
     named = ends.join(nodes.select("node", "rep"), "node")
     low = named.join(named.groupBy("root").agg(F.min("rep").alias("low")), "root").select("node", "low")
@@ -164,13 +158,6 @@ def classes(docs: DataFrame, shingles: Shingles, keys: Keys, alike: float = ALIK
     return rows.select("doc_id", "mark", "node").join(least, "node").select("doc_id", "mark", "node", F.col("low.doc_id").alias("component_id"), kept.alias("kept"))
 
 
-def _labelled(met: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """`met` with the least node that each is connected with as its label."""
-    if labels is None:
-        return met.withColumn("label", F.col("node"))
-    return met.join(labels.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of `docs` that stay: of each class of `found` the one of least doc_id and mark, and all of null doc_id.
 
