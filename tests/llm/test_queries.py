@@ -19,6 +19,7 @@ COLUMNS = {
     "op6_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op7_topk": ["query_id", "rank", "vec_id", "score"],
     "op8_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "minhash_duplicates": ["doc_id", "component_id"],
     "op9_langid": ["doc_id", "held_out", "lang_pred", "score"],
     "op10_substrings": ["doc_id", "n_words", "n_removed", "kept_sha256"],
 }
