@@ -17,6 +17,8 @@ from flightloom.llm.components import components
 ALIKE = 0.8
 #: Nodes of a bucket that stand on either side of one comparison.
 BUCKET = 256
+#: Rows of ids that are broadcast to find their texts (24 bytes each); more are joined by a shuffle.
+WANTED = 500_000
 #: Least hashes of a shingle set that its sketch holds, and standard errors by which a sketch may fall short of a pair.
 SKETCH, ERRORS = 128, 3.0
 #: From the distinct shingle hashes of a text to the buckets in which it meets others.
@@ -51,14 +53,15 @@ def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingles: Shingl
     Only texts of candidates are read again, by the least (doc_id, mark) of their node; a set is 8 bytes a shingle.
     """
     needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = settled(nodes.join(needed, "node", "left_semi").select("node", "rep.doc_id", "rep.mark"))
+    wanted = settled(nodes.join(needed, "node", "left_semi").select("rep.doc_id", "rep.mark"))
+    wanted = F.broadcast(wanted) if wanted.count() <= WANTED else wanted
 
     def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             found = [shingles.of(t) for t in pdf["text"]]
             yield pd.DataFrame({"node": [_set_id(x) for x in found], "shingles": [x.view(np.int64) for x in found]})
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_mark().alias("mark")).join(wanted.drop("node"), ["doc_id", "mark"], "left_semi").drop("mark")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_mark().alias("mark")).join(wanted, ["doc_id", "mark"], "left_semi").drop("mark")
     # Repeated rows give their set more than once.
     found = settled(texts.mapInPandas(sets, "node long, shingles array<long>").dropDuplicates(["node"]))
     sized = pairs.join(found.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(found.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
