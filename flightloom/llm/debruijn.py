@@ -31,7 +31,8 @@ class Paths:
         self.words, self.rolling = WordHashes(), RollingHash()
 
     def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """anchor hash, path hash, first and last window start of each path; the rolling prefix of the text."""
+        """anchor hash, shape, first and last window start of each path; the rolling prefix of the text. The shape is where
+        the anchor stands in the path and how many windows it has."""
         prefix = self.rolling.prefix(hashes)
         n, wide = len(hashes) - self.window + 1, self.window - self.anchor + 1
         if n < 1:
@@ -55,37 +56,39 @@ class Paths:
         last = np.concatenate((turns - 1, [n - 1]))
         place = places[first]
         shape = ((place - first).astype(np.uint64) << np.uint64(32)) | (last - first).astype(np.uint64)
-        return pieces[place], mix64(self.rolling.ranges(prefix, first, last + self.window) + mix64(shape + np.uint64(1))), first, last, prefix
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.withColumn("doc_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
+        return pieces[place], shape, first, last, prefix
 
 
 class Bytes:
-    """A second hash of word ranges, from their bytes: what the rolling hash finds equal is held against it."""
+    """Hashes of word ranges from their bytes, which have nothing in common with the rolling hash of the anchors."""
 
     def __init__(self, words: list[bytes]) -> None:
         self.joined = b" ".join(words)
         self.ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
 
     def hashes(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        starts = np.where(first > 0, self.ends[first - 1] + 1, 0) if len(first) else first
-        ends = self.ends[stop - 1] if len(stop) else stop
-        return np.fromiter((xxhash.xxh3_64_intdigest(self.joined[a:b], 10) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(first)).view(np.int64)
+        if not len(first):
+            return np.zeros(0, np.uint64)
+        starts = np.where(first > 0, self.ends[first - 1] + 1, 0)
+        ends = self.ends[stop - 1]
+        return np.fromiter((xxhash.xxh3_64_intdigest(self.joined[a:b], 10) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(first))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.withColumn("doc_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_key, start, stop): word ranges of windows that also start in a document with a smaller doc_id.
 
-    1. Every text is cut into paths, one row each: anchor, two hashes of its words, source coordinates. 2. Path rows are
+    1. Every text is cut into paths, one row each: anchor, hash of its bytes and shape, source coordinates. 2. Path rows are
     aggregated to the distinct paths of each anchor with the smallest doc_id of each; anchors met once drop out. 3. A join
     brings this back to the coordinates. A path whose words also lie in a smaller document is repeated as a whole; repeated
     paths that always follow each other are compacted(), so a long passage is one span. An anchor with several distinct
     paths is a branching node: the first carriers of its paths are opened into single edges. 4. Edges are aggregated and
-    joined in the same way, within their anchor. Equality rests on a hash of word hashes and on one of the bytes between
-    the coordinates, 64 bits each.
+    joined in the same way, within their anchor. Equality rests on the hash of the anchor's words and on one of the bytes
+    between the source coordinates, 64 bits each.
     """
     rows = _keyed(docs)
 
@@ -97,15 +100,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 found = []
                 for text in part["text"]:
                     words = words_of(text)
-                    anchors, path, first, last, _ = paths.of(paths.words.array(words))
-                    found.append((anchors, path, first, last, np.arange(len(first)), Bytes(words).hashes(first, last + window)))
+                    anchors, shape, first, last, _ = paths.of(paths.words.array(words))
+                    found.append((anchors, mix64(Bytes(words).hashes(first, last + window) + mix64(shape + np.uint64(1))), first, last, np.arange(len(first))))
                 count = [len(x[0]) for x in found]
-                joined = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0)] * 6
+                joined = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0)] * 5
                 yield pd.DataFrame(
                     {
                         "anchor": joined[0].astype(np.uint64).view(np.int64),
                         "path": joined[1].astype(np.uint64).view(np.int64),
-                        "bytes": joined[5].astype(np.int64),
                         "first": joined[2].astype(np.int32),
                         "last": joined[3].astype(np.int32),
                         "turn": joined[4].astype(np.int32),
@@ -116,8 +118,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
     # Null ids are never smaller than another and have none smaller: such rows neither remove nor lose words.
     source = rows.where(F.col("doc_id").isNotNull())
-    paths = settled(source.mapInPandas(cut, "anchor long, path long, bytes long, first int, last int, turn int, doc_id long, doc_key long"))
-    same = ["anchor", "path", "bytes"]
+    paths = settled(source.mapInPandas(cut, "anchor long, path long, first int, last int, turn int, doc_id long, doc_key long"))
+    same = ["anchor", "path"]
     nodes = settled(paths.groupBy(*same).agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")))
     shared = nodes.groupBy("anchor").agg(F.count("*").alias("branches"), F.sum("n").alias("total")).where("total > 1")
     known = settled(nodes.join(shared.select("anchor", "branches"), "anchor").select(*same, "lowest", "branches"))
@@ -128,21 +130,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     carriers = located.where("lowest = doc_id").groupBy("doc_key").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("paths"))
 
     def open_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cutter = Paths(window, anchor)
         for pdf in parts:
             for doc_id, doc_key, text, anchor_of, first, last in pdf.itertuples(index=False):
-                words = words_of(text)
-                prefix = cutter.rolling.prefix(cutter.words.array(words))
                 first = np.asarray(first, np.int64)
                 size = np.asarray(last, np.int64) - first + 1
                 at = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
                 anchors = np.repeat(np.asarray(anchor_of, np.int64), size)
-                edges = cutter.rolling.ranges(prefix, at, at + window).view(np.int64)
-                yield pd.DataFrame({"anchor": anchors, "edge": edges, "bytes": Bytes(words).hashes(at, at + window), "start": at.astype(np.int32), "doc_id": doc_id, "doc_key": doc_key})
+                edges = Bytes(words_of(text)).hashes(at, at + window).view(np.int64)
+                yield pd.DataFrame({"anchor": anchors, "edge": edges, "start": at.astype(np.int32), "doc_id": doc_id, "doc_key": doc_key})
 
     opened = source.join(carriers, "doc_key").select("doc_id", "doc_key", "text", "paths.anchor", "paths.first", "paths.last")
-    edges = settled(opened.mapInPandas(open_up, "anchor long, edge long, bytes long, start int, doc_id long, doc_key long"))
-    alike = ["anchor", "edge", "bytes"]
+    edges = settled(opened.mapInPandas(open_up, "anchor long, edge long, start int, doc_id long, doc_key long"))
+    alike = ["anchor", "edge"]
     lowest = edges.groupBy(*alike).agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest").drop("highest")
     single = edges.join(lowest, alike).where("lowest < doc_id").select("doc_key", "start", (F.col("start") + window).alias("stop"))
     return whole.union(single)
