@@ -176,4 +176,4 @@ def synthetic_points(spark: SparkSession, tracks: int, points: int = 50, seed: i
     rows = spark.range(tracks).select(F.col("id").alias("path_id"), F.explode(F.sequence(F.lit(1), F.lit(points))).alias("seq"))
     bend = lambda a, b, m: (1 - t) * (1 - t) * a + 2 * t * (1 - t) * m + t * t * b
     height = F.least(F.lit(1.0), F.least(t, 1 - t) * 5) * (600 + 1200 * draw(5))
-    return rows.select("path_id", "seq", (F.lit(1_735_689_600_000_000) + F.col("path_id") * 7_200_000_000 + F.col("seq") * 60_000_000).alias("us"), bend(47 + 7 * draw(1), 47 + 7 * draw(2), F.lit(50.5)).alias("lat"), bend(7 + 7 * draw(3), 7 + 7 * draw(4), F.lit(10.5)).alias("lon"), height.alias("alt_m"))
+    return rows.select("path_id", "seq", (F.lit(1_735_689_600_000_000) + F.col("path_id") * 7_200_000_000 + F.col("seq").cast("long") * 60_000_000).alias("us"), bend(47 + 7 * draw(1), 47 + 7 * draw(2), F.lit(50.5)).alias("lat"), bend(7 + 7 * draw(3), 7 + 7 * draw(4), F.lit(10.5)).alias("lon"), height.alias("alt_m"))

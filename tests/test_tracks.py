@@ -134,8 +134,8 @@ def test_airport_table_and_models(spark, tmp_path):
     assert [(r["code"], r["name"], r["lat"]) for r in rows.orderBy("number").collect()] == [("EDDF", "Frankfurt Airport", 50.03), ("EDDF", "Frankfurt", 50.04)]
     (tmp_path / "aircraft.json").write_text('{"D-EAGJ": "Diamond DA20", "D-EXYZ": "Cessna"}')
     assert {tuple(r) for r in kml.aircraft_models(spark, str(tmp_path / "aircraft.json")).collect()} == {("D-EAGJ", "Diamond DA20"), ("D-EXYZ", "Cessna")}
-    made = kml.synthetic_points(spark, 3, 20).toPandas()
-    assert len(made) == 60 and made["alt_m"].between(0, 1800).all()
+    made = kml.synthetic_points(spark, 3, 60).toPandas()
+    assert len(made) == 180 and made["alt_m"].between(0, 1800).all()
 
 
 def test_build_from_logs(spark, tmp_path):
