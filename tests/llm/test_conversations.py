@@ -218,7 +218,7 @@ def test_alignment_matches_brute_force(spark, broadcast_pairs):
     want = [(i // 2, *w) for i, w in enumerate(plain_alignment(texts + real))]
     key = lambda r: (r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["n_best"], r["count_sum"], r["groups_sha256"])
     assert sorted(map(key, got), key=repr) == sorted(want, key=repr)
-    assert sum(r["n_a"] > 0 for r in got) > 60
+    assert sum(r["n_a"] > 0 for r in got) > 40
 
 
 def test_large_groups_are_linked_in_parts(monkeypatch):
