@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: How logs write times, and dates in names.
 _ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"
-_DATE_IN_NAME = r"(\d{2} \w{3} \d{4}|\d{4}-\d{2}-\d{2})"
+_DATE_IN_NAME = r"(\d{2}\s+\w{3}\s+\d{4}|\d{4}-\d{2}-\d{2})"
+_CHARTER = r"Flight\s+(\w{3,9})\s+(\d{1,2})\s+(\d{4})\s+(\d{2}):(\d{2})(AM|PM)"
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 def parsed(text: Column) -> Column:
@@ -34,11 +36,16 @@ def date_in_name(name: Column) -> Column:
 
 
 def charter_start(description: Column) -> Column:
-    """ISO text of `Flight Jan 12 2026 03:01PM`, month short or full."""
-    found = F.regexp_extract(description, r"Flight\s+(\w{3,9}\s+\d{1,2}\s+\d{4}\s+\d{2}:\d{2}(?:AM|PM))", 1)
-    plain = F.regexp_replace(found, r"\s+", " ")
-    at = F.coalesce(F.try_to_timestamp(plain, F.lit("MMM d yyyy hh:mma")), F.try_to_timestamp(plain, F.lit("MMMM d yyyy hh:mma")))
-    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    """ISO text of `Flight Jan 12 2026 03:01PM`, month short or full, in any case; null for days and hours that there are none
+    of. It is put together from the numbers as written, so no time zone of a session has a say."""
+    part = lambda i: F.regexp_extract(description, _CHARTER, i)
+    named = F.lower(part(1))
+    month = F.greatest(*[F.array_position(F.array(*[F.lit(m[:n]) for m in _MONTHS]), named) for n in (3, 99)])
+    clock = part(4).try_cast("int")
+    hour = F.when((part(6) == "PM") & (clock != 12), clock + 12).when((part(6) == "AM") & (clock == 12), F.lit(0)).otherwise(clock)
+    day = F.format_string("%s-%02d-%02d", part(3), month, part(2).try_cast("int"))
+    sound = (month > 0) & (hour <= 23) & (part(5).try_cast("int") <= 59) & day.try_cast("date").isNotNull()
+    return F.when(sound, F.concat(day, F.format_string("T%02d:", hour), part(5), F.lit(":00+00:00")))
 
 
 def flight_time_report(seconds: Column) -> Column:

@@ -59,7 +59,7 @@ def aircraft(info: DataFrame, models: DataFrame | None = None) -> DataFrame:
     of equals first; its window holds one row an aircraft."""
     known = info.where(F.coalesce("registration", F.lit("")) != "")
     counts = F.col("segment_count") >= 1
-    began = F.year(F.timestamp_micros(F.col("start_us") * 1000 if "start_us" in info.columns else F.lit(None).cast("long")))
+    began = F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor((F.col("start_us") if "start_us" in info.columns else F.lit(None).cast("long")) / 86_400_000_000 * 1000).cast("int")))
     rows = known.groupBy("registration").agg(
         F.count_distinct("filename").alias("flights"),
         first_by("aircraft_type", "path_id").alias("aircraft_type"),

@@ -15,13 +15,13 @@ from flightloom.sources import kml, sinks
 
 def tracks_of(spark: SparkSession, source: str, store: str) -> tuple[DataFrame, DataFrame]:
     """(points, paths) of the logs under `source`, parsed once into `store`: a path is an element with points that have an
-    altitude. A path's id follows from its file and its place there, so it is the same in every build."""
+    altitude. A path's id follows from its file's path and its place there, so it is the same in every build."""
     kml.parse_new(spark, source, store)
-    rows = kml.parsed_store(spark, store, "points").withColumn("path_id", F.xxhash64("file", "at", "element", "kind"))
+    rows = kml.parsed_store(spark, store, "points").withColumn("path_id", F.xxhash64("path", "at", "element", "kind"))
     rows = tracks.validated(rows).where("alt_m IS NOT NULL")
-    points = rows.select("path_id", (F.col("seq") + 1).alias("seq"), F.unix_micros("ts").alias("us"), "lat", "lon", "alt_m", "file", "ts_raw")
-    ids = rows.select("path_id", "file", "at").distinct()
-    paths = kml.parsed_store(spark, store, "metadata").join(ids, ["file", "at"]).withColumn("filename", F.col("file"))
+    points = rows.select("path_id", (F.col("seq") + 1).alias("seq"), F.unix_micros("ts").alias("us"), "lat", "lon", "alt_m", "path", "file", "ts_raw")
+    ids = rows.select("path_id", "path", "at").distinct()
+    paths = kml.parsed_store(spark, store, "metadata").join(ids, ["path", "at"]).withColumn("filename", F.col("file"))
     return points, paths
 
 

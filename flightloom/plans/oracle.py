@@ -175,7 +175,7 @@ def oracle_sql() -> dict[str, str]:
     q["fleet_models"] = _sql(
         """, e AS (SELECT path_id, max(time) - min(time) AS sec FROM seg GROUP BY 1)
         SELECT registration, arg_min(aircraft_type, path_id) AS aircraft_type, count(*) AS flights, round(coalesce(sum(sec), 0), 3) AS seconds,
-        CASE WHEN registration < 'D-E004' THEN 'Model of ' || registration ELSE (SELECT arg_min(aircraft_type, path_id) FROM paths p WHERE p.registration = paths.registration) END AS model
+        CASE WHEN registration IN (SELECT registration FROM paths WHERE aircraft_type = 'C172') THEN 'Model of ' || registration ELSE (SELECT arg_min(aircraft_type, path_id) FROM paths p WHERE p.registration = paths.registration) END AS model
         FROM paths LEFT JOIN e USING (path_id) WHERE year = 2025 GROUP BY registration""",
         "seg",
         "paths",
@@ -312,7 +312,7 @@ def oracle_sql() -> dict[str, str]:
     )
     q["durations"] = _sql(
         """, s AS (SELECT path_id, seq, us * 1000 // 1000000 AS sec, first_value(us * 1000 // 1000000) OVER (PARTITION BY path_id ORDER BY seq) AS sec0 FROM pts)
-        SELECT path_id AS file, seq, CAST(sec - sec0 AS DOUBLE) AS gone, CAST(sec0 - sec AS DOUBLE) AS back, CAST(0 AS DOUBLE) AS unread FROM s WHERE seq <= 20""",
+        SELECT path_id AS file, seq, CAST(sec - sec0 AS DOUBLE) AS gone, CAST(sec0 - sec AS DOUBLE) AS back, CAST(0 AS DOUBLE) AS unread FROM s""",
         "pts",
     )
     cruise = """, e AS (SELECT path_id, sum(km) AS km FROM cru GROUP BY 1), l AS (SELECT year, max(km) AS longest FROM e JOIN paths USING (path_id) GROUP BY 1)
@@ -441,8 +441,8 @@ def oracle_sql() -> dict[str, str]:
     )
     q["obfuscated_markers"] = _sql("SELECT path_id AS file, 'Landing: ' || strftime(make_timestamp(arg_min(us, seq) * 1000), '%Y') || '-01-01' AS name, CAST(NULL AS VARCHAR) AS reason FROM pts GROUP BY 1", "pts")
     q["kml_metadata"] = _sql(
-        """, t AS (SELECT path_id, make_timestamp(min(us) * 1000) AS t0, make_timestamp(max(us) * 1000) AS t1 FROM pts WHERE seq <= 2 GROUP BY 1)
-        SELECT filename AS file, CASE WHEN path_id % 2 = 0 THEN start_airport || ' - ' || end_airport ELSE registration END AS name,
+        """, t AS (SELECT path_id, make_timestamp(min(us) * 1000) AS t0, make_timestamp(max(us) * 1000) AS t1 FROM pts GROUP BY 1)
+        SELECT path_id, filename AS file, CASE WHEN path_id % 2 = 0 THEN start_airport || ' - ' || end_airport ELSE registration END AS name,
         CASE WHEN path_id % 2 = 0 THEN strftime(t0, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(t0, '%Y-%m-%dT%H:%M:00+00:00') END AS timestamp, CASE WHEN path_id % 2 = 0 THEN strftime(t1, '%Y-%m-%dT%H:%M:%SZ') END AS end_timestamp,
         CAST(year(t0) AS INTEGER) AS year, CASE WHEN path_id % 2 = 0 THEN 'D-E' ELSE 'OE-' END || lpad(CAST(path_id % 7 AS VARCHAR), 3, '0') AS registration, CASE WHEN path_id % 2 = 0 THEN 'DA20' END AS aircraft_type,
         start_airport || ' - ' || end_airport AS airport_name, CASE WHEN path_id % 2 = 0 THEN 2 ELSE 3 END AS points, 2 AS with_altitude, CAST(CASE WHEN path_id % 2 = 0 THEN 16 ELSE 26.25 END AS DOUBLE) AS lon FROM paths JOIN t USING (path_id)""",
@@ -458,13 +458,27 @@ def oracle_sql() -> dict[str, str]:
         CAST(CAST(floor((p_retailprice + CAST(0.3 AS DOUBLE)) * 3.28084 + 0.5) AS BIGINT) AS VARCHAR) || ' ft' AS feet, printf('%.1f', round(p_size * 3 + CAST(0.26 AS DOUBLE), 1)) || ' km' AS km,
         CAST(floor(p_retailprice * 3 / 50 + 0.5) * 50 AS BIGINT) AS note_ft, lpad(CAST(p_size * 7 AS VARCHAR), 3, '0') || '°' AS track, 'rgba(1,2,3,0.15)' AS rgba, {markup} AS markup,
         chr(CAST(127462 + ascii(upper(substr(p_brand, 1, 1))) - 65 AS INTEGER)) || chr(CAST(127462 + ascii(upper(substr(p_brand, 2, 1))) - 65 AS INTEGER)) AS flag FROM part"""
-    q["url_states"] = """SELECT * FROM (VALUES
-        ('?y=2025&a=D-E001&p=1,2,x&v=110101&lat=50.5&lng=8.25&z=99', '2025', 'D-E001', '1,2', '110101', CAST(50.5 AS DOUBLE), CAST(8.25 AS DOUBLE), CAST(18 AS INTEGER), 'y=2025&a=D-E001&p=1%2C2&v=110101&lat=50.500000&lng=8.250000&z=18', true, 'PATH_INFO_2025'),
-        ('lat=95&lng=abc&z=0&v=12&y=', 'all', 'all', '', '', NULL, NULL, 1, 'z=1', true, 'PATH_INFO_ALL'),
-        ('', 'all', 'all', '', '', NULL, NULL, NULL, '', true, 'PATH_INFO_ALL'),
-        ('p=7&z=7.9&v=1111111111', 'all', 'all', '7', '', NULL, NULL, 7, 'p=7&z=7', true, 'PATH_INFO_ALL'),
-        ('y=2024&lng=-180&lat=-90', '2024', 'all', '', '', -90, -180, NULL, 'y=2024&lat=-90.000000&lng=-180.000000', true, 'PATH_INFO_2024'))
-        AS t(text, year, aircraft, selected, visible, lat, lng, zoom, written, same, data_key)"""
+    # The longest runs of flags are ten: one too many.
+    flags = "substr('1101x01011', 1, CAST(page_id % 11 AS INTEGER))"
+    q["url_states"] = f"""WITH s AS (SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN CAST(2020 + page_id % 6 AS VARCHAR) END AS year, 'D-E' || lpad(CAST(page_id % 7 AS VARCHAR), 3, '0') AS aircraft,
+        page_id || ',' || page_id * 3 || ',7' AS selected, CASE WHEN page_id % 11 BETWEEN 6 AND 9 THEN rpad(replace({flags}, 'x', '0'), 9, '0') END AS visible,
+        CAST(page_id * 7 % 400 AS DOUBLE) / 2 - 100 AS a, CAST(page_id * 13 % 800 AS DOUBLE) / 2 - 200 AS b, greatest(1, least(18, CAST(page_id % 50 AS DOUBLE) / 2)) AS zoom FROM pages),
+        p AS (SELECT * EXCLUDE (a, b), CASE WHEN abs(a) <= 90 AND abs(b) <= 180 THEN a END AS lat, CASE WHEN abs(a) <= 90 AND abs(b) <= 180 THEN b END AS lng FROM s)
+        SELECT *, concat_ws('&', 'y=' || year, 'a=' || aircraft, 'p=' || replace(selected, ',', '%2C'), 'v=' || visible, 'lat=' || printf('%.6f', lat), 'lng=' || printf('%.6f', lng), 'z=' || printf('%.2f', zoom)) AS written,
+        true AS same, 'PATH_INFO_' || upper(coalesce(year, 'all')) AS data_key FROM p"""
+    q["log_namespaces"] = _sql(
+        """, n AS (SELECT path_id, count(*) AS n FROM pts GROUP BY 1)
+        SELECT path_id, CASE path_id % 3 WHEN 2 THEN 'coordinates' ELSE 'track' END AS kind, CASE path_id % 3 WHEN 0 THEN 1 WHEN 1 THEN n ELSE 3 END AS points, CASE path_id % 3 WHEN 0 THEN 1 ELSE 0 END AS timed FROM n""",
+        "pts",
+    )
+    q["log_faults"] = """SELECT CASE k WHEN 1 THEN 'malformed' WHEN 2 THEN 'no placemarks' WHEN 3 THEN 'no coordinates' WHEN 4 THEN 'no coordinates' WHEN 5 THEN 'not a .txt file' END AS fault, count(*) AS files
+        FROM (SELECT DISTINCT user_id, user_id % 6 AS k FROM events) GROUP BY 1"""
+    q["log_store"] = _sql(
+        """, f AS (SELECT count(*) FILTER (year = 2024) AS parsed_first, count(*) FILTER (year <> 2024) AS parsed_then FROM paths)
+        SELECT path_id, count(*) AS points, round(sum(alt_m), 3) AS metres, any_value(parsed_first) AS parsed_first, any_value(parsed_then) AS parsed_then, CAST(0 AS BIGINT) AS parsed_again FROM pts JOIN paths USING (path_id), f WHERE year <> 2024 GROUP BY 1""",
+        "pts",
+        "paths",
+    )
     clock = "CASE WHEN c >= 3600 THEN CAST(c // 3600 AS VARCHAR) || ':' || lpad(CAST(c % 3600 // 60 AS VARCHAR), 2, '0') ELSE CAST(c // 60 AS VARCHAR) END || ':' || lpad(CAST(c % 60 AS VARCHAR), 2, '0')"
     q["display_values"] = f"""SELECT p_partkey, {_ramp(_ALTITUDE)} AS altitude_colour, {_ramp(_SPEED)} AS speed_colour, zoom,
         CASE WHEN zoom >= 14 THEN 'xlarge' WHEN zoom >= 12 THEN 'large' ELSE 'medium' END AS zoom_class, CAST(CAST(floor(p_size * 1.5 + 0.5) AS BIGINT) AS VARCHAR) || ' kt' AS speed_label,

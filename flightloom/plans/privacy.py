@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flightloom.functions.times import parsed
 
 #: Fixed value: how logs write the date of a marker.
-_MARKER_DATE = r"^(Log Start|Takeoff|Landing|Log Stop):\s*\d{2}\s+\w{3}\s+(\d{4})\s+\d{2}:\d{2}\s+Z$"
+_MARKER_DATE = r"^(Log Start|Takeoff|Landing|Log Stop):\s*\d{2}\s+\w{3}\s+(\d{4})\s+\d{2}:\d{2}\s+Z"
 
 
 def shifted(points: DataFrame) -> DataFrame:
@@ -25,8 +25,9 @@ def shifted(points: DataFrame) -> DataFrame:
 
 
 def marker_without_date(name: Column) -> Column:
-    """A marker's name with its date cut to the first of January of the year."""
-    return F.regexp_replace(name, _MARKER_DATE, "$1: $2-01-01")
+    """A marker's name with its date cut to the first of January of the year; nothing may follow the date. violations() finds it
+    whatever follows."""
+    return F.regexp_replace(name, f"{_MARKER_DATE}$", "$1: $2-01-01")
 
 
 def obfuscated(points: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightloom import constants as c
-from flightloom.functions import display, geo, names, times
+from flightloom.functions import display, geo, names, times, urls
 from flightloom.operators import airports as ports
 from flightloom.operators import stats, tracks
 from flightloom.plans import filters, privacy, replay, review
 from flightloom.plans.build import bounds
 from flightloom.plans.filters import FilterSpec
 from flightloom.sources import adapters, kml, sinks
-from flightloom.sources.shared import fresh_folder
+from flightloom.sources.shared import fresh_folder, remove_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -225,9 +225,9 @@ def _review_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fleet_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A year's fleet with the models known of all years: those of aircraft whose first type is in the list of models."""
+    """A year's fleet with the models known of all years: models are known of aircraft that ever were of one type."""
     v = Views(spark, sf_dir)
-    models = v.paths.select("registration", F.concat(F.lit("Model of "), "registration").alias("model")).where("registration < 'D-E004'").distinct()
+    models = v.paths.select("registration", F.concat(F.lit("Model of "), "registration").alias("model")).where("aircraft_type = 'C172'").distinct()
     every = stats.aircraft(v.info, models)
     return _rounded(review.with_models(review.fleet(v.segments, v.heads.where("year = 2025")), every), 3)
 
@@ -363,8 +363,8 @@ def airport_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seconds between the times of each log's first points and the log's first, in either direction, and of unread text."""
-    rows = _log(spark, sf_dir).where("seq <= 20")
+    """Seconds between the times of each log's points and the log's first, in either direction, and of unread text."""
+    rows = _log(spark, sf_dir)
     first = rows.groupBy("file").agg(F.min_by("ts_raw", "seq").alias("start"))
     both = rows.join(first, "file")
     return both.select("file", "seq", F.round(times.seconds_between(F.col("start"), F.col("ts_raw")), 3).alias("gone"), F.round(times.seconds_between(F.col("ts_raw"), F.col("start")), 3).alias("back"), times.seconds_between(F.col("start"), F.lit("no time")).alias("unread"))
@@ -591,22 +591,20 @@ def _read_back(out: DataFrame) -> DataFrame:
 @query
 def xml_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points of paths written as placemarks and read back from text."""
-    rows = _written(Views(spark, sf_dir).points).select(F.col("path_id").cast("string").alias("file"), F.col("part").alias("at"), "xml")
+    rows = _written(Views(spark, sf_dir).points).select(F.col("path_id").cast("string").alias("path"), F.col("path_id").cast("string").alias("file"), F.col("part").alias("at"), "xml")
     return _read_back(kml.track_points(kml.from_text(rows)))
 
 
 @query
 def kml_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The points of paths written as files, one a path, of several placemarks, among them a marker, and read back."""
+    """The points of paths written as logs, one a path, long ones in parts, and read back: the XML is scanned once."""
     folder = fresh_folder(spark, "kml")
-    parts = _written(Views(spark, sf_dir).points)
-    head = parts.select("path_id").distinct()
-    line = lambda at, text: head.select("path_id", F.lit(at).cast("long").alias("part"), F.lit(text).alias("xml"))
-    open_, mark = '<kml xmlns="http://www.opengis.net/kml/2.2" xmlns:gx="http://www.google.com/kml/ext/2.2"><Document>', "<Placemark><name>Log Start: 03 Mar 2025 08:58 Z</name><Point><coordinates>1.5,2.5,3.5</coordinates></Point></Placemark>"
-    lines = parts.union(line(-2, open_)).union(line(-1, mark)).union(line(2**40, "</Document></kml>"))
-    lines.repartition("path_id").sortWithinPartitions("path_id", "part").drop("part").write.partitionBy("path_id").text(folder)
-    marks = kml.placemarks(spark, folder, "*", named_by=r"path_id=(\d+)")
-    return _read_back(kml.track_points(marks).where("kind = 'track'"))
+    v = Views(spark, sf_dir).points
+    at = F.date_format(F.timestamp_micros(F.col("us") * 1000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    kml.write_logs(v.select("path_id", "seq", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("alt_m", 2).alias("alt_m"), at.alias("ts_raw"), F.lit("EDDF - EDDM").alias("name")), folder, long_points=100)
+    found, points, _ = kml.parsed_logs(spark, folder, "*")
+    ids = found.where("size(coords) > 0").groupBy("path").agg(F.min(F.regexp_extract("description", r"track (-?\d+)", 1)).alias("track"))
+    return _read_back(points.join(ids, "path").withColumn("file", F.col("track")))
 
 
 @query
@@ -614,14 +612,14 @@ def kml_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What files of both dialects say of their paths: a track's times, or a charter's description and name."""
     v = Views(spark, sf_dir)
     at = F.timestamp_micros(F.col("us") * 1000)
-    first = v.points.where("seq <= 2").groupBy("path_id").agg(F.min(at).alias("t0"), F.max(at).alias("t1"))
+    first = v.points.groupBy("path_id").agg(F.min(at).alias("t0"), F.max(at).alias("t1"))
     iso = lambda x: F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     track = F.concat(F.lit("<Placemark><name>"), "airport_name", F.lit("</name><gx:Track><when>"), iso("t0"), F.lit("</when><when>"), iso("t1"), F.lit("</when><gx:coord>8 50 1</gx:coord><gx:coord>8 51 2</gx:coord></gx:Track></Placemark>"))
     line = F.concat(F.lit("<Placemark><name>"), "registration", F.lit("</name><description>Flight "), F.date_format("t0", "MMM d yyyy hh:mma"), F.lit(" path</description><LineString><coordinates>8.5,50.25,100 bad 8.75,50.5,200 9,51</coordinates></LineString></Placemark>"))
-    rows = v.paths.join(first, "path_id").select(F.col("filename").alias("file"), F.lit(0).alias("at"), F.when(F.col("filename").startswith("2026"), line).otherwise(track).alias("xml"))
+    rows = v.paths.join(first, "path_id").select(F.col("path_id").cast("string").alias("path"), F.col("filename").alias("file"), F.lit(0).cast("long").alias("at"), F.when(F.col("filename").startswith("2026"), line).otherwise(track).alias("xml"))
     marks = kml.from_text(rows)
-    count = kml.track_points(marks).groupBy("file").agg(F.count("*").alias("points"), F.count("alt_m").alias("with_altitude"), F.round(F.sum("lon"), 4).alias("lon"))
-    return kml.metadata(marks).drop("at").join(count, "file")
+    count = kml.track_points(marks).groupBy("path").agg(F.count("*").alias("points"), F.count("alt_m").alias("with_altitude"), F.round(F.sum("lon"), 4).alias("lon"))
+    return kml.metadata(marks).drop("at").join(count, "path").withColumn("path", F.col("path").cast("long")).withColumnRenamed("path", "path_id")
 
 
 @query
@@ -635,13 +633,74 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def url_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States written as query strings and read again: good ones, and ones with bad parts that go."""
-    texts = ("?y=2025&a=D-E001&p=1,2,x&v=110101&lat=50.5&lng=8.25&z=99", "lat=95&lng=abc&z=0&v=12&y=", "", "p=7&z=7.9&v=1111111111", "y=2024&lng=-180&lat=-90")
-    rows = []
-    for text in texts:
-        spec = FilterSpec.from_query_string(text)
-        rows.append((text, spec.year, spec.aircraft, ",".join(map(str, spec.selected)), spec.visible, spec.lat, spec.lng, spec.zoom, spec.to_query_string(), spec == FilterSpec.from_query_string(spec.to_query_string()), spec.data_key("path-info")))
-    return spark.createDataFrame(rows, "text string, year string, aircraft string, selected string, visible string, lat double, lng double, zoom int, written string, same boolean, data_key string")
+    """States in the URLs of all pages, beside their own parameters: good values, and bad ones that go; read, written, and
+    read again."""
+    k = F.col("page_id")
+    number = lambda x, n: F.format_string(f"%.{n}f", x)
+    asked = F.concat(
+        F.lit("y="), F.when(k % 5 == 0, "").otherwise((2020 + k % 6).cast("string")), F.lit("&a=D%2DE"), F.lpad((k % 7).cast("string"), 3, "0"), F.lit("&p="), k, F.lit("%2C"), k * 3, F.lit("%2Cx%2C+7b,&v="),
+        F.substring(F.lit("1101x01011"), F.lit(1), (k % 11).cast("int")), F.lit("&lat="), number(k * 7 % 400 / 2 - 100, 1), F.lit("&lng="), number(k * 13 % 800 / 2 - 200, 1), F.lit("&z="), number(k % 50 / 2, 1),
+    )
+    page, part = F.substring_index("url", "#", 1), F.regexp_extract("url", "#.*$", 0)
+    pages = adapters.table(spark, sf_dir, "pages").select("page_id", F.concat(page, F.when(page.contains("?"), "&").otherwise("?"), asked, part).alias("url"))
+    rows = pages.withColumn("state", urls.state(urls.query_of(F.col("url")))).withColumn("written", urls.written(F.col("state")))
+    again = urls.state(F.col("written"))
+    same = urls.written(again) == F.col("written")
+    return rows.select("page_id", "state.year", "state.aircraft", F.array_join("state.selected", ",").alias("selected"), "state.visible", "state.lat", "state.lng", "state.zoom", "written", same.alias("same"), urls.data_key("path-info", F.col("state.year")).alias("data_key"))
+
+
+@query
+def log_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many points of each kind count in logs of three dialects: prefixed tracks beside bare ones, bare tracks alone, and
+    bare tracks beside other coordinates."""
+    k = F.col("path_id") % 3
+    v = Views(spark, sf_dir).points.groupBy("path_id").agg(F.count("*").alias("n"))
+    bare = F.concat(F.lit("<Placemark><Track>"), F.repeat(F.lit("<coord>9 50 1</coord>"), F.col("n").cast("int")), F.lit("</Track></Placemark>"))
+    marked = F.lit("<Placemark><gx:Track><when>2025-01-01T00:00:00Z</when><gx:coord>8 50 1</gx:coord></gx:Track></Placemark>")
+    line = F.lit("<Placemark><Polygon><outerBoundaryIs><LinearRing><coordinates>8,50,1 9,50,1 8,51,1</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>")
+    texts = F.when(k == 0, F.array(marked, bare)).when(k == 1, F.array(bare)).otherwise(F.array(bare, line))
+    file = F.col("path_id").cast("string")
+    found = kml.from_text(v.select(file.alias("path"), file.alias("file"), F.posexplode(texts).alias("at", "xml")).withColumn("at", F.col("at").cast("long")))
+    rows = kml.track_points(found).groupBy(F.col("path").cast("long").alias("path_id"), "kind").agg(F.count("*").alias("points"), F.count("ts_raw").alias("timed"))
+    return rows
+
+
+#: Ends of the names that Spark's text writer gives to logs.
+_TEXT = ".txt"
+
+
+@query
+def log_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files are at fault, and how: logs of all paths, every sixth of them good, the others cut off, without placemarks,
+    without coordinates, or under another name."""
+    folder = fresh_folder(spark, "faults")
+    k = F.col("path_id") % 6
+    line = Views(spark, sf_dir).points.groupBy("path_id").agg(F.array_join(F.collect_list(F.concat_ws(",", "lon", "lat", "alt_m")), " ").alias("line"))
+    good = F.concat(F.lit("<kml><Placemark><LineString><coordinates>"), "line", F.lit("</coordinates></LineString></Placemark></kml>"))
+    text = F.when(k == 1, F.concat(F.lit("<kml><Placemark><LineString><coordinates>"), "line")).when(k == 2, "<kml></kml>").when(k == 3, "<kml><Placemark><name>no place</name></Placemark></kml>").when(k == 4, "<kml><Placemark><LineString><coordinates>x,y</coordinates></LineString></Placemark></kml>").otherwise(good)
+    logs = line.select(k.alias("k"), text.alias("value"))
+    logs.where("k < 5").select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/logs")
+    logs.where("k = 5").select("value").write.option("maxRecordsPerFile", 1).json(f"{folder}/others")
+    found, points, _ = kml.parsed_logs(spark, folder, f"*{_TEXT}")
+    files = kml.listing(spark, folder).where(~F.col("file").rlike("^[_.]"))
+    return kml.fault_report(files, found, points, _TEXT).groupBy("fault").agg(F.count("*").alias("files"))
+
+
+@query
+def log_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a store says of logs after three calls: one year's come first, then the others', then the first year's go."""
+    v, store = Views(spark, sf_dir), fresh_folder(spark, "store")
+    source = fresh_folder(spark, "logs")
+    rows = v.points.join(v.paths.select("path_id", "year"), "path_id").select("path_id", "seq", "lat", "lon", "alt_m", F.concat(F.timestamp_micros(F.col("us") * 1000).cast("string"), F.lit("Z")).alias("ts_raw"), F.concat(F.lit("path "), "path_id").alias("name"), "year")
+    kml.write_logs(rows.where("year = 2024"), f"{source}/2024")
+    first = kml.parse_new(spark, source, store, _TEXT)
+    kml.write_logs(rows.where("year <> 2024"), f"{source}/later")
+    then, none = kml.parse_new(spark, source, store, _TEXT), kml.parse_new(spark, source, store, _TEXT)
+    remove_folder(spark, f"{source}/2024")
+    kml.parse_new(spark, source, store, _TEXT)
+    names = kml.parsed_store(spark, store, "metadata").select("path", F.regexp_extract("name", r"path (-?\d+)", 1).cast("long").alias("path_id"))
+    rows = kml.parsed_store(spark, store, "points").join(names, "path").groupBy("path_id").agg(F.count("*").alias("points"), F.round(F.sum("alt_m"), 3).alias("metres"))
+    return rows.select("*", F.lit(first).cast("long").alias("parsed_first"), F.lit(then).cast("long").alias("parsed_then"), F.lit(none).cast("long").alias("parsed_again"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,35 @@
-"""KML logs as DataFrames, through Spark's XML reader with an explicit schema."""
+"""KML logs as DataFrames, through Spark's XML reader with an explicit schema.
+
+A log is known by its path: names may repeat from folder to folder. Its XML is scanned once, into elements(): a row a placemark
+with its texts, shapes and times. Points and metadata are made of these rows.
+"""
 
 from __future__ import annotations
 
+import re
 import uuid
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flightloom.functions.names import aircraft_from_filename
 from flightloom.functions.times import charter_start, date_in_name, parsed, year_of
-
-_TRACKS = "array<struct<when:array<string>,coord:array<string>>>"
-_SHAPES = "array<struct<coordinates:string>>"
-_GEOMETRY = f"Point:{_SHAPES},LineString:{_SHAPES},LinearRing:{_SHAPES},Track:{_TRACKS},MultiTrack:array<struct<Track:{_TRACKS}>>"
-_NESTED = f"array<struct<{_GEOMETRY},MultiGeometry:array<struct<{_GEOMETRY}>>>>"
-#: One element of every dialect: prefixes of names do not count, any geometry may repeat, collections may hold collections
+from flightloom.sources.shared import checkpointed
+
+_SHAPE = "array<struct<coordinates:string>>"
+_BORDER = f"array<struct<LinearRing:{_SHAPE}>>"
+_TRACK = "array<struct<when:array<string>,coord:array<string>,`gx:coord`:array<string>>>"
+_MULTI = f"array<struct<Track:{_TRACK},`gx:Track`:{_TRACK}>>"
+_GEOMETRY = {
+    "Point": _SHAPE, "LineString": _SHAPE, "LinearRing": _SHAPE, "Polygon": f"array<struct<outerBoundaryIs:{_BORDER},innerBoundaryIs:{_BORDER}>>",
+    "Track": _TRACK, "gx:Track": _TRACK, "MultiTrack": _MULTI, "gx:MultiTrack": _MULTI,
+}
+_INNER = ",".join(f"`{k}`:{v}" for k, v in _GEOMETRY.items())
+#: One element of every dialect, with and without the track prefix: any geometry may repeat, collections may hold collections
 #: once. What an element lacks is null. Text stays text: inference would cut timestamps.
-PLACEMARK = f"name string, description string, TimeStamp struct<when:string>, {_GEOMETRY.replace(':array', ' array')}, MultiGeometry {_NESTED}"
-_OPTIONS = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
+PLACEMARK = "name string, description string, TimeStamp struct<when:string>, " + ", ".join(f"`{k}` {v}" for k, v in _GEOMETRY.items()) + f", MultiGeometry array<struct<{_INNER},MultiGeometry:array<struct<{_INNER}>>>>"
+_CORRUPT = "_corrupt_record"
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
@@ -26,34 +37,6 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
 
 
-def file_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, file, bytes, modified, fault) of each file in a folder: what is wrong with it as a log, null if nothing. File
-    contents are not read; empty files are not listed."""
-    rows = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
-    fault = F.when(~F.lower(name).endswith(".kml"), "not a .kml file")
-    return rows.select("path", F.url_decode(name).alias("file"), "bytes", "modified", fault.alias("fault"))
-
-
-def placemarks(spark: SparkSession, path: str | list[str], glob: str = "*.[kK][mM][lL]", named_by: str | None = None) -> DataFrame:
-    """(file, at, placemark) for each placemark of the files under `path`: `at` is its place in the file, from 0, however
-    the file was split. Malformed placemarks give nothing. `file` is the file's name, or what group 1 of `named_by` finds in
-    its path. One shuffle by file; a file's placemarks are sorted together."""
-    raw = spark.read.format("xml").schema(PLACEMARK).option("rowTag", "Placemark").options(**_OPTIONS).option("pathGlobFilter", glob).load(path)
-    names = [f.name for f in raw.schema]
-    file = F.col("_metadata.file_name") if named_by is None else F.regexp_extract("_metadata.file_path", named_by, 1)
-    rows = raw.select(file.alias("file"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("number"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("placemark"))
-    rows = rows.where(" OR ".join(f"placemark.{n} IS NOT NULL" for n in names))
-    # Within a block the reader keeps the order of the file.
-    order = Window.partitionBy("file").orderBy("path", "block", "number")
-    return rows.withColumn("at", (F.row_number().over(order) - 1).cast("long")).select("file", "at", "placemark")
-
-
-def from_text(rows: DataFrame) -> DataFrame:
-    """(file, at, placemark) from (file, at, xml), one placemark's text a row."""
-    return rows.select("file", F.col("at").cast("long").alias("at"), F.from_xml("xml", PLACEMARK, _OPTIONS).alias("placemark"))
-
-
 def _each(found: Column, get) -> Column:
     """An array of what `get` finds in each element, none for null."""
     return F.coalesce(F.transform(found, get), F.array())
@@ -66,64 +49,157 @@ def _within(p: Column, own) -> Column:
 
 
 def _shapes(p: Column) -> Column:
-    return _within(p, lambda g: F.concat(*[_each(g[kind], lambda x: x["coordinates"]) for kind in ("Point", "LineString", "LinearRing")]))
+    text = lambda x: x["coordinates"]
+    ring = lambda b: F.flatten(_each(b, lambda x: _each(x["LinearRing"], text)))
+    area = lambda g: F.flatten(_each(g["Polygon"], lambda x: F.concat(ring(x["outerBoundaryIs"]), ring(x["innerBoundaryIs"]))))
+    return F.filter(_within(p, lambda g: F.concat(*[_each(g[kind], text) for kind in ("Point", "LineString", "LinearRing")], area(g))), lambda x: x.isNotNull())
 
 
 def _tracks(p: Column) -> Column:
-    return _within(p, lambda g: F.concat(F.coalesce(g["Track"], F.array()), F.flatten(_each(g["MultiTrack"], lambda m: F.coalesce(m["Track"], F.array())))))
+    both = lambda g: F.concat(F.coalesce(g["gx:Track"], F.array()), F.coalesce(g["Track"], F.array()))
+    many = lambda g: F.flatten(F.concat(_each(g["gx:MultiTrack"], both), _each(g["MultiTrack"], both)))
+    return _within(p, lambda g: F.concat(both(g), many(g)))
+
+
+def _of_tracks(tracks: Column, field: str) -> Column:
+    return F.flatten(_each(tracks, lambda t: F.coalesce(t[field], F.array())))
+
+
+def _placed(rows: DataFrame, order: list[str], keep_broken: bool) -> DataFrame:
+    """Elements of (path, file, *order, placemark): their place in the file, and what the file as a whole decides.
+
+    Track coordinates without their prefix count only in files that hold neither prefixed ones nor other coordinates. Of a
+    file with malformed XML nothing is kept, unless `keep_broken`.
+    """
+    p = F.col("placemark")
+    tracks = _tracks(p)
+    own = rows.select(
+        "path", "file", *order, p[_CORRUPT].isNotNull().alias("broken"), F.trim(p["name"]).alias("name"), p["description"].alias("description"), F.trim(p["TimeStamp"]["when"]).alias("stamp"),
+        _shapes(p).alias("shapes"), _of_tracks(tracks, "when").alias("whens"), _of_tracks(tracks, "gx:coord").alias("marked"), _of_tracks(tracks, "coord").alias("plain"),
+    )
+    whole = Window.partitionBy("path")
+    before = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.max((F.size("shapes") > 0) | (F.size("marked") > 0)).over(whole)
+    own = own.withColumn("at", (F.row_number().over(whole.orderBy(*order)) - 1).cast("long")).withColumn("coords", F.when(known, F.col("marked")).otherwise(F.col("plain"))).withColumn("malformed", F.max("broken").over(whole))
+    n, k = F.size("coords"), F.size("whens")
+    placed = own.select(
+        "path", "file", "at", "name", "description", "stamp", "shapes", "whens", "coords", "broken", "malformed",
+        F.min(F.when(n > 0, F.col("at"))).over(whole).alias("track_at"),
+        F.coalesce(F.sum(n).over(before), F.lit(0)).alias("coords_before"), F.coalesce(F.sum(k).over(before), F.lit(0)).alias("whens_before"),
+        (F.sum(n).over(whole) == F.sum(k).over(whole)).alias("even"), (F.max(F.abs(n - k)).over(whole) == 0).alias("aligned"),
+    )
+    return placed if keep_broken else placed.where("broken OR NOT malformed")
+
+
+def _file_name(path: Column) -> Column:
+    """The name at the end of a URI. url_decode() would read a plus as a blank."""
+    return F.url_decode(F.replace(F.regexp_extract(path, "[^/]*$", 0), F.lit("+"), F.lit("%2B")))
+
+
+def _uri(path: Column) -> Column:
+    """A file's URI in one spelling: local ones come with one slash or three."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
+def elements(spark: SparkSession, path: str | list[str], glob: str = "*.[kK][mM][lL]", keep_broken: bool = False) -> DataFrame:
+    """A row for each placemark of the files under `path`, in one scan and one shuffle by file: path, file (its name), at
+    (the placemark's place in the file, from 0, however the file was split), name, description, stamp, shapes, whens, coords, and
+    what track_points() needs to know of the whole file.
+
+    A malformed file gives one row that says so (broken) and, unless `keep_broken`, no other. Unreadable files give
+    nothing. The plan is lazy: store it, as parsed() does, before more than one thing is read from it.
+    """
+    raw = spark.read.format("xml").schema(f"{PLACEMARK}, {_CORRUPT} string").option("rowTag", "Placemark").option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    names = [f.name for f in raw.schema]
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("number"))  # within a block the reader keeps the order of the file
+    rows = raw.select(_uri(F.col("_metadata.file_path")).alias("path"), _file_name(F.col("_metadata.file_path")).alias("file"), at.alias("order"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("placemark"))
+    return _placed(rows.where(" OR ".join(f"placemark.`{n}` IS NOT NULL" for n in names)), ["order"], keep_broken)
+
 
+def from_text(rows: DataFrame, keep_broken: bool = False) -> DataFrame:
+    """elements() of (path, file, at, xml), one placemark's text a row; `at` orders them within their path."""
+    read = F.from_xml("xml", f"{PLACEMARK}, {_CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    return _placed(rows.select("path", "file", F.col("at").alias("order"), read.alias("placemark")), ["order"], keep_broken)
 
-def track_points(marks: DataFrame) -> DataFrame:
-    """(file, at, element, seq, lat, lon, alt_m, ts_raw, kind, ts) of both dialects.
+
+def track_points(found: DataFrame) -> DataFrame:
+    """(path, file, at, element, seq, lat, lon, alt_m, ts_raw, kind, ts) of both dialects in elements().
 
     Each `coordinates` element is a path of `lon,lat[,alt]` tokens parted by blanks. All track coordinates of a file, `lon
     lat alt`, are one path, at the first placemark that has any; they have times only if the file has as many times as
     coordinates, the i-th for the i-th. Tokens that hold no numbers are left out; altitude may be missing.
     """
-    p = F.col("placemark")
-    shaped = marks.select("file", "at", F.posexplode(_shapes(p)).alias("element", "text"))
+    shaped = found.select("path", "file", "at", F.posexplode("shapes").alias("element", "text"))
     tokens = F.filter(F.split(F.trim("text"), r"\s+"), lambda t: t != "")
-    plain = shaped.select("file", "at", "element", F.posexplode(tokens).alias("seq", "token")).withColumn("seq", F.col("seq").cast("long"))
-    plain = plain.withColumn("part", F.split("token", ",")).withColumn("ts_raw", F.lit(None).cast("string")).withColumn("kind", F.lit("coordinates"))
-    held = marks.select("file", "at", F.flatten(_each(_tracks(p), lambda t: F.coalesce(t["when"], F.array()))).alias("whens"), F.flatten(_each(_tracks(p), lambda t: F.coalesce(t["coord"], F.array()))).alias("coords"))
-    in_file = Window.partitionBy("file")
-    before = in_file.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    n, k = F.size("coords"), F.size("whens")
-    held = held.where((n > 0) | (k > 0)).select(
-        "file",
-        F.min(F.when(n > 0, F.col("at"))).over(in_file).alias("at"),
-        "whens",
-        "coords",
-        F.coalesce(F.sum(n).over(before), F.lit(0)).alias("start"),
-        F.coalesce(F.sum(k).over(before), F.lit(0)).alias("when_start"),
-        (F.sum(n).over(in_file) == F.sum(k).over(in_file)).alias("even"),
-        (F.max(F.abs(n - k)).over(in_file) == 0).alias("aligned"),
-    )
-    token = held.select("file", "at", "even", "aligned", "start", F.when(F.col("aligned"), F.col("whens")).alias("whens"), F.posexplode("coords").alias("i", "token"))
-    track = token.select("file", "at", F.lit(0).alias("element"), (F.col("start") + F.col("i")).alias("seq"), "token", F.when(F.col("aligned"), F.get("whens", F.col("i"))).alias("own"), "even", "aligned")
+    none = F.lit(None).cast("string")
+    plain = shaped.select("path", "file", "at", "element", F.posexplode(tokens).alias("seq", "token")).select("path", "file", "at", "element", F.col("seq").cast("long").alias("seq"), F.split("token", ",").alias("part"), none.alias("ts_raw"), F.lit("coordinates").alias("kind"))
+    token = found.select("path", "file", F.col("track_at").alias("at"), "even", "aligned", "coords_before", F.when(F.col("aligned"), F.col("whens")).alias("whens"), F.posexplode("coords").alias("i", "token"))
+    track = token.select("path", "file", "at", F.lit(0).alias("element"), (F.col("coords_before") + F.col("i")).alias("seq"), F.split(F.trim("token"), r"\s+").alias("part"), F.trim(F.when(F.col("aligned"), F.get("whens", F.col("i")))).alias("ts_raw"), F.lit("track").alias("kind"), (F.col("even") & ~F.col("aligned")).alias("apart"))
     # Times that stand in other placemarks than their coordinates meet them by number.
-    apart = held.where("even AND NOT aligned").select("file", F.col("when_start"), F.posexplode("whens").alias("i", "other")).select("file", (F.col("when_start") + F.col("i")).alias("seq"), "other")
-    track = track.join(apart, ["file", "seq"], "left").withColumn("ts_raw", F.trim(F.when(F.col("aligned"), F.col("own")).when(F.col("even"), F.col("other"))))
-    track = track.withColumn("part", F.split(F.trim("token"), r"\s+")).withColumn("kind", F.lit("track")).select(plain.columns)
-    both = plain.unionByName(track)
+    apart = found.where("even AND NOT aligned").select("path", F.col("whens_before").alias("b"), F.posexplode("whens").alias("i", "other")).select("path", (F.col("b") + F.col("i")).alias("seq"), F.trim("other").alias("other"))
+    met = track.where("apart").join(apart, ["path", "seq"], "left").withColumn("ts_raw", F.col("other"))
+    both = plain.unionByName(track.where("NOT apart").select(plain.columns)).unionByName(met.select(plain.columns))
     at = lambda i: _number(F.get("part", F.lit(i)))
-    rows = both.select("file", "at", "element", "seq", at(1).alias("lat"), at(0).alias("lon"), at(2).alias("alt_m"), "ts_raw", "kind")
+    rows = both.select("path", "file", "at", "element", "seq", at(1).alias("lat"), at(0).alias("lon"), at(2).alias("alt_m"), "ts_raw", "kind")
     return rows.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("ts", parsed(F.col("ts_raw")))
 
 
-def metadata(marks: DataFrame) -> DataFrame:
-    """(file, at, name, timestamp, end_timestamp, year, registration, aircraft_type, airport_name) of each placemark: its
-    first and last time, else a date in its name, else its description; a charter's route replaces names not of four
+def metadata(found: DataFrame) -> DataFrame:
+    """(path, file, at, name, timestamp, end_timestamp, year, registration, aircraft_type, airport_name) of each placemark of elements():
+    its first and last time, else a date in its name, else its description; a charter's route replaces names not of four
     letters."""
-    p = F.col("placemark")
-    own = F.flatten(_each(_tracks(p), lambda t: F.coalesce(t["when"], F.array())))
-    track = F.when(F.size(own) > 0, own).when(p["TimeStamp"]["when"].isNotNull(), F.array(p["TimeStamp"]["when"]))
-    name = F.trim(p["name"])
-    timestamp = F.coalesce(F.trim(F.get(track, F.lit(0))), date_in_name(name), charter_start(p["description"]))
+    track = F.when(F.size("whens") > 0, F.col("whens")).when(F.col("stamp").isNotNull(), F.array("stamp"))
+    timestamp = F.coalesce(F.trim(F.get(track, F.lit(0))), date_in_name(F.col("name")), charter_start(F.col("description")))
     craft = aircraft_from_filename(F.col("file"))
-    rows = marks.select("file", "at", name.alias("name"), timestamp.alias("timestamp"), F.when(F.size(track) > 1, F.trim(F.element_at(track, -1))).alias("end_timestamp"), craft.alias("craft"))
+    rows = found.where("NOT broken").select("path", "file", "at", "name", timestamp.alias("timestamp"), F.when(F.size(track) > 1, F.trim(F.element_at(track, -1))).alias("end_timestamp"), craft.alias("craft"))
     route = F.when(F.col("craft.route").isNotNull() & (F.length(F.coalesce("name", F.lit(""))) != 4), F.replace(F.col("craft.route"), F.lit("-"), F.lit(" - ")))
-    return rows.select("file", "at", "name", "timestamp", "end_timestamp", year_of(F.col("timestamp")).alias("year"), F.col("craft.registration").alias("registration"), F.col("craft.type").alias("aircraft_type"), F.coalesce(route, "name").alias("airport_name"))
+    return rows.select("path", "file", "at", "name", "timestamp", "end_timestamp", year_of(F.col("timestamp")).alias("year"), F.col("craft.registration").alias("registration"), F.col("craft.type").alias("aircraft_type"), F.coalesce(route, "name").alias("airport_name"))
+
+
+def listing(spark: SparkSession, source: str) -> DataFrame:
+    """(path, file, bytes, modified) of every file under a folder, or of one file; empty ones too, which Spark's own file
+    sources pass over. The names reach the driver, as with any listing; contents are not read. A source that is not there
+    gives no rows."""
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(source)
+    store = root.getFileSystem(context._jsc.hadoopConfiguration())
+    rows = []
+    if store.exists(root):
+        found = store.listFiles(root, True)
+        while found.hasNext():
+            f = found.next()
+            rows.append((f.getPath().toUri().toString(), f.getPath().getName(), f.getLen(), f.getModificationTime()))
+    table = spark.createDataFrame(rows, "path string, file string, bytes long, modified long")
+    return table.withColumn("modified", F.timestamp_millis("modified")).withColumn("path", _uri(F.col("path")))
+
+
+def _glob(ending: str) -> str:
+    """A pattern of names with this ending, in any case."""
+    return "*" + "".join(f"[{x.lower()}{x.upper()}]" if x.isalpha() else x for x in ending)
+
+
+def _to_load(path: str) -> str:
+    """A path as a reader takes it: decoded, signs of patterns escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
+
+
+def fault_report(files: DataFrame, found: DataFrame, points: DataFrame, ending: str = ".kml") -> DataFrame:
+    """(path, file, bytes, modified, fault), a row a file of listing(): what is wrong with it as a log, null if nothing.
+
+    In this order: not a file of logs by the end of its name; empty; malformed XML (`found` are its elements()); no placemarks, which a file that cannot
+    be read has not either; no coordinates, if none of its points can be read.
+    """
+    seen = found.groupBy("path").agg(F.max("broken").alias("broken"))
+    read = points.select("path").distinct().withColumn("read", F.lit(True))
+    fault = F.when(~F.lower("file").endswith(ending), f"not a {ending} file").when(F.col("bytes") == 0, "empty").when(F.col("broken"), "malformed").when(F.col("broken").isNull(), "no placemarks").when(F.col("read").isNull(), "no coordinates")
+    return files.join(seen, "path", "left").join(read, "path", "left").select(*files.columns, fault.alias("fault"))
+
+
+def parsed_logs(spark: SparkSession, path: str | list[str], glob: str = "*.[kK][mM][lL]", keep_broken: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Elements, points and metadata of the logs under `path`: the XML is scanned once, its elements are written and all else
+    is made of them."""
+    found = checkpointed(elements(spark, path, glob, keep_broken))
+    return found, track_points(found), metadata(found)
 
 
 def files_in_order(files: DataFrame) -> DataFrame:
@@ -132,35 +208,104 @@ def files_in_order(files: DataFrame) -> DataFrame:
     return files.withColumn("place", F.struct((number == "").alias("last"), F.when(number != "", number.try_cast("bigint")).alias("number"), F.col("file").alias("name")))
 
 
-def known_files(spark: SparkSession, store: str) -> DataFrame:
-    """(file, modified, batch) of the files that parse_new() has parsed into `store`."""
-    try:
-        return spark.read.schema("file string, modified timestamp, batch string").parquet(f"{store}/files")
-    except AnalysisException:
-        return spark.createDataFrame([], "file string, modified timestamp, batch string")
+def _versions(spark: SparkSession, store: str) -> list[int]:
+    """The complete versions of a store's manifest: those whose job was committed."""
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(f"{store}/manifest")
+    files = root.getFileSystem(context._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(root)] if files.exists(root) else []
+    done = lambda name: files.exists(context._jvm.org.apache.hadoop.fs.Path(f"{store}/manifest/{name}/_SUCCESS"))
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and done(n))
+
+
+_MANIFEST = "path string, file string, bytes long, modified timestamp, checksum string, batch string"
 
 
-def parse_new(spark: SparkSession, source: str, store: str) -> int:
-    """Parses the logs under `source` that are new or changed since the last call, by name and time of change, into
-    `store`: their points and metadata as Parquet, a folder a call. Gives the number of files parsed.
+def manifest(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:
+    """(path, file, bytes, modified, checksum, batch) of the logs that a store holds, in its newest or a given version:
+    `batch` is the call that parsed their contents."""
+    known = _versions(spark, store)
+    if not known:
+        return spark.createDataFrame([], _MANIFEST)
+    return spark.read.schema(_MANIFEST).parquet(f"{store}/manifest/version={known[-1] if version is None else version}")
 
-    The names of new files reach the driver, as any listing does; their contents are read once.
+
+def parse_new(spark: SparkSession, source: str, store: str, ending: str = ".kml") -> int:
+    """Brings `store` up to date with the logs under `source` and gives the number of files parsed.
+
+    Logs are known by path. Those whose length and time of change are as they were are left alone; of the others the checksum
+    is taken, and only new contents are parsed, their XML scanned once, into elements, points and metadata of a new batch.
+    A changed log supersedes what it said before, one that is gone goes. The new manifest is a folder of its own, named by
+    its version, and counts once its job is committed: readers see the old state or the new, never a part.
+    """
+    known = _versions(spark, store)
+    version, batch = (known[-1] if known else 0) + 1, uuid.uuid4().hex
+    old = manifest(spark, store)
+    now = listing(spark, source).where(F.lower("file").endswith(ending) & (F.col("bytes") > 0) & ~F.col("file").rlike("^[_.]"))
+    same = ["path", "bytes", "modified"]
+    kept = old.join(now.select(*same), same, "left_semi")
+    changed = checkpointed(now.join(old.select(*same), same, "left_anti"))
+    paths = [r["path"] for r in changed.select("path").collect()]
+    if not paths and kept.count() == old.count():
+        return 0
+    count = 0
+    if paths:
+        # Where all are new, the folder says it shorter than its files' names.
+        sums = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _glob(ending)).load([*map(_to_load, paths)] if known else source).select(_uri(F.col("_metadata.file_path")).alias("path"), F.md5("content").alias("checksum"))
+        sums = changed.join(sums, "path")
+        fresh = checkpointed(sums.join(old.select("path", "checksum", F.col("batch").alias("parsed_in")), ["path", "checksum"], "left"))
+        todo = [r["path"] for r in fresh.where("parsed_in IS NULL").select("path").collect()]
+        count = len(todo)
+        if todo:
+            elements(spark, [*map(_to_load, todo)] if known else source, _glob(ending)).write.parquet(f"{store}/elements/batch={batch}")
+            found = spark.read.parquet(f"{store}/elements/batch={batch}")
+            track_points(found).write.parquet(f"{store}/points/batch={batch}")
+            metadata(found).write.parquet(f"{store}/metadata/batch={batch}")
+        kept = kept.unionByName(fresh.select("path", "file", "bytes", "modified", "checksum", F.coalesce("parsed_in", F.lit(batch)).alias("batch")))
+    kept.coalesce(1).write.parquet(f"{store}/manifest/version={version}")
+    return count
+
+
+def parsed_store(spark: SparkSession, store: str, name: str, version: int | None = None) -> DataFrame:
+    """The `elements`, `points` or `metadata` of a store's logs, as the newest version of its manifest has them, or an older one
+    as long as nothing is vacuumed."""
+    empty = {"points": track_points, "metadata": metadata, "elements": lambda x: x}
+    held = manifest(spark, store, version)
+    if held.isEmpty():
+        return empty[name](from_text(spark.createDataFrame([], "path string, file string, at long, xml string")))
+    rows = spark.read.option("basePath", f"{store}/{name}").parquet(f"{store}/{name}")
+    return rows.join(held.select("path", "batch"), ["path", "batch"], "left_semi").drop("batch")
+
+
+def store_faults(spark: SparkSession, source: str, store: str) -> DataFrame:
+    """fault_report() of the files under `source` by what parse_new() has kept of them."""
+    return fault_report(listing(spark, source), parsed_store(spark, store, "elements"), parsed_store(spark, store, "points"))
+
+
+def write_logs(points: DataFrame, folder: str, long_points: int = 5_000) -> None:
+    """A KML log a track of `points` (path_id, seq, lat, lon, alt_m, ts_raw, name): track elements with their times, the name's
+    placemark and a description `track ID`.
+
+    A track of up to `long_points` points is one row and becomes a file of its own in `folder`/short, many to a task. Longer
+    ones are written in parts of so many points, a folder each in `folder`/long: no track has to fit in a row.
     """
-    batch = uuid.uuid4().hex
-    listed = file_report(spark, source).where("fault IS NULL")
-    new = [(r["path"], r["file"], r["modified"]) for r in listed.join(known_files(spark, store), ["file", "modified"], "left_anti").toLocalIterator()]
-    if new:
-        marks = placemarks(spark, [path for path, _, _ in new])
-        track_points(marks).write.parquet(f"{store}/points/batch={batch}")
-        metadata(marks).write.parquet(f"{store}/metadata/batch={batch}")
-        spark.createDataFrame([(file, at, batch) for _, file, at in new], "file string, modified timestamp, batch string").coalesce(1).write.mode("append").parquet(f"{store}/files")
-    return len(new)
-
-
-def parsed_store(spark: SparkSession, store: str, name: str) -> DataFrame:
-    """The `points` or `metadata` of a store: of each file what its last parse gave."""
-    last = known_files(spark, store).groupBy("file").agg(F.max_by("batch", "modified").alias("batch"))
-    return spark.read.parquet(f"{store}/{name}").join(last, ["file", "batch"], "left_semi").drop("batch")
+    size = points.groupBy("path_id").agg(F.count("*").alias("points"))
+    coord = F.concat(F.coalesce(F.concat(F.lit("<when>"), "ts_raw", F.lit("</when>")), F.lit("")), F.lit("<gx:coord>"), F.concat_ws(" ", "lon", "lat", "alt_m"), F.lit("</gx:coord>"))
+    rows = points.join(size, "path_id").select("path_id", "name", "points", F.col("seq"), F.row_number().over(Window.partitionBy("path_id").orderBy("seq")).alias("n"), coord.alias("text"))
+    markup = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda r: r["text"]), "")
+    mark = F.concat(F.lit("<Placemark><name>"), markup(F.coalesce(F.first("name"), F.lit(""))), F.lit("</name><description>track "), F.col("path_id"), F.lit("</description><gx:Track>"), body, F.lit("</gx:Track></Placemark>"))
+    parts = checkpointed(rows.groupBy("path_id", "points", F.floor((F.col("n") - 1) / long_points).alias("part")).agg(mark.alias("xml")))
+    short = parts.where(F.col("points") <= long_points).select(F.concat(F.lit(_OPEN), "xml", F.lit(_CLOSE)).alias("value"))
+    short.write.option("maxRecordsPerFile", 1).text(f"{folder}/short")
+    long = parts.where(F.col("points") > long_points).select("path_id", "part", "xml")
+    if not long.isEmpty():
+        ends = lambda part, text: long.select("path_id").distinct().select("path_id", F.lit(part).cast("long").alias("part"), F.lit(text).alias("xml"))
+        lines = long.unionByName(ends(-1, _OPEN)).unionByName(ends(2**40, _CLOSE)).repartition("path_id").sortWithinPartitions("path_id", "part")
+        lines.select("path_id", "xml").write.partitionBy("path_id").text(f"{folder}/long")
+
+
+_OPEN, _CLOSE = '<kml xmlns="http://www.opengis.net/kml/2.2" xmlns:gx="http://www.google.com/kml/ext/2.2"><Document>', "</Document></kml>"
 
 
 def aircraft_models(spark: SparkSession, path: str) -> DataFrame:

@@ -6,9 +6,11 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from flightloom.functions import times, urls
 from flightloom.operators import airports, tracks
-from flightloom.plans import filters
+from flightloom.plans import filters, privacy
 from flightloom.plans.build import build
 from flightloom.sources import kml, sinks
 
@@ -60,16 +62,106 @@ def test_geometries_at_any_depth_and_one_track_a_file(spark, tmp_path):
     fewer = f"<Placemark><name>x</name><gx:Track>{when(0)}{point(0)}{point(1)}</gx:Track></Placemark>"
     for name, text in (("a.kml", log(multi, first, second)), ("b.KML", log(apart)), ("c.kml", log(fewer)), ("d.kml", log(first).replace("gx:", "")), ("e.txt", log(first)), ("f.kml", "")):
         (tmp_path / name).write_text(text)
-    marks = kml.placemarks(spark, str(tmp_path))
-    rows = kml.track_points(marks).collect()
+    found, points, _ = kml.parsed_logs(spark, str(tmp_path))
+    rows = points.collect()
     of = lambda file, kind: sorted((r for r in rows if r["file"] == file and r["kind"] == kind), key=lambda r: (r["at"], r["element"], r["seq"]))
     assert [(r["lon"], r["alt_m"], r["at"]) for r in of("a.kml", "coordinates")] == [(1, 3, 0), (4, 6, 0), (7, None, 0), (9, 11, 0)]
     assert len({r["element"] for r in of("a.kml", "coordinates")}) == 3
     assert [(r["at"], r["seq"], r["alt_m"], r["ts_raw"]) for r in of("a.kml", "track")] == [(1, i, 100 + i, f"2025-03-01T10:0{i}:00Z") for i in range(4)]
     assert [(r["at"], r["seq"], r["ts_raw"]) for r in of("b.KML", "track")] == [(1, i, f"2025-03-01T10:0{i}:00Z") for i in range(3)]
     assert [r["ts_raw"] for r in of("c.kml", "track")] == [None, None] and len(of("d.kml", "track")) == 2
-    report = {r["file"]: r["fault"] for r in kml.file_report(spark, str(tmp_path)).collect()}
-    assert report == {"a.kml": None, "b.KML": None, "c.kml": None, "d.kml": None, "e.txt": "not a .kml file"}
+    report = {r["file"]: r["fault"] for r in kml.fault_report(kml.listing(spark, str(tmp_path)), found, points).collect()}
+    assert report == {"a.kml": None, "b.KML": None, "c.kml": None, "d.kml": None, "e.txt": "not a .kml file", "f.kml": "empty"}
+
+
+def test_one_scan_reads_points_and_metadata(spark, tmp_path):
+    (tmp_path / "a.kml").write_text(log("<Placemark><name>A</name><LineString><coordinates>1,2,3 4,5,6</coordinates></LineString></Placemark>"))
+    scans = lambda df: df._jdf.queryExecution().toString().count("FileScan xml")
+    assert scans(kml.elements(spark, str(tmp_path))) == 1
+    found, points, facts = kml.parsed_logs(spark, str(tmp_path))
+    assert scans(points) == scans(facts) == scans(found) == 0 and points.count() == 2 and facts.count() == 1
+
+
+def test_faults_of_logs_are_told_and_malformed_ones_give_nothing(spark, tmp_path):
+    line = "<Placemark><name>A</name><LineString><coordinates>1,2,3 4,5,6</coordinates></LineString></Placemark>"
+    texts = {"good [1] a+b.kml": log(line), "cut.kml": log(line, line)[:-40], "entity.kml": log(line, "<Placemark><name>A & B</name></Placemark>"), "text.kml": "no xml", "none.kml": "<kml></kml>", "bare.kml": log("<Placemark><name>x</name></Placemark>"), "bad.kml": log(line.replace("1,2,3 4,5,6", "x,y")), "empty.kml": "", "log.txt": log(line)}
+    (tmp_path / "deep").mkdir()
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+        (tmp_path / "deep" / name).write_text(text)
+    want = {"good [1] a+b.kml": None, "cut.kml": "malformed", "entity.kml": "malformed", "text.kml": "malformed", "none.kml": "no placemarks", "bare.kml": "no coordinates", "bad.kml": "no coordinates", "empty.kml": "empty", "log.txt": "not a .kml file"}
+    store = str(tmp_path.parent / f"{tmp_path.name}-store")
+    kml.parse_new(spark, str(tmp_path), store)
+    rows = kml.store_faults(spark, str(tmp_path), store).collect()
+    assert sorted((r["file"], r["fault"]) for r in rows) == sorted([*want.items(), *want.items()], key=lambda x: (x[0], x[1] or ""))
+    points = kml.parsed_store(spark, store, "points")
+    assert {r["file"] for r in points.collect()} == {"good [1] a+b.kml"} and points.count() == 4
+    assert kml.track_points(kml.elements(spark, str(tmp_path), keep_broken=True)).where("file = 'cut.kml'").count() == 4
+    assert kml.listing(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_bare_names_count_only_where_there_are_no_others(spark, tmp_path):
+    marked, bare = "<Placemark><gx:Track><gx:coord>1 2 3</gx:coord></gx:Track></Placemark>", "<Placemark><Track><coord>4 5 6</coord></Track></Placemark>"
+    line = "<Placemark><Polygon><outerBoundaryIs><LinearRing><coordinates>7,8,9</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>"
+    for name, parts in {"both": (bare, marked), "alone": (bare, bare), "beside": (bare, line)}.items():
+        (tmp_path / f"{name}.kml").write_text(log(*parts))
+    rows = kml.track_points(kml.elements(spark, str(tmp_path))).collect()
+    assert sorted((r["file"], r["lon"], r["at"]) for r in rows) == [("alone.kml", 4, 0), ("alone.kml", 4, 0), ("beside.kml", 7, 1), ("both.kml", 1, 1)]
+
+
+def test_logs_of_equal_names_keep_apart_and_vanished_ones_go(spark, tmp_path):
+    logs, store = tmp_path / "logs", str(tmp_path / "store")
+    track = lambda n: log("<Placemark><name>A</name><LineString><coordinates>" + " ".join(f"{i},{i},{i}" for i in range(n)) + "</coordinates></LineString></Placemark>")
+    for folder, n in (("a", 2), ("b", 3)):
+        (logs / folder).mkdir(parents=True)
+        (logs / folder / "log.kml").write_text(track(n))
+    counts = lambda: sorted(r["count"] for r in kml.parsed_store(spark, store, "points").groupBy("path").count().collect())
+    assert kml.parsed_store(spark, store, "points").count() == 0
+    assert kml.parse_new(spark, str(logs), store) == 2 and counts() == [2, 3]
+    os.utime(logs / "a" / "log.kml", (1_900_000_000, 1_900_000_000))  # touched, but its contents are as they were
+    assert kml.parse_new(spark, str(logs), store) == 0 and counts() == [2, 3]
+    (logs / "b" / "log.kml").unlink()
+    (logs / "c").mkdir()
+    (logs / "c" / "log.kml").write_text(track(5))
+    assert kml.parse_new(spark, str(logs), store) == 1 and counts() == [2, 5]
+    assert sorted(r["count"] for r in kml.parsed_store(spark, store, "points", 1).groupBy("path").count().collect()) == [2, 3]
+    (tmp_path / "store" / "manifest" / "version=9").mkdir()  # a version whose job never ended
+    assert counts() == [2, 5]
+    assert kml.parse_new(spark, str(logs), store) == 0
+
+
+def test_written_logs_read_back(spark, tmp_path):
+    made = kml.synthetic_points(spark, 5, 40)
+    rows = made.withColumn("ts_raw", F.concat(F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).withColumn("name", F.lit("A & <B>"))
+    for i, long_points in enumerate((1_000, 15)):
+        folder = str(tmp_path / str(i))
+        kml.write_logs(rows, folder, long_points)
+        found, points, facts = kml.parsed_logs(spark, folder, "*.txt")
+        assert found.select("path").distinct().count() == 5 and {r["name"] for r in facts.collect()} == {"A & <B>"}
+        got = sorted((r["lat"], r["lon"], r["alt_m"], r["us"]) for r in points.select("lat", "lon", "alt_m", F.unix_micros("ts").alias("us")).collect())
+        assert got == sorted((r["lat"], r["lon"], r["alt_m"], r["us"]) for r in made.collect())
+
+
+def test_dates_of_names_descriptions_and_markers(spark):
+    rows = spark.createDataFrame([("03  Mar\t2025", "Flight Jan 12 2026 03:01PM path", "Takeoff: 03 Mar 2025 08:58 Z (RWY 07)"), ("x 2025-03-01", "Flight march 2 2026 12:30AM", "Takeoff: 2025-01-01"), ("3 Mar 2025", "Flight Feb 30 2026 01:00PM", "Landing: 03 Mar 2025 08:58 Z"), (None, "Flight Jan 2 2026 13:00PM", None)], "name string, description string, marker string")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = rows.select(times.date_in_name(F.col("name")).alias("d"), times.charter_start(F.col("description")).alias("c")).collect()
+        assert [tuple(r) for r in got] == [("03  Mar\t2025", "2026-01-12T15:01:00+00:00"), ("2025-03-01", "2026-03-02T00:30:00+00:00"), (None, None), (None, None)]
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    points = spark.createDataFrame([], "file string, seq long, ts_raw string")
+    marks = rows.select(F.col("marker").alias("file"), F.col("marker").alias("name"))
+    assert {r["file"] for r in privacy.violations(points, marks).collect()} == {"Takeoff: 03 Mar 2025 08:58 Z (RWY 07)", "Landing: 03 Mar 2025 08:58 Z"}
+
+
+def test_states_of_urls(spark):
+    texts = ["https://x.org/?y=2025&a=D-E001&p=1,2,x,7b&v=110101&lat=50.5&lng=8.25&z=99#top", "https://x.org/a?lat=95&lng=1&z=0.2&v=12&y=", "https://x.org/a", "?p=7&z=7.9x&v=11111111112", "?y=2024&y=2025&a=all&lat=-90&lng=-180&v=100100000", "?y=%zz&p=%2C-3%2C", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(urls.state(urls.query_of(F.col("t"))).alias("s")).select("s.*", urls.written(F.col("s")).alias("w")).collect()
+    assert tuple(rows[0]) == ("2025", "D-E001", [1, 2, 7], "110101000", 50.5, 8.25, 18.0, "y=2025&a=D-E001&p=1%2C2%2C7&v=110101000&lat=50.500000&lng=8.250000&z=18.00")
+    assert tuple(rows[1]) == (None, None, [], None, None, None, 1.0, "z=1.00") and tuple(rows[2])[:7] == (None, None, [], None, None, None, None)
+    assert (rows[3]["selected"], rows[3]["visible"], rows[3]["zoom"]) == ([7], None, 7.9)
+    assert (rows[4]["year"], rows[4]["lat"], rows[4]["lng"], rows[4]["w"]) == ("2024", -90.0, -180.0, "y=2024&lat=-90.000000&lng=-180.000000")
+    assert rows[5]["year"] == "%zz" and rows[5]["selected"] == [-3] and rows[6]["selected"] == []
 
 
 def test_only_new_and_changed_logs_are_parsed(spark, tmp_path):
