@@ -146,9 +146,11 @@ def _align_texts(pdfs: Iterator[pd.DataFrame], a_path: str, b_path: str) -> Iter
             found = None
             if text:
                 (a_ids,), (b_ids,), whole = a_model.encode([text]), b_model.encode([text]), b" " + text.encode()
-                if b"".join(map(a_model.bytes.__getitem__, a_ids)) == whole == b"".join(map(b_model.bytes.__getitem__, b_ids)):
-                    a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
-                    of_a, of_b = groups(np.cumsum(a_length[a]), np.cumsum(b_length[b]))
+                a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+                a_ends = np.cumsum(a_length[a])
+                # Byte-level tokens are cut out of the very bytes: their number tells whether any are missing. Pieces are compared.
+                if a_ends[-1] == len(whole) and whole == b"".join(map(b_model.bytes.__getitem__, b_ids)):
+                    of_a, of_b = groups(a_ends, np.cumsum(b_length[b]))
                     pairs, times = _pairs(a, b, of_a, of_b, WIDTH)
                     spelled = spelling.of(a, b, of_a, of_b)
                     found = (len(a), len(b), int(of_a[-1]) + 1, int(times.sum()), hashlib.sha256(spelled.encode()).hexdigest(), pairs, times)

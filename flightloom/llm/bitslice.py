@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from flightloom.llm.common import settled
 
-#: Rows of an index block; queries that travel in one row.
-BLOCK, GROUP = 131_072, 256
+#: Rows of an index block at most, and of its rows times components (8 bytes each); queries that travel in one row.
+BLOCK, CELLS, GROUP = 131_072, 8_000_000, 256
 SCALE = 256
 
 
@@ -161,14 +161,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     and finds the others, and rows without an id are found as null, after equal scores with one. An empty table gives an
     empty table. Component sizes are bounded by the sum of products fitting a long.
 
-    The slices are built once, in blocks of about BLOCK rows, and written. A block is then sent to one task, or to a few
+    The slices are built once, in blocks of about BLOCK rows, or of CELLS components where vectors are wide, and written. A block is then sent to one task, or to a few
     while there are fewer blocks than tasks, and the queries stream past it; so the index is shuffled once at scale, the
     queries once a block, and of each meeting only k rows leave. Every row is compared exactly.
     """
     spark = vectors.sparkSession
     rows = settled(quantised(vectors, id_col, vector_col))
     asked = rows.where(is_query)
-    n_blocks, n_groups = max(1, -(-rows.count() // BLOCK)), max(1, -(-asked.count() // GROUP))
+    count, width = rows.agg(F.count("*"), F.max(F.size("q"))).first()
+    block = max(64, min(BLOCK, CELLS // max(width or 0, 1)))
+    n_blocks, n_groups = max(1, -(-count // block)), max(1, -(-asked.count() // GROUP))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     lanes = max(1, min(n_groups, tasks // n_blocks))
     deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(n)).cast("long")

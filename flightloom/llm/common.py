@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,11 +40,19 @@ def modest_batches(spark: SparkSession) -> SparkSession:
     rows, size = (f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch"))
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, BATCH_ROWS)
-    if int(spark.conf.get(size).rstrip("b")) > BATCH_BYTES:
+    if not 0 < in_bytes(spark.conf.get(size)) <= BATCH_BYTES:
         spark.conf.set(size, BATCH_BYTES)
     return spark
 
 
+def in_bytes(size: str) -> int:
+    """A size as Spark's settings write it: digits, and k, m, g, t or p, with or without a b."""
+    found = re.fullmatch(r"(-?\d+)([kmgtp]?)i?b?", size.strip().lower())
+    if not found:
+        raise ValueError(f"no size in bytes: {size!r}")
+    return int(found[1]) << 10 * " kmgtp".index(found[2] or " ")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Writes `df` as Parquet in the shared folder and reads it again: cuts lineage, outlives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
@@ -84,14 +93,23 @@ def fold(doc_id: Column | str, parts: int) -> Column:
 
 
 def hash_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
-    """About `rows` rows at most, chosen by a seeded hash of `key`: the same ones at every run and partitioning."""
-    total = df.count()
+    """(key) of at most `rows` distinct keys, chosen by a seeded hash: the same ones at every run and partitioning, however
+    often a key repeats. Keys alone are shuffled, once each from a task; few of them reach the final sort."""
+    keys = df.select(key).distinct()
+    total = keys.count()
     if total <= rows:
-        return df
+        return keys
     steps = 1_000_000
-    share = min(steps, int(steps * 1.2 * rows / total) + 1)
+    share = min(steps, int(steps * 1.2 * rows / total) + 100)
     drawn = F.xxhash64(F.lit(seed), F.col(key))
-    return df.where(F.pmod(drawn, F.lit(steps)) < share).orderBy(drawn, key).limit(rows)
+    return keys.where(F.pmod(drawn, F.lit(steps)) < share).orderBy(drawn, key).limit(rows)
+
+
+def one_text_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in `ids` (doc_id distinct, bounded: it is broadcast): of an id's texts the one with the
+    least hash, so there are no more rows than ids, however often one repeats."""
+    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -79,6 +79,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("doc_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """Each doc_key once: rows that repeat a doc_id and its text say nothing new, and would meet each other. Only those are
+    shuffled, one a task; where none repeats, rows stay as they are."""
+    again = settled(rows.groupBy("doc_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_key"))
+    if again.isEmpty():
+        return rows
+    return rows.join(again, "doc_key", "left_anti").unionByName(rows.join(again, "doc_key", "left_semi").dropDuplicates(["doc_id", "doc_key"]))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_key, start, stop): word ranges of windows that also start in a document with a smaller doc_id.
 
@@ -117,7 +126,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 )
 
     # Null ids are never smaller than another and have none smaller: such rows neither remove nor lose words.
-    source = rows.where(F.col("doc_id").isNotNull())
+    source = _distinct(rows.where(F.col("doc_id").isNotNull()))
     paths = settled(source.mapInPandas(cut, "anchor long, path long, first int, last int, turn int, doc_id long, doc_key long"))
     same = ["anchor", "path"]
     nodes = settled(paths.groupBy(*same).agg(F.min("doc_id").alias("lowest"), F.count("*").alias("n")))

@@ -9,12 +9,16 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flightloom.llm.common import settled
+
 #: Bounds of the training sample: texts in all where languages are few, and texts of each language where they are many.
 TRAIN_DOCS, EACH_LEAST = 6_000, 8
-#: Landmarks (one of every language at least), and hashed n-grams.
+#: Languages that one model holds on the driver; fit() refuses more, it does not choose among them.
+MOST_LANGUAGES = 2_000
+#: Landmarks (one of every language at least, MOST_LANGUAGES bounds them), and hashed n-grams.
 LANDMARKS, SLOTS = 192, 1 << 15
 #: The blended spectrum: n-grams of one to four letters.
 ORDERS = (1, 2, 3, 4)
@@ -110,22 +114,26 @@ class LanguageModel:
 
 def fit(docs: DataFrame, learn: Column, seed: int = 3) -> LanguageModel:
     """Fits on a bounded sample of texts with a language: TRAIN_DOCS over the number of languages of each, EACH_LEAST at
-    least, so every language seen is learned, however rare.
+    least, so every language seen is learned, however rare. More than MOST_LANGUAGES raise a ValueError.
 
-    `learn` says over doc_id which rows may be learned from. Texts are chosen by a seeded hash of doc_id, repeated rows
-    with each other; landmarks are the first of them, language by language in turn. Only lang and text are read, for
-    labels and features. The sample and one row a language reach the driver. Null and empty texts, texts without letters,
-    and rows of null lang or doc_id teach nothing; if no row is left, an idle model is returned.
+    `learn` says over doc_id which rows may be learned from. Of each language the texts of least seeded hash of doc_id and
+    text are taken, each once however often its row repeats; landmarks are the first of them, language by language in
+    turn. Only lang and text are read, for labels and features. The sample, of bounded size, and one row a language reach
+    the driver. Null and empty texts, texts without letters, and rows of null lang or doc_id teach nothing; if no row is
+    left, an idle model is returned.
     """
-    known = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.trim(F.col("text")) != ""))
-    counts = known.groupBy("lang").count().collect()
+    mark = F.xxhash64(F.lit(seed), "doc_id", "text")
+    known = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    languages = known.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
     idle = LanguageModel([], np.zeros((0, SLOTS // 8), np.uint8), np.zeros((0, 0)), np.zeros((1, 0)))
-    if not counts:
+    if not languages:
         return idle
-    each = max(EACH_LEAST, TRAIN_DOCS // len(counts))
-    spark = docs.sparkSession
-    shares = spark.createDataFrame([(r["lang"], min(1.0, (1.1 * each + 20) / r["count"])) for r in counts], "lang string, share double")
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) / 1e6
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in column lang")
+    each = max(EACH_LEAST, TRAIN_DOCS // languages)
+    # Ids and hashes only; a task passes on no more than `each` rows a language.
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "doc_id"))
+    chosen = settled(known.select("lang", "doc_id", mark.alias("drawn")).distinct().withColumn("turn", first).where(F.col("turn") <= each).drop("turn"))
 
     def sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -134,8 +142,9 @@ def fit(docs: DataFrame, learn: Column, seed: int = 3) -> LanguageModel:
             packed = [np.packbits(rows[i]).tobytes() for i in ok]
             yield pdf.iloc[ok][["doc_id", "lang", "drawn"]].assign(bits=packed)
 
-    sample = known.select("doc_id", "lang", F.col("text").cast("string"), drawn.alias("drawn")).join(F.broadcast(shares), "lang").where("drawn < share")
-    pdf = sample.select("doc_id", "lang", "drawn", "text").mapInPandas(sets, "doc_id long, lang string, drawn double, bits binary").toPandas()
+    texts = known.select("lang", "doc_id", mark.alias("drawn"), F.col("text").cast("string").alias("text"))
+    sample = texts.join(F.broadcast(chosen), ["lang", "doc_id", "drawn"], "left_semi").groupBy("lang", "doc_id", "drawn").agg(F.min("text").alias("text"))
+    pdf = sample.select("doc_id", "lang", "drawn", "text").mapInPandas(sets, "doc_id long, lang string, drawn long, bits binary").toPandas()
     pdf = pdf.sort_values(["drawn", "doc_id", "lang"])
     pdf["turn"] = pdf.groupby("lang").cumcount()
     pdf = pdf[pdf["turn"] < each].sort_values(["turn", "lang"])

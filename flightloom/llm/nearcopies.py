@@ -19,8 +19,9 @@ ALIKE = 0.8
 BUCKET = 256
 #: Rows of ids that are broadcast to find their texts (24 bytes each); more are joined by a shuffle.
 WANTED = 500_000
-#: Least hashes of a shingle set that its sketch holds, and standard errors by which a sketch may fall short of a pair.
-SKETCH, ERRORS = 128, 3.0
+#: Least hashes of a shingle set that its sketch holds: so many, or a quarter of them where that is more, but no more than the
+#: second number. A set and one unlike it, known by a quarter, cannot be alike whatever the rest holds.
+SKETCH, SKETCH_MOST = 128, 16_384
 #: From the distinct shingle hashes of a text to the buckets in which it meets others.
 Keys = Callable[[np.ndarray], np.ndarray]
 
@@ -36,12 +37,12 @@ def _set_id(shingles: np.ndarray) -> int:
 
 def shingle_sets(docs: DataFrame, shingles: Shingles, keys: Keys) -> DataFrame:
     """(doc_id, mark, node, n, keys, sketch) of each row with a doc_id: node identifies the set of distinct shingles, n is its
-    size, keys are the buckets where it meets others, sketch its SKETCH least hashes, cut to 32 bits."""
+    size, keys are the buckets where it meets others, sketch its least hashes, cut to 32 bits."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             sets = [shingles.of(t) for t in pdf["text"]]
-            yield pdf[["doc_id", "mark"]].assign(node=[_set_id(x) for x in sets], n=[len(x) for x in sets], keys=[keys(x) for x in sets], sketch=[(x[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets])
+            yield pdf[["doc_id", "mark"]].assign(node=[_set_id(x) for x in sets], n=[len(x) for x in sets], keys=[keys(x) for x in sets], sketch=[(x[: min(max(SKETCH, len(x) // 4), SKETCH_MOST)] >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_mark().alias("mark"))
     return rows.mapInPandas(run, "doc_id long, mark long, node long, n long, keys array<long>, sketch binary")
@@ -70,34 +71,37 @@ def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingles: Shingl
 
 
 def sketched(one: list[np.ndarray], other: list[np.ndarray], sizes: np.ndarray, others: np.ndarray, alike: float) -> np.ndarray:
-    """Which pairs of sets may have a Jaccard similarity of `alike`, by their sketches (len(one) x len(other)).
+    """Which pairs of sets can have a Jaccard similarity of `alike`, by their sketches (len(one) x len(other)). None that has is
+    left out.
 
-    Up to the lesser of both sketches' greatest hashes, both sets are known in full: the share of common hashes among these
-    estimates the similarity, and is exact where both sketches hold their whole sets. A pair goes if the estimate lies more
-    than ERRORS standard errors below `alike`, the error being that of a sample without replacement.
+    Up to the lesser of both sketches' greatest hashes both sets are known in full: how many they share there, plus all that
+    the one with fewer unknown hashes may share beyond, bounds what they have in common.
     """
     every, at = np.unique(np.concatenate([*one, *other]), return_inverse=True)
     lists = [*one, *other]
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     often = np.bincount(at, minlength=len(every)) > 1
     column = (np.cumsum(often) - 1)[at]
-    table = np.zeros((len(lists), max(int(often.sum()), 1)), np.float32)
-    table[row[often[at]], column[often[at]]] = 1
-    both = table[: len(one)] @ table[len(one) :].T
+    both = np.zeros((len(one), len(other)), np.float32)
+    for low in range(0, max(int(often.sum()), 1), 1 << 15):  # hashes that several sets hold, so many at a time
+        chosen = often[at] & (column >= low) & (column < low + (1 << 15))
+        table = np.zeros((len(lists), min(1 << 15, max(int(often.sum()), 1))), np.float32)
+        table[row[chosen], column[chosen] - low] = 1
+        both += table[: len(one)] @ table[len(one) :].T
+    # Hashes of one set may be equal in 32 bits: each such counts as shared.
+    both += np.array([len(x) - len(np.unique(x)) for x in one], np.float32)[:, None]
     last = lambda x, n: np.inf if n <= len(x) else float(x[-1])
     up_one, up_other = (np.array([last(x, n) for x, n in zip(lists_, ns, strict=True)]) for lists_, ns in ((one, sizes), (other, others)))
-    known = np.stack([np.searchsorted(x, np.minimum(u, up_other), side="right") for x, u in zip(one, up_one, strict=True)])
-    known_other = np.stack([np.searchsorted(x, np.minimum(u, up_one), side="right") for x, u in zip(other, up_other, strict=True)], axis=1)
-    sample = np.maximum(known + known_other - both, 1)
-    union = np.maximum((sizes[:, None] + others[None, :]) / (1 + alike), 1)
-    error = np.sqrt(alike * (1 - alike) / sample * np.clip(1 - sample / union, 0, 1))
-    whole = np.isinf(up_one)[:, None] & np.isinf(up_other)[None, :]
-    return both / sample >= np.where(whole, alike - 1e-9, alike - ERRORS * error - 1 / sample)
+    # A set's hash equal in 32 bits to the last one known may lie on either side of it: it counts as unknown.
+    known = np.stack([np.where(np.isinf(np.minimum(u, up_other)), n, np.searchsorted(x, np.minimum(u, up_other), side="left")) for x, u, n in zip(one, up_one, sizes, strict=True)])
+    known_other = np.stack([np.where(np.isinf(np.minimum(u, up_one)), n, np.searchsorted(x, np.minimum(u, up_one), side="left")) for x, u, n in zip(other, up_other, others, strict=True)], axis=1)
+    most = both + np.minimum(sizes[:, None] - known, others[None, :] - known_other)
+    return most * (1 + alike) >= alike * (sizes[:, None] + others[None, :]) - 1e-6
 
 
 def pairs_that_meet(met: DataFrame, alike: float) -> DataFrame:
     """Distinct pairs (u, v) of nodes that share a bucket of `met` (key, node, n, label, sketch) and not a label, whose sizes
-    permit a similarity of `alike`, and whose sketches do.
+    permit a similarity of `alike`, and whose sketches do: no pair of that similarity is left out.
 
     In each bucket the nodes that have not the most frequent label meet all its nodes; those that have it are connected
     already. Both are dealt into blocks of about BUCKET by a hash, and every block of the ones meets every block of the

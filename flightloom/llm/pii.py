@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import hash_sample
+from flightloom.llm.common import hash_sample, one_text_each
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
@@ -383,7 +383,7 @@ def fit(docs: DataFrame, seed: int = 17) -> SpanModel:
             rows = [(d, a, t[max(0, a - REACH) : b + REACH]) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for a, b in zones(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "at", "piece"])
 
-    pieces = texts.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").mapInPandas(surroundings, "doc_id long, at long, piece string")
+    pieces = one_text_each(texts, ids).mapInPandas(surroundings, "doc_id long, at long, piece string")
     order = F.xxhash64(F.lit(seed), "doc_id", "at")
     rng = np.random.default_rng(seed)
     examples = []
@@ -432,7 +432,8 @@ def redacted(text: str | None, model: SpanModel) -> str | None:
 
 
 def redact(docs: DataFrame, model: SpanModel) -> DataFrame:
-    """`docs` with personal data in text replaced; other columns as they are."""
+    """`docs` with personal data in text replaced; other columns as they are. Null texts stay null, empty ones empty; rows that repeat
+    or have no doc_id come out once each; an empty table gives an empty table."""
 
     @F.pandas_udf("string")
     def replaced(texts: pd.Series) -> pd.Series:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import batches, hash_sample, settled
+from flightloom.llm.common import batches, hash_sample, one_text_each, settled
 
 #: Bounds of the training sample: documents of each label, chains of lines, and lines of one chain. At most TRAIN_CHAINS
 #: times CHAIN rows of OWN numbers reach the driver, however long the texts are.
@@ -137,20 +137,19 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(a * np.log(quality / (1 - quality)) + b, -40, 40)))
 
 
-def crf_fit(features: np.ndarray, good: np.ndarray, sizes: np.ndarray, weight: np.ndarray, rounds: int = 250, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and transition scores that maximise the chains' conditional likelihood; `weight` is a chain's share."""
+def crf_fit(features: np.ndarray, good: np.ndarray, sizes: np.ndarray, rounds: int = 250, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and transition scores that maximise the chains' conditional likelihood."""
     w, step = np.zeros((features.shape[1], 2)), np.zeros((2, 2))
     told = np.zeros((len(good), 2))
     told[np.arange(len(good)), good] = 1
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     inner = np.setdiff1d(np.arange(len(good)), starts)
-    share = np.repeat(weight, sizes)[:, None]
     seen = np.zeros((2, 2))
     np.add.at(seen, (good[inner - 1], good[inner]), 1)
     m, v = np.zeros(w.size + 4), np.zeros(w.size + 4)
     for t in range(1, rounds + 1):
         guess, pairs, _ = marginals(features @ w, sizes, step)
-        grad = np.append((features.T @ (share * (guess - told)) / share.sum() + ridge * w).ravel(), ((pairs - seen) / len(good) + ridge * step).ravel())
+        grad = np.append((features.T @ (guess - told) / len(good) + ridge * w).ravel(), ((pairs - seen) / len(good) + ridge * step).ravel())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, step = w - move[:-4].reshape(w.shape), step - move[-4:].reshape(2, 2)
@@ -175,13 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, seed: int = 5) -> Qua
     Lines take the label of their document as a weak label; the chain model then tells ordinary lines of bad documents
     from bad ones, since ordinary lines are common in good documents. Features are extracted where the texts are, and the
     documents' qualities too, which then calibrate the aggregate by their labels. Null and empty texts count as one empty
-    line. A doc_id with both labels counts as bad; rows that repeat count each. Without labels of both kinds an
+    line. A doc_id with both labels counts as bad, one with several texts by the text of least hash. Without labels of both kinds an
     uninformed model is returned; it scores 0.5.
     """
     known = labels.where(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int"))
-    parts = [hash_sample(known.where(F.col("quality") == k), "doc_id", TRAIN_DOCS, seed) for k in (0, 1)]
+    parts = [hash_sample(known.where(F.col("quality") == k), "doc_id", TRAIN_DOCS, seed).withColumn("quality", F.lit(k)) for k in (0, 1)]
     chosen = settled(parts[0].union(parts[1]).groupBy("doc_id").agg(F.min("quality").alias("label")))
-    sample = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    sample = settled(one_text_each(docs, chosen.select("doc_id")).join(F.broadcast(chosen), "doc_id"))
 
     def chains(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces:
@@ -203,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, seed: int = 5) -> Qua
         features.append(lines[int(before) : len(lines) - int(after)])
     sizes = np.array([len(x) for x in features], np.int64)
     model = QualityModel()
-    model.weights, model.step = crf_fit(np.concatenate(features), np.repeat(pdf["label"].to_numpy(np.int64), sizes), sizes, np.ones(len(sizes)))
+    model.weights, model.step = crf_fit(np.concatenate(features), np.repeat(pdf["label"].to_numpy(np.int64), sizes), sizes)
 
     def judged(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces:
@@ -233,7 +232,8 @@ def quality_scores(docs: DataFrame, model: QualityModel, threshold: float = 0.7)
 
 
 def line_labels(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id, line (from 0), length, good (the marginal) and label (1 if it is over a half) of every line of `docs`."""
+    """doc_id, line (from 0), length, good (the marginal) and label (1 if it is over a half) of every line of `docs`. Null and
+    empty texts are one empty line; rows that repeat or have no doc_id give their lines once each; no rows, no lines."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

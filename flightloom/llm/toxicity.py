@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightloom.llm.common import hash_sample
+from flightloom.llm.common import hash_sample, one_text_each
 
 #: Bounds of the training sample and of the model.
 POSITIVES, UNLABELLED, FEATURES = 4_000, 12_000, 4_096
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, prior: float | None =
 
     `learn` says over doc_id which rows may be learned from. The class prior is the share of toxic rows among the labels
     that may be learned from, unless given. Features are extracted where the texts are; a text gives each distinct word
-    once. Without any such positive text the model scores every text by the prior 0.
+    once, and an id with several texts gives the one of least hash. Without any such positive text the model scores every text by the prior 0.
     """
     known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     total, toxic = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
@@ -113,9 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, prior: float | None =
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "slots": [token_slots(t) for t in pdf["text"]]})
 
     def gather(ids: DataFrame) -> Rows:
-        # Both sides of this join are bounded: the sample's ids are broadcast, its features come to the driver.
-        chosen = docs.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.col("text").cast("string"))
-        pdf = chosen.mapInPandas(slots, "doc_id long, slots array<int>").toPandas().sort_values("doc_id", kind="stable")
+        # A row an id of the bounded sample: its features come to the driver.
+        pdf = one_text_each(docs, ids).mapInPandas(slots, "doc_id long, slots array<int>").toPandas().sort_values("doc_id", kind="stable")
         return Rows.of(list(pdf["slots"]))
 
     positive = gather(hash_sample(known.where("toxic = 1").select("doc_id"), "doc_id", POSITIVES, seed)) if toxic else Rows.of([])
