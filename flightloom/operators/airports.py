@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flightloom import constants as c
 from flightloom.functions.geo import cell, haversine_km
 from flightloom.functions.names import clean_airport, display_name, icao_codes, is_marker
+from flightloom.operators.ranks import rank_within
 from flightloom.sources.shared import checkpointed
 
 
@@ -80,63 +83,98 @@ def corrected(rows: DataFrame, airports: DataFrame) -> DataFrame:
 
 
 def _spots(rows: DataFrame) -> DataFrame:
-    """(lat, lon, name, at_end, rank, number): one row a pair of coordinates, with its first candidate and its first name
-    that is no marker; `number` sorts them."""
-    order = F.struct("pass", "path_id", "at_end")
-    named = F.when(F.coalesce("name", F.lit("")) != "", F.struct(is_marker(F.col("name")), order))
-    spots = rows.groupBy("lat", "lon").agg(F.min_by("name", named).alias("name"), F.min(named).alias("named"), F.min_by("at_end", order).alias("at_end"), F.min(order).alias("rank"))
+    """(lat, lon, rank, number): one row a pair of coordinates, with its first candidate; `number` sorts them."""
+    spots = rows.groupBy("lat", "lon").agg(F.min(F.struct("pass", "path_id", "at_end")).alias("rank"))
     return spots.withColumn("number", F.format_string("%020.10f|%020.10f", F.col("lat") + 90, F.col("lon") + 180))
 
 
-def _gathered(spots: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row an airport from its spots (..., airport): the place and the end of its first candidate, the first name that is
-    no marker, else the first, and `visits`, its distinct timestamps of candidates that are no markers."""
-    out = spots.groupBy("airport").agg(F.min_by(F.struct("lat", "lon", "at_end"), "rank").alias("at"), F.min_by("name", "named").alias("name"))
-    times = rows.where(F.col("timestamp").isNotNull() & ~is_marker(F.col("name"))).select("lat", "lon", "timestamp").distinct()
-    visits = times.join(spots.select("lat", "lon", "airport"), ["lat", "lon"]).groupBy("airport").agg(F.count_distinct("timestamp").alias("visits"))
+def gathered(rows: DataFrame) -> DataFrame:
+    """One row an airport from its candidates (..., airport): the place and the end of the first, the first name that is no
+    marker, else the first one, and `visits`, the distinct timestamps of candidates that are no markers."""
+    order = F.struct("pass", "path_id", "at_end")
+    named = F.when(F.coalesce("name", F.lit("")) != "", F.struct(is_marker(F.col("name")), order))
+    out = rows.groupBy("airport").agg(F.min_by(F.struct("lat", "lon", "at_end"), order).alias("at"), F.min_by("name", named).alias("name"))
+    visits = _visits(rows).groupBy("airport").agg(F.count("*").alias("visits"))
     return out.join(visits, "airport", "left").select("at.lat", "at.lon", "name", F.coalesce("visits", F.lit(0).cast("long")).alias("visits"), "at.at_end")
 
 
-def deduplicated(rows: DataFrame) -> DataFrame:
-    """One row an airport (lat, lon, name, visits, at_end): equal coordinates are one place first, then places connected
-    within the distance."""
+def _visits(rows: DataFrame) -> DataFrame:
+    """(airport, timestamp, first): the distinct timestamps of each airport, with the candidate that brought each first."""
+    told = rows.where((F.coalesce("timestamp", F.lit("")) != "") & ~is_marker(F.col("name")))
+    return told.groupBy("airport", "timestamp").agg(F.min(F.struct("pass", "path_id", "at_end")).alias("first"))
+
+
+def assigned(rows: DataFrame) -> DataFrame:
+    """`rows` with their airport: equal coordinates are one place first, then places connected within the distance. Without an
+    order; a chain of places is one airport."""
     spots = checkpointed(_spots(rows))
-    return _gathered(spots.join(clusters(spots), "number").withColumnRenamed("cluster", "airport"), rows)
+    return rows.join(spots.join(clusters(spots), "number").select("lat", "lon", F.col("cluster").alias("airport")), ["lat", "lon"])
 
 
-def deduplicated_in_order(rows: DataFrame) -> DataFrame:
-    """deduplicated() by the order-bound rule: each place joins the first airport within the distance that it meets, in the
-    order of cells around its own, else it founds one, in the order of first candidates.
+def deduplicated(rows: DataFrame) -> DataFrame:
+    """One row an airport (lat, lon, name, visits, at_end) of assigned() candidates."""
+    return gathered(checkpointed(assigned(rows)))
+
 
-    Places of different clusters() never meet, so each cluster is walked by itself: one task a cluster, its distinct
-    coordinates in memory. A cluster is a chain of places below the distance; its size is that of an airport's distinct
-    starts, and nothing else bounds it.
+def founders_in_order(spots: DataFrame, km: float = c.AIRPORT_DISTANCE_KM, degrees: float = c.AIRPORT_GRID_DEGREES) -> DataFrame:
+    """(number, rank, lat, lon, r, q): the places of `spots` that found an airport: in the order of rank each that has no
+    founder before it within `km`, looked for in its own cell of a grid and the eight around it.
+
+    By rounds: a place that is the first to wait in its cell and in those around it founds, for nothing undecided can come
+    before it; all that wait within its reach join it. A round compares cells' first places and, once, each waiting place with
+    the founders beside it. No task holds a cluster, and work does not grow with the square of a cell's places.
+    """
+    around = lambda r, q: F.explode(F.array(*[F.struct((F.col(r) + i).alias("r"), (F.col(q) + j).alias("q")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    waiting = checkpointed(spots.select("number", "rank", "lat", "lon", cell(F.col("lat"), degrees).alias("r"), cell(F.col("lon"), degrees).alias("q")))
+    found = [waiting.limit(0)]
+    while not waiting.isEmpty():
+        first = waiting.groupBy("r", "q").agg(F.min(F.struct("rank", "number", "lat", "lon")).alias("first"))
+        least = first.select(around("r", "q").alias("at"), F.struct("first.rank", "first.number").alias("key")).groupBy("at.r", "at.q").agg(F.min("key").alias("least"))
+        fresh = checkpointed(first.join(least, ["r", "q"]).where(F.struct("first.rank", "first.number") == F.col("least")).select("first.number", "first.rank", "first.lat", "first.lon", "r", "q"))
+        near = fresh.select(F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), around("r", "q").alias("at")).select("lat2", "lon2", "at.r", "at.q")
+        gone = waiting.join(near, ["r", "q"]).where(haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) < km).select("number").distinct()
+        waiting = checkpointed(waiting.join(gone, "number", "left_anti"))
+        found.append(fresh)
+    return checkpointed(reduce(DataFrame.unionByName, found))
+
+
+def assigned_in_order(rows: DataFrame, km: float = c.AIRPORT_DISTANCE_KM, degrees: float = c.AIRPORT_GRID_DEGREES) -> DataFrame:
+    """`rows` with their airport by the order-bound rule: each candidate, in the order (pass, path, end), joins an airport founded
+    before it within the distance, the first met cell by cell around its own, else it founds one.
+
+    Airports are further apart than the distance, so few can be within a place's reach: they travel with it, and each of
+    its candidates takes the first that was there by then.
     """
     spots = checkpointed(_spots(rows))
-    flat = spots.join(clusters(spots), "number").select("cluster", "number", "lat", "lon", F.col("rank.pass").alias("p"), F.col("rank.path_id").alias("i"), F.col("rank.at_end").alias("e"))
-
-    def walk(pdf):
-        from math import asin, cos, floor, radians, sin, sqrt
-
-        grid, founded, joined = {}, [], []
-        for row in pdf.sort_values(["p", "i", "e"]).itertuples():
-            at = (floor(row.lat / c.AIRPORT_GRID_DEGREES), floor(row.lon / c.AIRPORT_GRID_DEGREES))
-            near = (x for a in (-1, 0, 1) for b in (-1, 0, 1) for x in grid.get((at[0] + a, at[1] + b), ()))
-            hit = None
-            for number, lat, lon in near:
-                h = sin(radians(lat - row.lat) / 2) ** 2 + cos(radians(lat)) * cos(radians(row.lat)) * sin(radians(lon - row.lon) / 2) ** 2
-                if 2 * c.EARTH_RADIUS_KM * asin(min(1.0, sqrt(h))) < c.AIRPORT_DISTANCE_KM:
-                    hit = number
-                    break
-            if hit is None:
-                grid.setdefault(at, []).append((row.number, row.lat, row.lon))
-                hit = row.number
-            founded.append(row.number)
-            joined.append(hit)
-        return type(pdf)({"number": founded, "airport": joined})
-
-    placed = flat.groupBy("cluster").applyInPandas(walk, "number string, airport string")
-    return _gathered(spots.join(placed, "number"), rows)
+    founders = founders_in_order(spots, km, degrees)
+    near = founders.select(F.col("number").alias("airport"), F.col("rank").alias("founded"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.explode(F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j"), (F.col("r") + i).alias("r"), (F.col("q") + j).alias("q")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("at"))
+    near = near.select("airport", "founded", "lat2", "lon2", F.struct("at.i", "at.j", "founded").alias("turn"), "at.r", "at.q")
+    placed = spots.select("lat", "lon", cell(F.col("lat"), degrees).alias("r"), cell(F.col("lon"), degrees).alias("q"))
+    reach = placed.join(near, ["r", "q"]).where(haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) < km)
+    reach = reach.groupBy("lat", "lon").agg(F.sort_array(F.collect_list(F.struct("turn", "founded", "airport"))).alias("reach"))
+    there = F.filter("reach", lambda x: x["founded"] <= F.struct("pass", "path_id", "at_end"))
+    return rows.join(reach, ["lat", "lon"]).select(*rows.columns, F.get(there, F.lit(0))["airport"].alias("airport"))
+
+
+def deduplicated_in_order(rows: DataFrame) -> DataFrame:
+    """One row an airport (lat, lon, name, visits, at_end) of assigned_in_order() candidates."""
+    return gathered(checkpointed(assigned_in_order(rows)))
+
+
+def visit_times(rows: DataFrame, chunk: int = 1_000) -> DataFrame:
+    """(airport, part, timestamps): the distinct timestamps of each airport of assigned candidates in the order in which they
+    came, at most `chunk` in a row."""
+    order = _visits(rows).select("airport", "timestamp", "first.pass", "first.path_id", "first.at_end")
+    ranked = rank_within(order, ["airport"], ["pass", "path_id", "at_end"], "place", ties=["timestamp"])
+    told = F.transform(F.sort_array(F.collect_list(F.struct("place", "timestamp"))), lambda x: x["timestamp"])
+    return ranked.groupBy("airport", F.floor((F.col("place") - 1) / chunk).alias("part")).agg(told.alias("timestamps"))
+
+
+def exported_times(rows: DataFrame, exported_: DataFrame, chunk: int = 1_000) -> DataFrame:
+    """(lat, lon, part, timestamps) of the airports that exported() keeps, as visit_times() has them."""
+    order = F.struct("pass", "path_id", "at_end")
+    places = rows.groupBy("airport").agg(F.min_by(F.struct("lat", "lon"), order).alias("at")).select("airport", "at.lat", "at.lon")
+    return visit_times(rows, chunk).join(places, "airport").join(exported_.select("lat", "lon"), ["lat", "lon"], "left_semi").select("lat", "lon", "part", "timestamps")
 
 
 def names_of(found: DataFrame) -> DataFrame:

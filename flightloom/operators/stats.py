@@ -118,8 +118,9 @@ def cruise(rows: DataFrame) -> DataFrame:
 
 
 def cruise_by_year(rows: DataFrame, paths: DataFrame) -> DataFrame:
-    """A year's share of cruise(), one row a year: km and seconds in cruise, highest and lowest groundspeed above 0, and the
-    longest path's km. Rows of paths without a year have a row of their own."""
+    """A year's share of cruise(), one row a year: km and seconds in cruise, highest and lowest groundspeed above 0, the longest
+    path's km, and the histogram of altitudes: bin to its seconds and the place where it was met first, (path, segment). Rows
+    of paths without a year have a row of their own. A histogram has as many entries as there are altitudes."""
     known = rows.join(paths.select("path_id", "year"), "path_id", "left")
     each = known.groupBy("year", "path_id").agg(
         F.sum(F.when(F.col("cruising"), F.col("window_km"))).alias("cruise_km"),
@@ -128,12 +129,19 @@ def cruise_by_year(rows: DataFrame, paths: DataFrame) -> DataFrame:
         F.min(F.when(F.col("gs") > 0, F.col("gs"))).alias("min_gs"),
         F.sum("km").alias("km"),
     )
-    return each.groupBy("year").agg(F.sum("cruise_km").alias("cruise_km"), F.sum("cruise_seconds").alias("cruise_seconds"), F.max("max_gs").alias("max_gs"), F.min("min_gs").alias("min_gs"), F.max("km").alias("longest_km"))
+    sums = each.groupBy("year").agg(F.sum("cruise_km").alias("cruise_km"), F.sum("cruise_seconds").alias("cruise_seconds"), F.max("max_gs").alias("max_gs"), F.min("min_gs").alias("min_gs"), F.max("km").alias("longest_km"))
+    bins = known.where("cruising").groupBy("year", "bin_ft").agg(F.sum("window_s").alias("seconds"), F.min(F.struct("path_id", "seg_idx")).alias("first"))
+    maps = bins.groupBy(F.col("year").alias("of_year")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("bin_ft", F.struct("seconds", "first"))))).alias("histogram"))
+    return sums.join(maps, F.col("year").eqNullSafe(F.col("of_year")), "left").drop("of_year")
 
 
 def merged_years(parts: DataFrame) -> DataFrame:
-    """One row from the rows of cruise_by_year(), of any years and in any number of tables put together."""
-    return parts.agg(F.sum("cruise_km").alias("cruise_km"), F.sum("cruise_seconds").alias("cruise_seconds"), F.max("max_gs").alias("max_gs"), F.min("min_gs").alias("min_gs"), F.max("longest_km").alias("longest_km"))
+    """One row from the rows of cruise_by_year(), of any years and in any number of tables put together, as cruise() would have
+    it of all: the bin with most seconds in all histograms, of equals the one met first, by year, path and segment."""
+    bins = parts.select("year", F.explode("histogram").alias("bin_ft", "h")).groupBy("bin_ft").agg(F.sum("h.seconds").alias("seconds"), F.min(F.struct(F.col("year").isNull(), "year", "h.first")).alias("first"))
+    mode = bins.agg(F.min_by("bin_ft", F.struct(-F.round("seconds", 6), "first")).alias("mode_bin_ft"), F.lit(1).alias("one"))
+    sums = parts.agg(F.lit(1).alias("one"), F.sum("cruise_km").alias("cruise_km"), F.sum("cruise_seconds").alias("cruise_seconds"), F.max("max_gs").alias("max_gs"), F.min("min_gs").alias("min_gs"), F.max("longest_km").alias("longest_km"))
+    return sums.join(mode, "one").drop("one")
 
 
 def histogram(rows: DataFrame) -> DataFrame:

@@ -43,10 +43,14 @@ def with_groundspeed(legs_: DataFrame) -> DataFrame:
     around = by_path().orderBy("us").rangeBetween(-half, half)
     moving = F.col("speed") != 0
     rows = legs_.withColumn("window_km", F.coalesce(F.sum(F.when(moving, F.col("km"))).over(around), F.lit(0.0))).withColumn("window_s", F.coalesce(F.sum(F.when(moving, F.col("us2") - F.col("us"))).over(around), F.lit(0)) / 1e6)
+    lasting = (F.max("us2").over(by_path()) - F.min("us").over(by_path())) / 1e6
+    return _speeds(rows, lasting, F.sum("km").over(by_path()) / c.KM_PER_NM / (lasting / 3600))
+
+
+def _speeds(rows: DataFrame, lasting: Column, mean: Column) -> DataFrame:
+    """gs from the window sums, or from the path's mean speed and the seconds that it lasts."""
     knots = F.col("window_km") / c.KM_PER_NM / (F.col("window_s") / 3600)
     windowed = F.when((F.col("window_s") >= c.MIN_SEGMENT_SECONDS) & (knots <= c.MAX_GROUNDSPEED_KNOTS), knots).otherwise(0.0)
-    lasting = (F.max("us2").over(by_path()) - F.min("us").over(by_path())) / 1e6
-    mean = F.sum("km").over(by_path()) / c.KM_PER_NM / (lasting / 3600)
     fallback = F.when((lasting > 0) & (F.col("km") > 0) & (mean > 0) & (mean <= c.MAX_GROUNDSPEED_KNOTS), mean).otherwise(0.0)
     rows = rows.withColumn("windowed", F.when(F.col("us").isNotNull(), windowed).otherwise(0.0)).withColumn("fallback", fallback)
     used = F.col("windowed") > 0
@@ -110,3 +114,40 @@ def flight_phases(points: DataFrame) -> DataFrame:
 def first_by(value: str, *order: Column | str) -> Column:
     """The value of the row that comes first in the order: ties in a ranking are settled by stating them here."""
     return F.min_by(value, F.struct(*order))
+
+
+#: Legs of a path above which its windows are split, and seconds of a piece of them.
+LONG_PATH, PIECE_SECONDS = 1_000_000, 3_600
+
+
+def with_groundspeed_split(legs_: DataFrame, piece_seconds: int = PIECE_SECONDS) -> DataFrame:
+    """with_groundspeed() for paths of any length: the same rows, but no task holds a path.
+
+    A path's legs are dealt into pieces of time. Legs within half a window of a piece's end go to the piece beside it as well,
+    where they only lend their sums; so each leg finds its whole window in its own piece. What concerns the path as a
+    whole, one row, is joined to the legs. Legs without a time have no window and are dealt by their number.
+    """
+    half = c.SPEED_WINDOW_SECONDS * 1_000_000 // 2
+    wide = F.lit(max(piece_seconds * 1_000_000, half)).cast("long")
+    piece = lambda us: F.floor(us / wide)
+    own = F.coalesce(piece(F.col("us")), -1 - F.col("seg_idx") % 64)
+    beside = F.array_distinct(F.array_compact(F.array(own, piece(F.col("us") - half), piece(F.col("us") + half))))
+    spread = legs_.withColumn("own_piece", own).withColumn("piece", F.explode(beside))
+    around = Window.partitionBy("path_id", "piece").orderBy("us").rangeBetween(-half, half)
+    moving = F.col("speed") != 0
+    rows = spread.withColumn("window_km", F.coalesce(F.sum(F.when(moving, F.col("km"))).over(around), F.lit(0.0))).withColumn("window_s", F.coalesce(F.sum(F.when(moving, F.col("us2") - F.col("us"))).over(around), F.lit(0)) / 1e6)
+    rows = rows.where("piece = own_piece").drop("piece", "own_piece")
+    total = legs_.groupBy("path_id").agg(((F.max("us2") - F.min("us")) / 1e6).alias("lasting"), F.sum("km").alias("path_km"))
+    rows = rows.join(total, "path_id")
+    mean = F.col("path_km") / c.KM_PER_NM / (F.col("lasting") / 3600)
+    return _speeds(rows, F.col("lasting"), mean).drop("lasting", "path_km")
+
+
+def with_speed(legs_: DataFrame, long_path: int = LONG_PATH) -> DataFrame:
+    """with_groundspeed(), split for those paths that have more than `long_path` legs: there are at most as many of them as
+    times that number goes into all legs, so their ids are broadcast."""
+    long = legs_.groupBy("path_id").agg(F.count("*").alias("legs")).where(F.col("legs") > long_path).select("path_id")
+    if long.isEmpty():
+        return with_groundspeed(legs_)
+    apart = with_groundspeed_split(legs_.join(F.broadcast(long), "path_id", "left_semi"))
+    return with_groundspeed(legs_.join(F.broadcast(long), "path_id", "left_anti")).unionByName(apart)

@@ -11,6 +11,7 @@ from flightloom.operators import airports as ports
 from flightloom.operators import stats, tracks
 from flightloom.plans import filters
 from flightloom.sources import kml, sinks
+from flightloom.sources.shared import checkpointed
 
 
 def tracks_of(spark: SparkSession, source: str, store: str) -> tuple[DataFrame, DataFrame]:
@@ -31,23 +32,25 @@ def bounds(points: DataFrame) -> DataFrame:
     return b.withColumn("mid_lat", (F.col("min_lat") + F.col("max_lat")) / 2).withColumn("mid_lon", (F.col("min_lon") + F.col("max_lon")) / 2)
 
 
-def build(spark: SparkSession, source: str, out: str, airports: DataFrame | None = None) -> None:
+def build(spark: SparkSession, source: str, out: str, airports: DataFrame | None = None, strip_times: bool = True) -> None:
     """Writes segments, path info, airports and metadata under `out`; what was parsed is kept beside them, so that a later
     build parses new and changed logs only."""
     points, paths = tracks_of(spark, source, f"{out}/_parsed")
-    write(spark, points, paths, out, airports)
+    write(spark, points, paths, out, airports, strip_times)
 
 
-def write(spark: SparkSession, points: DataFrame, paths: DataFrame, out: str, airports: DataFrame | None = None) -> None:
-    """The datasets of any points and paths, as build() writes them."""
-    legs = tracks.with_cruise(tracks.with_groundspeed(tracks.legs(points)))
+def write(spark: SparkSession, points: DataFrame, paths: DataFrame, out: str, airports: DataFrame | None = None, strip_times: bool = True) -> None:
+    """The datasets of any points and paths, as build() writes them; the airports' visit times only if not `strip_times`."""
+    legs = tracks.with_cruise(tracks.with_speed(tracks.legs(points)))
     segments = tracks.segments(legs)
     info = stats.path_info(points, legs, paths)
     sinks.write_years(segments, info, out)
     saved, saved_info = (sinks.read_year(spark, out, name) for name in ("segments", "path_info"))
     if airports is not None:
         found = ports.corrected(ports.candidates(saved_info, tracks.flight_phases(points)), airports)
-        sinks.write_airports(ports.exported(ports.deduplicated(found), airports), out)
+        found = checkpointed(ports.assigned(found))
+        kept = checkpointed(ports.exported(ports.gathered(found), airports))
+        sinks.write_airports(kept, out, None if strip_times else ports.exported_times(found, kept))
     statistics = filters.statistics(saved.drop("year"), saved_info).withColumn("one", F.lit(1))
     sinks.write_metadata(statistics.join(bounds(points).withColumn("one", F.lit(1)), "one").drop("one"), saved_info, out)
 

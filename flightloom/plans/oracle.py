@@ -122,6 +122,7 @@ def oracle_sql() -> dict[str, str]:
     q["path_distance"] = _sql("SELECT path_id, round(sum(km), 4) AS km, round(sum(km) / 1.852, 4) AS nm FROM legs0 GROUP BY 1", "legs0")
     q["segment_speed"] = _sql("SELECT path_id, seg_idx, round(km, 6) AS km, round(dt, 6) AS dt, round(speed, 4) AS speed FROM legs", "legs")
     q["windowed_groundspeed"] = _sql("SELECT path_id, seg_idx, round(gs, 3) AS gs, round(window_km, 3) AS window_km, round(window_s, 6) AS window_s FROM spd", "spd")
+    q["groundspeed_split"] = q["windowed_groundspeed"]
     q["segments_projection"] = _sql("SELECT path_id, seg_idx, round(lat1, 8) AS lat1, round(lon1, 8) AS lon1, round(lat2, 8) AS lat2, round(lon2, 8) AS lon2, altitude_ft, altitude_m, groundspeed_knots, time, round(km, 6) AS km FROM seg", "seg")
     q["path_info"] = _sql(
         """, sh AS (SELECT path_id, arg_min(lat, seq) AS start_lat, arg_min(lon, seq) AS start_lon, arg_max(lat, seq) AS end_lat, arg_max(lon, seq) AS end_lon,
@@ -303,6 +304,25 @@ def oracle_sql() -> dict[str, str]:
     )
     q["airport_name_list"] = recursive("SELECT count(*) AS num_airports, string_agg(CASE WHEN e THEN substr(name, 8) ELSE substr(name, 1, 4) END, ',' ORDER BY CASE WHEN e THEN substr(name, 8) ELSE substr(name, 1, 4) END) AS airport_names FROM air")
     q["airports_written"] = q["airport_dedupe"]
+    times = """, one AS (SELECT root, lat, lon, row_number() OVER (PARTITION BY printf('%.4f,%.4f', lat, lon) ORDER BY name, lat, lon) AS nth FROM air),
+        d AS (SELECT root, ts, min(rk) AS rk FROM cor JOIN spot USING (lat, lon) JOIN own USING (number) WHERE ts IS NOT NULL GROUP BY 1, 2),
+        g AS (SELECT lat, lon, count(*) AS n, string_agg(CAST(ts AS VARCHAR), ',' ORDER BY rk) AS times FROM d JOIN one USING (root) WHERE nth = 1 GROUP BY 1, 2)"""
+    recursive_ = lambda body: _sql(found + body, "pts", "paths", "apt").replace("WITH ", "WITH RECURSIVE ", 1)
+    q["airport_times"] = recursive_(times + " SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, (n + 4) // 5 AS parts, least(n, 5) AS longest, times FROM g")
+    q["airports_stripped"] = recursive_(times + " SELECT (SELECT count(*) FROM one WHERE nth = 1) AS airports, CAST((SELECT sum(n) FROM g) AS BIGINT) AS times_before, CAST(0 AS BIGINT) AS times_after")
+    beside = "abs(floor({0}.lat / 0.018) - floor({1}.lat / 0.018)) <= 1 AND abs(floor({0}.lon / 0.018) - floor({1}.lon / 0.018)) <= 1 AND {2} < 1.5".replace("0.018", _D(0.018))
+    q["airport_dedupe_in_order"] = recursive_(
+        f""", line AS (SELECT *, row_number() OVER (ORDER BY rank) AS turn FROM spot),
+        walk AS (SELECT CAST(0 AS BIGINT) AS turn, CAST([] AS STRUCT(number BIGINT, lat DOUBLE, lon DOUBLE, rank BIGINT)[]) AS founded
+            UNION ALL SELECT l.turn, CASE WHEN len(list_filter(founded, lambda f: {beside.format("f", "l", _hav("f.lat", "f.lon", "l.lat", "l.lon"))})) > 0 THEN founded ELSE list_append(founded, {{'number': l.number, 'lat': l.lat, 'lon': l.lon, 'rank': l.rank}}) END FROM walk w JOIN line l ON l.turn = w.turn + 1),
+        port AS (SELECT unnest(founded, recursive := true) FROM (SELECT founded FROM walk ORDER BY turn DESC LIMIT 1)),
+        met AS (SELECT x.rk, x.path_id, x.lat, x.lon, x.name, x.ts, x.e, p.number AS root, p.lat AS plat, p.lon AS plon,
+            row_number() OVER (PARTITION BY x.rk ORDER BY floor(p.lat / {_D(0.018)}), floor(p.lon / {_D(0.018)}), p.rank) AS choice FROM cor x JOIN port p ON p.rank <= x.rk AND {beside.format("p", "x", _hav("x.lat", "x.lon", "p.lat", "p.lon"))}),
+        took AS (SELECT * FROM met WHERE choice = 1),
+        apr AS (SELECT root, any_value(plat) AS lat, any_value(plon) AS lon, arg_min(name, rk) AS name, count(DISTINCT ts) AS visits FROM took GROUP BY 1)
+        SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, name, greatest(1, visits) AS flight_count, country FROM
+        (SELECT *, row_number() OVER (PARTITION BY printf('%.4f,%.4f', lat, lon) ORDER BY name, lat, lon) AS nth FROM apr) LEFT JOIN kn ON code = substr(name, 1, 4) WHERE nth = 1"""
+    )
     q["metadata_written"] = f"""SELECT '2024,2025,2026' AS years, num_paths, num_aircraft, num_airports, total_points, cruise_altitude_ft, min_altitude_m, max_altitude_m FROM ({_statistics("true")})"""
     q["airport_markers"] = _sql(
         """, f AS (SELECT airport, min(path_id * 2 + e) AS first FROM ends GROUP BY 1)
@@ -318,8 +338,21 @@ def oracle_sql() -> dict[str, str]:
     cruise = """, e AS (SELECT path_id, sum(km) AS km FROM cru GROUP BY 1), l AS (SELECT year, max(km) AS longest FROM e JOIN paths USING (path_id) GROUP BY 1)
         SELECT {0} round(sum(window_km) FILTER (cruising), 3) AS cruise_km, round(sum(window_s) FILTER (cruising), 3) AS cruise_seconds, round(max(gs) FILTER (gs > 0), 3) AS max_gs,
         round(min(gs) FILTER (gs > 0), 3) AS min_gs, round(max(longest), 3) AS longest_km FROM cru JOIN paths USING (path_id) JOIN l USING (year)"""
-    q["cruise_years"] = _sql(cruise.format("year,") + " GROUP BY year", "cru", "paths")
-    q["cruise_merged"] = _sql(cruise.format(""), "cru", "paths")
+    q["cruise_years"] = _sql(
+        f"""{cruise.format("year,").replace("SELECT year, round(sum", ", c AS (SELECT year, round(sum", 1)} GROUP BY year),
+        h AS (SELECT year, bin_ft, sum(window_s) AS s, arg_min(path_id, path_id * 1000000 + seg_idx) AS p, min(path_id * 1000000 + seg_idx) % 1000000 AS i FROM cru JOIN paths USING (path_id) WHERE cruising GROUP BY 1, 2),
+        g AS (SELECT year, string_agg(bin_ft || '@' || p || '/' || i, ' ' ORDER BY bin_ft) AS bins, round(sum(s), 3) AS binned_seconds FROM h GROUP BY 1)
+        SELECT c.*, bins, binned_seconds FROM c LEFT JOIN g USING (year)""",
+        "cru",
+        "paths",
+    )
+    q["cruise_merged"] = _sql(
+        f"""{cruise.format("").replace("SELECT  round(sum", ", c AS (SELECT round(sum", 1)}),
+        b AS (SELECT bin_ft, sum(window_s) AS s, min((year, path_id, seg_idx)) AS f FROM cru JOIN paths USING (path_id) WHERE cruising GROUP BY 1)
+        SELECT c.*, (SELECT bin_ft FROM b ORDER BY round(s, 6) DESC, f LIMIT 1) AS mode_bin_ft FROM c""",
+        "cru",
+        "paths",
+    )
     facts = (
         ("times_around_the_earth", "distance", "10", "total_nm > 10819.5", "NULL", "round(total_nm / 21639, 1)"),
         ("miles", "distance", "8", "total_nm <= 10819.5 AND total_nm > 1000", "NULL", "floor(total_nm + 0.5)"),
@@ -370,8 +403,15 @@ def oracle_sql() -> dict[str, str]:
         "pts",
     )
     q["density_grid"] = _sql(f'SELECT CAST(floor((lat + {_D(0.0000123)}) / {_D(0.001)}) AS BIGINT) AS "row", CAST(floor((lon + {_D(0.0000123)}) / {_D(0.001)}) AS BIGINT) AS col, count(*) AS points FROM pts GROUP BY 1, 2', "pts")
+    q["density_heat"] = _sql(
+        f"""{", d AS (" + q["density_grid"][q["density_grid"].index("SELECT CAST(floor((lat"):] + ")"}, k AS (SELECT i, least(1, (25 - abs(i)) / CAST(15 AS DOUBLE)) AS w FROM (SELECT unnest(range(-24, 25)) AS i)),
+        a AS (SELECT "row", col + i AS col, sum(points * w) AS heat FROM d, k GROUP BY 1, 2)
+        SELECT "row" + i AS "row", col, round(sum(heat * w), 4) AS heat FROM a, k GROUP BY 1, 2""",
+        "pts",
+    )
     q["combined_years"] = _sql("SELECT year, count(*) AS segments, count(DISTINCT path_id) AS paths, CAST(sum(altitude_ft) AS BIGINT) AS feet FROM seg JOIN paths USING (path_id) GROUP BY 1", "seg", "paths")
     q["replay_asof"] = _sql("SELECT a.path_id, a.t, s.seg_idx FROM asked a ASOF LEFT JOIN seg s ON a.path_id = s.path_id AND a.t >= s.time", "asked")
+    q["replay_asof_split"] = q["replay_asof"]
     q["replay_position"] = _sql(
         """, f AS (SELECT path_id, min(time) AS first FROM seg GROUP BY 1),
         j AS (SELECT a.path_id, a.t, s.* EXCLUDE (path_id) FROM (SELECT path_id, t, greatest(t, first) AS tt FROM asked JOIN f USING (path_id)) a ASOF JOIN spans s ON a.path_id = s.path_id AND a.tt >= s.time),

@@ -43,7 +43,3 @@ def violations(points: DataFrame, names: DataFrame) -> DataFrame:
     first = points.withColumn("at", parsed(F.col("ts_raw"))).where("at IS NOT NULL").groupBy("file").agg(F.min_by("at", "seq").alias("at"))
     late = first.where((F.month("at") != 1) | (F.dayofmonth("at") != 1)).select("file", F.lit("first time").alias("reason"))
     return late.union(names.where(F.col("name").rlike(_MARKER_DATE)).select("file", F.lit("marker date").alias("reason"))).distinct()
-
-
-def without_times(airports: DataFrame) -> DataFrame:
-    return airports.drop("timestamps")

@@ -15,7 +15,7 @@ from flightloom.plans import filters, privacy, replay, review
 from flightloom.plans.build import bounds
 from flightloom.plans.filters import FilterSpec
 from flightloom.sources import adapters, kml, sinks
-from flightloom.sources.shared import fresh_folder, remove_folder
+from flightloom.sources.shared import checkpointed, fresh_folder, remove_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -93,6 +93,13 @@ def windowed_groundspeed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Views(spark, sf_dir).speeds.select("path_id", "seg_idx", _r("gs", 3), _r("window_km", 3), _r("window_s", 6))
 
 
+@query
+def groundspeed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """windowed_groundspeed with each path dealt into pieces of time."""
+    rows = tracks.with_groundspeed_split(Views(spark, sf_dir).legs, piece_seconds=1_800)
+    return rows.select("path_id", "seg_idx", _r("gs", 3), _r("window_km", 3), _r("window_s", 6))
+
+
 @query
 def segments_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Views(spark, sf_dir).segments.select("path_id", "seg_idx", _r("lat1", 8), _r("lon1", 8), _r("lat2", 8), _r("lon2", 8), "altitude_ft", "altitude_m", "groundspeed_knots", "time", _r("km", 6))
@@ -157,15 +164,19 @@ def cruise_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cruise_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The years' parts of cruise put together: all of them but for the modes, which need the histogram."""
-    v = Views(spark, sf_dir)
-    return _rounded(stats.merged_years(stats.cruise_by_year(v.cruise, v.paths)), 3)
+    """The years' parts of cruise, written and put together: the mode comes of their histograms."""
+    v, out = Views(spark, sf_dir), fresh_folder(spark, "cruise")
+    stats.cruise_by_year(v.cruise, v.paths).write.parquet(out)
+    return _rounded(stats.merged_years(spark.read.parquet(out)), 3)
 
 
 @query
 def cruise_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = Views(spark, sf_dir)
-    return _rounded(stats.cruise_by_year(v.cruise, v.paths), 3)
+    rows = stats.cruise_by_year(v.cruise, v.paths)
+    bins = F.transform(F.map_entries("histogram"), lambda e: F.concat(e["key"].cast("string"), F.lit("@"), e["value"]["first"]["path_id"].cast("string"), F.lit("/"), e["value"]["first"]["seg_idx"].cast("string")))
+    total = F.aggregate(F.map_values("histogram"), F.lit(0.0), lambda a, x: a + x["seconds"])
+    return _rounded(rows.withColumn("bins", F.array_join(bins, " ")).withColumn("binned_seconds", total).drop("histogram"), 3)
 
 
 @query
@@ -337,6 +348,31 @@ def airport_dedupe_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ports.exported(ports.deduplicated_in_order(_found(v)), v.airports), 6)
 
 
+@query
+def airport_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visit times of the airports, exported beside them in parts of five, and read back in one."""
+    v, out = Views(spark, sf_dir), fresh_folder(spark, "times")
+    found = checkpointed(ports.assigned(_found(v)))
+    kept = checkpointed(ports.exported(ports.gathered(found), v.airports))
+    sinks.write_airports(kept, out, ports.exported_times(found, kept, chunk=5))
+    rows = sinks.read_airport_times(spark, out)
+    whole = F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "timestamps"))), lambda x: x["timestamps"])), ",")
+    return _rounded(rows.groupBy("lat", "lon").agg(F.count("*").alias("parts"), F.max(F.size("timestamps")).cast("long").alias("longest"), whole.alias("times")), 6)
+
+
+@query
+def airports_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Airports written with their times first, then without: none are left."""
+    v, out = Views(spark, sf_dir), fresh_folder(spark, "stripped")
+    found = checkpointed(ports.assigned(_found(v)))
+    kept = checkpointed(ports.exported(ports.gathered(found), v.airports))
+    sinks.write_airports(kept, out, ports.exported_times(found, kept))
+    before = sinks.read_airport_times(spark, out).select(F.explode("timestamps")).count()
+    sinks.write_airports(kept, out)
+    after = sinks.read_airport_times(spark, out).count()
+    return sinks.read_airports(spark, out).agg(F.count("*").alias("airports")).select("airports", F.lit(before).cast("long").alias("times_before"), F.lit(after).cast("long").alias("times_after"))
+
+
 @query
 def airports_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The airports as they are written, read back."""
@@ -424,6 +460,11 @@ def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.density(Views(spark, sf_dir).points.select((F.col("lat") + 0.0000123).alias("lat"), (F.col("lon") + 0.0000123).alias("lon")))
 
 
+@query
+def density_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(filters.heat(Views(spark, sf_dir).points.select((F.col("lat") + 0.0000123).alias("lat"), (F.col("lon") + 0.0000123).alias("lon"))), 4)
+
+
 @query
 def combined_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written by year, read back year by year as far as there are any, and put together."""
@@ -447,6 +488,13 @@ def replay_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.as_of(s, _asked(s), else_first=False).select("path_id", "t", "seg_idx")
 
 
+@query
+def replay_asof_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """replay_asof with paths dealt into many buckets."""
+    s = Views(spark, sf_dir).segments
+    return replay.as_of_split(s, _asked(s), else_first=False, bucket_seconds=50_000).select("path_id", "t", "seg_idx")
+
+
 @query
 def replay_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Views(spark, sf_dir).segments

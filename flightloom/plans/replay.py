@@ -37,6 +37,55 @@ def as_of(segments: DataFrame, asked: DataFrame, else_first: bool = True) -> Dat
     return both.withColumn("here", F.coalesce(found, first) if else_first else found).where("asked = 1").select("path_id", "t", "here.*")
 
 
+#: Seconds of a bucket of as_of_split().
+BUCKET_SECONDS = 3_600
+
+
+def as_of_split(segments: DataFrame, asked: DataFrame, else_first: bool = True, bucket_seconds: float = BUCKET_SECONDS) -> DataFrame:
+    """as_of() for paths of any length: the same rows, but no task holds a path.
+
+    Both sides are dealt into buckets of a path's time and merged within them. What a bucket needs of the others is one row: the
+    last segment before it, carried forward over buckets without any, and the first one after it. These rows, two a bucket,
+    are the only ones that are ordered along a whole path.
+    """
+    has = ["seg_idx", "lat1", "lon1", "lat2", "lon2", "altitude_m", "groundspeed_knots", "time"]
+    bucket = lambda t: F.floor(t / bucket_seconds).alias("bucket")
+    rows = timed(segments).select("path_id", bucket(F.col("time")), *has)
+    calls = asked.select("path_id", bucket(F.col("t")), F.col("t").cast("double").alias("t"))
+    order = F.struct("time", "seg_idx")
+    ends = rows.groupBy("path_id", "bucket").agg(F.max_by(F.struct(*has), order).alias("last"), F.min_by(F.struct(*has), order).alias("first"))
+    every = ends.join(calls.select("path_id", "bucket").distinct(), ["path_id", "bucket"], "full")
+    along = Window.partitionBy("path_id").orderBy("bucket")
+    carried = every.select(
+        "path_id", "bucket",
+        F.last("last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.first("first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+        F.first("first", ignorenulls=True).over(along.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("next"),
+    )
+    within = Window.partitionBy("path_id", "bucket")
+    ahead = rows.withColumn("following", F.lead(F.struct(*has)).over(within.orderBy("time", "seg_idx")))
+    here = ahead.select("path_id", "bucket", F.col("time").alias("t"), F.lit(0).alias("asked"), F.struct(*has, "following").alias("here"))
+    both = here.unionByName(calls.select("path_id", "bucket", "t", F.lit(1).alias("asked"), F.lit(None).cast(here.schema["here"].dataType).alias("here")))
+    upto = within.orderBy("t", "asked", F.col("here.seg_idx")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("here", F.last("here", ignorenulls=True).over(upto)).where("asked = 1").join(carried, ["path_id", "bucket"])
+    of = lambda x, following: F.when(x.isNotNull(), F.struct(*[x[n].alias(n) for n in has], following.alias("following")))
+    own = of(F.col("here"), F.coalesce(F.col("here.following"), F.col("after")))
+    earlier = of(F.col("before"), F.col("next"))
+    return _with_first(found.withColumn("here", F.coalesce(own, earlier)), segments, has, else_first)
+
+
+def _with_first(found: DataFrame, segments: DataFrame, has: list[str], else_first: bool) -> DataFrame:
+    """(path_id, t, ...) of `found`; where nothing came before, a path's first segment, with the one that follows it, if
+    asked for. The first two segments of each path are one row."""
+    if not else_first:
+        return found.select("path_id", "t", "here.*")
+    order = F.struct("time", "seg_idx")
+    first = timed(segments).groupBy("path_id").agg(F.min(F.struct(order.alias("o"), *[F.col(x).alias(x) for x in has])).alias("a"))
+    rest = timed(segments).join(first, "path_id").where(order > F.col("a.o")).groupBy("path_id").agg(F.min_by(F.struct(*has), order).alias("b"))
+    opening = first.join(rest, "path_id", "left").select("path_id", F.struct(*[F.col(f"a.{x}").alias(x) for x in has], F.col("b").alias("following")).alias("opened"))
+    return found.join(opening, "path_id", "left").withColumn("here", F.coalesce("here", "opened")).select("path_id", "t", "here.*")
+
+
 def positions(segments: DataFrame, asked: DataFrame, least_step: float = 0.001) -> DataFrame:
     """(path_id, t, lat, lon, altitude_m, groundspeed_knots) between the end of the segment at hand and the start of the
     next, in proportion to the time gone; the last segment's end after it."""

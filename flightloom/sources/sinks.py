@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flightloom.sources.shared import remove_folder
+
 
 def write_years(segments: DataFrame, info: DataFrame, out: str) -> None:
     """Segments and path info as Parquet, a folder a year; a path without year goes to the null folder. Overwrites.
@@ -47,9 +50,23 @@ def read_year(spark: SparkSession, out: str, name: str, year: str = "all") -> Da
     return rows if year == "all" else rows.where(F.col("year") == int(year))
 
 
-def write_airports(airports: DataFrame, out: str, strip_times: bool = True) -> None:
-    rows = airports.drop("timestamps") if strip_times else airports
-    rows.write.mode("overwrite").json(f"{out}/airports")
+def write_airports(airports: DataFrame, out: str, times: DataFrame | None = None) -> None:
+    """The airports, and beside them `times` (lat, lon, part, timestamps), unless they are to be left out for privacy; times
+    written before go then too."""
+    airports.write.mode("overwrite").json(f"{out}/airports")
+    if times is None:
+        remove_folder(airports.sparkSession, f"{out}/airport_times")
+    else:
+        times.write.mode("overwrite").json(f"{out}/airport_times")
+
+
+def read_airport_times(spark: SparkSession, out: str) -> DataFrame:
+    """(lat, lon, part, timestamps); no rows if they were left out."""
+    shape = "lat double, lon double, part long, timestamps array<string>"
+    try:
+        return spark.read.schema(shape).json(f"{out}/airport_times")
+    except AnalysisException:
+        return spark.createDataFrame([], shape)
 
 
 def metadata(statistics: DataFrame, info: DataFrame) -> DataFrame:
