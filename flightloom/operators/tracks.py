@@ -125,7 +125,7 @@ def with_groundspeed_split(legs_: DataFrame, piece_seconds: int = PIECE_SECONDS)
 
     A path's legs are dealt into pieces of time. Legs within half a window of a piece's end go to the piece beside it as well,
     where they only lend their sums; so each leg finds its whole window in its own piece. What concerns the path as a
-    whole, one row, is joined to the legs. Legs without a time have no window and are dealt by their number.
+    whole is summed over its pieces, a row each, and joined piece by piece. Legs without a time have no window and are dealt by their number.
     """
     half = c.SPEED_WINDOW_SECONDS * 1_000_000 // 2
     wide = F.lit(max(piece_seconds * 1_000_000, half)).cast("long")
@@ -136,11 +136,11 @@ def with_groundspeed_split(legs_: DataFrame, piece_seconds: int = PIECE_SECONDS)
     around = Window.partitionBy("path_id", "piece").orderBy("us").rangeBetween(-half, half)
     moving = F.col("speed") != 0
     rows = spread.withColumn("window_km", F.coalesce(F.sum(F.when(moving, F.col("km"))).over(around), F.lit(0.0))).withColumn("window_s", F.coalesce(F.sum(F.when(moving, F.col("us2") - F.col("us"))).over(around), F.lit(0)) / 1e6)
-    rows = rows.where("piece = own_piece").drop("piece", "own_piece")
-    total = legs_.groupBy("path_id").agg(((F.max("us2") - F.min("us")) / 1e6).alias("lasting"), F.sum("km").alias("path_km"))
-    rows = rows.join(total, "path_id")
+    pieces = legs_.withColumn("piece", own).groupBy("path_id", "piece").agg(F.max("us2").alias("end"), F.min("us").alias("begin"), F.sum("km").alias("far"))
+    total = pieces.select("path_id", "piece", ((F.max("end").over(by_path()) - F.min("begin").over(by_path())) / 1e6).alias("lasting"), F.sum("far").over(by_path()).alias("path_km"))
+    rows = rows.where("piece = own_piece").join(total, ["path_id", "piece"])
     mean = F.col("path_km") / c.KM_PER_NM / (F.col("lasting") / 3600)
-    return _speeds(rows, F.col("lasting"), mean).drop("lasting", "path_km")
+    return _speeds(rows, F.col("lasting"), mean).drop("lasting", "path_km", "piece", "own_piece")
 
 
 def with_speed(legs_: DataFrame, long_path: int = LONG_PATH) -> DataFrame:
