@@ -62,3 +62,8 @@ def flag(country: Column) -> Column:
 
 def _letter(c: Column) -> Column:
     return F.decode(F.unhex(F.concat(F.lit("F09F87"), F.hex(F.ascii(c) + F.lit(0xA6 - 65)))), "UTF-8")
+
+
+def country_name(name: Column, code: Column) -> Column:
+    """A country's name if one is known for its code, else the code, else `Unknown`."""
+    return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.nullif(F.upper(F.trim(code)), F.lit("")), F.lit("Unknown"))

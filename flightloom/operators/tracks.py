@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from flightloom import constants as c
 from flightloom.functions.geo import haversine_km
+from flightloom.sources.shared import checkpointed
+
 
 def by_path() -> WindowSpec:
     return Window.partitionBy("path_id")
@@ -29,8 +31,15 @@ def legs(points: DataFrame) -> DataFrame:
 
     The speed is 0 where the seconds are unknown or below the least, or it would be above the highest.
     """
-    ahead = [F.lead(x).over(along()).alias(f"{x}2") for x in ("lat", "lon", "alt_m", "us")]
-    rows = points.select("path_id", (F.col("seq") - 1).alias("seg_idx"), "seq", "us", "lat", "lon", "alt_m", *ahead).where("lat2 IS NOT NULL")
+    ahead = [F.lead(x).over(along()).alias(f"{x}2") for x in _POINT]
+    return _measured(points.select("path_id", "seq", *_POINT, *ahead))
+
+
+_POINT = ("us", "lat", "lon", "alt_m")
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    rows = rows.where("lat2 IS NOT NULL").select("path_id", (F.col("seq") - 1).alias("seg_idx"), "seq", *_POINT, *[f"{x}2" for x in _POINT])
     rows = rows.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).withColumn("dt", (F.col("us2") - F.col("us")) / 1e6)
     knots = F.col("km") / c.KM_PER_NM / (F.col("dt") / 3600)
     return rows.withColumn("speed", F.when((F.col("dt") >= c.MIN_SEGMENT_SECONDS) & (knots <= c.MAX_GROUNDSPEED_KNOTS), knots).otherwise(0.0))
@@ -62,7 +71,10 @@ def _speeds(rows: DataFrame, lasting: Column, mean: Column) -> DataFrame:
 
 def with_cruise(rows: DataFrame) -> DataFrame:
     """Adds agl_ft (mean altitude above the path's lowest point), cruising, and the altitude bin."""
-    low = F.least(F.min("alt_m").over(by_path()), F.min("alt_m2").over(by_path()))
+    return _with_cruise(rows, F.least(F.min("alt_m").over(by_path()), F.min("alt_m2").over(by_path())))
+
+
+def _with_cruise(rows: DataFrame, low: Column) -> DataFrame:
     agl = ((F.col("alt_m") + F.col("alt_m2")) / 2 - low) * c.METERS_TO_FEET
     rows = rows.withColumn("agl_ft", agl)
     cruising = (F.col("agl_ft") > c.CRUISE_AGL_FT) & (F.col("window_s") >= c.MIN_SEGMENT_SECONDS) & (F.col("gs") > 0)
@@ -71,8 +83,11 @@ def with_cruise(rows: DataFrame) -> DataFrame:
 
 def segments(rows: DataFrame) -> DataFrame:
     """The exported segments: rounded half to even; legs between equal coordinates go, after all sums were taken."""
+    return _segments(rows, F.min("us").over(by_path()))
+
+
+def _segments(rows: DataFrame, begin: Column) -> DataFrame:
     level = (F.col("alt_m") + F.col("alt_m2")) / 2
-    begin = F.min("us").over(by_path())
     out = rows.select(
         "path_id",
         "seg_idx",
@@ -116,8 +131,20 @@ def first_by(value: str, *order: Column | str) -> Column:
     return F.min_by(value, F.struct(*order))
 
 
-#: Legs of a path above which its windows are split, and seconds of a piece of them.
-LONG_PATH, PIECE_SECONDS = 1_000_000, 3_600
+#: Points of a path above which it is split; points and seconds of a piece of it.
+LONG_PATH, PIECE_POINTS, PIECE_SECONDS = 1_000_000, 100_000, 3_600
+
+
+def legs_split(points: DataFrame, piece_points: int = PIECE_POINTS) -> DataFrame:
+    """legs() for paths of any length: the same rows, but no task holds a path. Points are dealt into pieces by their number;
+    the last of a piece meets the first of the next, a row a piece, which alone are ordered along a whole path."""
+    dealt = points.withColumn("piece", F.floor(F.col("seq") / piece_points)).repartition("path_id", "piece")
+    own = F.struct(*_POINT)
+    heads = dealt.groupBy("path_id", "piece").agg(F.min_by(own, "seq").alias("head"))
+    after = heads.select("path_id", "piece", F.lead("head").over(by_path().orderBy("piece")).alias("after"))
+    within = Window.partitionBy("path_id", "piece").orderBy("seq")
+    rows = dealt.withColumn("ahead", F.lead(own).over(within)).join(after, ["path_id", "piece"]).withColumn("ahead", F.coalesce("ahead", "after"))
+    return _measured(rows.select("path_id", "seq", *_POINT, *[F.col(f"ahead.{x}").alias(f"{x}2") for x in _POINT]))
 
 
 def with_groundspeed_split(legs_: DataFrame, piece_seconds: int = PIECE_SECONDS) -> DataFrame:
@@ -132,7 +159,7 @@ def with_groundspeed_split(legs_: DataFrame, piece_seconds: int = PIECE_SECONDS)
     piece = lambda us: F.floor(us / wide)
     own = F.coalesce(piece(F.col("us")), -1 - F.col("seg_idx") % 64)
     beside = F.array_distinct(F.array_compact(F.array(own, piece(F.col("us") - half), piece(F.col("us") + half))))
-    spread = legs_.withColumn("own_piece", own).withColumn("piece", F.explode(beside))
+    spread = legs_.withColumn("own_piece", own).withColumn("piece", F.explode(beside)).repartition("path_id", "piece")
     around = Window.partitionBy("path_id", "piece").orderBy("us").rangeBetween(-half, half)
     moving = F.col("speed") != 0
     rows = spread.withColumn("window_km", F.coalesce(F.sum(F.when(moving, F.col("km"))).over(around), F.lit(0.0))).withColumn("window_s", F.coalesce(F.sum(F.when(moving, F.col("us2") - F.col("us"))).over(around), F.lit(0)) / 1e6)
@@ -143,11 +170,18 @@ def with_groundspeed_split(legs_: DataFrame, piece_seconds: int = PIECE_SECONDS)
     return _speeds(rows, F.col("lasting"), mean).drop("lasting", "path_km", "piece", "own_piece")
 
 
-def with_speed(legs_: DataFrame, long_path: int = LONG_PATH) -> DataFrame:
-    """with_groundspeed(), split for those paths that have more than `long_path` legs: there are at most as many of them as
-    times that number goes into all legs, so their ids are broadcast."""
-    long = legs_.groupBy("path_id").agg(F.count("*").alias("legs")).where(F.col("legs") > long_path).select("path_id")
-    if long.isEmpty():
-        return with_groundspeed(legs_)
-    apart = with_groundspeed_split(legs_.join(F.broadcast(long), "path_id", "left_semi"))
-    return with_groundspeed(legs_.join(F.broadcast(long), "path_id", "left_anti")).unionByName(apart)
+def cruised(points: DataFrame, long_path: int = LONG_PATH) -> tuple[DataFrame, DataFrame]:
+    """The legs of `points` with groundspeed and cruise, and the exported segments(): those of paths of more than `long_path`
+    points are made piece by piece. There are at most as many such paths as that number goes into all points, so their ids
+    and what concerns each as a whole are broadcast."""
+    ids = checkpointed(points.groupBy("path_id").agg(F.count("*").alias("n")).where(F.col("n") > long_path).select("path_id"))
+    if ids.isEmpty():
+        rows = with_cruise(with_groundspeed(legs(points)))
+        return rows, segments(rows)
+    rows = with_cruise(with_groundspeed(legs(points.join(F.broadcast(ids), "path_id", "left_anti"))))
+    split = legs_split(points.join(F.broadcast(ids), "path_id", "left_semi"))
+    facts = split.groupBy("path_id").agg(F.least(F.min("alt_m"), F.min("alt_m2")).alias("low"), F.min("us").alias("begin"))
+    split = with_groundspeed_split(split).join(F.broadcast(facts), "path_id")
+    split = _with_cruise(split, F.col("low"))
+    parts = _segments(split, F.col("begin"))
+    return rows.unionByName(split.drop("low", "begin")), segments(rows).unionByName(parts)

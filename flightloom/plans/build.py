@@ -14,10 +14,10 @@ from flightloom.sources import kml, sinks
 from flightloom.sources.shared import checkpointed
 
 
-def tracks_of(spark: SparkSession, source: str, store: str) -> tuple[DataFrame, DataFrame]:
+def tracks_of(spark: SparkSession, source: str, store: str, ending: str = ".kml") -> tuple[DataFrame, DataFrame]:
     """(points, paths) of the logs under `source`, parsed once into `store`: a path is an element with points that have an
     altitude. A path's id follows from its file's path and its place there, so it is the same in every build."""
-    kml.parse_new(spark, source, store)
+    kml.parse_new(spark, source, store, ending)
     rows = kml.parsed_store(spark, store, "points").withColumn("path_id", F.xxhash64("path", "at", "element", "kind"))
     rows = tracks.validated(rows).where("alt_m IS NOT NULL")
     points = rows.select("path_id", (F.col("seq") + 1).alias("seq"), F.unix_micros("ts").alias("us"), "lat", "lon", "alt_m", "path", "file", "ts_raw")
@@ -32,17 +32,16 @@ def bounds(points: DataFrame) -> DataFrame:
     return b.withColumn("mid_lat", (F.col("min_lat") + F.col("max_lat")) / 2).withColumn("mid_lon", (F.col("min_lon") + F.col("max_lon")) / 2)
 
 
-def build(spark: SparkSession, source: str, out: str, airports: DataFrame | None = None, strip_times: bool = True) -> None:
+def build(spark: SparkSession, source: str, out: str, airports: DataFrame | None = None, strip_times: bool = True, ending: str = ".kml") -> None:
     """Writes segments, path info, airports and metadata under `out`; what was parsed is kept beside them, so that a later
     build parses new and changed logs only."""
-    points, paths = tracks_of(spark, source, f"{out}/_parsed")
+    points, paths = tracks_of(spark, source, f"{out}/_parsed", ending)
     write(spark, points, paths, out, airports, strip_times)
 
 
 def write(spark: SparkSession, points: DataFrame, paths: DataFrame, out: str, airports: DataFrame | None = None, strip_times: bool = True) -> None:
     """The datasets of any points and paths, as build() writes them; the airports' visit times only if not `strip_times`."""
-    legs = tracks.with_cruise(tracks.with_speed(tracks.legs(points)))
-    segments = tracks.segments(legs)
+    legs, segments = tracks.cruised(points)
     info = stats.path_info(points, legs, paths)
     sinks.write_years(segments, info, out)
     saved, saved_info = (sinks.read_year(spark, out, name) for name in ("segments", "path_info"))

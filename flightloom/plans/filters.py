@@ -70,6 +70,20 @@ def toggled(selected: Column, path_id: Column) -> Column:
     return F.when(F.array_contains(selected, path_id), F.array_remove(selected, path_id)).otherwise(F.array_append(selected, path_id))
 
 
+def cleared(selected: Column) -> Column:
+    """Nothing selected: an empty array of the same kind."""
+    return F.filter(selected, lambda x: F.lit(False))
+
+
+def trips(segments: DataFrame, info: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
+    """One row: flights chosen, their km and nm, and the mean of both a flight; 0 for none. A flight without segments counts."""
+    chosen = filtered_paths(info, spec)
+    far = filtered_segments(segments, chosen).agg(F.coalesce(F.sum("km"), F.lit(0.0)).alias("km"), F.lit(1).alias("one"))
+    rows = chosen.agg(F.count("*").alias("flights"), F.lit(1).alias("one")).join(far, "one").withColumn("nm", F.col("km") / c.KM_PER_NM)
+    mean = lambda x: F.when(F.col("flights") > 0, F.col(x) / F.col("flights")).otherwise(0.0).alias(f"mean_{x}")
+    return rows.select("flights", "km", "nm", mean("km"), mean("nm"))
+
+
 def paths_of_airport(info: DataFrame, airport: str) -> DataFrame:
     """(path_id) of the paths that begin or end at an airport: selecting it selects these."""
     return airport_edges(info).where(F.col("airport") == airport).select("path_id").distinct()

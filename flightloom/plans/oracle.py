@@ -307,11 +307,19 @@ def oracle_sql() -> dict[str, str]:
     times = """, one AS (SELECT root, lat, lon, row_number() OVER (PARTITION BY printf('%.4f,%.4f', lat, lon) ORDER BY name, lat, lon) AS nth FROM air),
         d AS (SELECT root, ts, min(rk) AS rk FROM cor JOIN spot USING (lat, lon) JOIN own USING (number) WHERE ts IS NOT NULL GROUP BY 1, 2),
         g AS (SELECT lat, lon, count(*) AS n, string_agg(CAST(ts AS VARCHAR), ',' ORDER BY rk) AS times FROM d JOIN one USING (root) WHERE nth = 1 GROUP BY 1, 2)"""
-    recursive_ = lambda body: _sql(found + body, "pts", "paths", "apt").replace("WITH ", "WITH RECURSIVE ", 1)
-    q["airport_times"] = recursive_(times + " SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, (n + 4) // 5 AS parts, least(n, 5) AS longest, times FROM g")
-    q["airports_stripped"] = recursive_(times + " SELECT (SELECT count(*) FROM one WHERE nth = 1) AS airports, CAST((SELECT sum(n) FROM g) AS BIGINT) AS times_before, CAST(0 AS BIGINT) AS times_after")
+    q["airport_times"] = recursive(times + " SELECT round(lat, 6) AS lat, round(lon, 6) AS lon, (n + 4) // 5 AS parts, least(n, 5) AS longest, times FROM g")
+    q["built_datasets"] = _sql(
+        found + times + """, y AS (SELECT path_id, CAST(year(make_timestamp(arg_min(us, seq) * 1000)) AS INTEGER) AS year, any_value(us) AS us FROM pts GROUP BY 1),
+        s AS (SELECT year, count(*) AS segments, round(sum(km), 3) AS km FROM legs0 JOIN y USING (path_id) WHERE lat <> lat2 OR lon <> lon2 GROUP BY 1), i AS (SELECT year, count(*) AS paths FROM y GROUP BY 1)
+        SELECT year, paths, segments, km, (SELECT count(*) FROM y) AS all_paths, (SELECT count(*) FROM one WHERE nth = 1) AS airports, (SELECT count(DISTINCT registration) FROM paths) AS models, CAST(0 AS BIGINT) AS parsed_again FROM i JOIN s USING (year)""",
+        "pts",
+        "paths",
+        "apt",
+        "legs0",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    q["airports_stripped"] = recursive(times + " SELECT (SELECT count(*) FROM one WHERE nth = 1) AS airports, CAST((SELECT sum(n) FROM g) AS BIGINT) AS times_before, CAST(0 AS BIGINT) AS times_after")
     beside = "abs(floor({0}.lat / 0.018) - floor({1}.lat / 0.018)) <= 1 AND abs(floor({0}.lon / 0.018) - floor({1}.lon / 0.018)) <= 1 AND {2} < 1.5".replace("0.018", _D(0.018))
-    q["airport_dedupe_in_order"] = recursive_(
+    q["airport_dedupe_in_order"] = recursive(
         f""", line AS (SELECT *, row_number() OVER (ORDER BY rank) AS turn FROM spot),
         walk AS (SELECT CAST(0 AS BIGINT) AS turn, CAST([] AS STRUCT(number BIGINT, lat DOUBLE, lon DOUBLE, rank BIGINT)[]) AS founded
             UNION ALL SELECT l.turn, CASE WHEN len(list_filter(founded, lambda f: {beside.format("f", "l", _hav("f.lat", "f.lon", "l.lat", "l.lon"))})) > 0 THEN founded ELSE list_append(founded, {{'number': l.number, 'lat': l.lat, 'lon': l.lon, 'rank': l.rank}}) END FROM walk w JOIN line l ON l.turn = w.turn + 1),
@@ -391,10 +399,17 @@ def oracle_sql() -> dict[str, str]:
     q["render_known"] = _sql(drawn, "legs0", "paths", "apt")
     q["selection"] = _sql(
         """, s AS (SELECT path_id, path_id IN (SELECT path_id FROM edges WHERE airport = 'EAAD') AS selected, year FROM paths), n AS (SELECT path_id, count(*) AS segments FROM seg GROUP BY 1)
-        SELECT path_id, selected, CASE WHEN selected AND year = 2025 THEN segments END AS segments, NOT selected AS after FROM s LEFT JOIN n USING (path_id)""",
+        SELECT path_id, selected, CASE WHEN selected AND year = 2025 THEN segments END AS segments, NOT selected AS after, CAST(0 AS BIGINT) AS cleared FROM s LEFT JOIN n USING (path_id)""",
         "seg",
         "edges",
     )
+    q["trip_means"] = _sql(
+        """, s AS (SELECT coalesce(sum(km), 0) AS km FROM seg JOIN paths USING (path_id) WHERE year = 2025), f AS (SELECT count(*) AS flights FROM paths WHERE year = 2025)
+        SELECT flights, round(km, 3) AS km, round(km / CAST(1.852 AS DOUBLE), 3) AS nm, round(km / flights, 3) AS mean_km, round(km / CAST(1.852 AS DOUBLE) / flights, 3) AS mean_nm FROM s, f""",
+        "seg",
+        "paths",
+    )
+    q["country_names"] = "SELECT s_suppkey, CASE WHEN n_regionkey < 3 THEN n_name ELSE 'N' || s_nationkey END AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey"
     q["ranges"] = _sql("SELECT count(*) AS segments, count(DISTINCT path_id) AS paths, coalesce(min(altitude_ft), 0) AS min_ft, coalesce(max(altitude_ft), 10000) AS max_ft, coalesce(min(groundspeed_knots) FILTER (groundspeed_knots > 0), 0) AS min_kt, coalesce(max(groundspeed_knots) FILTER (groundspeed_knots > 0), 200) AS max_kt, count(*) FILTER (groundspeed_knots > 0) AS moving FROM seg", "seg")
     q["distinct_coordinates"] = _sql("SELECT count(*) AS coordinates FROM (SELECT lat1, lon1 FROM seg UNION SELECT lat2, lon2 FROM seg)", "seg")
     q["map_bounds"] = _sql(

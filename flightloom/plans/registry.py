@@ -11,7 +11,7 @@ from flightloom import constants as c
 from flightloom.functions import display, geo, names, times, urls
 from flightloom.operators import airports as ports
 from flightloom.operators import stats, tracks
-from flightloom.plans import filters, privacy, replay, review
+from flightloom.plans import build, filters, privacy, replay, review
 from flightloom.plans.build import bounds
 from flightloom.plans.filters import FilterSpec
 from flightloom.sources import adapters, kml, sinks
@@ -96,7 +96,7 @@ def windowed_groundspeed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def groundspeed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """windowed_groundspeed with each path dealt into pieces of time."""
-    rows = tracks.with_groundspeed_split(Views(spark, sf_dir).legs, piece_seconds=1_800)
+    rows = tracks.with_groundspeed_split(tracks.legs_split(Views(spark, sf_dir).points, piece_points=20), piece_seconds=1_800)
     return rows.select("path_id", "seg_idx", _r("gs", 3), _r("window_km", 3), _r("window_s", 6))
 
 
@@ -437,7 +437,48 @@ def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.heads.join(chosen, "path_id", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
     kept = filters.filtered_segments(v.segments, rows.where("selected AND year = 2025")).groupBy("path_id").agg(F.count("*").alias("segments"))
     toggled = filters.toggled(F.when(F.col("selected"), F.array("path_id")).otherwise(F.array().cast("array<bigint>")), F.col("path_id"))
-    return rows.join(kept, "path_id", "left").select("path_id", "selected", "segments", (F.size(toggled) > 0).alias("after"))
+    left = F.size(filters.cleared(F.array("path_id"))).cast("long")
+    return rows.join(kept, "path_id", "left").select("path_id", "selected", "segments", (F.size(toggled) > 0).alias("after"), left.alias("cleared"))
+
+
+@query
+def trip_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = Views(spark, sf_dir)
+    return _rounded(filters.trips(v.segments, v.heads, FilterSpec(year="2025")), 3)
+
+
+@query
+def country_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of suppliers' countries by code: of those in three regions names are known, the others show their code."""
+    n, known = adapters.table(spark, sf_dir, "nation"), adapters.table(spark, sf_dir, "region").where("r_regionkey < 3")
+    code = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    dim = n.join(known, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi").select(code.alias("code"), F.col("n_name").alias("name"))
+    asked = adapters.table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("code"))
+    return asked.join(dim, "code", "left").select("s_suppkey", names.country_name(F.col("name"), F.col("code")).alias("country"))
+
+
+@query
+def built_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole build: logs, a table of airports and one of models are written; the build reads them, and what it wrote is read
+    back, year by year."""
+    v, folder = Views(spark, sf_dir), fresh_folder(spark, "build")
+    at = F.date_format(F.timestamp_micros(F.col("us") * 1000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = v.points.join(v.paths.select("path_id", "airport_name"), "path_id")
+    kml.write_logs(rows.select("path_id", "seq", "lat", "lon", "alt_m", at.alias("ts_raw"), F.col("airport_name").alias("name")), f"{folder}/logs")
+    table = v.airports.select(F.col("code").alias("ident"), "name", F.col("lat").alias("latitude_deg"), F.col("lon").alias("longitude_deg"), F.col("country").alias("iso_country"))
+    table.orderBy("number").coalesce(1).write.option("header", True).csv(f"{folder}/airports")
+    whole = F.to_json(F.map_from_entries(F.collect_list(F.struct("registration", F.concat(F.lit("Model of "), "registration")))))
+    v.paths.select("registration").distinct().agg(whole.alias("value")).write.text(f"{folder}/models")
+    out = f"{folder}/out"
+    build.build(spark, f"{folder}/logs", out, ports.lookup(spark, f"{folder}/airports"), ending=_TEXT)
+    again = kml.parse_new(spark, f"{folder}/logs", f"{out}/_parsed", _TEXT)
+    parts = sinks.read_year(spark, out, "segments").groupBy("year").agg(F.count("*").alias("segments"), F.round(F.sum("km"), 3).alias("km"))
+    info = sinks.read_year(spark, out, "path_info").groupBy("year").agg(F.count("*").alias("paths"))
+    more = sinks.read_metadata(spark, out).select(F.col("num_paths").alias("all_paths"), F.lit(1).alias("one"))
+    more = more.join(sinks.read_airports(spark, out).agg(F.count("*").alias("airports"), F.lit(1).alias("one")), "one")
+    more = more.join(kml.aircraft_models(spark, f"{folder}/models").agg(F.count("*").alias("models"), F.lit(1).alias("one")), "one")
+    rows = info.join(parts, "year").withColumn("one", F.lit(1)).join(more, "one").drop("one")
+    return rows.withColumn("parsed_again", F.lit(again).cast("long"))
 
 
 @query

@@ -41,13 +41,18 @@ def test_groundspeed_of_split_paths_is_the_same(spark, uncoalesced):
         for i in range(1, n + 1):
             at += rng.choice([0, 1_000_000, 7_000_000, 60_000_000, 60_000_001, 400_000_000])
             rows.append((path, i, None if path == 4 or rng.random() < 0.02 else at, 50 + i * 1e-4 * rng.random(), 8.0, rng.choice([None, 100.0])))
-    legs = tracks.legs(spark.createDataFrame(rows, LEGS))
+    points = spark.createDataFrame(rows, LEGS)
+    legs = tracks.legs(points)
+    for piece in (1, 7, 500, 10**6):
+        assert rounded(tracks.legs_split(points, piece).select(legs.columns)) == rounded(legs)
     want = rounded(tracks.with_groundspeed(legs).select("path_id", "seg_idx", "gs", "window_km", "window_s"))
     for piece in (1, 60, 3_600, 10**9):
         assert rounded(tracks.with_groundspeed_split(legs, piece).select("path_id", "seg_idx", "gs", "window_km", "window_s")) == want
-    assert rounded(tracks.with_speed(legs, long_path=100).select("path_id", "seg_idx", "gs", "window_km", "window_s")) == want
-    parts = tracks.with_groundspeed_split(legs, 60).where("path_id = 1").groupBy(F.spark_partition_id()).count().collect()
-    assert len(parts) > 1
+    parts = tracks.with_groundspeed_split(tracks.legs_split(points, 100), 60).where("path_id = 1").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 1_000
+    whole = tracks.cruised(points)
+    for found, plain in zip(tracks.cruised(points, long_path=80), whole, strict=True):
+        assert rounded(found.select(plain.columns)) == rounded(plain)
 
 
 def test_as_of_one_path_with_nine_tenths_of_the_rows(spark, uncoalesced):
