@@ -771,8 +771,7 @@ def log_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs.where("k < 5").select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/logs")
     logs.where("k = 5").select("value").write.option("maxRecordsPerFile", 1).json(f"{folder}/others")
     found, points, _ = kml.parsed_logs(spark, folder, f"*{_TEXT}")
-    files = kml.listing(spark, folder).where(~F.col("file").rlike("^[_.]"))
-    return kml.fault_report(files, found, points, _TEXT).groupBy("fault").agg(F.count("*").alias("files"))
+    return kml.fault_report(kml.listing(spark, folder), found, points, _TEXT).groupBy("fault").agg(F.count("*").alias("files"))
 
 
 @query

@@ -10,6 +10,7 @@ import re
 import uuid
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -156,21 +157,35 @@ def metadata(found: DataFrame) -> DataFrame:
     return rows.select("path", "file", "at", "name", "timestamp", "end_timestamp", year_of(F.col("timestamp")).alias("year"), F.col("craft.registration").alias("registration"), F.col("craft.type").alias("aircraft_type"), F.coalesce(route, "name").alias("airport_name"))
 
 
-def listing(spark: SparkSession, source: str) -> DataFrame:
-    """(path, file, bytes, modified) of every file under a folder, or of one file; empty ones too, which Spark's own file
-    sources pass over. The names reach the driver, as with any listing; contents are not read. A source that is not there
-    gives no rows."""
+def listing(spark: SparkSession, source: str, empty: bool = True) -> DataFrame:
+    """(path, file, bytes, modified) of every file under a folder, or of one file, but for hidden ones. Contents are not read. A
+    source that is not there gives no rows.
+
+    Spark's file sources pass over empty files. With `empty`, these are looked for one by one on the driver, if the store
+    counts more files than Spark has found.
+    """
     context = spark.sparkContext
     root = context._jvm.org.apache.hadoop.fs.Path(source)
     store = root.getFileSystem(context._jsc.hadoopConfiguration())
-    rows = []
-    if store.exists(root):
-        found = store.listFiles(root, True)
-        while found.hasNext():
-            f = found.next()
-            rows.append((f.getPath().toUri().toString(), f.getPath().getName(), f.getLen(), f.getModificationTime()))
-    table = spark.createDataFrame(rows, "path string, file string, bytes long, modified long")
-    return table.withColumn("modified", F.timestamp_millis("modified")).withColumn("path", _uri(F.col("path")))
+    shape = "path string, file string, bytes long, modified timestamp"
+    if not store.exists(root):
+        return spark.createDataFrame([], shape)
+    try:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_to_load(source)).select("_metadata.file_path", "length", "modificationTime")
+    except AnalysisException:  # nothing there but empty files
+        rows = spark.createDataFrame([], "file_path string, length long, modificationTime timestamp")
+    found = rows.select(_uri(F.col("file_path")).alias("path"), _file_name(F.col("file_path")).alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    if not empty or store.getContentSummary(root).getFileCount() <= found.count():
+        return found
+    none, walk = [], store.listFiles(root, True)
+    while walk.hasNext():
+        f = walk.next()
+        if not f.getLen() and f.getPath().getName()[0] not in "_.":
+            none.append((f.getPath().toUri().toString(), f.getPath().getName(), 0, f.getModificationTime()))
+    if not none:
+        return found
+    extra = spark.createDataFrame(none, "path string, file string, bytes long, modified long")
+    return found.unionByName(extra.select(_uri(F.col("path")).alias("path"), "file", "bytes", F.timestamp_millis("modified").alias("modified")))
 
 
 def _glob(ending: str) -> str:
@@ -241,13 +256,13 @@ def parse_new(spark: SparkSession, source: str, store: str, ending: str = ".kml"
     known = _versions(spark, store)
     version, batch = (known[-1] if known else 0) + 1, uuid.uuid4().hex
     old = manifest(spark, store)
-    now = listing(spark, source).where(F.lower("file").endswith(ending) & (F.col("bytes") > 0) & ~F.col("file").rlike("^[_.]"))
+    now = checkpointed(listing(spark, source, empty=False).where(F.lower("file").endswith(ending)))
     same = ["path", "bytes", "modified"]
     kept = old.join(now.select(*same), same, "left_semi")
     changed = checkpointed(now.join(old.select(*same), same, "left_anti"))
     paths = [r["path"] for r in changed.select("path").collect()]
     if not paths and kept.count() == old.count():
-        return 0
+        return 0  # nothing came, nothing went
     count = 0
     if paths:
         # Where all are new, the folder says it shorter than its files' names.
