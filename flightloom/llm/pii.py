@@ -327,43 +327,65 @@ def example(text: str, zone: tuple[int, int], told_spans: dict[tuple[int, int],
     return n, ranges, features, told
 
 
-def likelihood(examples: list[Example], w: np.ndarray) -> tuple[float, np.ndarray]:
+@dataclass
+class Lattice:
+    """The candidates of many zones as arrays: of each its row (a zone), first and last token, and all features in one matrix. Zones
+    are walked together, a position at a time; candidates stand in order of their end, and of their start for the way back."""
+
+    features: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
+    stop: np.ndarray
+    tokens: np.ndarray  # of each zone
+    told: np.ndarray  # (candidate, kind)
+
+    @classmethod
+    def of(cls, examples: list[Example]) -> Lattice:
+        sizes = [len(ranges) for _, ranges, _, _ in examples]
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        spans = np.concatenate([np.array(ranges, np.int64).reshape(-1, 2) for _, ranges, _, _ in examples])
+        told = [(starts[z] + c, kind) for z, (_, _, _, known) in enumerate(examples) for c, kind in known.items()]
+        return cls(np.concatenate([f for _, _, f, _ in examples]), np.repeat(np.arange(len(examples)), sizes), spans[:, 0], spans[:, 1], np.array([n for n, _, _, _ in examples]), np.array(told, np.int64).reshape(-1, 2))
+
+    def sums(self, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log sums over the segmentations of tokens before, and from, each place: zones x (tokens + 1). Beyond a zone's last
+        token, `ahead` stays as it was there, `behind` begins there."""
+        zones, most = len(self.tokens), int(self.tokens.max())
+        ahead, behind = np.zeros((zones, most + 1)), np.zeros((zones, most + 1))
+        by_stop, by_first = np.argsort(self.stop, kind="stable"), np.argsort(self.first, kind="stable")
+        at_stop = np.searchsorted(self.stop[by_stop], np.arange(most + 2))
+        at_first = np.searchsorted(self.first[by_first], np.arange(most + 2))
+        for j in range(1, most + 1):
+            ahead[:, j] = ahead[:, j - 1]
+            c = by_stop[at_stop[j] : at_stop[j + 1]]
+            np.logaddexp.at(ahead[:, j], self.row[c], ahead[self.row[c], self.first[c]] + whole[c])
+        for i in range(most - 1, -1, -1):
+            behind[:, i] = behind[:, i + 1]
+            c = by_first[at_first[i] : at_first[i + 1]]
+            np.logaddexp.at(behind[:, i], self.row[c], behind[self.row[c], self.stop[c]] + whole[c])
+        return ahead, behind
+
+
+def likelihood(examples: list[Example] | Lattice, w: np.ndarray) -> tuple[float, np.ndarray]:
     """The mean log likelihood of the told spans among all segmentations of their zones, and its gradient."""
-    total, grad = 0.0, np.zeros_like(w)
-    for n, ranges, features, told in examples:
-        score = features @ w
-        whole = np.logaddexp.reduce(score, axis=1)
-        starting: list[list[int]] = [[] for _ in range(n + 1)]
-        ending: list[list[int]] = [[] for _ in range(n + 1)]
-        for c, (i, j) in enumerate(ranges):
-            starting[i].append(c)
-            ending[j].append(c)
-        each = whole.tolist()
-        ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            got = [ahead[j - 1]] + [ahead[ranges[c][0]] + each[c] for c in ending[j]]
-            top = max(got)
-            ahead[j] = top + math.log(sum(math.exp(x - top) for x in got)) if len(got) > 1 else top
-        for i in range(n - 1, -1, -1):
-            got = [behind[i + 1]] + [behind[ranges[c][1]] + each[c] for c in starting[i]]
-            top = max(got)
-            behind[i] = top + math.log(sum(math.exp(x - top) for x in got)) if len(got) > 1 else top
-        reach = np.array([ahead[i] + behind[j] for i, j in ranges]) - ahead[n]
-        share = -np.exp(score + reach[:, None])
-        total -= ahead[n]
-        for c, kind in told.items():
-            share[c, kind] += 1
-            total += score[c, kind]
-        grad += features.T @ share
-    return total / len(examples), grad / len(examples)
+    x = examples if isinstance(examples, Lattice) else Lattice.of(examples)
+    score = x.features @ w
+    whole = np.logaddexp.reduce(score, axis=1)
+    ahead, behind = x.sums(whole)
+    every = ahead[np.arange(len(x.tokens)), x.tokens]
+    reach = ahead[x.row, x.first] + behind[x.row, x.stop] - every[x.row]
+    share = -np.exp(score + reach[:, None])
+    share[x.told[:, 0], x.told[:, 1]] += 1
+    total = score[x.told[:, 0], x.told[:, 1]].sum() - every.sum()
+    return float(total) / len(x.tokens), x.features.T @ share / len(x.tokens)
 
 
 def span_crf_fit(examples: list[Example], rounds: int = 60, rate: float = 0.3, ridge: float = 1e-3) -> np.ndarray:
     """Weights that maximise the likelihood of the told spans, less a ridge."""
-    w = np.zeros((FEATURES, len(KINDS)))
+    w, lattice = np.zeros((FEATURES, len(KINDS))), Lattice.of(examples)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        grad = ridge * w - likelihood(examples, w)[1]
+        grad = ridge * w - likelihood(lattice, w)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
