@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,14 +24,35 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A folder of this process in the shared one, not yet made, which goes when the process ends."""
+    return delete_at_exit(spark, f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+
+
+_TO_DELETE: list[tuple[SparkSession, str]] = []
+
+
+def delete_at_exit(spark: SparkSession, folder: str) -> str:
+    """Marks a folder that only this process reads: results are lazy, so it has to stay until then, and no longer."""
+    if not _TO_DELETE:
+        atexit.register(_delete_all)
+    _TO_DELETE.append((spark, folder))
+    return folder
+
+
+def _delete_all() -> None:
+    while _TO_DELETE:
+        spark, folder = _TO_DELETE.pop()
+        try:
+            remove_folder(spark, folder)
+        except Exception:  # noqa: BLE001  the session may be gone, and its store with it: then the folder stays
+            return
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of any store that Spark can write to."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
