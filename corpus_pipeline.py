@@ -7,13 +7,12 @@ mixture does not take. Null texts go in the first stage. Sizes and thresholds ar
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightloom.llm import langid, mixing, packing, pii, simhash
-from flightloom.llm.common import modest_batches, shared_dir
+from flightloom.llm.common import modest_batches
+from flightloom.sources.shared import fresh_folder
 
 #: The last two operators place rows by seeded hashes and by trained models: no SQL states the result.
 ORACLE_SQL: str | None = None
@@ -78,7 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
-        path = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = fresh_folder(spark, f"pipeline-{name}")
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from flightloom.sources.shared import fresh_folder, remove_folder
+
 #: A word is a run of code points outside these (space, tab to carriage return).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Entries after which a task forgets the word hashes that it has looked up.
@@ -21,19 +21,6 @@ CACHED_WORDS = 60_000
 BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where the session names none, a temporary one on this machine if all tasks run
-    on it, as in tests; else there is no folder to share, and an error says so."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="flightloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
 def modest_batches(spark: SparkSession) -> SparkSession:
     """Lowers this session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES: whole texts are long, and Spark's default of
     10,000 rows would hold tens of megabytes in every worker, several times over."""
@@ -54,8 +41,9 @@ def in_bytes(size: str) -> int:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Writes `df` as Parquet in the shared folder and reads it again: cuts lineage, outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    """Writes `df` as Parquet in the shared folder and reads it again: cuts lineage, outlives lost executors. The folder goes
+    when the process ends, or when forget() says that nothing reads it any more."""
+    path = fresh_folder(df.sparkSession, "settled")
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.settled_at = path
@@ -65,9 +53,7 @@ def settled(df: DataFrame) -> DataFrame:
 def forget(*tables: DataFrame) -> None:
     """Deletes what settled() wrote, once nothing reads it any more: all that came of it is written itself."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.settled_at)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(df.sparkSession, df.settled_at)
 
 
 def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str, ties: list[str] | None = None) -> DataFrame:
