@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from urllib.parse import parse_qs, urlencode
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,41 +20,6 @@ class FilterSpec:
     aircraft: str = "all"
     selected: tuple[int, ...] = ()
     isolate: bool = False
-    visible: str = ""
-    lat: float | None = None
-    lng: float | None = None
-    zoom: int | None = None
-
-    @classmethod
-    def from_query_string(cls, text: str) -> FilterSpec:
-        """From y, a, p, v, lat, lng and z; bad values are left out, zoom is held within 1 to 18."""
-        got = {k: v[0] for k, v in parse_qs(text.lstrip("?")).items()}
-        out = cls(year=got.get("y", "all") or "all", aircraft=got.get("a", "all") or "all")
-        out = replace(out, selected=tuple(int(x) for x in got.get("p", "").split(",") if x.strip().lstrip("-").isdigit()))
-        flags = got.get("v", "")
-        if 6 <= len(flags) <= 9 and set(flags) <= {"0", "1"}:
-            out = replace(out, visible=flags)
-        for name in ("lat", "lng"):
-            try:
-                value = float(got[name])
-            except (KeyError, ValueError):
-                continue
-            if abs(value) <= (90 if name == "lat" else 180):
-                out = replace(out, **{name: value})
-        try:
-            out = replace(out, zoom=max(1, min(18, int(float(got["z"])))))
-        except (KeyError, ValueError, OverflowError):
-            pass
-        return out
-
-    def data_key(self, name: str) -> str:
-        """The name under which a year's part of a dataset is kept and looked up."""
-        return f"{name}_{self.year}".replace("-", "_").upper()
-
-    def to_query_string(self) -> str:
-        pairs = [("y", self.year if self.year != "all" else ""), ("a", self.aircraft if self.aircraft != "all" else ""), ("p", ",".join(map(str, self.selected))), ("v", self.visible)]
-        pairs += [("lat", f"{self.lat:.6f}" if self.lat is not None else ""), ("lng", f"{self.lng:.6f}" if self.lng is not None else ""), ("z", str(self.zoom) if self.zoom is not None else "")]
-        return urlencode([(k, v) for k, v in pairs if v])
 
     def matches(self) -> Column:
         """The condition on path info; a path without a year matches no single year."""
