@@ -705,7 +705,7 @@ def kml_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     iso = lambda x: F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     track = F.concat(F.lit("<Placemark><name>"), "airport_name", F.lit("</name><gx:Track><when>"), iso("t0"), F.lit("</when><when>"), iso("t1"), F.lit("</when><gx:coord>8 50 1</gx:coord><gx:coord>8 51 2</gx:coord></gx:Track></Placemark>"))
     line = F.concat(F.lit("<Placemark><name>"), "registration", F.lit("</name><description>Flight "), F.date_format("t0", "MMM d yyyy hh:mma"), F.lit(" path</description><LineString><coordinates>8.5,50.25,100 bad 8.75,50.5,200 9,51</coordinates></LineString></Placemark>"))
-    rows = v.paths.join(first, "path_id").select(F.col("path_id").cast("string").alias("path"), F.col("filename").alias("file"), F.lit(0).cast("long").alias("at"), F.when(F.col("filename").startswith("2026"), line).otherwise(track).alias("xml"))
+    rows = v.paths.join(first, "path_id").select(F.col("path_id").cast("string").alias("path"), F.col("filename").alias("file"), F.lit(0).cast("long").alias("at"), F.when(F.col("path_id") % 2 == 0, track).otherwise(line).alias("xml"))
     marks = kml.from_text(rows)
     count = kml.track_points(marks).groupBy("path").agg(F.count("*").alias("points"), F.count("alt_m").alias("with_altitude"), F.round(F.sum("lon"), 4).alias("lon"))
     return kml.metadata(marks).drop("at").join(count, "path").withColumn("path", F.col("path").cast("long")).withColumnRenamed("path", "path_id")
