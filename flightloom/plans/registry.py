@@ -332,8 +332,10 @@ def airport_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(v: Views) -> DataFrame:
-    info = v.info.withColumn("timestamp", F.col("start_us").cast("string"))
-    return ports.corrected(ports.candidates(info, tracks.flight_phases(v.points)), v.airports)
+    """Candidates of all paths, kept: more than one thing is made of them. Points are numbered once, and stay dealt by path."""
+    points = checkpointed(v.points)
+    info = stats.path_info(points, tracks.legs(points), v.paths).withColumn("timestamp", F.col("start_us").cast("string"))
+    return checkpointed(ports.corrected(ports.candidates(info, tracks.flight_phases(points)), v.airports))
 
 
 @query

@@ -19,3 +19,11 @@ def test_an_id_that_looks_like_a_year_keeps_its_dialect(spark, tmp_path):
     folder = events(spark, str(tmp_path), [2026, 2027, 20260])
     rows = {r["path_id"]: (r["points"], r["end_timestamp"] is None) for r in registry.queries()["kml_metadata"](spark, folder).collect()}
     assert rows == {2026: (2, False), 2027: (3, True), 20260: (2, False)}
+
+
+def test_candidates_of_airports_are_made_once(spark, tmp_path):
+    folder = events(spark, str(tmp_path), range(4))
+    for name in ("supplier", "nation"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    found = registry._found(registry.Views(spark, folder))
+    assert "Relation" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 0
