@@ -769,9 +769,9 @@ def log_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = Views(spark, sf_dir).points.groupBy("path_id").agg(F.array_join(F.collect_list(F.concat_ws(",", "lon", "lat", "alt_m")), " ").alias("line"))
     good = F.concat(F.lit("<kml><Placemark><LineString><coordinates>"), "line", F.lit("</coordinates></LineString></Placemark></kml>"))
     text = F.when(k == 1, F.concat(F.lit("<kml><Placemark><LineString><coordinates>"), "line")).when(k == 2, "<kml></kml>").when(k == 3, "<kml><Placemark><name>no place</name></Placemark></kml>").when(k == 4, "<kml><Placemark><LineString><coordinates>x,y</coordinates></LineString></Placemark></kml>").otherwise(good)
-    logs = line.select(k.alias("k"), text.alias("value"))
-    logs.where("k < 5").select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/logs")
-    logs.where("k = 5").select("value").write.option("maxRecordsPerFile", 1).json(f"{folder}/others")
+    logs = checkpointed(line.select(k.alias("k"), F.col("path_id").cast("string").alias("name"), text.alias("value")))
+    kml.write_each(logs.where("k < 5").select("name", "value"), f"{folder}/logs")
+    kml.write_each(logs.where("k = 5").select("name", "value"), f"{folder}/others", "json")
     found, points, _ = kml.parsed_logs(spark, folder, f"*{_TEXT}")
     return kml.fault_report(kml.listing(spark, folder), found, points, _TEXT).groupBy("fault").agg(F.count("*").alias("files"))
 

@@ -6,11 +6,12 @@ with its texts, shapes and times. Points and metadata are made of these rows.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -161,8 +162,8 @@ def listing(spark: SparkSession, source: str, empty: bool = True) -> DataFrame:
     """(path, file, bytes, modified) of every file under a folder, or of one file, but for hidden ones. Contents are not read. A
     source that is not there gives no rows.
 
-    Spark's file sources pass over empty files. With `empty`, these are looked for one by one on the driver, if the store
-    counts more files than Spark has found.
+    Spark's file sources pass over empty files, but their index names them. With `empty`, those that it names and no row tells of
+    are added: the names pass through the driver then, and only the empty ones are asked one by one for their time of change.
     """
     context = spark.sparkContext
     root = context._jvm.org.apache.hadoop.fs.Path(source)
@@ -170,22 +171,19 @@ def listing(spark: SparkSession, source: str, empty: bool = True) -> DataFrame:
     shape = "path string, file string, bytes long, modified timestamp"
     if not store.exists(root):
         return spark.createDataFrame([], shape)
-    try:
-        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_to_load(source)).select("_metadata.file_path", "length", "modificationTime")
-    except AnalysisException:  # nothing there but empty files
-        rows = spark.createDataFrame([], "file_path string, length long, modificationTime timestamp")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_to_load(source))
+    rows = read.select("_metadata.file_path", "length", "modificationTime")
     found = rows.select(_uri(F.col("file_path")).alias("path"), _file_name(F.col("file_path")).alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
-    if not empty or store.getContentSummary(root).getFileCount() <= found.count():
+    if not empty:
         return found
-    none, walk = [], store.listFiles(root, True)
-    while walk.hasNext():
-        f = walk.next()
-        if not f.getLen() and f.getPath().getName()[0] not in "_.":
-            none.append((f.getPath().toUri().toString(), f.getPath().getName(), 0, f.getModificationTime()))
-    if not none:
+    found, jvm = checkpointed(found.coalesce(4 * context.defaultParallelism)), context._jvm
+    if len(read._jdf.inputFiles()) <= found.count():  # the names stay in the JVM
         return found
-    extra = spark.createDataFrame(none, "path string, file string, bytes long, modified long")
-    return found.unionByName(extra.select(_uri(F.col("path")).alias("path"), "file", "bytes", F.timestamp_millis("modified").alias("modified")))
+    every = spark.createDataFrame([(x,) for x in read.inputFiles()], "value string")
+    none = [r["value"] for r in every.join(found.select("path"), _uri(F.col("value")) == F.col("path"), "left_anti").collect()]
+    changed = [(x, 0, store.getFileStatus(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(x))).getModificationTime()) for x in none]
+    extra = spark.createDataFrame(changed, "path string, bytes long, modified long")
+    return found.unionByName(extra.select(_uri(F.col("path")).alias("path"), _file_name(F.col("path")).alias("file"), "bytes", F.timestamp_millis("modified").alias("modified")))
 
 
 def _glob(ending: str) -> str:
@@ -198,6 +196,24 @@ def _to_load(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
 
 
+#: Files up to which a reader is given their names.
+NAMED_FILES = 1_000
+
+
+def _holding(files: DataFrame) -> list[str]:
+    """What a reader has to load to see all `files` (path): their names if they are few, else the folders that hold them, none
+    within another. What else lies there is read too, so the reader's rows are to be joined with `files`."""
+    few = [r["path"] for r in files.select("path").limit(NAMED_FILES + 1).collect()]
+    if len(few) <= NAMED_FILES:
+        return [*map(_to_load, few)]
+    folders = sorted(r["folder"] for r in files.select(F.regexp_replace("path", "[^/]*$", "").alias("folder")).distinct().collect())
+    outer: list[str] = []
+    for folder in folders:  # what lies within a folder follows it
+        if not outer or not folder.startswith(outer[-1]):
+            outer.append(folder)
+    return [*map(_to_load, outer)]
+
+
 def fault_report(files: DataFrame, found: DataFrame, points: DataFrame, ending: str = ".kml") -> DataFrame:
     """(path, file, bytes, modified, fault), a row a file of listing(): what is wrong with it as a log, null if nothing.
 
@@ -260,19 +276,19 @@ def parse_new(spark: SparkSession, source: str, store: str, ending: str = ".kml"
     same = ["path", "bytes", "modified"]
     kept = old.join(now.select(*same), same, "left_semi")
     changed = checkpointed(now.join(old.select(*same), same, "left_anti"))
-    paths = [r["path"] for r in changed.select("path").collect()]
-    if not paths and kept.count() == old.count():
+    if changed.isEmpty() and kept.count() == old.count():
         return 0  # nothing came, nothing went
     count = 0
-    if paths:
+    if not changed.isEmpty():
         # Where all are new, the folder says it shorter than its files' names.
-        sums = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _glob(ending)).load([*map(_to_load, paths)] if known else source).select(_uri(F.col("_metadata.file_path")).alias("path"), F.md5("content").alias("checksum"))
+        sums = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _glob(ending)).load(_holding(changed) if known else source).select(_uri(F.col("_metadata.file_path")).alias("path"), F.md5("content").alias("checksum"))
         sums = changed.join(sums, "path")
         fresh = checkpointed(sums.join(old.select("path", "checksum", F.col("batch").alias("parsed_in")), ["path", "checksum"], "left"))
-        todo = [r["path"] for r in fresh.where("parsed_in IS NULL").select("path").collect()]
-        count = len(todo)
-        if todo:
-            elements(spark, [*map(_to_load, todo)] if known else source, _glob(ending)).write.parquet(f"{store}/elements/batch={batch}")
+        todo = fresh.where("parsed_in IS NULL").select("path")
+        count = todo.count()
+        if count:
+            found = elements(spark, _holding(todo) if known else source, _glob(ending)).join(todo, "path", "left_semi")
+            found.write.parquet(f"{store}/elements/batch={batch}")
             found = spark.read.parquet(f"{store}/elements/batch={batch}")
             track_points(found).write.parquet(f"{store}/points/batch={batch}")
             metadata(found).write.parquet(f"{store}/metadata/batch={batch}")
@@ -297,11 +313,42 @@ def store_faults(spark: SparkSession, source: str, store: str) -> DataFrame:
     return fault_report(listing(spark, source), parsed_store(spark, store, "elements"), parsed_store(spark, store, "points"))
 
 
+def write_each(rows: DataFrame, folder: str, format_: str = "text") -> None:
+    """A file a row of `rows` (name, value) under `folder`, as text or as a line of JSON; names are distinct.
+
+    On a disk the tasks write the files themselves, a folder a task, each renamed once it is whole: for Spark's writer
+    Hadoop starts a process or two a file there to set its rights, and the driver moves all files one by one in the end. In
+    other stores it is Spark's writer, where names are its own and tasks move their files.
+    """
+    context = rows.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(context._jsc.hadoopConfiguration())
+    uri = store.makeQualified(path).toUri()
+    spread = rows.repartition(4 * context.defaultParallelism, "name")
+    if uri.getScheme() != "file":
+        spread.select("value").write.format(format_).option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).save(folder)
+        return
+    root, ending = uri.getPath(), {"text": ".txt", "json": ".json"}[format_]
+
+    def put(part):
+        task = TaskContext.get()
+        own = f"{root}/{task.partitionId():05d}"
+        os.makedirs(own, exist_ok=True)
+        for name, value in part:
+            unfinished = f"{own}/_{name}-{task.taskAttemptId()}"
+            with open(unfinished, "w", encoding="utf-8", newline="\n") as f:
+                f.write(f"{value}\n")
+            os.replace(unfinished, f"{own}/{name}{ending}")
+
+    text = F.col("value") if format_ == "text" else F.to_json(F.struct("value"))
+    spread.select("name", text.alias("value")).foreachPartition(put)
+
+
 def write_logs(points: DataFrame, folder: str, long_points: int = 5_000) -> None:
     """A KML log a track of `points` (path_id, seq, lat, lon, alt_m, ts_raw, name): track elements with their times, the name's
     placemark and a description `track ID`.
 
-    A track of up to `long_points` points is one row and becomes a file of its own in `folder`/short, many to a task. Longer
+    A track of up to `long_points` points is one row and becomes a file of its own under `folder`/short, many to a task. Longer
     ones are written in parts of so many points, a folder each in `folder`/long: no track has to fit in a row.
     """
     size = points.groupBy("path_id").agg(F.count("*").alias("points"))
@@ -311,8 +358,8 @@ def write_logs(points: DataFrame, folder: str, long_points: int = 5_000) -> None
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda r: r["text"]), "")
     mark = F.concat(F.lit("<Placemark><name>"), markup(F.coalesce(F.first("name"), F.lit(""))), F.lit("</name><description>track "), F.col("path_id"), F.lit("</description><gx:Track>"), body, F.lit("</gx:Track></Placemark>"))
     parts = checkpointed(rows.groupBy("path_id", "points", F.floor((F.col("n") - 1) / long_points).alias("part")).agg(mark.alias("xml")))
-    short = parts.where(F.col("points") <= long_points).select(F.concat(F.lit(_OPEN), "xml", F.lit(_CLOSE)).alias("value"))
-    short.write.option("maxRecordsPerFile", 1).text(f"{folder}/short")
+    short = parts.where(F.col("points") <= long_points).select(F.col("path_id").cast("string").alias("name"), F.concat(F.lit(_OPEN), "xml", F.lit(_CLOSE)).alias("value"))
+    write_each(short, f"{folder}/short")
     long = parts.where(F.col("points") > long_points).select("path_id", "part", "xml")
     if not long.isEmpty():
         ends = lambda part, text: long.select("path_id").distinct().select("path_id", F.lit(part).cast("long").alias("part"), F.lit(text).alias("xml"))

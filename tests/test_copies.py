@@ -3,6 +3,7 @@
 import datetime
 
 from flightloom.plans import registry
+from flightloom.sources import kml
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -27,3 +28,23 @@ def test_candidates_of_airports_are_made_once(spark, tmp_path):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
     found = registry._found(registry.Views(spark, folder))
     assert "Relation" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 0
+
+
+def test_crowded_folders_are_loaded_by_their_name(spark, tmp_path, monkeypatch):
+    line = "<Placemark><LineString><coordinates>1,2,3 4,5,6</coordinates></LineString></Placemark>"
+    logs, store = tmp_path / "logs", str(tmp_path / "store")
+    put = lambda name, text=line: kml.write_each(spark.createDataFrame([(f"log{i}", text) for i in range(4)], "name string, value string"), f"{logs}/{name}")
+    put("a")
+    assert kml.parse_new(spark, str(logs), store, ".txt") == 4
+    monkeypatch.setattr(kml, "NAMED_FILES", 2)
+    put("a/within")
+    put("b [1] +")
+    put("none", "")
+    (logs / "none" / "empty.txt").write_text("")
+    asked = kml._holding(kml.listing(spark, str(logs), empty=False).select("path"))
+    assert all(x.endswith("/") for x in asked) and not any(x != y and x.startswith(y) for x in asked for y in asked)
+    assert kml.parse_new(spark, str(logs), store, ".txt") == 12 and kml.parse_new(spark, str(logs), store, ".txt") == 0
+    counts = kml.parsed_store(spark, store, "points").groupBy("path").count().collect()
+    assert [r["count"] for r in counts] == [2] * 12
+    listed = [(r["file"], r["bytes"]) for r in kml.listing(spark, str(logs)).collect()]
+    assert len(listed) == 17 and [x for x in listed if not x[1]] == [("empty.txt", 0)]
