@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightloom.functions.geo import bearing
@@ -21,9 +21,14 @@ def time_range(segments: DataFrame) -> DataFrame:
     return timed(segments).groupBy("path_id").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.min("altitude_ft").alias("low_ft"), F.max("altitude_ft").alias("high_ft"), F.coalesce(F.min(kt), F.lit(0.0)).alias("low_kt"), F.coalesce(F.max(kt), F.lit(200.0)).alias("high_kt"))
 
 
+def _opening(time: str, seg_idx: str) -> Column:
+    """An order in which a path's opening segment is the least: of those with its first time the last."""
+    return F.struct(F.col(time).alias("time"), (-F.col(seg_idx)).alias("back"))
+
+
 def as_of(segments: DataFrame, asked: DataFrame, else_first: bool = True) -> DataFrame:
-    """(path_id, t, seg_idx, ...): for each asked (path_id, t) the last segment with time <= t; before the first one that
-    one, or nothing. Both sides are merged in one sorted window by path, so each is shuffled once."""
+    """(path_id, t, seg_idx, ...): for each asked (path_id, t) the last segment with time <= t; before the first time the
+    last segment with that time, or nothing. Both sides are merged in one sorted window by path, so each is shuffled once."""
     has = ["seg_idx", "lat1", "lon1", "lat2", "lon2", "altitude_m", "groundspeed_knots", "time"]
     ahead = Window.partitionBy("path_id").orderBy("time", "seg_idx")
     rows = timed(segments).select("path_id", *has)
@@ -32,7 +37,7 @@ def as_of(segments: DataFrame, asked: DataFrame, else_first: bool = True) -> Dat
     both = rows.unionByName(asked.select("path_id", F.col("t").cast("double").alias("t"), F.lit(1).alias("asked"), F.lit(None).cast(kind).alias("here")))
     merged = Window.partitionBy("path_id").orderBy("t", "asked", F.col("here.seg_idx"))
     upto = merged.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.first("here", ignorenulls=True).over(merged.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.min_by("here", F.when(F.col("asked") == 0, _opening("t", "here.seg_idx"))).over(Window.partitionBy("path_id"))
     found = F.last("here", ignorenulls=True).over(upto)
     return both.withColumn("here", F.coalesce(found, first) if else_first else found).where("asked = 1").select("path_id", "t", "here.*")
 
@@ -75,12 +80,12 @@ def as_of_split(segments: DataFrame, asked: DataFrame, else_first: bool = True,
 
 
 def _with_first(found: DataFrame, segments: DataFrame, has: list[str], else_first: bool) -> DataFrame:
-    """(path_id, t, ...) of `found`; where nothing came before, a path's first segment, with the one that follows it, if
-    asked for. The first two segments of each path are one row."""
+    """(path_id, t, ...) of `found`; where nothing came before, the last segment with a path's first time, with the one that
+    follows it, if asked for. These two segments of each path are one row."""
     if not else_first:
         return found.select("path_id", "t", "here.*")
     order = F.struct("time", "seg_idx")
-    first = timed(segments).groupBy("path_id").agg(F.min(F.struct(order.alias("o"), *[F.col(x).alias(x) for x in has])).alias("a"))
+    first = timed(segments).groupBy("path_id").agg(F.min_by(F.struct(order.alias("o"), *[F.col(x).alias(x) for x in has]), _opening("time", "seg_idx")).alias("a"))
     rest = timed(segments).join(first, "path_id").where(order > F.col("a.o")).groupBy("path_id").agg(F.min_by(F.struct(*has), order).alias("b"))
     opening = first.join(rest, "path_id", "left").select("path_id", F.struct(*[F.col(f"a.{x}").alias(x) for x in has], F.col("b").alias("following")).alias("opened"))
     return found.join(opening, "path_id", "left").withColumn("here", F.coalesce("here", "opened")).select("path_id", "t", "here.*")

@@ -69,6 +69,14 @@ def test_as_of_one_path_with_nine_tenths_of_the_rows(spark, uncoalesced):
     assert sum(parts) >= 4_490 and max(parts) < 0.6 * sum(parts)
 
 
+def test_before_a_path_its_last_segment_with_the_first_time_counts(spark):
+    rows = [(1, i, float(i), 0.0, 1.0, 1.0, 5.0, 9.0, t) for i, t in enumerate([3.0, 3.0, 8.0])]
+    segments, asked = spark.createDataFrame(rows, SEGMENTS), spark.createDataFrame([(1, 1.0)], "path_id long, t double")
+    for found in (replay.as_of(segments, asked), replay.as_of_split(segments, asked), replay.as_of_split(segments, asked, bucket_seconds=2)):
+        assert [(r["seg_idx"], r["following"]["seg_idx"]) for r in found.collect()] == [(1, 2)]
+    assert replay.as_of(segments, asked, False).where("seg_idx IS NOT NULL").isEmpty()
+
+
 def plain_in_order(rows):
     """{(lat, lon): (name, timestamps)} by walking the candidates one after another."""
     grid, found = {}, []
