@@ -70,7 +70,10 @@ class Views:
 
 
 def _r(name: str, digits: int = 4, alias: str | None = None):
-    return F.round(name, digits).alias(alias or name)
+    """Rounded as the SQL rounds: the number times a power of ten. round() with digits goes by the number's decimal text, and
+    takes the other way for some that lie within a bit of the middle."""
+    scale = F.lit(10.0**digits)
+    return (F.round(F.col(name) * scale) / scale).alias(alias or name)
 
 
 def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:

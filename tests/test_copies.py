@@ -2,6 +2,8 @@
 
 import datetime
 
+import duckdb
+
 from flightloom.plans import registry
 from flightloom.sources import kml
 
@@ -48,3 +50,10 @@ def test_crowded_folders_are_loaded_by_their_name(spark, tmp_path, monkeypatch):
     assert [r["count"] for r in counts] == [2] * 12
     listed = [(r["file"], r["bytes"]) for r in kml.listing(spark, str(logs)).collect()]
     assert len(listed) == 17 and [x for x in listed if not x[1]] == [("empty.txt", 0)]
+
+
+def test_numbers_are_rounded_as_the_sql_rounds(spark):
+    numbers = [16.2515625, 18.646562499999998, 2.0578125, 32.7296875, -18.646562499999998, 1.5, float("nan"), float("inf"), None]
+    found = [r["x"] for r in registry._rounded(spark.createDataFrame([(x,) for x in numbers], "x double"), 6).collect()]
+    want = [r[0] for r in duckdb.connect().execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [numbers]).fetchall()]
+    assert repr(found) == repr(want) and found[:2] == [16.251562, 18.646563]
