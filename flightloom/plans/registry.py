@@ -792,7 +792,7 @@ def log_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     remove_folder(spark, f"{source}/2024")
     kml.parse_new(spark, source, store, _TEXT)
     names = kml.parsed_store(spark, store, "metadata").select("path", F.regexp_extract("name", r"path (-?\d+)", 1).cast("long").alias("path_id"))
-    rows = kml.parsed_store(spark, store, "points").join(names, "path").groupBy("path_id").agg(F.count("*").alias("points"), F.round(F.sum("alt_m"), 3).alias("metres"))
+    rows = kml.parsed_store(spark, store, "points").join(names.hint("merge"), "path").groupBy("path_id").agg(F.count("*").alias("points"), F.round(F.sum("alt_m"), 3).alias("metres"))
     return rows.select("*", F.lit(first).cast("long").alias("parsed_first"), F.lit(then).cast("long").alias("parsed_then"), F.lit(none).cast("long").alias("parsed_again"))
 
 

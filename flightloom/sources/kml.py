@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import uuid
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flightloom.functions.names import aircraft_from_filename
 from flightloom.functions.times import charter_start, date_in_name, parsed, year_of
-from flightloom.sources.shared import checkpointed
+from flightloom.sources.shared import checkpointed, fresh_folder
 
 _SHAPE = "array<struct<coordinates:string>>"
 _BORDER = f"array<struct<LinearRing:{_SHAPE}>>"
@@ -158,19 +163,25 @@ def metadata(found: DataFrame) -> DataFrame:
     return rows.select("path", "file", "at", "name", "timestamp", "end_timestamp", year_of(F.col("timestamp")).alias("year"), F.col("craft.registration").alias("registration"), F.col("craft.type").alias("aircraft_type"), F.coalesce(route, "name").alias("airport_name"))
 
 
+_LISTED = "path string, file string, bytes long, modified timestamp"
+
+
 def listing(spark: SparkSession, source: str, empty: bool = True) -> DataFrame:
-    """(path, file, bytes, modified) of every file under a folder, or of one file, but for hidden ones. Contents are not read. A
-    source that is not there gives no rows.
+    """(path, file, bytes, modified) of every file under a folder, or of one file, but for hidden ones; without `empty`, of those
+    that are not empty. Contents are not read. A source that is not there gives no rows.
 
-    Spark's file sources pass over empty files, but their index names them. With `empty`, those that it names and no row tells of
-    are added: the names pass through the driver then, and only the empty ones are asked one by one for their time of change.
+    On a disk tasks walk the folders. In other stores Spark's file index lists them, whose names the driver holds for the time. As
+    Spark's file sources pass over empty files, those that it names and no row tells of are added; they are asked one by one
+    for their time of change.
     """
     context = spark.sparkContext
     root = context._jvm.org.apache.hadoop.fs.Path(source)
     store = root.getFileSystem(context._jsc.hadoopConfiguration())
-    shape = "path string, file string, bytes long, modified timestamp"
     if not store.exists(root):
-        return spark.createDataFrame([], shape)
+        return spark.createDataFrame([], _LISTED)
+    if store.makeQualified(root).toUri().getScheme() == "file":
+        found = _walked(spark, store.makeQualified(context._jvm.org.apache.hadoop.fs.Path(unquote(source))).toUri().getPath())
+        return found if empty else found.where("bytes > 0")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_to_load(source))
     rows = read.select("_metadata.file_path", "length", "modificationTime")
     found = rows.select(_uri(F.col("file_path")).alias("path"), _file_name(F.col("file_path")).alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
@@ -186,6 +197,53 @@ def listing(spark: SparkSession, source: str, empty: bool = True) -> DataFrame:
     return found.unionByName(extra.select(_uri(F.col("path")).alias("path"), _file_name(F.col("path")).alias("file"), "bytes", F.timestamp_millis("modified").alias("modified")))
 
 
+def _quoted(path: str) -> str:
+    """A path of the disk as Spark spells its URI: of characters beyond ASCII only blanks and controls are escaped."""
+    escaped = lambda c: "".join(f"%{b:02X}" for b in c.encode())
+    plain = lambda c: c in "_-!.~'()*,;:$&+=/@" or c.isalnum() if c.isascii() else unicodedata.category(c) not in ("Zs", "Zl", "Zp", "Cc")
+    return "file://" + "".join(c if plain(c) else escaped(c) for c in path)
+
+
+def _entries(folder: str) -> Iterator[tuple[str, str, bool, int, int]]:
+    """(path, file, whether it is a folder, bytes, milliseconds) of what lies in a folder, or of one file, but for what Spark's
+    file index passes over: hidden names, names that are no text, and what is gone by now."""
+    if os.path.isfile(folder):
+        at = os.stat(folder)
+        yield folder, os.path.basename(folder), False, at.st_size, at.st_mtime_ns // 1_000_000
+        return
+    with os.scandir(folder) as entries:
+        for x in entries:
+            hidden = (x.name.startswith("_") and "=" not in x.name and not x.name.startswith(("_metadata", "_common_metadata"))) or x.name.startswith(".") or x.name.endswith("._COPYING_")
+            try:
+                x.name.encode()
+                at = x.stat()
+            except (UnicodeEncodeError, FileNotFoundError):
+                continue
+            if not hidden:
+                yield x.path, x.name, x.is_dir(), at.st_size, at.st_mtime_ns // 1_000_000
+
+
+def _walked(spark: SparkSession, root: str) -> DataFrame:
+    """listing() of a folder that all tasks see, level by level: the folders of a level are dealt to tasks, which pass on what
+    they find a few thousand names at a time."""
+    shape = "at string, file string, folder boolean, bytes long, modified long, path string"
+
+    def scanned(frames):
+        for frame in frames:
+            for folder in frame["at"]:
+                found = _entries(folder)
+                while some := [*islice(found, 5_000)]:
+                    rows = pd.DataFrame(some, columns=["at", "file", "folder", "bytes", "modified"])
+                    yield rows.assign(path=rows["at"].map(_quoted))
+
+    levels, level = [], spark.createDataFrame([(root,)], "at string")
+    while not level.isEmpty():
+        levels.append(checkpointed(level.repartition(4 * spark.sparkContext.defaultParallelism, "at").mapInPandas(scanned, shape)))
+        level = levels[-1].where("folder").select("at")
+    rows = reduce(DataFrame.unionByName, levels).where("NOT folder")
+    return rows.select("path", "file", "bytes", F.timestamp_millis("modified").alias("modified"))
+
+
 def _glob(ending: str) -> str:
     """A pattern of names with this ending, in any case."""
     return "*" + "".join(f"[{x.lower()}{x.upper()}]" if x.isalpha() else x for x in ending)
@@ -214,6 +272,39 @@ def _holding(files: DataFrame) -> list[str]:
     return [*map(_to_load, outer)]
 
 
+#: Files up to which a reader may load them at once: the driver holds an index of what is loaded.
+LOADED_FILES = 20_000
+
+
+def _portions(files: DataFrame, there: DataFrame) -> Iterator[DataFrame]:
+    """`files` (path), out of all that is `there` (path), in portions for _holding(): what is loaded for one is no more than
+    LOADED_FILES files, or NAMED_FILES names or folders, however many there are.
+
+    A folder with more files, all told, is crowded; there are few of them. A file's unit is the outermost folder around
+    it that is not crowded, or the file itself in a crowded one. Units go into portions as they come, a few at a time
+    through the driver.
+    """
+    if files.limit(NAMED_FILES + 1).count() <= NAMED_FILES or there.count() <= LOADED_FILES:
+        yield files
+        return
+    parts = F.split("path", "/")
+    around = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
+    outer = there.select(F.explode(around).alias("folder")).groupBy("folder").count()
+    crowded = [r["folder"] for r in outer.where(F.col("count") > LOADED_FILES).collect()]
+    unit = F.coalesce(F.get(F.filter(around, lambda x: ~x.isin(crowded)), F.lit(0)), "path").alias("unit")
+    dealt = checkpointed(files.select("path", unit))
+    sizes = there.select(unit).groupBy("unit").count().join(dealt.select("unit").hint("merge"), "unit", "left_semi")
+    units, size = [], 0
+    for r in checkpointed(sizes.orderBy("unit")).toLocalIterator():
+        if units and (size + r["count"] > LOADED_FILES or len(units) == NAMED_FILES):
+            yield dealt.where(F.col("unit").isin(units)).select("path")
+            units, size = [], 0
+        units.append(r["unit"])
+        size += r["count"]
+    if units:
+        yield dealt.where(F.col("unit").isin(units)).select("path")
+
+
 def fault_report(files: DataFrame, found: DataFrame, points: DataFrame, ending: str = ".kml") -> DataFrame:
     """(path, file, bytes, modified, fault), a row a file of listing(): what is wrong with it as a log, null if nothing.
 
@@ -228,11 +319,25 @@ def fault_report(files: DataFrame, found: DataFrame, points: DataFrame, ending:
 
 def parsed_logs(spark: SparkSession, path: str | list[str], glob: str = "*.[kK][mM][lL]", keep_broken: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Elements, points and metadata of the logs under `path`: the XML is scanned once, its elements are written and all else
-    is made of them."""
-    found = checkpointed(elements(spark, path, glob, keep_broken))
+    is made of them. Many logs under one folder are scanned portion by portion."""
+    there = checkpointed(listing(spark, path, empty=False).select("path")) if isinstance(path, str) else None
+    if there is None or there.count() <= LOADED_FILES:
+        found = checkpointed(elements(spark, path, glob, keep_broken))
+    else:
+        folder = fresh_folder(spark, "elements")
+        _write_elements(spark, there, there, None, folder, glob, keep_broken)
+        found = spark.read.parquet(folder)
     return found, track_points(found), metadata(found)
 
 
+def _write_elements(spark: SparkSession, files: DataFrame, there: DataFrame, source: str | None, folder: str, glob: str, keep_broken: bool = False) -> None:
+    """elements() of `files` (path), out of what is `there`, written to `folder` portion by portion. If they are all that is there
+    and can be loaded at once, `source` says it shorter than their names."""
+    for part in _portions(files, there):
+        found = elements(spark, source if source and part is files else _holding(part), glob, keep_broken)
+        found.join(part.hint("merge"), "path", "left_semi").write.mode("append").parquet(folder)
+
+
 def files_in_order(files: DataFrame) -> DataFrame:
     """Rows with (file) and `place`: numbered names by number, then the rest by name."""
     number = F.regexp_extract("file", r"^(\d+)", 1)
@@ -272,23 +377,26 @@ def parse_new(spark: SparkSession, source: str, store: str, ending: str = ".kml"
     known = _versions(spark, store)
     version, batch = (known[-1] if known else 0) + 1, uuid.uuid4().hex
     old = manifest(spark, store)
-    now = checkpointed(listing(spark, source, empty=False).where(F.lower("file").endswith(ending)))
+    there = checkpointed(listing(spark, source, empty=False))
+    now = there.where(F.lower("file").endswith(ending))
     same = ["path", "bytes", "modified"]
-    kept = old.join(now.select(*same), same, "left_semi")
-    changed = checkpointed(now.join(old.select(*same), same, "left_anti"))
+    kept = old.join(now.select(*same).hint("merge"), same, "left_semi")
+    changed = checkpointed(now.join(old.select(*same).hint("merge"), same, "left_anti"))
     if changed.isEmpty() and kept.count() == old.count():
         return 0  # nothing came, nothing went
     count = 0
     if not changed.isEmpty():
         # Where all are new, the folder says it shorter than its files' names.
-        sums = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _glob(ending)).load(_holding(changed) if known else source).select(_uri(F.col("_metadata.file_path")).alias("path"), F.md5("content").alias("checksum"))
-        sums = changed.join(sums, "path")
-        fresh = checkpointed(sums.join(old.select("path", "checksum", F.col("batch").alias("parsed_in")), ["path", "checksum"], "left"))
+        whole, scratch, new = None if known else source, fresh_folder(spark, "checksums"), changed.select("path")
+        for part in _portions(new, there):
+            sums = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _glob(ending)).load(whole if whole and part is new else _holding(part)).select(_uri(F.col("_metadata.file_path")).alias("path"), F.md5("content").alias("checksum"))
+            sums.join(part.hint("merge"), "path", "left_semi").write.mode("append").parquet(scratch)
+        sums = changed.join(spark.read.parquet(scratch).hint("merge"), "path")
+        fresh = checkpointed(sums.join(old.select("path", "checksum", F.col("batch").alias("parsed_in")).hint("merge"), ["path", "checksum"], "left"))
         todo = fresh.where("parsed_in IS NULL").select("path")
         count = todo.count()
         if count:
-            found = elements(spark, _holding(todo) if known else source, _glob(ending)).join(todo, "path", "left_semi")
-            found.write.parquet(f"{store}/elements/batch={batch}")
+            _write_elements(spark, todo, there, whole, f"{store}/elements/batch={batch}", _glob(ending))
             found = spark.read.parquet(f"{store}/elements/batch={batch}")
             track_points(found).write.parquet(f"{store}/points/batch={batch}")
             metadata(found).write.parquet(f"{store}/metadata/batch={batch}")
@@ -305,7 +413,7 @@ def parsed_store(spark: SparkSession, store: str, name: str, version: int | None
     if held.isEmpty():
         return empty[name](from_text(spark.createDataFrame([], "path string, file string, at long, xml string")))
     rows = spark.read.option("basePath", f"{store}/{name}").parquet(f"{store}/{name}")
-    return rows.join(held.select("path", "batch"), ["path", "batch"], "left_semi").drop("batch")
+    return rows.join(held.select("path", "batch").hint("merge"), ["path", "batch"], "left_semi").drop("batch")
 
 
 def store_faults(spark: SparkSession, source: str, store: str) -> DataFrame:
